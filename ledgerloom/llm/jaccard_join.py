@@ -20,12 +20,13 @@ How it works:
   segments come last.
 * Bands are powers of 4. A set whose partners may lie in the next band also
   files under that band, so that both meet there.
-* A 256-bit parity sketch (each token flips one bit) prunes candidates: its
-  Hamming distance is a lower bound of ``|A ^ B|``.
-* Candidates are verified on the whole sets. In a bucket, each class is first
-  compared with one pivot only, so that a large group of near copies costs a
-  star, not all pairs; a last round compares every candidate pair of a bucket
-  whose classes are still in different components.
+* A parity sketch of about two bits a token (each token flips one bit) prunes
+  candidates: its Hamming distance is a lower bound of ``|A ^ B|``.
+* Candidates are verified on the whole sets. Buckets of up to ``SMALL``
+  classes give all their pairs; in a larger one each class is first compared
+  with one pivot only, so that a large group of near copies costs a star, not
+  all pairs; a last round compares every candidate pair of a bucket whose
+  classes are still in different components.
 
 Defined results: text null, empty or without words: ``n_shingles`` 0 and
 ``component_id`` its own ``doc_id``; fewer words than ``width``: the whole
@@ -52,7 +53,10 @@ WIDTH = 5
 #: Frequent shingles kept to order segments: 8 bytes each, so the broadcast stays under 0.2 MB.
 FREQUENT = 20_000
 STAR_ROUNDS = 3
-_SKETCH = ["s0", "s1", "s2", "s3"]
+#: Buckets of at most so many classes give all their pairs at once, so pairs stay in proportion to rows.
+SMALL = 16
+#: Tokens (or pairs) held by a task before it counts (or merges) them.
+COUNTED = 1_000_000
 
 
 def shingle_sets(text: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -78,10 +82,20 @@ def set_id(tokens: np.ndarray) -> int:
         return int(mix(np.array([x * np.uint64(3) + s + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
 
 
-def parity(tokens: np.ndarray) -> np.ndarray:
-    """256 bits, each the parity of the number of tokens that hash to it, as 4 signed longs."""
-    bits = np.bincount((tokens & np.uint64(255)).astype(np.int64), minlength=256) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def parity(tokens: np.ndarray) -> bytes:
+    """A sketch of about two bits a token; each bit is the parity of the number of tokens that hash to it."""
+    m = max(64, 1 << (2 * len(tokens) - 1).bit_length()) if len(tokens) else 64
+    bits = np.bincount((tokens & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def hamming(x: np.ndarray, y: np.ndarray) -> int:
+    """Differing bits of two parity sketches; the longer one is folded, which keeps it a parity sketch."""
+    while len(x) != len(y):
+        if len(x) > len(y):
+            x, y = y, x
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def band(n: int) -> int:
@@ -123,37 +137,39 @@ def file_keys(tokens: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndar
 
 
 def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """A row for each document (``doc_id``, ``n``, ``cls``, parity sketch), and rows of locally frequent shingles (``n`` null: ``cls`` shingle, ``s0`` count)."""
+    """A row for each document (``doc_id``, ``n``, ``cls``, ``sketch``), and rows of locally frequent shingles (``n`` null: ``cls`` shingle, ``doc_id`` count)."""
+
+    def frequent(seen: list[np.ndarray]) -> pa.RecordBatch:
+        value, count = np.unique(np.concatenate(seen), return_counts=True)
+        keep = np.flatnonzero(count >= max(3, len(seen) // 1000))
+        keep = keep[np.argsort(-count[keep], kind="stable")[:FREQUENT]]
+        return _rows(pa.array(count[keep], pa.int64()), pa.nulls(len(keep), pa.int32()), value[keep].view(np.int64), pa.nulls(len(keep), pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        held = 0
         for batch in batches:
-            seen: list[np.ndarray] = []
-            rows = 0
             for part in parts(batch):
                 sets = list(shingle_sets(part.column("text"), width))
                 ids = [set_id(s) for s in sets]
-                sketch = np.array([parity(s) for s in sets]).reshape(-1, 4)
-                yield _rows(part.column("doc_id"), [len(s) for s in sets], ids, sketch)
-                seen += [s for s in dict(zip(ids, sets)).values() if len(s)]
-                rows += len(sets)
-            if seen:
-                least = max(3, rows // 1000)
-                value, count = np.unique(np.concatenate(seen), return_counts=True)
-                value, count = value[count >= least], count[count >= least]
-                order = np.argsort(-count, kind="stable")[:FREQUENT]
-                zero = np.zeros((len(order), 4), np.int64)
-                zero[:, 0] = count[order]
-                yield _rows(pa.nulls(len(order), pa.int64()), pa.nulls(len(order), pa.int32()), value[order].view(np.int64), zero)
+                yield _rows(part.column("doc_id"), [len(s) for s in sets], ids, [parity(s) for s in sets])
+                seen.update((c, s) for c, s in zip(ids, sets) if len(s))
+                held += sum(map(len, sets))
+                if held > COUNTED:
+                    yield frequent(list(seen.values()))
+                    seen, held = {}, 0
+        if seen:
+            yield frequent(list(seen.values()))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n int, cls long, s0 long, s1 long, s2 long, s3 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n int, cls long, sketch binary")
 
 
-def _rows(doc_id, n, cls, sketch: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([doc_id, pa.array(n, pa.int32()), pa.array(cls, pa.int64()), *[pa.array(sketch[:, k]) for k in range(4)]], ["doc_id", "n", "cls", *_SKETCH])
+def _rows(doc_id, n, cls, sketch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([doc_id, pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "n", "cls", "sketch"])
 
 
 def live_buckets(docs: DataFrame, frequent: np.ndarray, percent: int, width: int) -> DataFrame:
-    """(bucket, cls) of all buckets with two classes or more."""
+    """Of all buckets with two classes or more: pairs (x, y) of classes if the bucket is small, else (x bucket, y class) with ``large``."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,21 +202,48 @@ def live_buckets(docs: DataFrame, frequent: np.ndarray, percent: int, width: int
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
         key, cls = key[fresh], cls[fresh]
-        if len(key):
-            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            many = np.repeat(np.diff(np.append(starts, len(key))) > 1, np.diff(np.append(starts, len(key))))
-            yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(cls[many])], ["bucket", "cls"])
-
-    return docs.select("text").mapInArrow(emit, "bucket long, cls long").repartition("bucket").mapInArrow(meet, "bucket long, cls long")
+        if not len(key):
+            return
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(starts, len(key)))
+        found = [np.empty((0, 2), np.int64)]
+        for k in range(2, SMALL + 1):  # all buckets of one size at once
+            at = starts[size == k]
+            for i in range(k):
+                for j in range(i + 1, k):
+                    found.append(np.stack((cls[at + i], cls[at + j]), axis=1))
+            if sum(map(len, found)) > COUNTED:
+                found = [_distinct(np.concatenate(found))]
+        pairs = _distinct(np.concatenate(found))
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.zeros(len(pairs), bool))], ["x", "y", "large"])
+        many = np.repeat(size > SMALL, size)
+        yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(cls[many]), pa.array(np.ones(many.sum(), bool))], ["x", "y", "large"])
+
+    return docs.select("text").mapInArrow(emit, "bucket long, cls long").repartition("bucket").mapInArrow(meet, "x long, y long, large boolean")
+
+
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    pairs = pairs[order]
+    fresh = np.ones(len(pairs), bool)
+    fresh[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
+    return pairs[fresh]
+
+
+def prune(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Drop pairs that cannot link: by the ratio of sizes, and by the parity sketches' lower bound of ``|A ^ B|``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = ((batch.column("na").to_numpy() + batch.column("nb").to_numpy()).astype(np.int64) * (100 - percent)) // (100 + percent)
+            sa, sb = batch.column("sa"), batch.column("sb")
+            ok = np.array([hamming(np.frombuffer(sa[i].as_buffer(), np.uint8), np.frombuffer(sb[i].as_buffer(), np.uint8)) <= most[i] for i in range(batch.num_rows)], bool)
+            yield batch.select([0, 1]).filter(pa.array(ok))
 
-def _may_link(a: str, b: str, percent: int):
-    """Size ratio and the parity sketch's lower bound of the symmetric difference."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    far = F.lit(0)
-    for s in _SKETCH:
-        far = far + F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}")))
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (far * (100 + percent) <= (na + nb) * (100 - percent))
+    left = info.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = info.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b").filter(F.least("na", "nb").cast("long") * 100 >= F.greatest("na", "nb").cast("long") * percent)
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -257,48 +300,42 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
         raise ValueError("percent must be 30 to 100")
     spark = docs.sparkSession
     table = materialize(set_table(docs, width), "sets")
-    top = table.filter("n is null").groupBy("cls").agg(F.sum("s0").alias("k")).orderBy(F.desc("k"), "cls").limit(FREQUENT).collect()
+    top = table.filter("n is null").groupBy("cls").agg(F.sum("doc_id").alias("k")).orderBy(F.desc("k"), "cls").limit(FREQUENT).collect()
     frequent = np.sort(np.array([r.cls for r in top], np.int64).view(np.uint64))
-    rows = table.filter("n is not null").select("doc_id", "n", "cls", *_SKETCH)
-    info = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in _SKETCH])
-
-    live = materialize(live_buckets(docs, frequent, percent, width), "buckets")
-    known = materialize(live.join(info, "cls"), "known")
-    ids = known.filter("doc_id is not null").select("cls", "doc_id").distinct()
-    sets = materialize(class_sets(docs, ids, width), "tokens")
-    discard(live)
-
-    links, tried, label = None, None, None
-    for turn in range(STAR_ROUNDS + 1):
-        open_ = known
+    rows = table.filter("n is not null").select("doc_id", "n", "cls")
+    found = table.filter("n > 0").select("doc_id", "n", "cls", "sketch")
+    info = found.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+
+    met = materialize(live_buckets(docs, frequent, percent, width), "buckets")
+    small = met.filter("not large").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    large = met.filter("large").select(F.col("x").alias("bucket"), F.col("y").alias("cls"))
+    pairs = materialize(prune(small, info, percent), "pairs")
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(large.select("cls")).distinct()
+    reps = info.join(wanted, "cls").select("cls", "doc_id")
+    sets = materialize(class_sets(docs, reps, width), "tokens")
+    links = materialize(verify(pairs, sets, percent), "links")
+    label = None if links.isEmpty() else materialize(components(links), "components")
+
+    crowded = not large.isEmpty()
+    if crowded:
+        large = materialize(large.join(info.select("cls", "n"), "cls"), "large")
+    for turn in range(STAR_ROUNDS + 1 if crowded else 0):
+        at = large.withColumn("comp", F.col("cls"))
         if label is not None:
-            at = open_.join(label, open_.cls == label.node, "left").withColumn("comp", F.coalesce("comp", "cls"))
-            split = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket", "lo")
-            open_ = at.join(split, "bucket")
-        else:
-            open_ = open_.withColumn("comp", F.col("cls")).withColumn("lo", F.lit(None).cast("long"))
-        open_ = open_.select("bucket", "cls", "comp", "lo", "n", *_SKETCH)
+            at = large.join(label, large.cls == label.node, "left").select("bucket", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
         if turn < STAR_ROUNDS:  # each class with one pivot of its bucket, of another component
-            order = F.xxhash64("cls", F.lit(turn))
-            first = open_.filter("lo is null or comp = lo").groupBy("bucket").agg(F.min_by(F.struct("cls", "comp", "n", *_SKETCH), order).alias("p")).select("bucket", "p.*")
-            met = open_.alias("x").join(first.alias("y"), "bucket").filter(F.col("x.comp") != F.col("y.comp"))
+            first = at.groupBy("bucket").agg(F.min_by(F.struct("cls", "comp", "n"), F.struct("comp", F.xxhash64("cls", F.lit(turn)))).alias("p")).select("bucket", "p.*")
+            near = at.alias("x").join(first.alias("y"), "bucket").filter("x.comp != y.comp")
         else:
-            met = open_.alias("x").join(open_.alias("y"), "bucket").filter((F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp")))
-        met = met.filter(_may_link("x", "y", percent))
-        pairs = met.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn < STAR_ROUNDS:
-                continue
-            break
-        new = materialize(verify(pairs, sets, percent), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = new if links is None else links.unionByName(new)
-        if links.isEmpty():
-            continue
-        if label is None or not new.isEmpty():
+            mixed = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
+            at = at.join(mixed, "bucket", "left_semi")
+            near = at.alias("x").join(at.alias("y"), "bucket").filter("x.cls < y.cls and x.comp != y.comp")
+        near = near.filter(F.least("x.n", "y.n").cast("long") * 100 >= F.greatest("x.n", "y.n").cast("long") * percent)
+        near = near.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+        more = materialize(prune(near.join(pairs, ["a", "b"], "left_anti"), info, percent), "pairs")
+        new = materialize(verify(more, sets, percent), "links")
+        pairs, links = pairs.unionByName(more), links.unionByName(new)
+        if not new.isEmpty():
             label = materialize(components(links), "components")
 
     if label is None:
@@ -308,7 +345,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
         low = by.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
         named = by.join(low, "comp").select("cls", "component_id")
     named = materialize(named, "named")
-    discard(known, sets)
+    discard(met, sets)
     out = rows.join(named, "cls", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
