@@ -85,8 +85,13 @@ class Words:
         with np.errstate(over="ignore"):
             c = np.zeros(len(data) + 1, np.uint64)
             np.cumsum((_BYTE_LOW if lower else _BYTE)[data] * p[: len(data)], out=c[1:])
-            h = (c[self.end] - c[self.start]) * inv[self.start]
-            self.hash = mix(h + (self.end - self.start).astype(np.uint64))
+        self._sums, self._inv = c, inv
+        self.hash = self.span_hash(self.start, self.end)
+
+    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from ``start`` to ``end``."""
+        with np.errstate(over="ignore"):
+            return mix((self._sums[end] - self._sums[start]) * self._inv[start] + (end - start).astype(np.uint64))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
