@@ -350,6 +350,22 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """``docs`` without those that link, directly or through others, to a document with a smaller id.
+
+    Rows with the same id are one document only if they are equal; a repeated
+    row stays once, and rows without an id always stay.
+    """
+    names = docs.columns
+    repeated = materialize(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")), "repeated")
+    if not repeated.isEmpty():  # only the rows concerned are compared
+        again = F.col("doc_id") == F.col("_again")
+        docs = docs.join(repeated, again, "left_anti").unionByName(docs.join(repeated, again, "left_semi").dropDuplicates())
+    dropped = jaccard_components(docs, percent, width).filter("n_shingles > 0 and doc_id != component_id").select("doc_id").distinct()
+    kept = docs.join(dropped.withColumnRenamed("doc_id", "_dropped"), F.col("doc_id") == F.col("_dropped"), "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in names])
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
 

@@ -30,7 +30,7 @@ from .textvec import Words, combine, mix, parts
 
 GRAM = 4
 BUCKETS = 1 << 16
-THRESHOLD = -0.02
+THRESHOLD = -0.4
 #: Trusted documents that make the target: their ids (8 bytes each) are broadcast.
 TARGET_ROWS = 20_000
 _SYMBOL = np.zeros(256, bool)
@@ -105,7 +105,7 @@ def trusted_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
 
 
 def log_ratio(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS) -> np.ndarray:
-    """log p_target - log p_raw for each bucket (add-one smoothed)."""
+    """log p_target - log p_raw for each bucket: raw counts are scaled to the target's total, then one is added to both, so rare n-grams weigh little."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
@@ -125,7 +125,7 @@ def log_ratio(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS
     raw[got["bucket"]], target[got["bucket"]] = got["raw"], got["target"]
     if not target.sum():
         return np.zeros(BUCKETS)
-    return np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
+    return np.log(target + 1) - np.log(raw * (target.sum() / raw.sum()) + 1)
 
 
 def _judge(part: pa.RecordBatch, weights: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
