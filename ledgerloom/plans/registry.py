@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import base
+from . import base, jobs
 
-MODULES = (base,)
+MODULES = (base, jobs)
 
 
 def queries() -> dict:
