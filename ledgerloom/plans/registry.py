@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import base, jobs
+from . import base, jobs, judgement
 
-MODULES = (base, jobs)
+MODULES = (base, jobs, judgement)
 
 
 def queries() -> dict:
