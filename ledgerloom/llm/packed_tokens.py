@@ -24,8 +24,10 @@ and no files; extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +41,7 @@ MAGIC = b"PACKIDS1"
 BLOCK_IDS = 4096
 FILE_IDS = 4 << 20
 END_ID = 2
-MEMO = 300_000
+MEMO = 800_000
 _NULL = np.iinfo(np.int64).min
 _SPACES = bytes([0x20, 9, 10, 11, 12, 13])
 
@@ -128,27 +130,55 @@ class Encoder:
         self.library = Tokenizer.from_file(vocabulary)
         self.size = self.library.get_vocab_size()
         self.memo: dict[str, bytes] = {}
+        # ids that end a word, where the model marks them
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(self.size, bool)
+            self.ends[[i for w, i in self.library.get_vocab().items() if w.endswith(suffix)]] = True
         probe = "a b\tc 1"
         self.by_word = self._whole([probe])[0] == b"".join(self._whole(probe.split()))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words. Plain ones are encoded as one text and cut after each end-of-word id: a run of letters is one pre-token, and so is a closing mark."""
+        plain = [w for w in words if _PLAIN.fullmatch(w)]
+        if len(plain) > 64 and self.ends is not None:
+            ids = np.array(self.library.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            need = np.cumsum([2 if w[-1] in ".," else 1 for w in plain])
+            if len(stops) == need[-1]:
+                cuts = [0, *stops[need - 1].tolist()]
+                self.memo.update((w, ids[a:b].tobytes()) for w, a, b in zip(plain, cuts, cuts[1:]))
+                words = [w for w in words if w not in self.memo]
+        for k in range(0, len(words), 4096):
+            self.memo.update(zip(words[k : k + 4096], self._whole(words[k : k + 4096])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_word:
             return self._whole(texts)
-        words = [t.translate(_TO_SPACE).split(" ") for t in texts]
-        new = list({w for ws in words for w in ws} - self.memo.keys())
+        # str.split also cuts at four control characters, which are tokens here
+        words = [t.split() if not _CONTROL.search(t) else t.translate(_TO_SPACE).split(" ") for t in texts]
+        ids = [list(map(self.memo.get, ws)) for ws in words]
+        late = [k for k, found in enumerate(ids) if None in found]
+        new = {w for k in late for w, known in zip(words[k], ids[k]) if known is None}
         if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list({w for ws in words for w in ws})
-        for k in range(0, len(new), 4096):
-            self.memo.update(zip(new[k : k + 4096], self._whole(new[k : k + 4096])))
-        return [b"".join(map(self.memo.__getitem__, ws)) for ws in words]
+            self.memo = {}
+            new.update(w for k in late for w in words[k])
+        if new:
+            self._learn(list(new))
+            for k in late:
+                ids[k] = map(self.memo.__getitem__, words[k])
+        return list(map(b"".join, ids))
 
 
 _TO_SPACE = {c: " " for c in _SPACES}
+_CONTROL = re.compile("[\x1c-\x1f]")
+#: Lower-case Latin letters that no normalisation changes, with at most one closing mark.
+_PLAIN = re.compile("[A-Za-zß-öø-ÿ]+[.,]?")
 
 
 @functools.cache
