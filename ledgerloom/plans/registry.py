@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import base, jobs, judgement
+from . import base, jobs, judgement, streams
 
-MODULES = (base, jobs, judgement)
+MODULES = (base, jobs, judgement, streams)
 
 
 def queries() -> dict:
