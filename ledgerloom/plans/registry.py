@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import base, jobs, judgement, streams
+from . import base, jobs, judgement, raw, streams
 
-MODULES = (base, jobs, judgement, streams)
+MODULES = (base, jobs, judgement, raw, streams)
 
 
 def queries() -> dict:
