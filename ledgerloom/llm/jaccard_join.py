@@ -22,11 +22,11 @@ How it works:
   files under that band, so that both meet there.
 * A parity sketch of about two bits a token (each token flips one bit) prunes
   candidates: its Hamming distance is a lower bound of ``|A ^ B|``.
-* Candidates are verified on the whole sets. Buckets of up to ``SMALL``
-  classes give all their pairs; in a larger one each class is first compared
-  with one pivot only, so that a large group of near copies costs a star, not
-  all pairs; a last round compares every candidate pair of a bucket whose
-  classes are still in different components.
+* Candidates are verified on the whole sets. In a bucket each class is first
+  compared with one pivot only, so that a large group of near copies costs a
+  star, not all pairs. After a few such rounds a last one compares every pair
+  of a bucket whose classes are still in different components; in large
+  buckets a sketch of fixed length is compared within the join.
 
 Defined results: text null, empty or without words: ``n_shingles`` 0 and
 ``component_id`` its own ``doc_id``; fewer words than ``width``: the whole
@@ -52,9 +52,10 @@ PERCENT = 75
 WIDTH = 5
 #: Frequent shingles kept to order segments: 8 bytes each, so the broadcast stays under 0.2 MB.
 FREQUENT = 20_000
-STAR_ROUNDS = 3
-#: Buckets of at most so many classes give all their pairs at once, so pairs stay in proportion to rows.
+STAR_ROUNDS = 2
+#: Buckets of at most so many classes give all their pairs in the last round, so pairs stay in proportion to rows; larger ones only those that pass the fixed sketch.
 SMALL = 16
+FIXED_BITS = 1024
 #: Tokens (or pairs) held by a task before it counts (or merges) them.
 COUNTED = 1_000_000
 
@@ -89,6 +90,12 @@ def parity(tokens: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
 
+def fixed_parity(tokens: np.ndarray) -> np.ndarray:
+    """A parity sketch of ``FIXED_BITS`` bits, as longs."""
+    bits = np.bincount((tokens & np.uint64(FIXED_BITS - 1)).astype(np.int64), minlength=FIXED_BITS) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def hamming(x: np.ndarray, y: np.ndarray) -> int:
     """Differing bits of two parity sketches; the longer one is folded, which keeps it a parity sketch."""
     while len(x) != len(y):
@@ -143,7 +150,7 @@ def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         value, count = np.unique(np.concatenate(seen), return_counts=True)
         keep = np.flatnonzero(count >= max(3, len(seen) // 1000))
         keep = keep[np.argsort(-count[keep], kind="stable")[:FREQUENT]]
-        return _rows(pa.array(count[keep], pa.int64()), pa.nulls(len(keep), pa.int32()), value[keep].view(np.int64), pa.nulls(len(keep), pa.binary()))
+        return _rows(pa.array(count[keep], pa.int64()), pa.nulls(len(keep), pa.int32()), value[keep].view(np.int64), pa.nulls(len(keep), pa.binary()), pa.nulls(len(keep), pa.list_(pa.int64())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, np.ndarray] = {}
@@ -152,7 +159,7 @@ def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             for part in parts(batch):
                 sets = list(shingle_sets(part.column("text"), width))
                 ids = [set_id(s) for s in sets]
-                yield _rows(part.column("doc_id"), [len(s) for s in sets], ids, [parity(s) for s in sets])
+                yield _rows(part.column("doc_id"), [len(s) for s in sets], ids, [parity(s) for s in sets], [fixed_parity(s) for s in sets])
                 seen.update((c, s) for c, s in zip(ids, sets) if len(s))
                 held += sum(map(len, sets))
                 if held > COUNTED:
@@ -161,34 +168,35 @@ def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         if seen:
             yield frequent(list(seen.values()))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n int, cls long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n int, cls long, sketch binary, bits array<long>")
 
 
-def _rows(doc_id, n, cls, sketch) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([doc_id, pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "n", "cls", "sketch"])
+def _rows(doc_id, n, cls, sketch, bits) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([doc_id, pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n", "cls", "sketch", "bits"])
 
 
 def live_buckets(docs: DataFrame, frequent: np.ndarray, percent: int, width: int) -> DataFrame:
-    """Of all buckets with two classes or more: pairs (x, y) of classes if the bucket is small, else (x bucket, y class) with ``large``."""
+    """Each class of a bucket with the bucket's pivot, its smallest class, as (x, y, ``pair`` true); and (x bucket, y class, ``pair`` false, n) of buckets with three classes or more."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done: set[int] = set()  # equal sets of one batch file once
             for part in parts(batch):
-                keys, ids = [], []
+                keys, ids, sizes = [], [], []
                 for s in shingle_sets(part.column("text"), width):
                     if len(s) and (c := set_id(s)) not in done:
                         done.add(c)
                         keys.append(k := file_keys(s, percent, frequent))
                         ids.append(np.full(len(k), c, np.int64))
+                        sizes.append(np.full(len(k), len(s), np.int32))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["bucket", "cls"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], ["bucket", "cls", "n"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+        got = [[b.column(k).to_numpy(zero_copy_only=False) for k in range(3)] for b in batches if b.num_rows]
         if not got:
             return
-        key, cls = (np.concatenate(x) for x in zip(*got))
+        key, cls, n = (np.concatenate(x) for x in zip(*got))
         del got
         order = np.argsort(key, kind="stable")
         key = key[order]
@@ -196,30 +204,24 @@ def live_buckets(docs: DataFrame, frequent: np.ndarray, percent: int, width: int
         same = key[1:] == key[:-1]
         twin[1:] |= same
         twin[:-1] |= same
-        key, cls = key[twin], cls[order[twin]]
-        order = np.lexsort((cls, key))
-        key, cls = key[order], cls[order]
+        key, cls, n = key[twin], cls[order[twin]], n[order[twin]]
+        order = np.lexsort((cls, n, key))
+        key, cls, n = key[order], cls[order], n[order]
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        key, cls = key[fresh], cls[fresh]
+        key, cls, n = key[fresh], cls[fresh], n[fresh]
         if not len(key):
             return
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(starts, len(key)))
-        found = [np.empty((0, 2), np.int64)]
-        for k in range(2, SMALL + 1):  # all buckets of one size at once
-            at = starts[size == k]
-            for i in range(k):
-                for j in range(i + 1, k):
-                    found.append(np.stack((cls[at + i], cls[at + j]), axis=1))
-            if sum(map(len, found)) > COUNTED:
-                found = [_distinct(np.concatenate(found))]
-        pairs = _distinct(np.concatenate(found))
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.zeros(len(pairs), bool))], ["x", "y", "large"])
-        many = np.repeat(size > SMALL, size)
-        yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(cls[many]), pa.array(np.ones(many.sum(), bool))], ["x", "y", "large"])
-
-    return docs.select("text").mapInArrow(emit, "bucket long, cls long").repartition("bucket").mapInArrow(meet, "x long, y long, large boolean")
+        many, first = np.repeat(size > 1, size), np.repeat(starts, size)
+        star = many & (first != np.arange(len(key))) & (n[first].astype(np.int64) * 100 >= n.astype(np.int64) * percent)
+        pairs = _distinct(np.stack((cls[first[star]], cls[star]), axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), pa.array(np.ones(len(pairs), bool)), pa.nulls(len(pairs), pa.int32())], ["x", "y", "pair", "n"])
+        more = np.repeat(size > 2, size)  # the pivot's pair is all that a bucket of two has
+        yield pa.RecordBatch.from_arrays([pa.array(key[more]), pa.array(cls[more]), pa.array(np.zeros(more.sum(), bool)), pa.array(n[more])], ["x", "y", "pair", "n"])
+
+    return docs.select("text").mapInArrow(emit, "bucket long, cls long, n int").repartition("bucket").mapInArrow(meet, "x long, y long, pair boolean, n int")
 
 
 def _distinct(pairs: np.ndarray) -> np.ndarray:
@@ -294,6 +296,44 @@ def components(edges: DataFrame) -> DataFrame:
             return label.select("node", "comp")
 
 
+def _sizes_fit(percent: int):
+    return F.least("x.n", "y.n").cast("long") * 100 >= F.greatest("x.n", "y.n").cast("long") * percent
+
+
+def _mixed(live: DataFrame, label: DataFrame | None) -> DataFrame:
+    """The rows (bucket, cls, n, comp) of buckets whose classes are not all in one component."""
+    at = live.withColumn("comp", F.col("cls"))
+    if label is not None:
+        at = live.join(label, live.cls == label.node, "left").select("bucket", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
+    split = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
+    return materialize(at.join(split, "bucket", "left_semi"), "mixed")
+
+
+def _every_pair(mixed: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components that share a bucket. In large buckets the fixed parity sketch's bound is part of the join itself."""
+    apart = (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp"))
+    few = mixed.filter(F.col("members") <= SMALL)
+    small = few.alias("x").join(few.alias("y"), "bucket").filter(apart & _sizes_fit(percent))
+    many = mixed.filter(F.col("members") > SMALL).join(info.select("cls", "bits"), "cls")
+    far = F.lit(0)
+    for k in range(FIXED_BITS // 64):
+        far = far + F.bit_count(F.get("x.bits", F.lit(k)).bitwiseXOR(F.get("y.bits", F.lit(k))))
+    bound = far * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+    on = (F.col("x.bucket") == F.col("y.bucket")) & apart & _sizes_fit(percent) & bound
+    large = many.alias("x").join(many.alias("y"), on)
+    cols = [F.struct("x.cls", "x.n").alias("x"), F.struct("y.cls", "y.n").alias("y")]
+    return small.select(*cols).unionByName(large.select(*cols))
+
+
+def _tokens(docs: DataFrame, pairs: DataFrame, info: DataFrame, have: DataFrame | None, width: int) -> DataFrame:
+    """Whole sets of all classes in ``pairs``, added to those at hand."""
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    if have is not None:
+        wanted = wanted.join(have.select("cls"), "cls", "left_anti")
+    new = materialize(class_sets(docs, info.join(wanted, "cls").select("cls", "doc_id"), width), "tokens")
+    return new if have is None else have.unionByName(new)
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` for each row of ``docs`` (doc_id, text)."""
     if not 30 <= percent <= 100:
@@ -303,40 +343,36 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     top = table.filter("n is null").groupBy("cls").agg(F.sum("doc_id").alias("k")).orderBy(F.desc("k"), "cls").limit(FREQUENT).collect()
     frequent = np.sort(np.array([r.cls for r in top], np.int64).view(np.uint64))
     rows = table.filter("n is not null").select("doc_id", "n", "cls")
-    found = table.filter("n > 0").select("doc_id", "n", "cls", "sketch")
-    info = found.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    found = table.filter("n > 0").select("doc_id", "n", "cls", "sketch", "bits")
+    info = found.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "sketch", "bits")])
 
     met = materialize(live_buckets(docs, frequent, percent, width), "buckets")
-    small = met.filter("not large").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    large = met.filter("large").select(F.col("x").alias("bucket"), F.col("y").alias("cls"))
-    pairs = materialize(prune(small, info, percent), "pairs")
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(large.select("cls")).distinct()
-    reps = info.join(wanted, "cls").select("cls", "doc_id")
-    sets = materialize(class_sets(docs, reps, width), "tokens")
+    star = met.filter("pair").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    live = met.filter("not pair").select(F.col("x").alias("bucket"), F.col("y").alias("cls"), "n")
+    pairs = materialize(prune(star, info, percent), "pairs")
+    sets = _tokens(docs, pairs, info, None, width)
     links = materialize(verify(pairs, sets, percent), "links")
     label = None if links.isEmpty() else materialize(components(links), "components")
 
-    crowded = not large.isEmpty()
-    if crowded:
-        large = materialize(large.join(info.select("cls", "n"), "cls"), "large")
-    for turn in range(STAR_ROUNDS + 1 if crowded else 0):
-        at = large.withColumn("comp", F.col("cls"))
-        if label is not None:
-            at = large.join(label, large.cls == label.node, "left").select("bucket", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
+    mixed = _mixed(live, label)
+    for turn in range(1, STAR_ROUNDS + 1):
+        if mixed.isEmpty():
+            break
         if turn < STAR_ROUNDS:  # each class with one pivot of its bucket, of another component
-            first = at.groupBy("bucket").agg(F.min_by(F.struct("cls", "comp", "n"), F.struct("comp", F.xxhash64("cls", F.lit(turn)))).alias("p")).select("bucket", "p.*")
-            near = at.alias("x").join(first.alias("y"), "bucket").filter("x.comp != y.comp")
+            pivot = F.min_by(F.struct("cls", "comp", "n"), F.struct("comp", F.xxhash64("cls", F.lit(turn))))
+            near = mixed.alias("x").join(mixed.groupBy("bucket").agg(pivot.alias("p")).select("bucket", "p.*").alias("y"), "bucket").filter("x.comp != y.comp")
         else:
-            mixed = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-            at = at.join(mixed, "bucket", "left_semi")
-            near = at.alias("x").join(at.alias("y"), "bucket").filter("x.cls < y.cls and x.comp != y.comp")
-        near = near.filter(F.least("x.n", "y.n").cast("long") * 100 >= F.greatest("x.n", "y.n").cast("long") * percent)
-        near = near.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+            size = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"))
+            near = _every_pair(mixed.join(size, "bucket"), info, percent)
+        near = near.filter(_sizes_fit(percent)).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
         more = materialize(prune(near.join(pairs, ["a", "b"], "left_anti"), info, percent), "pairs")
+        sets = _tokens(docs, more, info, sets, width)
         new = materialize(verify(more, sets, percent), "links")
         pairs, links = pairs.unionByName(more), links.unionByName(new)
         if not new.isEmpty():
             label = materialize(components(links), "components")
+            if turn < STAR_ROUNDS:
+                mixed = _mixed(mixed.drop("comp"), label)
 
     if label is None:
         named = info.select("cls", F.col("doc_id").alias("component_id"))
@@ -345,7 +381,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
         low = by.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
         named = by.join(low, "comp").select("cls", "component_id")
     named = materialize(named, "named")
-    discard(met, sets)
+    discard(met)
     out = rows.join(named, "cls", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

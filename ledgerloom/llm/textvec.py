@@ -48,7 +48,7 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def parts(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1 << 21):
+def parts(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1 << 19):
     """Cut a batch into slices of about ``max_bytes`` of text, so that temporaries stay small. Nulls become empty."""
     at = batch.schema.get_field_index(column)
     text = batch.column(at).cast(pa.large_string()).fill_null("")
