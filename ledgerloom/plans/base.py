@@ -9,7 +9,7 @@ from ..functions import money
 from ..operators import positions as pos
 from ..operators import timeops as tm
 from ..sources import tables as tb
-from ..sources.bindings import DAY, HOUR, NOW, POSITIONS, PRELUDE, SOL_PRICE, events, failed_transactions, read, tokens, trades, wallets
+from ..sources.bindings import DAY, HOUR, LINE_ORDER, LINE_POSITIONS, NOW, POSITIONS, PRELUDE, SOL_PRICE, events, failed_transactions, line_trades, read, tokens, trades, wallets
 from .catalog import Catalog, r6
 
 C = Catalog()
@@ -354,6 +354,11 @@ def f02_position_fold(spark, sf_dir):
     return book(spark, sf_dir).select(*_POSITION, *r6(*_POSITION_R))
 
 
+@C.add(LINE_POSITIONS + _POSITION_SQL)
+def f02_position_fold_lines(spark, sf_dir):
+    return pos.fold_positions(line_trades(spark, sf_dir), LINE_ORDER).select(*_POSITION, *r6(*_POSITION_R))
+
+
 @C.add(PRELUDE + ", e AS (SELECT wallet, us, event_id, row_number() OVER (PARTITION BY wallet ORDER BY us, event_id) AS i, count(*) OVER (PARTITION BY wallet) AS n, quote / 100 - 0.5 AS roi FROM trades WHERE side = 'sell') SELECT wallet, max(n) AS n, round(sum(0.25 * power(0.75, n - i) * roi), 6) AS ew, round(CASE WHEN max(n) < 5 THEN 1 WHEN sum(0.25 * power(0.75, n - i) * roi) < 0 THEN greatest(0.5, 1 + sum(0.25 * power(0.75, n - i) * roi)) ELSE least(1.2, 1 + 0.4 * sum(0.25 * power(0.75, n - i) * roi)) END, 6) AS factor FROM e GROUP BY wallet")
 def f06_ew_outcome(spark, sf_dir):
     from ..operators.decisions import ew_ranking
