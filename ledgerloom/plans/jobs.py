@@ -168,7 +168,7 @@ def i04b_style_clusters(spark, sf_dir):
     return st.cluster_styles(features(spark, sf_dir)).select("wallet", "cluster", "style", F.round("style_confidence", 6).alias("style_confidence"))
 
 
-@C.add(_STYLE + " SELECT wallet, style, CASE WHEN heavy THEN 0.3 ELSE 1.0 END AS style_confidence FROM styled")
+@C.add(_STYLE + " SELECT wallet, style, CAST(CASE WHEN heavy THEN 0.3 ELSE 1.0 END AS DOUBLE) AS style_confidence FROM styled")
 def i04c_rule_styles(spark, sf_dir):
     return st.rule_styles(features(spark, sf_dir))
 

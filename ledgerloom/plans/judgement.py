@@ -107,7 +107,7 @@ facts AS (SELECT t.token, CASE t.token % 5 WHEN 0 THEN '' WHEN 1 THEN 'K' WHEN 2
   CASE WHEN t.token % 6 <> 0 THEN (t.token % 11) / 10.0 END AS top_share, t.token % 8 = 0 AS on_curve, t.token % 9 <> 0 AS has_lp, CASE WHEN t.token % 7 <> 0 THEN (t.token % 20) / 20.0 END AS burned_share, (t.token % 13) / 13.0 AS lp_top_share,
   prior, dead_prior, buys_6h, buyers_6h, liquidity, ({NOW} - first_seen) / 1e6 / 20 AS age_s
   FROM wtok t LEFT JOIN hist USING (token) LEFT JOIN act USING (token) LEFT JOIN liq USING (token)),
-comp AS (SELECT *, CASE WHEN mint_authority <> '' THEN 100.0 WHEN freeze_authority <> '' THEN 80 WHEN mint_authority IS NULL OR freeze_authority IS NULL THEN 60 ELSE 0 END AS authority,
+comp AS (SELECT *, CAST(CASE WHEN mint_authority <> '' THEN 100.0 WHEN freeze_authority <> '' THEN 80 WHEN mint_authority IS NULL OR freeze_authority IS NULL THEN 60 ELSE 0 END AS DOUBLE) AS authority,
   CASE WHEN top_share IS NULL THEN 50 ELSE 100 * least(greatest((top_share - 0.2) / 0.5, 0), 1) END AS holders,
   CASE WHEN on_curve THEN 40 WHEN NOT has_lp OR burned_share IS NULL THEN 50 WHEN burned_share >= 0.9 THEN 0 WHEN lp_top_share > 0.5 AND burned_share < 0.5 THEN 90 ELSE 100 * (1 - burned_share) END AS lp,
   CASE WHEN coalesce(prior, 0) = 0 THEN 30 ELSE 100.0 * dead_prior / prior END AS deployer,
