@@ -59,6 +59,29 @@ def swaps(spark, sf_dir):
     return s.withColumn("token_amount", F.round("token_amount", 6)).withColumn("quote_amount", F.round("quote_amount", 6))
 
 
+@C.add("SELECT CAST(o_orderkey AS VARCHAR) AS signature, o_orderkey AS slot, 'w' || (o_custkey % 200) AS payer, CAST(3 AS INT) AS n_keys, CASE WHEN o_orderkey % 11 = 0 THEN 'failed' END AS err, round(CAST(floor(o_totalprice) AS BIGINT) / 100, 6) AS amount FROM orders")
+def a01_raw_document_source(spark, sf_dir):
+    """Orders as nested JSON documents, written as text and read back through the explicit schema."""
+    from uuid import uuid4
+
+    from ..sources.tables import scratch
+
+    o = read(spark, sf_dir, "orders")
+    owner = F.concat(F.lit("w"), F.col("o_custkey") % 200)
+    units = F.struct(F.floor("o_totalprice").cast("string").alias("amount"), F.lit(2).alias("decimals"))
+    message = F.struct(F.array(F.struct(F.lit("relay").alias("pubkey"), F.lit(False).alias("signer")), F.struct(owner.alias("pubkey"), F.lit(True).alias("signer"))).alias("accountKeys"))
+    transaction = F.struct(F.array(F.col("o_orderkey").cast("string")).alias("signatures"), message.alias("message"))
+    meta = F.struct(
+        F.when(F.col("o_orderkey") % 11 == 0, "failed").alias("err"), F.lit(5000).alias("fee"),
+        F.array(F.struct(F.lit(1).alias("accountIndex"), F.lit("m").alias("mint"), owner.alias("owner"), units.alias("uiTokenAmount"))).alias("postTokenBalances"),
+        F.struct(F.array(F.lit("bank")).alias("writable"), F.expr("cast(array() as array<string>)").alias("readonly")).alias("loadedAddresses"),
+    )
+    path = f"{scratch(spark)}/documents-{uuid4().hex}"
+    o.select(F.to_json(F.struct(F.col("o_orderkey").alias("slot"), transaction.alias("transaction"), meta.alias("meta")))).write.text(path)
+    docs = rx.flatten(spark.read.schema(rx.DOCUMENT).json(path))
+    return docs.select("signature", "slot", rx.fee_payer().alias("payer"), F.size(rx.account_keys()).alias("n_keys"), "err", F.round(F.get("post_tokens", F.lit(0))["amount"], 6).alias("amount"))
+
+
 @C.add(_D + f" SELECT signature, owner AS payer, [ 'relay', owner, 'bank' || (signature % 7), '{rx.TIP_ACCOUNTS[0]}'] AS keys, CAST(CASE signature % 4 WHEN 0 THEN 2 ELSE 1 END AS INT) AS programs, signature % 4 IN (0, 2) AS aggregator FROM net")
 def c01_c04_c09_keys_and_programs(spark, sf_dir):
     return documents(spark, sf_dir).select("signature", rx.fee_payer().alias("payer"), rx.account_keys().alias("keys"), F.size(rx.program_ids()).alias("programs"), rx.aggregator_tag(["jup"]).alias("aggregator"))
