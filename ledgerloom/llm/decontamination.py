@@ -13,9 +13,15 @@ The benchmark is read in blocks of at most ``block_bytes`` of text, each of
 which is broadcast; the documents are scanned once a block. Documents are
 never shuffled.
 
-Words are runs of non-space characters with A-Z lower-cased. Items shorter
-than the longest mask are also indexed under every mask that fits and, below
-the shortest, as one whole run. Defined results: items with fewer than
+Every pattern of agreeing words that this rule accepts has a hit. Items under
+``LONG`` words use the masks ``SHORT``, which meet every pattern of 5 to 15
+words with ``share`` of them equal. Longer ones use ``MASKS``, which meet every
+pattern of 16 to 31 words with that share, and so every longer one (cut it into
+pieces of 16 to 31 words: one piece has the share), and every 13 words of which
+11 agree. The tests count this through for all patterns.
+
+Words are runs of non-space characters with A-Z lower-cased. Hits are taken in
+bounded portions. Defined results: items with fewer than
 ``least`` words (5) and null or empty texts contaminate nothing; repeated
 rows are reported as often as they occur; a null id is reported as null;
 empty tables give no rows; extra columns are ignored by ``find`` and kept by
@@ -34,74 +40,107 @@ from pyspark.sql import functions as F
 from .shared import read_table
 from .textvec import Words, combine, parts
 
-MASKS = ("111111", "1101011", "11100111", "101101101")
+#: The first four meet every 13 words of which 11 agree; all of them every 16 to 31 words of which the share agrees.
+MASKS = ("111111", "1101011", "11100111", "101101101", "111011", "1001111", "10110011", "1010001011", "1100101001")
+#: Meet every 5 to 15 words of which the share agrees.
+SHORT = ("1111", "11101", "11011", "10111", "1100011")
+LONG = 16
 WINDOW, AGREE, SHARE, LEAST = 13, 11, 0.7, 5
 BLOCK_BYTES = 8 << 20
+#: Hits, and words compared along them, that are held at a time.
+HELD = 1 << 20
 _FILTER = 20
 
 
 class Index:
     """All masked windows of some benchmark items."""
 
-    def __init__(self, ids: list, texts: list[str], masks: tuple[str, ...] = MASKS, least: int = LEAST):
+    def __init__(self, ids: list, texts: list[str]):
         words = Words(pa.array(texts, pa.large_string()), lower=True)
         self.ids, self.hash, self.first, self.size = ids, words.hash, words.first, words.counts()
         self.seeds = []
-        spans = [tuple(k for k, c in enumerate(m) if c == "1") for m in masks]
-        for n in range(least, min(p[-1] + 1 for p in spans)):
-            spans.append(tuple(range(n)))
-        shortest = min(p[-1] + 1 for p in spans[: len(masks)])
-        for k, picks in enumerate(spans):
-            h, before = combine(words.hash, words.first, picks)
-            item = np.repeat(np.arange(len(ids)), np.diff(before))
-            at = np.arange(len(h)) - before[item]
-            ok = self.size[item] >= least if k < len(masks) else self.size[item] == picks[-1] + 1
-            ok &= (k < len(masks)) | (self.size[item] < shortest)
-            h, item, at = h[ok], item[ok], at[ok]
-            order = np.argsort(h, kind="stable")
-            h, item, at = h[order], item[order], at[order]
-            seen = np.zeros(1 << _FILTER, bool)
-            seen[(h >> np.uint64(64 - _FILTER)).astype(np.int64)] = True
-            if len(h):
-                self.seeds.append((picks, seen, h, item, at))
-
-    def hits(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (row, item, shift) with an equal masked window; shift = place in the text less place in the item."""
-        words = Words(text, lower=True)
-        self.doc = words
-        found = []
+        for masks, lo, hi in ((SHORT, LEAST, LONG), (MASKS, LONG, np.inf)):
+            for mask in masks:
+                picks = tuple(k for k, c in enumerate(mask) if c == "1")
+                h, before = combine(words.hash, words.first, picks)
+                item = np.repeat(np.arange(len(ids)), np.diff(before))
+                at = np.arange(len(h)) - before[item]
+                ok = (self.size[item] >= lo) & (self.size[item] < hi)
+                h, item, at = h[ok], item[ok], at[ok]
+                order = np.argsort(h, kind="stable")
+                h, item, at = h[order], item[order], at[order]
+                seen = np.zeros(1 << _FILTER, bool)
+                seen[(h >> np.uint64(64 - _FILTER)).astype(np.int64)] = True
+                if len(h):
+                    self.seeds.append((picks, seen, h, item, at))
+
+    def hits(self, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(row, item, shift) with an equal masked window, distinct within each portion; shift = place in the text less place in the item."""
+        found, held = [], 0
         for picks, seen, h, item, at in self.seeds:
             mine, before = combine(words.hash, words.first, picks)
             some = np.flatnonzero(seen[(mine >> np.uint64(64 - _FILTER)).astype(np.int64)])
             lo, hi = np.searchsorted(h, mine[some], "left"), np.searchsorted(h, mine[some], "right")
             n = hi - lo
             some, lo, n = some[n > 0], lo[n > 0], n[n > 0]
-            if not len(some):
-                continue
             row = np.searchsorted(before, some, "right") - 1
             place = some - before[row]
-            k = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            found.append(np.stack((np.repeat(row, n), item[k], np.repeat(place, n) - at[k])))
-        if not found:
-            return (np.empty(0, np.int64),) * 3
-        return tuple(np.unique(np.concatenate(found, axis=1), axis=1))
+            for s in _portions(n):
+                k = _ranges(lo[s], n[s])
+                found.append(np.stack((np.repeat(row[s], n[s]), item[k], np.repeat(place[s], n[s]) - at[k])))
+                held += len(k)
+                if held >= HELD:
+                    yield _distinct(found)
+                    found, held = [], 0
+        if found:
+            yield _distinct(found)
 
     def judge(self, text: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(row, item, words that agree, words of the item, place of the overlap) for each contaminated pair, on its best alignment."""
-        best: dict[tuple[int, int], tuple[int, int, int, int, int]] = {}
-        for row, item, shift in zip(*self.hits(text)):
-            size, start, end = int(self.size[item]), self.doc.first[row], self.doc.first[row + 1]
-            lo, hi = max(0, -shift), min(size, end - start - shift)
-            equal = self.doc.hash[start + shift + lo : start + shift + hi] == self.hash[self.first[item] + lo : self.first[item] + hi]
-            agree = int(equal.sum())
-            width = min(WINDOW, size)
-            ok = agree >= SHARE * size
-            if not ok and len(equal) >= width:
+        words = Words(text, lower=True)
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for row, item, shift in self.hits(words):
+            size, length = self.size[item], words.counts()[row]
+            lo = np.maximum(0, -shift)
+            n = np.minimum(size, length - shift) - lo
+            theirs, mine = words.first[row] + shift + lo, self.first[item] + lo
+            for s in _portions(n):
+                equal = words.hash[_ranges(theirs[s], n[s])] == self.hash[_ranges(mine[s], n[s])]
                 c = np.concatenate(([0], np.cumsum(equal)))
-                ok = int((c[width:] - c[:-width]).max()) * WINDOW >= AGREE * width
-            if ok and agree > best.get((row, item), (0, 0, 0))[2]:
-                best[row, item] = (int(row), int(item), agree, size, int(shift + lo))
-        return [best[k] for k in sorted(best)]
+                end = np.cumsum(n[s])
+                agree = c[end] - c[end - n[s]]
+                ok = agree >= SHARE * size[s]
+                for k in np.flatnonzero(~ok & (agree >= AGREE) & (n[s] >= WINDOW)):
+                    part = c[end[k] - n[s][k] : end[k] + 1]
+                    ok[k] = (part[WINDOW:] - part[:-WINDOW]).max() >= AGREE
+                for k in np.flatnonzero(ok):
+                    key = int(row[s][k]), int(item[s][k])
+                    got = int(agree[k]), -int(shift[s][k]), int(shift[s][k] + lo[s][k])
+                    best[key] = max(best.get(key, got), got)
+        return [(*k, best[k][0], int(self.size[k[1]]), best[k][2]) for k in sorted(best)]
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from ``start`` on, ``n`` of each."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _portions(n: np.ndarray) -> Iterator[slice]:
+    """Runs of rows whose sizes ``n`` sum to about ``HELD``, at least a row each."""
+    total, begin = np.cumsum(n), 0
+    while begin < len(n):
+        end = max(begin + 1, int(np.searchsorted(total, HELD + (total[begin - 1] if begin else 0), "right")))
+        yield slice(begin, end)
+        begin = end
+
+
+def _distinct(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    row, item, shift = np.concatenate(found, axis=1)
+    order = np.lexsort((shift, item, row))
+    row, item, shift = row[order], item[order], shift[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1])
+    return row[fresh], item[fresh], shift[fresh]
 
 
 def blocks(bench: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:

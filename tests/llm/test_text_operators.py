@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import decontamination as dn
@@ -117,6 +118,51 @@ def test_decontamination(spark, make, words):
     assert sum(len(b.ids) for b in dn.blocks(bench, 400)) == sum(t is not None for _, t in many)
 
 
+def most_unseen(masks, longest):
+    """The most words of 1 to ``longest`` that can agree without a hit of any mask."""
+    span, codes = max(map(len, masks)), [int(m, 2) for m in masks]
+    most, out = {0: 0}, {}
+    for n in range(1, longest + 1):
+        step = {}
+        for state, ones in most.items():
+            for bit in (0, 1):
+                new = (state << 1 | bit) & ((1 << span) - 1)
+                if not any(new & c == c for c in codes):
+                    key = new & ((1 << span - 1) - 1)
+                    step[key] = max(step.get(key, 0), ones + bit)
+        most = step
+        out[n] = max(most.values())
+    return out
+
+
+def test_every_pattern_the_rule_accepts_has_a_hit():
+    short, long = most_unseen(dn.SHORT, dn.LONG - 1), most_unseen(dn.MASKS, 2 * dn.LONG - 1)
+    assert all(short[n] < dn.SHARE * n for n in range(dn.LEAST, dn.LONG))
+    assert all(long[n] < dn.SHARE * n for n in range(dn.LONG, 2 * dn.LONG))  # longer ones hold a piece of these lengths with the share
+    assert long[dn.WINDOW] < dn.AGREE
+
+
+@pytest.mark.parametrize("size", [5, 6, 7, 8, 10, 14])
+def test_every_substitution_of_short_items_is_found(size):
+    item = [f"w{k}" for k in range(size)]
+    index, texts = dn.Index([1], [" ".join(item)]), []
+    for bits in range(1 << size):
+        if bits.bit_count() >= dn.SHARE * size:
+            texts.append(" ".join(["before", *[w if bits >> k & 1 else "other" for k, w in enumerate(item)], "after"]))
+    got = index.judge(pa.array(texts, pa.large_string()))
+    assert [x[0] for x in got] == list(range(len(texts)))
+    assert all(at == 1 and n == size for _, _, _, n, at in got)
+
+
+@pytest.mark.parametrize("period", range(4, 11))
+def test_periodic_substitutions_are_found(period):
+    item = [f"w{k}" for k in range(200)]
+    index = dn.Index([1], [" ".join(item)])
+    texts = [" ".join("other" if k % period == phase else w for k, w in enumerate(item)) for phase in range(period)]
+    got = index.judge(pa.array(texts, pa.large_string()))
+    assert [(x[0], x[2]) for x in got] == [(p, 200 - len(range(p, 200, period))) for p in range(period)]
+
+
 def test_language_id_against_brute_force(make):
     texts = {"en": "the cat and the dog sat on the mat with them", "de": "der hund und die katze saßen auf der matte", "fr": "le chat et le chien étaient sur le tapis"}
     r = random.Random(1)
