@@ -143,14 +143,19 @@ def file_keys(tokens: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndar
     return keys
 
 
+def text_key():
+    """Hash of a row's text: with ``doc_id`` it tells rows apart where ids are null or repeated."""
+    return F.xxhash64("text")
+
+
 def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """A row for each document (``doc_id``, ``n``, ``cls``, ``sketch``), and rows of locally frequent shingles (``n`` null: ``cls`` shingle, ``doc_id`` count)."""
+    """A row for each document (``doc_id``, ``key`` its text's hash, ``n``, ``cls``, ``sketch``), and rows of locally frequent shingles (``n`` null: ``cls`` shingle, ``doc_id`` count)."""
 
     def frequent(seen: list[np.ndarray]) -> pa.RecordBatch:
         value, count = np.unique(np.concatenate(seen), return_counts=True)
         keep = np.flatnonzero(count >= max(3, len(seen) // 1000))
         keep = keep[np.argsort(-count[keep], kind="stable")[:FREQUENT]]
-        return _rows(pa.array(count[keep], pa.int64()), pa.nulls(len(keep), pa.int32()), value[keep].view(np.int64), pa.nulls(len(keep), pa.binary()), pa.nulls(len(keep), pa.list_(pa.int64())))
+        return _rows(pa.array(count[keep], pa.int64()), pa.nulls(len(keep), pa.int64()), pa.nulls(len(keep), pa.int32()), value[keep].view(np.int64), pa.nulls(len(keep), pa.binary()), pa.nulls(len(keep), pa.list_(pa.int64())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, np.ndarray] = {}
@@ -159,7 +164,7 @@ def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             for part in parts(batch):
                 sets = list(shingle_sets(part.column("text"), width))
                 ids = [set_id(s) for s in sets]
-                yield _rows(part.column("doc_id"), [len(s) for s in sets], ids, [parity(s) for s in sets], [fixed_parity(s) for s in sets])
+                yield _rows(part.column("doc_id"), part.column("key"), [len(s) for s in sets], ids, [parity(s) for s in sets], [fixed_parity(s) for s in sets])
                 seen.update((c, s) for c, s in zip(ids, sets) if len(s))
                 held += sum(map(len, sets))
                 if held > COUNTED:
@@ -168,11 +173,11 @@ def set_table(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         if seen:
             yield frequent(list(seen.values()))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n int, cls long, sketch binary, bits array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key")).mapInArrow(run, "doc_id long, key long, n int, cls long, sketch binary, bits array<long>")
 
 
-def _rows(doc_id, n, cls, sketch, bits) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([doc_id, pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n", "cls", "sketch", "bits"])
+def _rows(doc_id, key, n, cls, sketch, bits) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([doc_id, key, pa.array(n, pa.int32()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "key", "n", "cls", "sketch", "bits"])
 
 
 def live_buckets(docs: DataFrame, frequent: np.ndarray, percent: int, width: int) -> DataFrame:
@@ -265,7 +270,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def class_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """Whole sets of the classes in ``reps`` (cls, doc_id of a member)."""
+    """Whole sets of the classes in ``reps`` (cls, doc_id and key of a member)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,7 +278,8 @@ def class_sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
                 sets = list(shingle_sets(part.column("text"), width))
                 yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["want", "cls", "tokens"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps.select("doc_id", "cls"), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key")).alias("d")
+    texts = texts.join(reps.select("doc_id", "key", "cls").alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.key") == F.col("r.key")))
     found = texts.select("cls", "text").mapInArrow(run, "want long, cls long, tokens binary")
     return found.filter("want = cls").select("cls", "tokens").dropDuplicates(["cls"])
 
@@ -330,21 +336,27 @@ def _tokens(docs: DataFrame, pairs: DataFrame, info: DataFrame, have: DataFrame
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     if have is not None:
         wanted = wanted.join(have.select("cls"), "cls", "left_anti")
-    new = materialize(class_sets(docs, info.join(wanted, "cls").select("cls", "doc_id"), width), "tokens")
+    new = materialize(class_sets(docs, info.join(wanted, "cls").select("cls", "member.doc_id", "member.key"), width), "tokens")
     return new if have is None else have.unionByName(new)
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` for each row of ``docs`` (doc_id, text)."""
+    out = _labelled(docs, percent, width)
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _labelled(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """``doc_id``, ``key``, ``n``, ``comp`` (the component's smallest class) and ``component_id`` (its smallest id) for each row; the last two are null where ``n`` is 0."""
     if not 30 <= percent <= 100:
         raise ValueError("percent must be 30 to 100")
     spark = docs.sparkSession
     table = materialize(set_table(docs, width), "sets")
     top = table.filter("n is null").groupBy("cls").agg(F.sum("doc_id").alias("k")).orderBy(F.desc("k"), "cls").limit(FREQUENT).collect()
     frequent = np.sort(np.array([r.cls for r in top], np.int64).view(np.uint64))
-    rows = table.filter("n is not null").select("doc_id", "n", "cls")
-    found = table.filter("n > 0").select("doc_id", "n", "cls", "sketch", "bits")
-    info = found.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "sketch", "bits")])
+    rows = table.filter("n is not null").select("doc_id", "key", "n", "cls")
+    found = table.filter("n > 0").select("doc_id", "key", "n", "cls", "sketch", "bits")
+    info = found.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "key")).alias("member"), *[F.first(c).alias(c) for c in ("n", "sketch", "bits")])
 
     met = materialize(live_buckets(docs, frequent, percent, width), "buckets")
     star = met.filter("pair").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -375,30 +387,34 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
                 mixed = _mixed(mixed.drop("comp"), label)
 
     if label is None:
-        named = info.select("cls", F.col("doc_id").alias("component_id"))
+        named = info.select("cls", F.col("cls").alias("comp"), F.col("doc_id").alias("component_id"))
     else:
         by = info.join(label, info.cls == label.node, "left").select("cls", "doc_id", F.coalesce("comp", "cls").alias("comp"))
         low = by.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-        named = by.join(low, "comp").select("cls", "component_id")
+        named = by.join(low, "comp").select("cls", "comp", "component_id")
     named = materialize(named, "named")
     discard(met)
-    out = rows.join(named, "cls", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.join(named, "cls", "left").select("doc_id", "key", "n", "comp", "component_id")
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """``docs`` without those that link, directly or through others, to a document with a smaller id.
 
     Rows with the same id are one document only if they are equal; a repeated
-    row stays once, and rows without an id always stay.
+    row stays once, and rows without an id always stay. Different texts under
+    one id are judged each on its own; of those in one component one stays.
     """
     names = docs.columns
     repeated = materialize(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")), "repeated")
     if not repeated.isEmpty():  # only the rows concerned are compared
         again = F.col("doc_id") == F.col("_again")
         docs = docs.join(repeated, again, "left_anti").unionByName(docs.join(repeated, again, "left_semi").dropDuplicates())
-    dropped = jaccard_components(docs, percent, width).filter("n_shingles > 0 and doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(dropped.withColumnRenamed("doc_id", "_dropped"), F.col("doc_id") == F.col("_dropped"), "left_anti")
+    found = _labelled(docs, percent, width).filter("n > 0 and doc_id is not null")
+    top = found.filter("doc_id = component_id").select("comp", "doc_id", "key").distinct()  # more than one a component only under a repeated id
+    more = top.join(top.groupBy("comp").agg(F.min("key").alias("stays")), "comp").filter("key != stays")
+    dropped = found.filter("doc_id != component_id").select("doc_id", "key").union(more.select("doc_id", "key")).distinct()
+    dropped = dropped.select(F.col("doc_id").alias("_dropped"), F.col("key").alias("_key"))
+    kept = docs.join(dropped, (F.col("doc_id") == F.col("_dropped")) & (text_key() == F.col("_key")), "left_anti")
     return kept.select(*[F.col(f"`{c}`") for c in names])
 
 

@@ -54,6 +54,11 @@ def test_equals_brute_force(make, words):
     assert sorted(got, key=repr) == brute(rows)
 
 
+def link(x, y, percent=75):
+    x, y = shingles(x), shingles(y)
+    return 100 * len(x & y) >= percent * len(x | y)
+
+
 def test_large_group_of_near_copies(make, words):
     r = random.Random(3)
     base = words(80, 1)
@@ -77,6 +82,29 @@ def test_one_of_each_keeps_columns_and_rows_without_id(make, words):
     assert sorted((x.doc_id for x in out.collect()), key=repr) == sorted([1, None, 4, 5], key=repr)
 
 
+def test_near_copies_with_null_and_repeated_ids(make, words):
+    r = random.Random(4)
+    a, b, c = words(200, 1), words(200, 2), words(200, 3)
+    rows = [(None, a), (None, edited(a, 0.01, r)), (7, edited(a, 0.01, r)), (None, edited(b, 0.01, r)), (None, edited(b, 0.01, r))]
+    w = c.split()
+    left, right = (" ".join(x) for x in ([f"x{k}" for k in range(18)] + w[18:], w[:-18] + [f"y{k}" for k in range(18)]))
+    assert not link(left, right) and link(left, c) and link(right, c)
+    rows += [(None, c), (20, left), (21, right)]  # the one between has no id
+    rows += [(30, words(100, 5)), (31, edited(words(100, 5), 0.01, r)), (31, words(100, 6)), (31, words(100, 6) + " tail")]
+    got = [tuple(x) for x in jj.jaccard_components(make(rows)).collect()]
+    assert sorted(got, key=repr) == brute(rows)
+    low = {d: k for d, _, k in got if d in (20, 21)}
+    assert low == {20: 20, 21: 20}
+
+
+def test_one_of_each_judges_texts_under_one_id_each_on_its_own(make, words):
+    a, b = words(100, 1), words(100, 2)
+    rows = [(1, a), (2, a + " tail"), (2, b), (2, b + " tail"), (3, b + " end"), (4, words(100, 3)), (4, words(100, 4))]
+    out = [(x.doc_id, x.text) for x in jj.one_of_each(make(rows)).collect()]
+    assert sorted(x for x, _ in out) == [1, 2, 4, 4]
+    assert [t for d, t in out if d == 2][0] in (b, b + " tail")
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 15, 16, 63, 64, 250, 1023])
 def test_linked_sets_always_share_a_key(n):
     """The pigeonhole: however tokens differ within the bound, a key is shared."""
