@@ -18,9 +18,8 @@ def counterparty_signal(trades: DataFrame, least: int = 4, ratio: float = 0.6, r
     """Tokens on which at least two recurring co-wallets stand, and their share.
 
     A recurring co-wallet trades on ``least`` or more of the wallet's recent
-    tokens. Co-wallets are counted by (wallet, co-wallet) before anything is
-    listed; a token's traders join only the wallets that hold it among their
-    recent tokens.
+    tokens. A token's traders join the wallets that hold it among their recent
+    tokens, so a token costs the product of both numbers in rows.
     """
     mine = recent_tokens(trades, rows)
     on = trades.select(F.col("wallet").alias("other"), "token").distinct()
