@@ -6,15 +6,17 @@ A file holds consecutive documents; its ids are cut into blocks of
 is found in the block table and unpacked with numpy at once.
 
 File layout (little-endian): the 8 bytes of ``MAGIC``; eight longs (version,
-bits, ids a block, documents, ids, blocks, 0, 0); the documents' ids (long;
-the smallest long stands for null) and first places (long, one more at the
-end); the blocks' offsets in the payload (long, one more at the end); payload.
+bits, ids a block, documents, ids, blocks, documents without an id, 0); the
+documents' ids (long; those without one come first, as 0) and first places
+(long, one more at the end); the blocks' offsets in the payload (long, one more
+at the end); payload.
 
 Documents are dealt by ranges of ``doc_id`` and sorted inside; each task
 writes files of at most about ``FILE_IDS`` ids under names of their own, and
 only names in the manifest, a row a file, are ever read: a task that runs
 twice leaves no trace in the result. Files are written and read through
-pyarrow's file systems, so the folder may be on any store that Spark shares.
+pyarrow's file systems: the folder may be on a shared disk, HDFS, S3 (``s3a``
+is read as ``s3``), GCS or ABFS.
 
 Defined results: null counts as empty; every document ends with the end id;
 equal ids stay in the order of their texts' hash; an empty table gives no rows
@@ -24,26 +26,26 @@ and no files; extra columns are ignored.
 from __future__ import annotations
 
 import functools
-import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize, read_table, shared_dir
+from .textvec import parts
 
 MAGIC = b"PACKIDS1"
 BLOCK_IDS = 4096
 FILE_IDS = 4 << 20
 END_ID = 2
 MEMO = 800_000
-_NULL = np.iinfo(np.int64).min
-_SPACES = bytes([0x20, 9, 10, 11, 12, 13])
+#: Text encoded at once; a longer text is a slice of its own.
+SLICE_BYTES = 8 << 20
 
 
 def pack(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -67,6 +69,7 @@ def unpack(data: np.ndarray, n: int, bits: int) -> np.ndarray:
 
 
 def file_bytes(doc_ids: list, counts: np.ndarray, ids: np.ndarray, bits: int, block_ids: int = BLOCK_IDS) -> Iterator[bytes]:
+    """One file of documents in ascending order of their ids, nulls first."""
     full = -(-block_ids * bits // 8)
     blocks = -(-len(ids) // block_ids)
     last = -(-(len(ids) - (blocks - 1) * block_ids) * bits // 8) if blocks else 0
@@ -74,8 +77,11 @@ def file_bytes(doc_ids: list, counts: np.ndarray, ids: np.ndarray, bits: int, bl
     if blocks:
         offsets[-1] = (blocks - 1) * full + last
     yield MAGIC
-    yield np.array([1, bits, block_ids, len(doc_ids), len(ids), blocks, 0, 0], "<i8").tobytes()
-    yield np.array([_NULL if d is None else d for d in doc_ids], "<i8").tobytes()
+    nulls = sum(d is None for d in doc_ids)
+    if any(d is None for d in doc_ids[nulls:]):
+        raise ValueError("documents without an id come first")
+    yield np.array([1, bits, block_ids, len(doc_ids), len(ids), blocks, nulls, 0], "<i8").tobytes()
+    yield np.array([d or 0 for d in doc_ids], "<i8").tobytes()
     yield np.concatenate(([0], np.cumsum(counts))).astype("<i8").tobytes()
     yield offsets.tobytes()
     for k in range(blocks):
@@ -91,7 +97,7 @@ class Reader:
         head = self.file.read_at(72, 0)
         if head[:8] != MAGIC:
             raise ValueError(f"not a packed file: {path}")
-        _, self.bits, self.block_ids, n, self.n_ids, blocks, _, _ = np.frombuffer(head, "<i8", 8, 8).tolist()
+        _, self.bits, self.block_ids, n, self.n_ids, blocks, self.nulls, _ = np.frombuffer(head, "<i8", 8, 8).tolist()
         table = np.frombuffer(self.file.read_at(8 * (2 * n + 1 + blocks + 1), 72), "<i8")
         self.doc_ids, self.first, self.offsets = table[:n], table[n : 2 * n + 1], table[2 * n + 1 :]
         self.payload = 72 + 8 * len(table)
@@ -115,13 +121,19 @@ class Reader:
 def _file_system(path: str):
     from pyarrow import fs
 
+    path = path.replace("s3a://", "s3://", 1) if path.startswith("s3a://") else path
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
 
 
 class Encoder:
-    """The library's ids of whole texts. Texts are cut at ASCII spaces, which this vocabulary's pre-tokeniser never joins; ids of words are memoised, with a bound."""
+    """The library's ids of whole texts, in columns.
 
-    def __init__(self, vocabulary: str):
+    Texts are cut at ASCII spaces, which this vocabulary's pre-tokeniser never joins. A slice's words are
+    dictionary-encoded by Arrow, so only its distinct words are looked up; their ids lie one after the other in
+    ``flat`` and are copied to every occurrence at once. What was learned is forgotten when it exceeds a bound.
+    """
+
+    def __init__(self, vocabulary: str, end_id: int = END_ID):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -129,7 +141,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(vocabulary)
         self.size = self.library.get_vocab_size()
-        self.memo: dict[str, bytes] = {}
+        self.end = np.array([end_id], "<u4")
         # ids that end a word, where the model marks them
         suffix = getattr(self.library.model, "end_of_word_suffix", None)
         self.ends = None
@@ -137,54 +149,93 @@ class Encoder:
             self.ends = np.zeros(self.size, bool)
             self.ends[[i for w, i in self.library.get_vocab().items() if w.endswith(suffix)]] = True
         probe = "a b\tc 1"
-        self.by_word = self._whole([probe])[0] == b"".join(self._whole(probe.split()))
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words. Plain ones are encoded as one text and cut after each end-of-word id: a run of letters is one pre-token, and so is a closing mark."""
-        plain = [w for w in words if _PLAIN.fullmatch(w)]
-        if len(plain) > 64 and self.ends is not None:
-            ids = np.array(self.library.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            need = np.cumsum([2 if w[-1] in ".," else 1 for w in plain])
-            if len(stops) == need[-1]:
-                cuts = [0, *stops[need - 1].tolist()]
-                self.memo.update((w, ids[a:b].tobytes()) for w, a, b in zip(plain, cuts, cuts[1:]))
-                words = [w for w in words if w not in self.memo]
-        for k in range(0, len(words), 4096):
-            self.memo.update(zip(words[k : k + 4096], self._whole(words[k : k + 4096])))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        self.by_word = self._whole([probe])[0].tolist() == np.concatenate(self._whole(probe.split())).tolist()
+        self._forget()
+
+    def _forget(self) -> None:
+        # words 0 and 1: the end id, under a name that no word has, and the empty word
+        self.words = pa.array([" ", ""], pa.large_string())
+        self.flat, self.first, self.count = self.end, np.array([0, 1]), np.array([1, 0])
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, words: pa.Array, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Adds words; their places."""
+        self.words = pa.concat_arrays([self.words, words])
+        self.flat = np.concatenate((self.flat, ids))
+        self.count = np.concatenate((self.count, count))
+        self.first = np.cumsum(self.count) - self.count
+        return np.arange(len(self.words) - len(words), len(self.words))
+
+    def _places(self, words: pa.Array, learn) -> np.ndarray:
+        """Places of distinct words; ``learn`` adds those that are missing."""
+        found = pc.index_in(words, value_set=self.words)
+        new = found.is_null()
+        places = found.fill_null(-1).to_numpy().astype(np.int64)
+        if found.null_count:
+            places[places < 0] = learn(words.filter(new))
+        return places
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """A plain word is a run of letters and perhaps closing marks, so two pre-tokens at most, which are learned by themselves."""
+        if self.ends is None:
+            return self._learn_each(words)
+        cut = pc.extract_regex(words, _PLAIN)
+        plain = cut.is_valid()
+        core, tail = (cut.field(k).filter(plain) for k in (0, 1))
+        runs = pa.concat_arrays([pc.utf8_lower(core), tail]).dictionary_encode()
+        two = self._places(runs.dictionary, self._learn_runs)[runs.indices.to_numpy()].reshape(2, -1)
+        places = np.empty(len(words), np.int64)
+        plain = plain.to_numpy(zero_copy_only=False)
+        pair = two.T.ravel()
+        places[plain] = self._keep(words.filter(pa.array(plain)), self.flat[_ranges(self.first[pair], self.count[pair])], self.count[two].sum(axis=0))
+        if not plain.all():
+            places[~plain] = self._learn_each(words.filter(pa.array(~plain)))
+        return places
+
+    def _learn_runs(self, runs: pa.Array) -> np.ndarray:
+        """Single pre-tokens: all are encoded as one text and cut after each end-of-word id, which only the last id of a pre-token is."""
+        ids = self._whole([" ".join(runs.to_numpy(zero_copy_only=False))])[0]
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(runs):
+            return self._learn_each(runs)
+        return self._keep(runs, ids, np.diff(stops, prepend=0))
+
+    def _learn_each(self, words: pa.Array) -> np.ndarray:
+        some = [x for k in range(0, len(words), 4096) for x in self._whole(words[k : k + 4096].to_pylist())]
+        return self._keep(words, np.concatenate(some), np.array(list(map(len, some)), np.int64))
+
+    def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each text's followed by the end id, and their number in each text."""
         if not self.by_word:
-            return self._whole(texts)
-        # str.split also cuts at four control characters, which are tokens here
-        words = [t.split() if not _CONTROL.search(t) else t.translate(_TO_SPACE).split(" ") for t in texts]
-        ids = [list(map(self.memo.get, ws)) for ws in words]
-        late = [k for k, found in enumerate(ids) if None in found]
-        new = {w for k in late for w, known in zip(words[k], ids[k]) if known is None}
-        if len(self.memo) + len(new) > MEMO:
-            self.memo = {}
-            new.update(w for k in late for w in words[k])
-        if new:
-            self._learn(list(new))
-            for k in late:
-                ids[k] = map(self.memo.__getitem__, words[k])
-        return list(map(b"".join, ids))
-
-
-_TO_SPACE = {c: " " for c in _SPACES}
-_CONTROL = re.compile("[\x1c-\x1f]")
-#: Lower-case Latin letters that no normalisation changes, with at most one closing mark.
-_PLAIN = re.compile("[A-Za-zß-öø-ÿ]+[.,]?")
+            some = [np.concatenate((x, self.end)) for x in self._whole(text.to_pylist())]
+            return np.concatenate(some), np.array(list(map(len, some)), np.int64)
+        lists = pc.ascii_split_whitespace(text)
+        coded = lists.flatten().dictionary_encode()
+        if len(self.words) + len(coded.dictionary) > MEMO:
+            self._forget()
+        known = self._places(coded.dictionary, self._learn)
+        borders = np.cumsum(pc.list_value_length(lists).to_numpy())
+        word = np.insert(known[coded.indices.to_numpy()], borders, 0)
+        count = self.count[word]
+        total = np.cumsum(count)
+        return self.flat[_ranges(self.first[word], count)], np.diff(total[borders + np.arange(len(text))], prepend=0)
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from ``start`` on, ``n`` of each."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+#: Latin letters, which lower-casing keeps letters, and closing marks, which make one pre-token.
+_PLAIN = "^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!#$%&*+,./:;=?@^_~-]*)$"
 
 
 @functools.cache
-def _encoder(vocabulary: str) -> Encoder:
+def _encoder(vocabulary: str, end_id: int) -> Encoder:
     """One encoder for each Python worker, kept between its tasks."""
-    return Encoder(vocabulary)
+    return Encoder(vocabulary, end_id)
 
 
 def write_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END_ID) -> DataFrame:
@@ -194,33 +245,32 @@ def write_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = _encoder(vocabulary)
+        encoder = _encoder(vocabulary, end_id)
         bits = max(1, int(max(encoder.size - 1, end_id)).bit_length())
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
-        end = np.array([end_id], "<u4").tobytes()
-        names: list = []
-        chunks: list[bytes] = []
+        names: list[pa.Array] = []
+        counts: list[np.ndarray] = []
+        chunks: list[np.ndarray] = []
         held = seq = 0
 
         def flush() -> pa.RecordBatch:
-            counts = np.array([len(c) // 4 for c in chunks], np.int64)
             path = f"{folder}/part-{part:06d}-{seq:06d}-{attempt}.ids"
             fs, inner = _file_system(path)
             with fs.open_output_stream(inner) as out:
-                for piece in file_bytes(names, counts, np.frombuffer(b"".join(chunks), "<u4"), bits):
+                for piece in file_bytes(pa.concat_arrays(names).to_pylist(), np.concatenate(counts), np.concatenate(chunks), bits):
                     out.write(piece)
-            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([seq]), pa.array([path]), pa.array([int(counts.sum())])], ["part", "seq", "path", "n_ids"])
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([seq]), pa.array([path]), pa.array([held])], ["part", "seq", "path", "n_ids"])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                piece = batch.slice(k, 256)
-                for name, ids in zip(piece.column("doc_id").to_pylist(), encoder.encode([t or "" for t in piece.column("text").to_pylist()])):
-                    names.append(name)
-                    chunks.append(ids + end)
-                    held += len(ids) // 4 + 1
-                    if held >= FILE_IDS:
-                        yield flush()
-                        names, chunks, held, seq = [], [], 0, seq + 1
+            for piece in parts(batch, max_bytes=SLICE_BYTES):
+                ids, n = encoder.encode(piece.column("text"))
+                names.append(piece.column("doc_id"))
+                counts.append(n)
+                chunks.append(ids)
+                held += len(ids)
+                if held >= FILE_IDS:
+                    yield flush()
+                    names, counts, chunks, held, seq = [], [], [], 0, seq + 1
         if names:
             yield flush()
 
@@ -231,9 +281,14 @@ def write_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int = END
 
 def read_files(manifest: DataFrame) -> DataFrame:
     """A row for each document of the files: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``."""
-    # one row a file: as many as the data has times FILE_IDS ids
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    placed = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    # a window over one row a writing task, and one inside each task's files
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).select(F.col("part").alias("_part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    placed = manifest.join(tasks, manifest.part == tasks._part).select("path", (F.col("base") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).alias("base"))
+    spark = manifest.sparkSession
+    # rows are tiny but stand for whole files, so their number of tasks is given: Spark would join them into one
+    tasks_to_read = max(1, min(manifest.count(), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,10 +303,10 @@ def read_files(manifest: DataFrame) -> DataFrame:
                     for i in range(k, to):
                         crc[i] = zlib.crc32(ids[first[i] - first[k] : first[i + 1] - first[k]].astype("<u4").tobytes())
                 reader.close()
-                doc = pa.array(reader.doc_ids, mask=reader.doc_ids == _NULL)
+                doc = pa.array(reader.doc_ids, mask=np.arange(len(crc)) < reader.nulls)
                 yield pa.RecordBatch.from_arrays([doc, pa.array(row["base"] + first[:-1]), pa.array(np.diff(first)), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.repartition(F.col("path")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(tasks_to_read, F.col("path")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

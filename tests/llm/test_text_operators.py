@@ -242,6 +242,30 @@ def test_packed_files_give_the_library_ids_back(spark, make, words, tmp_path):
     assert sorted((x.doc_id for x in odd), key=repr) == [1, 1, None]
 
 
+def test_packed_long_texts_small_slices_and_a_full_memory(make, words, tmp_path, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    texts = [*ODD, "ab1" * 20_000, words(20_000, 9), "Été. ÀÉ!! naïve,% 'tis don't \x85 \u2028 e\u0301x a\u0300,", words(500, 3).upper(), None]
+    encoder = pk.Encoder(path)
+    for memo in (10**6, 50):
+        monkeypatch.setattr(pk, "MEMO", memo)
+        for _ in range(2):
+            ids, n = encoder.encode(pa.array([t or "" for t in texts], pa.large_string()))
+            want = [[*lib.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+            assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+    rows = [(-(2**63), "least id"), (None, "no id"), *enumerate(texts)]
+    manifest = pk.write_files(make(rows).repartition(3), path, f"file://{tmp_path}/l")
+    out = pk.read_files(manifest).orderBy("start").collect()
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0))
+    assert [x.doc_id for x in out] == [d for d, _ in order]
+    for x, (_, t) in zip(out, order):
+        ids = np.array([*lib.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (x.n_tokens, x.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 
