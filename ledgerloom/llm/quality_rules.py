@@ -3,8 +3,9 @@
 Two multinomials over hashed byte n-grams are counted: one of trusted target
 texts, one of the whole raw corpus. A document's score is the mean, over its
 n-grams, of ``log p_target - log p_raw``; it is kept if no base rule fails and
-the score is at least ``threshold``. Equal input gives equal verdicts: counts
-are integers, and nothing is drawn at random.
+the score is at least ``threshold``. Equal texts get equal verdicts, whatever
+stands beside them: counts are integers, the ratios are fixed-point integers
+of ``1 / SCALE``, so a document's sum is exact, and nothing is drawn at random.
 
 The target is a bounded sample: the ``target_rows`` trusted labels with the
 smallest id hash. The raw counts and the verdicts cover every document.
@@ -31,6 +32,8 @@ from .textvec import Words, combine, mix, parts
 GRAM = 4
 BUCKETS = 1 << 16
 THRESHOLD = -0.4
+#: Log ratios are integers of this fraction; below 64 in size, 10 ** 10 of them fit a long.
+SCALE = 1 << 23
 #: Trusted documents that make the target: their ids (8 bytes each) are broadcast.
 TARGET_ROWS = 20_000
 _SYMBOL = np.zeros(256, bool)
@@ -105,7 +108,7 @@ def trusted_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
 
 
 def log_ratio(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS) -> np.ndarray:
-    """log p_target - log p_raw for each bucket: raw counts are scaled to the target's total, then one is added to both, so rare n-grams weigh little."""
+    """log p_target - log p_raw for each bucket, in ``1 / SCALE``: raw counts are scaled to the target's total, then one is added to both, so rare n-grams weigh little."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), np.int64)
@@ -124,15 +127,16 @@ def log_ratio(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[got["bucket"]], target[got["bucket"]] = got["raw"], got["target"]
     if not target.sum():
-        return np.zeros(BUCKETS)
-    return np.log(target + 1) - np.log(raw * (target.sum() / raw.sum()) + 1)
+        return np.zeros(BUCKETS, np.int64)
+    ratio = np.log(target + 1) - np.log(raw * (target.sum() / raw.sum()) + 1)
+    return np.rint(ratio * SCALE).astype(np.int64)
 
 
 def _judge(part: pa.RecordBatch, weights: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
     words = Words(part.column("text"))
     out = base_stats(words)
     h, before = grams(words)
-    out["score"] = np.round(sums(weights[h], before) / np.maximum(np.diff(before), 1), 9)
+    out["score"] = np.round(sums(weights[h], before) / (np.maximum(np.diff(before), 1) * float(SCALE)), 9)
     n = out["n_words"]
     out["base_failed"] = (n < 50) | (100 * out["n_repeat_words"] > 50 * n)
     out["kept"] = ~out["base_failed"] & (out["score"] >= threshold)
