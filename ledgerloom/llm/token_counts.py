@@ -16,14 +16,22 @@ it, relative to now. Where no token can span two characters the list forgets
 what came before: the state is *reset*. Characters outside the vocabulary
 emit one token a UTF-8 byte and reset.
 
-A text is cut into chunks. Each chunk becomes a state map: its head (what
-stands before its first reset, still a function of the state at entry) and a
-constant rest (tokens, state at the end). Maps compose associatively; a
-doubling prefix scan joins a text's chunks, so no chunk waits for another.
-Between resets, runs of a chunk are memoised, with a bound.
+A bar (a blank) after another character resets the state whatever it was. So
+a text is cut there, and the state map of such a run is constant: a number of
+tokens. Constant maps compose by addition, in one prefix sum over a whole
+slice of texts; distinct runs are looked up once a slice and memoised, with a
+bound.
+
+A run longer than ``CHUNK`` is cut into chunks. A chunk's map takes a state at
+its entry to the tokens it emits and the state at its exit; it is known for
+the states that were reached so far, first for the one that the characters
+before the chunk suggest. Maps compose pairwise, in a balanced tree. From
+another entry state a chunk is run only until it meets a state that it has
+been in at the same place; from there on the tokens are known.
 
 Defined results: null counts as empty, with 0 bytes and 0 tokens; repeated
-rows are counted alike; empty tables give no rows; other columns are ignored.
+rows are counted alike; a null ``doc_id`` is kept; empty tables give no rows;
+other columns are ignored. A long text is counted by one task.
 """
 
 from __future__ import annotations
@@ -34,15 +42,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import read_table
+from .textvec import parts
 
 CONTEXT = 4096
 CHUNK = 1 << 16
-MEMO = 200_000
-STATES = 400_000
+#: Text counted at once; a longer text is a slice of its own.
+SLICE_BYTES = 8 << 20
+#: Runs that are remembered, and compiled steps; when full, they are forgotten and compiled anew.
+MEMO = 800_000
+STEPS = 1_000_000
+#: Characters between the states that a chunk remembers.
+MARK = 64
 _BAR = "▁"
 
 
@@ -80,8 +95,8 @@ class Transducer:
     def _fresh(self) -> None:
         self.states: dict[tuple, int] = {}
         self.configs: list[tuple] = []
-        self.steps: dict[tuple[int, str], tuple[int, int]] = {}
-        self.start = self._state(((0, "", 0),))
+        self.steps: dict[int, int] = {}  # state and character in one number -> next state and tokens in one
+        self.start = self._state(START)
 
     def _state(self, config: tuple) -> int:
         if config not in self.states:
@@ -117,87 +132,156 @@ class Transducer:
         after = [(node, before, n - count) for node, before, n in grown if self.trie[node]]
         return self._state((*[x for x in after], (0, last, 0))), count
 
-    def run(self, state: int, text: str) -> tuple[int, int]:
-        total, steps = 0, self.steps
-        for c in text:
-            got = steps.get((state, c))
+    def run(self, config: tuple, text: str) -> tuple[tuple, int]:
+        """From one state (as its list) through a text: the state at the end and the tokens emitted."""
+        if len(self.steps) > STEPS:
+            self._fresh()
+        state, total, steps = self._state(config), 0, self.steps
+        for o in map(ord, text):
+            got = steps.get(state << 21 | o)
             if got is None:
-                got = steps[state, c] = self.step(self._forget(state, c), c)
-            state, n = got
-            total += n
-        return state, total
+                following, n = self.step(self._forget(state, chr(o)), chr(o))
+                got = steps[state << 21 | o] = following << 16 | n + 0x8000
+            state = got >> 16
+            total += (got & 0xFFFF) - 0x8000
+        return self.configs[state], total
 
     def _forget(self, state: int, c: str) -> int:
         """The state without the last token, if no token spans it and ``c``."""
         *rest, (node, last, n) = self.configs[state]
         if last and last[-1] + c not in self.joint:
-            return self._state(((0, "", 0),))
+            return self.start
         return state
 
-    # state maps: (head, None, None) without a reset, else (head, tokens after it, state at the end)
-
-    def chunk_map(self, chunk: str, memo: dict[str, tuple[int, int]]) -> tuple:
-        cut = next((m.start() for m in _RESET.finditer(chunk)), None)
-        if cut is None:
-            return chunk, None, None
-        total, state = 0, self.start
-        runs = _RUN.findall(chunk, cut)
-        for run in runs:
-            got = memo.get(run)
-            if got is None:
-                if len(memo) > MEMO:
-                    memo.clear()
-                got = memo[run] = self.run(self.start, run)
-            state, n = got
-            total += n
-        return chunk[:cut], total, state
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        if a[1] is None:
-            return (a[0] + b[0], b[1], b[2])
-        state, n = self.run(a[2], b[0])
-        return (a[0], a[1] + n, state) if b[1] is None else (a[0], a[1] + n + b[1], b[2])
+    def count_run(self, run: str, chunk: int = CHUNK) -> int:
+        """Tokens of one run: its chunks' maps, joined in a balanced tree."""
+        maps: list = [Chunk(self, run, i, min(i + chunk, len(run))) for i in range(0, len(run), chunk)]
+        while len(maps) > 1:
+            maps = [Pair(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0](START)[1]
 
     def count(self, text: str, memo: dict, chunk: int = CHUNK) -> int:
-        """Tokens of a whole text: chunk maps, joined by a doubling prefix scan."""
+        """Tokens of a whole text."""
         if not text:
             return 0
-        if len(self.configs) > STATES:  # a bounded cache, like the memo; compiled anew when needed
-            self._fresh()
-            memo.clear()
-        text = _BAR + text.replace(" ", _BAR)
-        maps = [self.chunk_map(text[i : i + chunk], memo) for i in range(0, len(text), chunk)]
-        gap = 1
-        while gap < len(maps):
-            maps = [maps[i] if i < gap else self.compose(maps[i - gap], maps[i]) for i in range(len(maps))]
-            gap *= 2
-        head, total, _ = maps[-1]
-        return self.run(self.start, head)[1] + (total or 0)
-
-
+        total = 0
+        for run in _RUN.findall(_BAR + text.replace(" ", _BAR)):
+            if run not in memo:
+                if len(memo) > MEMO:
+                    memo.clear()
+                memo[run] = self.count_run(run, chunk)
+            total += memo[run]
+        return total
+
+
+class Chunk:
+    """The state map of ``run[begin:end]``."""
+
+    def __init__(self, machine: Transducer, run: str, begin: int, end: int):
+        self.machine = machine
+        self.pieces = [run[i : min(i + MARK, end)] for i in range(begin, end, MARK)]
+        self.known: dict[tuple, tuple[tuple, int]] = {}
+        #: for each place between pieces: state there -> (state at the exit, tokens up to it)
+        self.marks: list[dict] = [{} for _ in self.pieces]
+        if len(run) > end - begin:
+            self(machine.run(START, run[max(0, begin - MARK) : begin])[0])
+
+    def __call__(self, entry: tuple) -> tuple[tuple, int]:
+        if entry not in self.known:
+            state, way, done = entry, [], None
+            for k, piece in enumerate(self.pieces):
+                done = self.marks[k].get(state)
+                if done:
+                    break
+                way.append((k, state))
+                state, n = self.machine.run(state, piece)
+                way[-1] += (n,)
+            out, total = done or (state, 0)
+            for k, at, n in reversed(way):
+                total += n
+                self.marks[k][at] = out, total
+            self.known[entry] = out, total
+        return self.known[entry]
+
+
+class Pair:
+    """One map after another."""
+
+    def __init__(self, a, b):
+        self.a, self.b = a, b
+        self.known: dict[tuple, tuple[tuple, int]] = {}
+
+    def __call__(self, entry: tuple) -> tuple[tuple, int]:
+        if entry not in self.known:
+            middle, n = self.a(entry)
+            out, m = self.b(middle)
+            self.known[entry] = out, n + m
+        return self.known[entry]
+
+
+#: The state before any character.
+START = ((0, "", 0),)
 # a bar after another character starts a run whatever the state: see bar_resets
-_RESET = re.compile(f"(?<=[^{_BAR}]){_BAR}")
 _RUN = re.compile(f"{_BAR}*[^{_BAR}]+|{_BAR}+")
 
 
+class Counter:
+    """Counts of whole slices of texts."""
+
+    def __init__(self, model_file: str):
+        self.machine = Transducer(model_file)
+        if not self.machine.bar_resets:
+            raise ValueError("a piece spans a word's end; its runs can't be cut there")
+        self.memo: dict[str, int] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.tokens = pa.array([], pa.large_string()), np.empty(0, np.int64)
+
+    def _known(self, words: pa.Array) -> np.ndarray:
+        """Tokens of distinct words, each with a bar before it."""
+        if len(self.words) + len(words) > MEMO:
+            self._forget()
+        at = pc.index_in(words, value_set=self.words)
+        out = at.fill_null(-1).to_numpy().astype(np.int64)
+        if at.null_count:
+            new = words.filter(at.is_null())
+            fresh = np.array([self.machine.count_run(_BAR + w) for w in new.to_numpy(zero_copy_only=False)], np.int64)
+            out[out < 0] = np.arange(len(self.words), len(self.words) + len(new))
+            self.words, self.tokens = pa.concat_arrays([self.words, new]), np.concatenate((self.tokens, fresh))
+        return self.tokens[out]
+
+    def counts(self, text: pa.Array) -> np.ndarray:
+        out = np.zeros(len(text), np.int64)
+        # single blanks between words: the runs are the words; other texts are cut one by one
+        odd = pc.match_substring_regex(text, f"^ |  | $|{_BAR}").to_numpy(zero_copy_only=False)
+        empty = pc.equal(text, "").to_numpy(zero_copy_only=False)
+        plain = text.filter(pa.array(~odd & ~empty))
+        if len(plain):
+            words = pc.split_pattern(plain, " ")
+            coded = words.flatten().dictionary_encode()
+            total = np.concatenate(([0], np.cumsum(self._known(coded.dictionary)[coded.indices.to_numpy()])))
+            out[~odd & ~empty] = np.diff(total[np.concatenate(([0], np.cumsum(pc.list_value_length(words).to_numpy())))])
+        for k in np.flatnonzero(odd):
+            out[k] = self.machine.count(text[int(k)].as_py(), self.memo)
+        return out
+
+
 @functools.cache
-def _machine(model_file: str) -> tuple[Transducer, dict]:
+def _counter(model_file: str) -> Counter:
     """One compiled machine and memo for each Python worker, kept between its tasks."""
-    return Transducer(model_file), {}
+    return Counter(model_file)
 
 
 def token_counts(docs: DataFrame, model_file: str, context: int = CONTEXT) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_tokens``, ``over_limit`` of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, memo = _machine(model_file)
-        if not machine.bar_resets:
-            raise ValueError("a piece spans a word's end; its runs can't be cut there")
+        counter = _counter(model_file)
         for batch in batches:
-            text = batch.column("text").cast(pa.large_string()).fill_null("")
-            size = np.diff(np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)) if len(text) else np.empty(0, np.int64)
-            n = np.array([machine.count(t.as_py(), memo) for t in text], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(n), pa.array(n > context)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            for part in parts(batch, max_bytes=SLICE_BYTES):
+                n = counter.counts(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pc.binary_length(part.column("text")), pa.array(n), pa.array(n > context)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
