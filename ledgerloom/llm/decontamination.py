@@ -4,7 +4,9 @@ A seed is a fixed mask over word positions: positions with 1 are hashed,
 positions with 0 are ignored, so a substituted word under a 0 doesn't hide a
 copy. Hashes of all benchmark windows are looked up from all document windows
 under each mask; each hit gives an alignment, and the words of both texts are
-compared along it. A document is contaminated by an item if, on one
+compared along it. Of windows that agree one after the other on one alignment
+only the first is a hit, so a phrase that both texts repeat many times costs
+its alignments, not all pairs of its places. A document is contaminated by an item if, on one
 alignment, at least ``share`` of the item's words agree, or some ``window``
 consecutive positions of the item hold at least ``agree`` equal words (the
 whole item where it is shorter than the window).
@@ -50,6 +52,8 @@ BLOCK_BYTES = 8 << 20
 #: Hits, and words compared along them, that are held at a time.
 HELD = 1 << 20
 _FILTER = 20
+#: Stands for no window; taken as unknown should a hash be equal.
+_NONE = np.uint64(2**64 - 1)
 
 
 class Index:
@@ -67,24 +71,39 @@ class Index:
                 at = np.arange(len(h)) - before[item]
                 ok = (self.size[item] >= lo) & (self.size[item] < hi)
                 h, item, at = h[ok], item[ok], at[ok]
-                order = np.argsort(h, kind="stable")
-                h, item, at = h[order], item[order], at[order]
+                known = np.unique(h)
+                code = self._code(known, h, np.where(at > 0, np.roll(h, 1), _NONE))
+                order = np.argsort(code, kind="stable")
                 seen = np.zeros(1 << _FILTER, bool)
                 seen[(h >> np.uint64(64 - _FILTER)).astype(np.int64)] = True
                 if len(h):
-                    self.seeds.append((picks, seen, h, item, at))
+                    self.seeds.append((picks, seen, known, code[order], item[order], at[order]))
+
+    @staticmethod
+    def _code(known: np.ndarray, h: np.ndarray, prev: np.ndarray) -> np.ndarray:
+        """Place of ``h`` among the known hashes, then that of the window before it (last: none, or not known)."""
+        rank = np.searchsorted(known, prev)
+        rank[(rank < len(known)) & (known[np.minimum(rank, len(known) - 1)] != prev)] = len(known)
+        return np.searchsorted(known, h) * (len(known) + 1) + rank
 
     def hits(self, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(row, item, shift) with an equal masked window, distinct within each portion; shift = place in the text less place in the item."""
+        """(row, item, shift) with an equal masked window, the first of each run of them, distinct within each portion; shift = place in the text less place in the item."""
         found, held = [], 0
-        for picks, seen, h, item, at in self.seeds:
+        for picks, seen, known, code, item, at in self.seeds:
             mine, before = combine(words.hash, words.first, picks)
             some = np.flatnonzero(seen[(mine >> np.uint64(64 - _FILTER)).astype(np.int64)])
-            lo, hi = np.searchsorted(h, mine[some], "left"), np.searchsorted(h, mine[some], "right")
-            n = hi - lo
-            some, lo, n = some[n > 0], lo[n > 0], n[n > 0]
+            some = some[known[np.minimum(np.searchsorted(known, mine[some]), len(known) - 1)] == mine[some]]
             row = np.searchsorted(before, some, "right") - 1
             place = some - before[row]
+            own = self._code(known, mine[some], np.where(place > 0, mine[some - (place > 0)], _NONE))
+            group = own // (len(known) + 1) * (len(known) + 1)
+            # all windows of the hash, but for those that follow the same window
+            lo, hi = np.searchsorted(code, group), np.searchsorted(code, group + len(known), "right")
+            cut = own - group < len(known)
+            mid = np.where(cut, np.searchsorted(code, own, "left"), hi), np.where(cut, np.searchsorted(code, own, "right"), hi)
+            row, place = np.repeat(row, 2), np.repeat(place, 2)
+            lo, n = np.stack((lo, mid[1]), axis=1).ravel(), np.stack((mid[0] - lo, hi - mid[1]), axis=1).ravel()
+            row, place, lo, n = row[n > 0], place[n > 0], lo[n > 0], n[n > 0]
             for s in _portions(n):
                 k = _ranges(lo[s], n[s])
                 found.append(np.stack((np.repeat(row[s], n[s]), item[k], np.repeat(place[s], n[s]) - at[k])))
