@@ -1,8 +1,10 @@
 """Secret scanning with a random forest against false positives (operator 3), in DataFrame and ML operations only.
 
-Candidates are runs of at least ``SHORTEST`` characters of ``[A-Za-z0-9+/_-]``
-inside a word. Most are harmless: long words, card numbers, paths, addresses.
-A random forest, trained on labelled findings, tells them apart by
+Candidates are runs of at least 16 characters of ``[A-Za-z0-9+/_-]``, and
+values of 8 and more characters without blanks between quotation marks. Every
+occurrence is one, with its own place. Most are harmless: long words, card
+numbers, paths, addresses. A random forest, trained on labelled findings,
+tells them apart by
 
 * length, and the share of each class of characters;
 * transitions: how often neighbouring characters change their class, and how
@@ -14,17 +16,25 @@ A random forest, trained on labelled findings, tells them apart by
 * neighbouring words: an assignment or quotation mark next to it, a key-like
   word before it, and buckets of the words' hashes.
 
-Labelled findings come as a table (doc_id, start, is_secret). Training takes
-at most ``TRAIN_ROWS`` of each class, those with the smallest hash; every
-candidate of every document is scored. ``label_findings`` makes such labels
-from a narrow rule, where no reviewed ones exist: an assignment of a quoted
-value to a key-like name is a secret; candidates of one class of characters
-are not.
+Labelled findings come as a table (doc_id, start, is_secret), reviewed by
+people. Training takes at most ``TRAIN_ROWS`` of each class, those with the
+smallest hash; every candidate of every document is scored. Where there are no
+reviewed ones, ``label_findings`` labels by one view only, the words next to the
+candidate: assigned to a key-like name, or nothing like that near it. The forest
+then gets the other view (``BLIND``: value, path and farther words), so that it
+can't learn the rule back, and a value that looks like the labelled ones is
+found without the name. ``held_out`` measures it on values it didn't see.
+
+Places and neighbours come from the text's pieces between candidates, cut once
+a text, so no row carries more than its neighbourhood: up to five words before
+(as far as they lie within the last five pieces) and what stands up to three
+words behind, within two.
 
 Defined results: null and empty texts have no candidates; repeated rows give
-their findings each; a null ``doc_id`` is kept; without labels of both
-classes every candidate stays (probability null, ``kept`` true); an empty
-table gives no rows; extra columns are ignored. Offsets are code points.
+their findings each; a null ``doc_id`` is kept; a missing ``source`` counts as
+null; without labels of both classes every candidate stays (probability null,
+``kept`` true); an empty table gives no rows; extra columns are ignored.
+Offsets are code points.
 """
 
 from __future__ import annotations
@@ -35,48 +45,79 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, read_table
+from .shared import discard, materialize, read_table
 
-SHORTEST = 16
-CANDIDATE = r"[A-Za-z0-9+/_-]{16,}"
+CANDIDATE = r"(?<=[\"'])[^\"'\x20\x09-\x0D]{8,}(?=[\"'])|[A-Za-z0-9+/_-]{16,}"
 KEY_WORD = r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|auth|bearer|credential|private)"
 DICTIONARY = 5_000
 TRAIN_ROWS = 20_000
 TREES, DEPTH, SEED = 30, 6, 42
-FEATURES = ["length", "digits", "lowers", "uppers", "others", "turns", "distinct", "hex", "known", "path_like", "address_like", "source_bucket", "assigned", "quoted", "key_before", "left_bucket", "right_bucket"]
+BLIND = ["length", "digits", "lowers", "uppers", "others", "turns", "distinct", "hex", "known", "path_like", "address_like", "source_bucket", "left3_bucket", "right_bucket"]
+FEATURES = [*BLIND, "assigned", "quoted", "key_before", "left_bucket"]
+_BLOCK = 128
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """A row for each candidate: its place, itself, its word, and the words around it."""
-    some = docs.filter(F.col("text").rlike(CANDIDATE)).select("doc_id", "source", F.split("text", r"[\x20\x09-\x0D]").alias("w"))
-    # every separator is one character, so a word's place is the length of all before it
-    words = some.select("doc_id", "source", "w", F.explode(F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).rlike(CANDIDATE))).alias("i"))
-    start = F.aggregate(F.slice("w", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda a, x: a + F.length(x) + 1)
+def _sums_before(values: Column) -> Column:
+    """For an array of longs, the sum of all before each; in blocks, so that long arrays aren't copied a value at a time."""
+
+    def run(x: Column) -> Column:
+        return F.aggregate(x, F.array(F.lit(0).cast("long")), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
 
-    def near(step: int) -> Column:
-        return F.coalesce(F.when(F.col("i") + step >= 0, F.get("w", F.col("i") + step)), F.lit(""))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda k: F.slice(values, k * _BLOCK + 1, F.lit(_BLOCK)))
+    base = run(F.transform(blocks, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda acc, v: acc + v)))
+    return F.flatten(F.transform(blocks, lambda x, k: F.transform(F.slice(run(x), F.lit(1), F.size(x)), lambda v: v + F.get(base, k))))
 
-    words = words.select("doc_id", "source", F.get("w", F.col("i")).alias("word"), start.alias("word_start"), near(-1).alias("left1"), near(-2).alias("left2"), near(1).alias("right1"))
-    pieces = words.withColumn("piece", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), F.lit(1)))))
-    offset = F.expr("locate(piece, word)") - 1
-    return pieces.select("doc_id", "source", "word", "left1", "left2", "right1", F.col("piece").alias("candidate"), (F.col("word_start") + offset).alias("start"), offset.alias("offset"))
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """A row for each candidate: its place, itself, its word, what stands in the word before it, and the words around it."""
+    source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
+    some = docs.filter(F.col("text").rlike(CANDIDATE)).select("doc_id", source.alias("source"), F.split("text", CANDIDATE, -1).alias("gap"), F.regexp_extract_all("text", F.lit(f"({CANDIDATE})"), F.lit(1)).alias("found"))
+    lengths = F.transform("found", lambda c, i: (F.length(F.get("gap", i)) + F.length(c)).cast("long"))
+    # each gap's last words, with what is left of the word that touches the candidate; and its first ones
+    tail = F.transform("gap", lambda g: F.reverse(F.regexp_extract(F.reverse(g), r"^([^\x20\x09-\x0D]*(?:[\x20\x09-\x0D]+[^\x20\x09-\x0D]+){0,5}[\x20\x09-\x0D]*)", 1)))
+    head = F.transform("gap", lambda g: F.regexp_extract(g, r"^([^\x20\x09-\x0D]*(?:[\x20\x09-\x0D]+[^\x20\x09-\x0D]+){0,3})", 1))
+    cut = some.select("doc_id", "source", "found", _sums_before(lengths).alias("at"), F.transform("gap", lambda g: F.length(g)).alias("width"), tail.alias("tail"), head.alias("head"))
+
+    def piece(i: Column, k: int) -> list[Column]:
+        return [F.coalesce(F.when(i >= k, F.get("tail", i - k)), F.lit("")), F.coalesce(F.when(i >= k, F.get("found", i - k)), F.lit(""))]
+
+    def one(c: Column, i: Column) -> Column:
+        left = [x for k in range(4, 0, -1) for x in piece(i, k)]
+        right = [F.get("head", i + 1), F.coalesce(F.get("found", i + 1), F.lit("")), F.coalesce(F.get("head", i + 2), F.lit(""))]
+        return F.struct(c.alias("candidate"), (F.get("at", i) + F.get("width", i)).alias("start"), F.concat(*left, F.get("tail", i)).alias("left"), F.concat(*right).alias("right"))
+
+    rows = cut.select("doc_id", "source", F.explode(F.transform("found", one)).alias("c")).select("doc_id", "source", "c.*")
+    blank = r"[\x20\x09-\x0D]+"
+    rows = rows.withColumn("l", F.reverse(F.split("left", blank))).withColumn("r", F.split("right", blank))
+    before, behind = F.get("l", F.lit(0)), F.get("r", F.lit(0))
+    word = lambda side, k: F.coalesce(F.get(side, F.lit(k)), F.lit(""))
+    return rows.select(
+        "doc_id", "source", F.concat(before, "candidate", behind).alias("word"), before.alias("before"), word("l", 1).alias("left1"), word("l", 2).alias("left2"), word("l", 3).alias("left3"), word("r", 1).alias("right1"), "candidate", "start"
+    )
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> DataFrame:
-    """The ``size`` words of 2 to 6 letters that most documents hold."""
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\b([a-z]{2,6})\b"), F.lit(1)))).alias("entry"))
+    """The ``size`` words of 3 to 6 letters that most documents hold."""
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\b([a-z]{3,6})\b"), F.lit(1)))).alias("entry"))
     return words.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "entry").limit(size).select("entry")
 
 
 def with_features(found: DataFrame, known_words: DataFrame) -> DataFrame:
+    """``found``, each row with a ``finding`` of its own, and its features."""
     c, n = F.col("candidate"), F.length("candidate")
     share = lambda cls: F.regexp_count(c, F.lit(cls)) / n
     turn = r"[0-9](?=[^0-9])|[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[^0-9a-zA-Z](?=[0-9a-zA-Z])"
     bucket = lambda w: F.pmod(F.crc32(F.lower(w).cast("binary")), F.lit(32)).cast("double")
-    before = F.substring(F.col("word"), F.lit(1), F.col("offset").cast("int"))
-    around = F.concat_ws(" ", "left2", "left1", before)
-    out = found.select(
-        "*",
+    around = F.concat_ws(" ", "left2", "left1", "before")
+    # every piece of 3 to 6 letters may be a word; covered letters are counted once, by place. Keyed by finding, so that a value
+    # of many copies is dealt like others
+    letters = found.select("finding", F.lower(c).alias("c")).select("finding", "c", F.explode(F.sequence(F.lit(1), F.length("c"))).alias("p"))
+    spots = letters.select("finding", "p", F.explode(F.transform(F.lit([3, 4, 5, 6]), lambda k: F.struct(k.alias("k"), F.call_function("substr", F.col("c"), F.col("p"), k).alias("entry")))).alias("s"))
+    spots = spots.select("finding", "p", "s.*").filter(F.length("entry") == F.col("k"))
+    hits = spots.join(F.broadcast(known_words), "entry").select("finding", F.explode(F.sequence(F.col("p"), F.col("p") + F.col("k") - 1)).alias("at"))
+    covered = hits.groupBy("finding").agg(F.count_distinct("at").alias("letters"))
+    return found.join(covered, "finding", "left").select(
+        found["*"],
         n.cast("double").alias("length"),
         share("[0-9]").alias("digits"),
         share("[a-z]").alias("lowers"),
@@ -85,62 +126,87 @@ def with_features(found: DataFrame, known_words: DataFrame) -> DataFrame:
         share(turn).alias("turns"),
         (F.size(F.array_distinct(F.split(c, ""))) / n).alias("distinct"),
         c.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double").alias("hex"),
+        F.coalesce(F.col("letters") / n, F.lit(0.0)).alias("known"),
         (F.col("word").contains("/") | F.col("word").contains("\\")).cast("double").alias("path_like"),
         F.col("word").rlike(r"@|www\.|://").cast("double").alias("address_like"),
         F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(32)).cast("double").alias("source_bucket"),
+        bucket(F.col("left3")).alias("left3_bucket"),
+        bucket(F.col("right1")).alias("right_bucket"),
         around.rlike(r"[=:]\s*[\"']?$").cast("double").alias("assigned"),
-        before.rlike("[\"']$").cast("double").alias("quoted"),
+        F.col("before").rlike("[\"']$").cast("double").alias("quoted"),
         around.rlike(KEY_WORD).cast("double").alias("key_before"),
         bucket(F.col("left1")).alias("left_bucket"),
-        bucket(F.col("right1")).alias("right_bucket"),
     )
-    parts = F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]{2,})"), F.lit(1)))
-    runs = out.select("candidate").distinct().select("candidate", F.explode(parts).alias("run"))
-    # every piece of 2 to 6 letters of a run may be a word; covered letters are counted once, by place
-    spots = runs.select("candidate", "run", F.explode(F.sequence(F.lit(1), F.length("run") - 1)).alias("p")).select("candidate", "run", "p", F.explode(F.sequence(F.lit(3), F.lit(6))).alias("k"))
-    spots = spots.filter(F.col("p") + F.col("k") - 1 <= F.length("run")).withColumn("entry", F.substring(F.col("run"), F.col("p"), F.col("k")))
-    hits = spots.join(F.broadcast(known_words), "entry").select("candidate", "run", F.explode(F.sequence(F.col("p"), F.col("p") + F.col("k") - 1)).alias("at"))
-    covered = hits.groupBy("candidate").agg(F.count_distinct("run", "at").alias("letters"))
-    return out.join(covered, "candidate", "left").withColumn("known", F.coalesce(F.col("letters") / F.length("candidate"), F.lit(0.0))).drop("letters")
 
 
 def label_findings(found: DataFrame) -> DataFrame:
-    """Findings that a narrow rule is sure of: (doc_id, start, is_secret)."""
-    before = F.concat_ws(" ", "left2", "left1", F.substring(F.col("word"), F.lit(1), F.col("offset").cast("int")))
-    yes = before.rlike(KEY_WORD.replace("(?i)", "(?i)\\b") + r"\s*[=:]\s*[\"']$")
-    one_class = F.col("candidate").rlike("^([0-9]+|[a-z]+|[A-Z]+|[A-Z][a-z]+)$")
-    return found.select("doc_id", "start", F.when(yes, True).when(one_class, False).alias("is_secret")).filter("is_secret is not null and doc_id is not null")
+    """Findings that the words next to them tell: (finding, is_secret). Assigned to a key-like name, or neither assigned nor after such a name."""
+    around = F.concat_ws(" ", "left2", "left1", "before")
+    yes = around.rlike(KEY_WORD.replace("(?i)", "(?i)\\b") + r"\s*[=:]\s*[\"']?$")
+    no = ~around.rlike(r"[=:]\s*[\"']?$") & ~around.rlike(KEY_WORD)
+    return found.select("finding", F.when(yes, True).when(no, False).alias("is_secret")).filter("is_secret is not null")
 
 
-def train(featured: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
-    """A forest from at most ``rows`` labelled findings of each class; None without both classes."""
-    given = featured.join(labels.dropDuplicates(["doc_id", "start"]), ["doc_id", "start"]).withColumn("label", F.col("is_secret").cast("double"))
+def train(labelled: DataFrame, names: list[str], rows: int = TRAIN_ROWS):
+    """A forest from at most ``rows`` findings (with ``is_secret``) of each class; None without both classes."""
+    given = labelled.withColumn("label", F.col("is_secret").cast("double"))
     order = [F.xxhash64("candidate", "doc_id", "start"), F.col("doc_id"), F.col("start")]
-    keep = [given.filter(F.col("label") == y).orderBy(*order).limit(rows).select("label", *FEATURES) for y in (1.0, 0.0)]
+    keep = [given.filter(F.col("label") == y).orderBy(*order).limit(rows).select("label", *names) for y in (1.0, 0.0)]
     sample = materialize(keep[0].unionByName(keep[1]), "training")
     if sample.select("label").distinct().count() < 2:
+        discard(sample)
         return None, None
     # one sorted partition of a bounded sample, so that the forest's draws are the same in every run
-    sample = sample.repartition(1).sortWithinPartitions("label", *FEATURES)
-    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
+    ordered = sample.repartition(1).sortWithinPartitions("label", *names)
+    assembler = VectorAssembler(inputCols=names, outputCol="features")
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, labelCol="label", featuresCol="features", maxBins=32)
-    return assembler, forest.fit(assembler.transform(sample).select("label", "features"))
+    model = forest.fit(assembler.transform(ordered).select("label", "features"))
+    discard(sample)
+    return assembler, model
 
 
-def scan(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
-    """All candidates with ``probability`` and ``kept`` (false: removed as a false positive)."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
-    found = materialize(candidates(slim), "candidates")
+def _scored(featured: DataFrame, assembler: VectorAssembler, model) -> DataFrame:
+    return model.transform(assembler.transform(featured)).withColumn("probability", F.round(F.get(vector_to_array("probability"), F.lit(1)), 6))
+
+
+def _featured(docs: DataFrame) -> DataFrame:
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *["source" for c in docs.columns if c.lower() == "source"])
+    found = materialize(candidates(slim).withColumn("finding", F.monotonically_increasing_id()), "candidates")
     words = materialize(dictionary(slim), "dictionary")
     featured = materialize(with_features(found, words), "features")
-    assembler, model = train(featured, labels if labels is not None else label_findings(found))
+    discard(found, words)
+    return featured
+
+
+def scan(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+    """All candidates with ``probability`` and ``kept`` (false: removed as a false positive)."""
+    featured = _featured(docs)
+    if labels is None:
+        labelled, names = featured.join(label_findings(featured), "finding"), BLIND
+    else:
+        labelled, names = featured.join(labels.select("doc_id", "start", "is_secret").dropDuplicates(["doc_id", "start"]), ["doc_id", "start"]), FEATURES
+    assembler, model = train(labelled, names)
     if model is None:
         scored = featured.withColumn("probability", F.lit(None).cast("double")).withColumn("kept", F.lit(True))
     else:
-        scored = model.transform(assembler.transform(featured)).withColumn("probability", F.round(F.get(vector_to_array("probability"), F.lit(1)), 6)).withColumn("kept", F.col("probability") >= threshold)
+        scored = _scored(featured, assembler, model).withColumn("kept", F.col("probability") >= threshold)
     return scored.select("doc_id", "start", (F.col("start") + F.length("candidate")).alias("finish"), F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "kept")
 
 
+def held_out(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.5, folds: int = 3) -> dict[str, float]:
+    """Precision and recall on the labelled findings of one fold of values, by a forest that learned from the others."""
+    featured = _featured(docs)
+    if labels is None:
+        labelled, names = featured.join(label_findings(featured), "finding"), BLIND
+    else:
+        labelled, names = featured.join(labels.dropDuplicates(["doc_id", "start"]), ["doc_id", "start"]), FEATURES
+    aside = F.pmod(F.xxhash64("candidate"), F.lit(folds)) == 0  # equal values are on one side
+    assembler, model = train(labelled.filter(~aside), names)
+    said = (F.col("probability") >= threshold).cast("long")
+    got = _scored(labelled.filter(aside), assembler, model).agg(F.sum(said).alias("said"), F.sum(said * F.col("is_secret").cast("long")).alias("right"), F.sum(F.col("is_secret").cast("long")).alias("true"), F.count(F.lit(1)).alias("n")).first()
+    return {"n": got.n, "secrets": got.true, "precision": got.right / got.said if got.said else 0.0, "recall": got.right / got.true if got.true else 0.0}
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read_table(spark, sf_dir, "documents"))
 
