@@ -2,18 +2,23 @@
 
 The fixed patterns find e-mail addresses, IP addresses, card and phone
 numbers. They are the seeds. Around each seed, and around every other word
-that looks like an identifier (it holds a digit or ``@``), the words to the
-left and right are lexical patterns: two to the left, two to the right, or one
-on each side. Spark scores the graph of patterns and instances in rounds:
+that looks like an identifier (it holds a digit or ``@``), the whole words
+beside it make lexical patterns: two to the left, two to the right, one on each
+side, and the one on either side together with the identifier's shape (its
+runs of letters and of digits). Spark scores the graph of patterns and
+instances in rounds:
 
 * a pattern's confidence for a kind is the share of its distinct instances
   that are known to be of that kind, if it has at least ``support`` known ones;
 * an unknown instance's confidence is ``1 - prod(1 - confidence)`` over the
   patterns it stands in; from ``accept`` on it is known in the next round.
 
-Patterns join instances by a hash of their words, after partial counts; no
-pair of instances is formed. What was accepted is added to the spans of every
-place where it stands in such a pattern.
+Patterns and instances are 64-bit hashes from the scan on: no identifier and
+none of its surroundings is ever written to the shared folder. Patterns join
+instances after partial counts; no pair of instances is formed; Spark's
+adaptive joins split a pattern or an instance of very many partners. What was
+accepted is added to the spans of every place where it stands in such a
+pattern; an instance that is known as several kinds counts as the first.
 
 Fixed patterns, leftmost and non-overlapping for each kind, without retries:
 e-mail ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``; ip
@@ -55,6 +60,7 @@ _MARK = re.compile(r"[0-9@]+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SPACE = frozenset(" \t\n\v\f\r")
 _NUMBER = re.compile(r"[0-9]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def luhn(digits: str) -> bool:
@@ -115,12 +121,31 @@ def others(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int,
             yield a, b
 
 
+def beside(text: str, start: int, end: int, n: int = 2) -> tuple[list[str], list[str]]:
+    """Up to ``n`` whole words on each side; the window grows until it holds them."""
+    width = 64
+    while True:
+        left, lo = _WORD.findall(text[max(0, start - width) : start]), max(0, start - width)
+        if len(left) > n or lo == 0:  # a window's first word may be cut
+            break
+        width *= 4
+    width = 64
+    while True:
+        right, hi = _WORD.findall(text[end : end + width]), end + width
+        if len(right) > n or hi >= len(text):
+            break
+        width *= 4
+    return left[-n:], right[:n]
+
+
+def shape(word: str) -> str:
+    return _LETTERS.sub("a", _NUMBER.sub("0", word))
+
+
 def context(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns around a place; numbers inside words count alike."""
-    norm = lambda w: _NUMBER.sub("0", w.lower())
-    # whole words only: the window's first and last may be cut
-    left = [norm(w) for w in _WORD.findall(text[max(0, start - 100) : start])[-2:]]
-    right = [norm(w) for w in _WORD.findall(text[end : end + 100])[:2]]
+    left, right = ([_NUMBER.sub("0", w.lower()) for w in side] for side in beside(text, start, end))
+    form = shape(text[start:end])
     out = []
     if len(left) == 2:
         out.append(f"{left[0]} {left[1]} _")
@@ -128,6 +153,10 @@ def context(text: str, start: int, end: int) -> list[str]:
         out.append(f"{left[-1]} _ {right[0]}")
     if len(right) == 2:
         out.append(f"_ {right[0]} {right[1]}")
+    if left:
+        out.append(f"{left[-1]} <{form}>")
+    if right:
+        out.append(f"<{form}> {right[0]}")
     return out
 
 
@@ -169,7 +198,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def bootstrap(places: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE, accept: float = ACCEPT) -> tuple[DataFrame, DataFrame]:
     """Trusted patterns (pattern, kind) and accepted instances (instance, kind) from (instance, kind, patterns)."""
-    edges = places.select("kind", F.xxhash64("instance").alias("instance"), F.explode("patterns").alias("p")).select("kind", "instance", F.xxhash64("p").alias("pattern"))
+    edges = places.select("kind", "instance", F.explode("patterns").alias("pattern"))
     # one row for each pattern and distinct instance, however often copies repeat it
     edges = materialize(edges.groupBy("pattern", "instance").agg(F.min("kind").alias("kind")), "edges")
     known = edges.filter("kind is not null").select("instance", "kind").distinct()
@@ -189,13 +218,19 @@ def bootstrap(places: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, c
     return patterns, known
 
 
+def hashed(table: DataFrame) -> DataFrame:
+    """The rows of ``scan`` with hashes in place of identifiers and their surroundings."""
+    places = F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["finish"].alias("finish"), p["kind"].alias("kind"), F.xxhash64(p["instance"]).alias("instance"), F.transform(p["patterns"], lambda x: F.xxhash64(x)).alias("patterns")))
+    return table.withColumn("places", places)
+
+
 def find(docs: DataFrame) -> DataFrame:
     """Counts and digest of the base spans, and all spans, of each document."""
-    table = materialize(scan(docs), "scan")
+    table = materialize(hashed(scan(docs)), "scan")
     places = table.select("row_id", F.explode("places").alias("p")).select("row_id", "p.*")
     patterns, known = bootstrap(places.select("kind", "instance", "patterns"))
-    loose = places.filter("kind is null").select("row_id", "start", "finish", F.xxhash64("instance").alias("instance"), F.explode("patterns").alias("p"))
-    hit = loose.withColumn("pattern", F.xxhash64("p")).join(patterns.select("pattern", "kind"), "pattern")
+    loose = places.filter("kind is null").select("row_id", "start", "finish", "instance", F.explode("patterns").alias("pattern"))
+    hit = loose.join(patterns.select("pattern", "kind"), "pattern")
     hit = hit.join(known.select("instance", "kind").distinct(), ["instance", "kind"], "left_semi") if not patterns.isEmpty() else hit.limit(0)
     extra = hit.groupBy("row_id", "start", "finish").agg(F.min("kind").alias("kind")).groupBy("row_id").agg(F.collect_list(F.struct("start", "kind", "finish")).alias("extra"))
     out = table.drop("places").join(extra, "row_id", "left")
