@@ -9,10 +9,14 @@ that raises the level, so the number of sources isn't bounded by the driver.
 
 A source's documents then repeat ``floor(target / size)`` whole times, and a
 seeded sample of them once more for the fraction. Each document has a place
-on a circle by a seeded hash of its id, and an arc as long as the fraction
-draws it. Of 64 arcs, the one whose documents' words come nearest to what the
-source lacks is used; their sums are one partial aggregate. No row is moved:
-only the sources' small table is joined to the documents.
+on a circle of ``BINS`` bins by a seeded hash of its id and text (and its
+number among equal rows, so that rows without an id or repeated ones don't
+move together). An arc from one of ``STARTS`` places draws the sample: the
+start and end are those whose documents' words come nearest to what the source
+lacks. So the miss is at most half the words of one bin, which in a source of
+up to some hundreds of documents is half of one document. Words a bin are one
+partial aggregate. No row is moved but repeated ones: only the sources' small
+table is joined to the documents.
 
 Defined results: null and empty texts have size 0 and take 0 words (their
 rows repeat like others of their source); a null source is a source of its
@@ -22,14 +26,15 @@ repeated rows count each; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize, n_words, ordered_positions, read_table
 
 MAX_EPOCHS = 3
 SEED = 17
-ARCS = 64
+BINS = 1024
+STARTS = 16
 
 
 def cycled_weights(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -58,29 +63,52 @@ def _same(a: str, b: str):
     return F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` as ``_row``, with ``_nr``: 0, or for rows of one id and text their numbers from 0.
+
+    Only repeated rows are moved. They are numbered inside slices, and slices are numbered by one small
+    table of counts, so a group of any size is dealt over many tasks.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("_key", F.xxhash64("doc_id", F.isnull("doc_id"), "text"))
+    again = materialize(rows.groupBy("_key").count().filter("count > 1").select("_key"), "repeated")
+    if again.isEmpty():
+        return rows.withColumn("_nr", F.lit(0).cast("long"))
+    once = rows.join(again, "_key", "left_anti").withColumn("_nr", F.lit(0).cast("long"))
+    more = materialize(rows.join(again, "_key", "left_semi").withColumn("_slice", F.spark_partition_id()), "slices")
+    counts = more.groupBy("_key", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("_key", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_key", "_slice").orderBy(F.lit(0)))
+    more = more.withColumn("_rn", inside).join(base, ["_key", "_slice"]).withColumn("_nr", F.col("_base") + F.col("_rn") - 1)
+    return once.unionByName(more.select(*once.columns))
+
+
 def repetitions(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """``docs`` as ``_row`` with ``size``, ``source_size``, ``target`` and ``copies``, the times that the mix takes the row."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    place = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "source", n_words(F.col("text")).alias("size"), place.alias("place"))
-    sources = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    own = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("_nr"), F.md5("text"))
+    place = (F.conv(F.substring(F.md5(own), 1, 13), 16, 10).cast("long") % BINS).cast("int")
+    rows = _numbered(docs).select("_row", "source", n_words(F.col("text")).alias("size"), place.alias("place"))
+    words = materialize(rows.groupBy("source", "place").agg(F.sum("size").alias("words")), "words")
+    sources = materialize(words.groupBy("source").agg(F.sum("words").alias("source_size")), "sources")
     weights = materialize(weights if weights is not None else cycled_weights(sources), "weights")
     weighed = sources.alias("s").join(weights.alias("w"), _same("s", "w")).select("s.source", "source_size", "weight")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = water_fill(weighed, max_epochs).select("source", "source_size", "target", F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("part"))
     plan = materialize(plan, "plan")
 
-    def drawn(arc):
-        at = F.col("place") + arc
-        return (F.when(at >= 1, at - 1).otherwise(at) < F.col("part")).cast("long")
-
-    joined = rows.alias("d").join(plan.alias("s"), _same("d", "s"), "left").select("_row", F.col("d.source").alias("source"), "size", "place", "source_size", "target", "whole", "part")
-    sums = [F.sum(drawn(F.lit(k / ARCS)) * F.col("size")).alias(f"t{k}") for k in range(ARCS)]
-    tried = joined.groupBy("source").agg(*sums, F.first("part").alias("part"), F.first("source_size").alias("source_size"))
-    gap = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("part") * F.col("source_size")), F.lit(k).alias("k")) for k in range(ARCS)]))
-    best = materialize(tried.select("source", (gap["k"] / ARCS).alias("arc")), "arcs")
-    out = joined.alias("j").join(best.alias("b"), _same("j", "b"), "left")
-    copies = F.coalesce(F.col("whole") + drawn(F.col("arc")), F.lit(0)).cast("long")
+    # the words of each arc: from a start, bin by bin; or none at all
+    step = F.pmod(F.col("place") - F.col("start"), F.lit(BINS))
+    arcs = words.withColumn("start", F.explode(F.lit([k * BINS // STARTS for k in range(STARTS)]))).withColumn("step", step)
+    run = Window.partitionBy("source", "start").orderBy("step")
+    arcs = arcs.select("source", "start", "step", F.sum("words").over(run).alias("words")).unionByName(sources.select("source", F.lit(0).alias("start"), F.lit(-1).alias("step"), F.lit(0).cast("long").alias("words")))
+    gap = F.abs(F.col("words") - F.col("part") * F.col("source_size"))
+    tried = arcs.alias("a").join(plan.alias("s"), _same("a", "s")).select(F.col("a.source").alias("source"), F.struct(gap.alias("gap"), "start", "step").alias("arc"))
+    best = tried.groupBy("source").agg(F.min("arc").alias("arc"))
+    plan = materialize(plan.alias("s").join(best.alias("b"), _same("s", "b")).select("s.*", F.col("arc.start").alias("start"), F.col("arc.step").alias("last")), "plan")
+
+    out = rows.alias("d").join(plan.alias("s"), _same("d", "s"), "left")
+    copies = F.coalesce(F.col("whole") + (step <= F.col("last")).cast("long"), F.lit(0)).cast("long")
     return out.select("_row", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), copies.alias("copies"))
 
 
@@ -100,7 +128,7 @@ SQL = {
     "op8_source_mixing": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    CAST(CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496 AS place FROM documents),
+    CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || (row_number() OVER (PARTITION BY doc_id, coalesce(text, '')) - 1) || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) % 1024 AS place FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s AS (SELECT source, source_size, CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS DOUBLE) AS weight FROM s0),
 fill AS (
@@ -114,13 +142,16 @@ p AS (
 q AS (
   SELECT d.doc_id, d.source, d.size, d.place, p.source_size, p.target, floor(p.r) AS whole, p.r - floor(p.r) AS part
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-k AS (SELECT k, k / 64 AS arc FROM (SELECT unnest(range(64)) AS k)),
+k AS (SELECT unnest(range(0, 1024, 64)) AS start),
+b AS (SELECT source, place, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY source, place),
 t AS (
-  SELECT source, k, arc, abs(sum(CASE WHEN CASE WHEN place + arc >= 1 THEN place + arc - 1 ELSE place + arc END < part THEN size ELSE 0 END) - first(part) * first(source_size)) AS gap
-  FROM q, k GROUP BY source, k, arc),
-best AS (SELECT source, arc FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY gap, k) AS rn FROM t) WHERE rn = 1)
+  SELECT source, start, (place - start + 1024) % 1024 AS step, CAST(sum(words) OVER (PARTITION BY source, start ORDER BY (place - start + 1024) % 1024) AS BIGINT) AS words FROM b, k
+  UNION ALL SELECT source, 0, -1, 0 FROM s),
+best AS (
+  SELECT source, start, step FROM (
+    SELECT t.source, start, step, row_number() OVER (PARTITION BY t.source ORDER BY abs(words - (p.r - floor(p.r)) * source_size), start, step) AS rn FROM t JOIN p ON t.source IS NOT DISTINCT FROM p.source) WHERE rn = 1)
 SELECT q.doc_id, CAST(q.size AS BIGINT) AS size, q.source_size, q.target,
-  CAST(q.size * (whole + CASE WHEN CASE WHEN place + arc >= 1 THEN place + arc - 1 ELSE place + arc END < part THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  CAST(q.size * (whole + CASE WHEN (place - start + 1024) % 1024 <= step THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM q JOIN best ON q.source IS NOT DISTINCT FROM best.source
 """
 }
