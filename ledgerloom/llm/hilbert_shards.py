@@ -8,7 +8,11 @@ readers prune shards by any of them.
 
 Law ``rows``: runs differ by one row at most. Places in the order come from
 ranges over the whole sort key, numbered by many tasks, never by one window
-over everything. Within a cell equal texts stand together.
+over everything. Within a cell equal texts stand together (by checksum and
+size); copies that differ in source or language lie in other cells, so a group
+of equal texts may be spread over shards.
+
+The size axis has ten steps for each power of two, from integers alone.
 
 The curve is a state machine over one bit of each axis a step; its table
 (states x cells) is built from the Gray-code rule below.
@@ -16,7 +20,8 @@ The curve is a state machine over one bit of each axis a step; its table
 Defined results: a null text has no bytes (size 8, CRC of an empty text);
 null sources and languages take the step after all others; repeated rows get
 places of their own; with fewer rows than shards the first shards hold one
-row each; an empty table gives no rows; extra columns pass through ``shard``.
+row each; an empty table gives no rows; extra columns pass through ``place``,
+but one named like a column that it adds is replaced by it.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ from .shared import materialize, ordered_positions, read_table
 
 SHARDS = 24
 BITS = 8
+ADDED = ("size", "text_crc32", "curve", "shard", "slot")
 
 
 def curve_table(dims: int) -> list[list[tuple[int, int]]]:
@@ -77,23 +83,29 @@ def rank_steps(df: DataFrame, column: str, bits: int = BITS) -> DataFrame:
     return placed.select(F.col("_v").alias(f"_{column}"), F.floor(F.col("position") * (1 << bits) / F.lit(n)).cast("int").alias(f"_{column}_step"))
 
 
+def size_step(size: Column) -> Column:
+    """Ten steps for each power of two, up to the axis' last."""
+    power = F.length(F.bin(size)) - 1
+    base = F.call_function("shiftleft", F.lit(1).cast("long"), power)
+    return F.least(power * 10 + F.floor((size - base) * 10 / base), F.lit((1 << BITS) - 1)).cast("int")
+
+
 def _crc(text: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).cast("long")
 
 
 def place(docs: DataFrame, shards: int = SHARDS, keep_rows: bool = True) -> DataFrame:
     """``docs`` (without ``keep_rows`` only ``doc_id``) with ``size``, ``text_crc32``, ``curve``, ``shard`` and ``slot``."""
-    names = docs.columns if keep_rows else ["doc_id"]
+    names = [c for c in docs.columns if c.lower() not in ADDED] if keep_rows else ["doc_id"]
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", "source", "lang", size.alias("size"), _crc(F.col("text")).alias("text_crc32"), F.xxhash64("text").alias("_t"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", "source", "lang", size.alias("size"), _crc(F.col("text")).alias("text_crc32"))
     for c in ("source", "lang"):
         steps = rank_steps(docs, c)
         rows = rows.join(steps, rows[c].eqNullSafe(steps[f"_{c}"]), "left").drop(f"_{c}")
-    scale = F.least(F.floor(F.log2("size") * 10), F.lit((1 << BITS) - 1)).cast("int")
-    rows = rows.withColumn("curve", hilbert_index([F.col("_source_step"), F.col("_lang_step"), scale]))
-    rows = rows.select("_row", "doc_id", "size", "text_crc32", "_t", "curve")
+    rows = rows.withColumn("curve", hilbert_index([F.col("_source_step"), F.col("_lang_step"), size_step(F.col("size"))]))
+    rows = rows.select("_row", "doc_id", "size", "text_crc32", "curve")
     n = docs.count()
-    placed = ordered_positions(rows, [F.col("curve"), F.col("_t"), F.col("doc_id")])
+    placed = ordered_positions(rows, [F.col("curve"), F.col("text_crc32"), F.col("size"), F.col("doc_id")])
     q, r = divmod(n, shards)
     pos, head = F.col("position"), r * (q + 1)
     low, high = F.floor(pos / F.lit(q + 1)), r + F.floor((pos - head) / F.lit(max(q, 1)))
@@ -108,5 +120,32 @@ def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
+def _curve_sql() -> str:
+    """The state machine's table as a SQL list; an entry is digit + 8 * next state."""
+    return "[" + ", ".join(str(digit + 8 * state) for row in curve_table(3) for digit, state in row) + "]"
+
+
 QUERIES = {"op9_hilbert_shards": op9_hilbert_shards}
-SQL: dict[str, str] = {}
+SQL = {
+    "op9_hilbert_shards": f"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+d AS (
+  SELECT doc_id, source, lang, strlen(coalesce(text, '')) + 8 AS size,
+    xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+      lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]))) AS text_crc32
+  FROM documents, crc),
+s AS (SELECT source, floor((row_number() OVER (ORDER BY source IS NULL, source) - 1) * {1 << BITS} / count(*) OVER ()) AS step FROM (SELECT DISTINCT source FROM documents)),
+l AS (SELECT lang, floor((row_number() OVER (ORDER BY lang IS NULL, lang) - 1) * {1 << BITS} / count(*) OVER ()) AS step FROM (SELECT DISTINCT lang FROM documents)),
+c AS (
+  SELECT d.*, CAST(s.step AS BIGINT) AS x, CAST(l.step AS BIGINT) AS y, least((length(bin(size)) - 1) * 10 + (size - (1 << (length(bin(size)) - 1))) * 10 // (1 << (length(bin(size)) - 1)), {(1 << BITS) - 1}) AS z
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source JOIN l ON d.lang IS NOT DISTINCT FROM l.lang),
+m AS (SELECT {_curve_sql()} AS t),
+h AS (
+  SELECT c.*, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range({BITS} - 1, -1, -1), lambda b: (x >> b) % 2 + 2 * ((y >> b) % 2) + 4 * ((z >> b) % 2))),
+    lambda a, cell: (a // 32 * 8 + t[a % 32 * 8 + cell + 1] % 8) * 32 + t[a % 32 * 8 + cell + 1] // 8) // 32 AS curve FROM c, m),
+p AS (SELECT *, row_number() OVER (ORDER BY curve, text_crc32, size, doc_id NULLS FIRST) - 1 AS pos, count(*) OVER () // {SHARDS} AS q, count(*) OVER () % {SHARDS} AS r FROM h),
+g AS (SELECT *, CASE WHEN pos < r * (q + 1) THEN pos // (q + 1) ELSE r + (pos - r * (q + 1)) // greatest(q, 1) END AS shard FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard,
+  CAST(pos - CASE WHEN shard <= r THEN shard * (q + 1) ELSE r * (q + 1) + (shard - r) * q END AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, curve FROM g
+"""
+}
