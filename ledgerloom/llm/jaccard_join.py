@@ -24,9 +24,16 @@ How it works:
   candidates: its Hamming distance is a lower bound of ``|A ^ B|``.
 * Candidates are verified on the whole sets. In a bucket each class is first
   compared with one pivot only, so that a large group of near copies costs a
-  star, not all pairs. After a few such rounds a last one compares every pair
-  of a bucket whose classes are still in different components; in large
-  buckets a sketch of fixed length is compared within the join.
+  star, not all pairs. After such a round the classes of a bucket that are still
+  in different components meet. In a small bucket all pairs do. A crowded one is
+  re-keyed by the pigeonhole once more: of the ``PARTS`` parts of a sketch of
+  fixed length at most ``d`` differ between sets that link, so the first
+  ``d + 1`` hold an equal one; a passage in common makes a crowded bucket, but
+  hardly an equal part. Where parts are shared, only members outside the largest
+  component meet the others, and the sketch's bound is part of the join. Sets
+  too large for the parts (from 192 shingles on at 75 %) meet in blocks, by that
+  bound alone.
+* Rows of a crowded bucket carry its size and are dealt in salted portions.
 
 Defined results: text null, empty or without words: ``n_shingles`` 0 and
 ``component_id`` its own ``doc_id``; fewer words than ``width``: the whole
@@ -42,7 +49,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import discard, materialize, read_table
@@ -52,10 +59,13 @@ PERCENT = 75
 WIDTH = 5
 #: Frequent shingles kept to order segments: 8 bytes each, so the broadcast stays under 0.2 MB.
 FREQUENT = 20_000
-STAR_ROUNDS = 2
-#: Buckets of at most so many classes give all their pairs in the last round, so pairs stay in proportion to rows; larger ones only those that pass the fixed sketch.
+#: Buckets of at most so many classes give all their pairs in the last round, so pairs stay in proportion to rows; larger ones are re-keyed. It decides the cost, never the result.
 SMALL = 16
 FIXED_BITS = 1024
+#: Parts of the fixed sketch, 16 bits each.
+PARTS = FIXED_BITS // 16
+#: Rows of a crowded bucket in one portion.
+PORTION = 512
 #: Tokens (or pairs) held by a task before it counts (or merges) them.
 COUNTED = 1_000_000
 
@@ -181,7 +191,7 @@ def _rows(doc_id, key, n, cls, sketch, bits) -> pa.RecordBatch:
 
 
 def live_buckets(docs: DataFrame, frequent: np.ndarray, percent: int, width: int) -> DataFrame:
-    """Each class of a bucket with the bucket's pivot, its smallest class, as (x, y, ``pair`` true); and (x bucket, y class, ``pair`` false, n) of buckets with three classes or more."""
+    """Each class of a bucket with the bucket's pivot, its smallest class, as (x, y, ``pair`` true); and (x bucket, y class, ``pair`` false, n, size) of buckets with three classes or more."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,11 +232,11 @@ def live_buckets(docs: DataFrame, frequent: np.ndarray, percent: int, width: int
         many, first = np.repeat(size > 1, size), np.repeat(starts, size)
         star = many & (first != np.arange(len(key))) & (n[first].astype(np.int64) * 100 >= n.astype(np.int64) * percent)
         pairs = _distinct(np.stack((cls[first[star]], cls[star]), axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), pa.array(np.ones(len(pairs), bool)), pa.nulls(len(pairs), pa.int32())], ["x", "y", "pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), pa.array(np.ones(len(pairs), bool)), pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.int64())], ["x", "y", "pair", "n", "size"])
         more = np.repeat(size > 2, size)  # the pivot's pair is all that a bucket of two has
-        yield pa.RecordBatch.from_arrays([pa.array(key[more]), pa.array(cls[more]), pa.array(np.zeros(more.sum(), bool)), pa.array(n[more])], ["x", "y", "pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[more]), pa.array(cls[more]), pa.array(np.zeros(more.sum(), bool)), pa.array(n[more]), pa.array(np.repeat(size, size)[more])], ["x", "y", "pair", "n", "size"])
 
-    return docs.select("text").mapInArrow(emit, "bucket long, cls long, n int").repartition("bucket").mapInArrow(meet, "x long, y long, pair boolean, n int")
+    return docs.select("text").mapInArrow(emit, "bucket long, cls long, n int").repartition("bucket").mapInArrow(meet, "x long, y long, pair boolean, n int, size long")
 
 
 def _distinct(pairs: np.ndarray) -> np.ndarray:
@@ -306,29 +316,72 @@ def _sizes_fit(percent: int):
     return F.least("x.n", "y.n").cast("long") * 100 >= F.greatest("x.n", "y.n").cast("long") * percent
 
 
+def _portions(size) -> Column:
+    return F.ceil(size / PORTION).cast("int")
+
+
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("cls"), _portions(F.col("size"))).cast("int")
+
+
+def _for_each_portion(buckets: DataFrame) -> DataFrame:
+    """One row a bucket (with ``size``) becomes one a portion of it (``salt``)."""
+    return buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), _portions(F.col("size")) - 1))).drop("size")
+
+
 def _mixed(live: DataFrame, label: DataFrame | None) -> DataFrame:
-    """The rows (bucket, cls, n, comp) of buckets whose classes are not all in one component."""
+    """The rows (bucket, salt, cls, n, size, comp) of buckets whose classes are not all in one component."""
     at = live.withColumn("comp", F.col("cls"))
     if label is not None:
-        at = live.join(label, live.cls == label.node, "left").select("bucket", "cls", "n", F.coalesce("comp", "cls").alias("comp"))
-    split = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-    return materialize(at.join(split, "bucket", "left_semi"), "mixed")
+        at = live.join(label, live.cls == label.node, "left").select("bucket", "cls", "n", "size", F.coalesce("comp", "cls").alias("comp"))
+    at = at.withColumn("salt", _salt())
+    split = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("size").alias("size")).filter("lo < hi").select("bucket", "size")
+    return materialize(at.join(_for_each_portion(split), ["bucket", "salt"], "left_semi"), "mixed")
 
 
-def _every_pair(mixed: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that share a bucket. In large buckets the fixed parity sketch's bound is part of the join itself."""
-    apart = (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp"))
-    few = mixed.filter(F.col("members") <= SMALL)
-    small = few.alias("x").join(few.alias("y"), "bucket").filter(apart & _sizes_fit(percent))
-    many = mixed.filter(F.col("members") > SMALL).join(info.select("cls", "bits"), "cls")
+def _bound(percent: int):
+    """The fixed parity sketches' lower bound of ``|A ^ B|`` allows a link."""
     far = F.lit(0)
     for k in range(FIXED_BITS // 64):
         far = far + F.bit_count(F.get("x.bits", F.lit(k)).bitwiseXOR(F.get("y.bits", F.lit(k))))
-    bound = far * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
-    on = (F.col("x.bucket") == F.col("y.bucket")) & apart & _sizes_fit(percent) & bound
-    large = many.alias("x").join(many.alias("y"), on)
+    return far * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+
+
+def _gap(n, percent: int):
+    """The most tokens by which a set of ``n`` can differ from one that it links to and that is not smaller."""
+    return F.floor((n + F.floor(n * 100 / percent)) * (100 - percent) / (100 + percent)).cast("int")
+
+
+def _outsiders(rows: DataFrame, key: str, percent: int) -> DataFrame:
+    """Pairs (x, y) of rows with one ``key`` and different components, one of which is not the key's largest component."""
+    by = rows.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("k"))
+    main = by.groupBy(key).agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select(key, "main")
+    known = rows.join(main, key)
+    once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
+    apart = (F.col("x.comp") != F.col("x.main")) & (F.col("x.comp") != F.col("y.comp")) & once
+    return known.alias("x").join(known.alias("y"), (F.col(f"x.{key}") == F.col(f"y.{key}")) & apart & _sizes_fit(percent) & _bound(percent))
+
+
+def _every_pair(mixed: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components that share a bucket and may link."""
+    apart = (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp"))
+    few = mixed.filter(F.col("size") <= SMALL)
+    small = few.alias("x").join(few.alias("y"), "bucket").filter(apart & _sizes_fit(percent))
+    many = mixed.filter(F.col("size") > SMALL).join(info.select("cls", "bits"), "cls").withColumn("gap", _gap(F.col("n"), percent))
+
+    part = lambda k: F.shiftright(F.get("bits", F.lit(k // 4)), k % 4 * 16).bitwiseAND(F.lit(0xFFFF))
+    parts_of = F.transform(F.sequence(F.lit(0), F.col("gap")), lambda k: F.xxhash64("bucket", k, F.get("part", k)))
+    cut = many.filter(F.col("gap") < PARTS).withColumn("part", F.array(*[part(k) for k in range(PARTS)]))
+    narrow = _outsiders(cut.select("cls", "n", "comp", "bits", F.explode(parts_of).alias("place")), "place", percent)
+
+    # sets of more differences than parts: each meets all portions of its bucket
+    wide = many.filter(F.col("gap") >= PARTS).withColumn("salt", F.explode(F.sequence(F.lit(0), _portions(F.col("size")) - 1)))
+    near = many.filter(_gap(F.ceil(F.col("n") * 100 / percent), percent) >= PARTS)
+    once = (F.col("y.gap") < PARTS) | (F.col("x.cls") < F.col("y.cls"))
+    on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.comp") != F.col("y.comp")) & once & _sizes_fit(percent) & _bound(percent)
+    large = wide.alias("x").join(near.alias("y"), on)
     cols = [F.struct("x.cls", "x.n").alias("x"), F.struct("y.cls", "y.n").alias("y")]
-    return small.select(*cols).unionByName(large.select(*cols))
+    return small.select(*cols).unionByName(narrow.select(*cols)).unionByName(large.select(*cols))
 
 
 def _tokens(docs: DataFrame, pairs: DataFrame, info: DataFrame, have: DataFrame | None, width: int) -> DataFrame:
@@ -357,34 +410,44 @@ def _labelled(docs: DataFrame, percent: int, width: int) -> DataFrame:
     rows = table.filter("n is not null").select("doc_id", "key", "n", "cls")
     found = table.filter("n > 0").select("doc_id", "key", "n", "cls", "sketch", "bits")
     info = found.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "key")).alias("member"), *[F.first(c).alias(c) for c in ("n", "sketch", "bits")])
+    info = materialize(info, "classes")
+    done = [info]
 
-    met = materialize(live_buckets(docs, frequent, percent, width), "buckets")
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        done.append(materialize(df, name))
+        return done[-1]
+
+    met = kept(live_buckets(docs, frequent, percent, width), "buckets")
     star = met.filter("pair").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    live = met.filter("not pair").select(F.col("x").alias("bucket"), F.col("y").alias("cls"), "n")
-    pairs = materialize(prune(star, info, percent), "pairs")
+    live = met.filter("not pair").select(F.col("x").alias("bucket"), F.col("y").alias("cls"), "n", "size")
+    pairs = kept(prune(star, info, percent), "pairs")
     sets = _tokens(docs, pairs, info, None, width)
-    links = materialize(verify(pairs, sets, percent), "links")
-    label = None if links.isEmpty() else materialize(components(links), "components")
+    links = kept(verify(pairs, sets, percent), "links")
+    label = None if links.isEmpty() else kept(components(links), "components")
 
     mixed = _mixed(live, label)
-    for turn in range(1, STAR_ROUNDS + 1):
+    done.append(mixed)
+    for last in (False, True):
         if mixed.isEmpty():
             break
-        if turn < STAR_ROUNDS:  # each class with one pivot of its bucket, of another component
-            pivot = F.min_by(F.struct("cls", "comp", "n"), F.struct("comp", F.xxhash64("cls", F.lit(turn))))
-            near = mixed.alias("x").join(mixed.groupBy("bucket").agg(pivot.alias("p")).select("bucket", "p.*").alias("y"), "bucket").filter("x.comp != y.comp")
-        else:
-            size = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"))
-            near = _every_pair(mixed.join(size, "bucket"), info, percent)
+        if last:
+            near = _every_pair(mixed, info, percent)
+        else:  # each class with one pivot of its bucket, of another component
+            pivot = F.min_by(F.struct("cls", "comp", "n"), F.struct("comp", F.xxhash64("cls", F.lit(1))))
+            pivots = _for_each_portion(mixed.groupBy("bucket").agg(pivot.alias("p"), F.first("size").alias("size"))).select("bucket", "salt", "p.*")
+            near = mixed.alias("x").join(pivots.alias("y"), ["bucket", "salt"]).filter("x.comp != y.comp")
         near = near.filter(_sizes_fit(percent)).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-        more = materialize(prune(near.join(pairs, ["a", "b"], "left_anti"), info, percent), "pairs")
+        more = kept(prune(near.join(pairs, ["a", "b"], "left_anti"), info, percent), "pairs")
+        if more.isEmpty():
+            continue
         sets = _tokens(docs, more, info, sets, width)
-        new = materialize(verify(more, sets, percent), "links")
+        new = kept(verify(more, sets, percent), "links")
         pairs, links = pairs.unionByName(more), links.unionByName(new)
         if not new.isEmpty():
-            label = materialize(components(links), "components")
-            if turn < STAR_ROUNDS:
-                mixed = _mixed(mixed.drop("comp"), label)
+            label = kept(components(links), "components")
+            if not last:
+                mixed = _mixed(mixed.drop("comp", "salt"), label)
+                done.append(mixed)
 
     if label is None:
         named = info.select("cls", F.col("cls").alias("comp"), F.col("doc_id").alias("component_id"))
@@ -393,7 +456,7 @@ def _labelled(docs: DataFrame, percent: int, width: int) -> DataFrame:
         low = by.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
         named = by.join(low, "comp").select("cls", "comp", "component_id")
     named = materialize(named, "named")
-    discard(met)
+    discard(*done)
     return rows.join(named, "cls", "left").select("doc_id", "key", "n", "comp", "component_id")
 
 

@@ -19,12 +19,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a local one only where none is configured."""
+    """The cluster's shared scratch folder; a local one only on a single machine, where none is configured."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:  # a single machine, as in tests
-        app = spark.sparkContext.applicationId
-        folder = _own.setdefault(app, "") or _own.update({app: "file://" + tempfile.mkdtemp(prefix="spark-ckpt-")}) or _own[app]
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-ckpt-")
+    return _own[app]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -96,10 +96,6 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all ``width``-word windows that stay inside their text, and the windows before each text."""
-        return combine(self.hash, self.first, tuple(range(width)))
-
 
 _Q = (0xD6E8FEB86659FD93, 0xA5A5B5C4D3E2F1A7, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 

@@ -127,3 +127,40 @@ def test_linked_sets_always_share_a_key(n):
 def test_shingles_of_a_long_text():
     t = "ab " * 200_000
     assert [len(s) for s in jj.shingle_sets(pa.array([t, None, "x"], pa.large_string()).fill_null(""))] == [1, 0, 1]
+
+
+def test_crowded_buckets(make, words, monkeypatch):
+    """Many classes that share a passage but don't link, among them links that no star finds, small and large sets."""
+    monkeypatch.setattr(jj, "SMALL", 3)
+    monkeypatch.setattr(jj, "PORTION", 16)
+    r = random.Random(11)
+    passage = words(14, 1, 60)
+    rows = []
+    for k in range(120):  # the passage is most of a text; some have a near copy
+        text = f"{passage} {words(r.randrange(8, 14), 100 + k, 200)}"
+        rows.append((len(rows), text))
+        if k % 5 == 0:
+            rows.append((len(rows), text + " end"))
+    base = words(40, 5)
+    rows += [(len(rows) + k, edited(base, 0.06, r)) for k in range(60)]  # copies of copies around the threshold
+    long = words(260, 6)
+    for k in range(40):
+        rows.append((len(rows), f"{long} {words(90 + 2 * k, 300 + k)}"))
+    got = [tuple(x) for x in jj.jaccard_components(make(rows)).collect()]
+    assert sorted(got, key=repr) == brute(rows)
+
+
+@pytest.mark.parametrize("n", [5, 40, 150, 191])
+def test_linked_sets_share_a_part_of_the_fixed_sketch(n):
+    rng = np.random.default_rng(n)
+    gap = lambda n: (n + n * 100 // 75) * 25 // 175
+    for _ in range(50):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        drop = rng.integers(0, n // 4 + 1)
+        b = np.unique(np.concatenate((a[drop:], rng.integers(0, 2**63, rng.integers(0, n // 3 + 1), dtype=np.uint64))))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 75 * (len(a) + len(b) - both):
+            most = min(gap(len(a)), gap(len(b)))
+            assert most < jj.PARTS
+            x, y = (jj.fixed_parity(s).view(np.uint16)[: most + 1] for s in (a, b))
+            assert (x == y).any()

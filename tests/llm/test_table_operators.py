@@ -56,6 +56,17 @@ def test_mixing_edges(make):
     assert {x.copies for x in sm.repetitions(make([(1, None), (2, "", "b")])).collect()} == {0}
 
 
+def test_rows_without_id_or_repeated_do_not_move_together(make):
+    r = random.Random(9)
+    rows = [(None, "w " * r.randrange(1, 50), "a") for _ in range(400)] + [(None, "same text here", "b")] * 300 + [(7, "other " * 9, "b")] * 200 + [(None, None, "b"), (k := 1, "x " * 4000, "c")]
+    got = sm.repetitions(make(rows).repartition(5)).select("_row.doc_id", "_row.source", "_row.text", F.col("size").alias("words"), "target", "copies").collect()
+    for s in "ab":
+        mine = [x for x in got if x.source == s]
+        assert abs(sum(x.words * x.copies for x in mine) - mine[0].target) <= 10
+    again = sm.repetitions(make(list(reversed(rows))).repartition(3)).select("_row.doc_id", "_row.source", "_row.text", "copies").collect()
+    assert Counter((x.doc_id, x.source, x.text, x.copies) for x in got) == Counter(map(tuple, again))
+
+
 # --- sharding ---------------------------------------------------------------
 
 
@@ -87,6 +98,14 @@ def test_shards_are_even_and_gapless(make):
     assert hs.place(make([]).drop("size")).count() == 0
 
 
+def test_a_column_named_like_an_added_one_is_replaced(make):
+    docs = make([(1, "a"), (2, "bc"), (3, None)]).withColumn("slot", F.lit("x")).withColumn("Curve", F.lit(1.5))
+    out = hs.place(docs, 2)
+    assert len({c.lower() for c in out.columns}) == len(out.columns) and {"n", "kind", "lang", "text"} <= set(out.columns)
+    assert sorted((x.doc_id, x["size"], x.slot) for x in out.select("doc_id", "size", "slot").collect())[0][:2] == (1, 9)
+    assert hs.place(docs.withColumn("text_crc32", F.lit(0)), 2).select("text_crc32").filter("text_crc32 = 0").count() == 1  # the null text's
+
+
 # --- secrets ----------------------------------------------------------------
 
 
@@ -114,6 +133,52 @@ def test_secret_scan_learns_from_labels(spark, make):
     assert ss.scan(make([])).count() == 0
 
 
+def test_candidates_equal_brute_force(make):
+    import re
+
+    r = random.Random(5)
+    k = "k" * 20
+    bits = [k, f"{k}.{k}", f"xx{k}yy.{k}", f'"{k}"', "'a1.b2!c3$'", '"short"', "/usr/lib/x86-64-linux-gnu/lib", "é", "=", "token", "a", "\n", "  ", f"{k}\t{k}", "漢字", '"un closed', "x" * 300, f"({k})"]
+    texts = ["", None, k, f"{k} {k}", "é " * 40 + k] + ["".join(r.choice(bits) + r.choice([" ", "", "\n"]) for _ in range(r.randrange(1, 25))) for _ in range(150)] + [f"{k} " * 700]
+    pattern = re.compile(ss.CANDIDATE)
+    blank = re.compile(r"[\x20\x09-\x0D]+")
+    want = Counter()
+    for d, t in enumerate(texts):
+        found = list(pattern.finditer(t or ""))
+        for i, m in enumerate(found):
+            first = found[i - 4].start() if i >= 4 else 0
+            left = blank.split(t[: m.start()])[::-1]
+            known = " " in t[first : m.start()] or "\n" in t[first : m.start()] or "\t" in t[first : m.start()] or i < 4
+            want[d, m.start(), m[0], left[0] if known else None] += 1
+    docs = make(list(enumerate(texts)))
+    got = ss.candidates(docs.select("doc_id", "text", "source")).collect()
+    assert Counter((x.doc_id, x.start, x.candidate) for x in got) == Counter((d, a, c) for d, a, c, _ in want.elements())
+    known = {(d, a): b for d, a, _, b in want if b is not None}
+    for x in got:
+        t = texts[x.doc_id]
+        if (x.doc_id, x.start) in known and len(known[x.doc_id, x.start]) < 100:
+            assert x.before == known[x.doc_id, x.start]
+    far = {x.doc_id: x for x in ss.candidates(make([(1, f'one two three four token = "{k}1" five six')])).collect()}[1]
+    assert (far.left3, far.left2, far.left1, far.before, far.right1, far.word) == ("four", "token", "=", '"', "five", f'"{k}1"')
+    bare = ss.candidates(docs.select("doc_id", "text"))
+    assert bare.count() == len(got) and bare.filter("source is not null").count() == 0
+
+
+def test_coverage_counts_letters_of_known_words(spark, make):
+    docs = make([(1, "houseXYZhouse999900 and zzqqzzqqzzqqzzqqzz")])
+    found = ss.candidates(docs).withColumn("finding", F.monotonically_increasing_id())
+    known = spark.createDataFrame([("house",), ("use",)], "entry string")
+    got = {x.candidate: x for x in ss.with_features(found, known).collect()}
+    x = got["houseXYZhouse999900"]
+    assert x.known == pytest.approx(10 / 19) and got["zzqqzzqqzzqqzzqqzz"].known == 0 and x.digits == pytest.approx(6 / 19)
+    assert len(got) == 2 and x.path_like == 0 and x.length == 19
+
+
+def test_forest_finds_held_out_secrets_without_the_name(spark):
+    got = ss.held_out(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert got["secrets"] >= 3 and got["precision"] >= 0.9 and got["recall"] >= 0.9
+
+
 # --- registered queries ------------------------------------------------------
 
 

@@ -70,6 +70,15 @@ def test_quality_statistics_and_score(spark, make, words):
     assert {r.score for r in qr.score_documents(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_scores_do_not_depend_on_the_documents_beside(spark, make, words):
+    rows = [(k, words(70 + k % 50, k) + " é" * (k % 3)) for k in range(150)]
+    labels = spark.createDataFrame([(k, 1) for k in range(40)], "doc_id long, quality int")
+    weights = qr.log_ratio(make(rows), labels)
+    together = qr._judge(pa.record_batch([pa.array([t for _, t in rows], pa.large_string())], ["text"]), weights, -0.4)["score"]
+    alone = [qr._judge(pa.record_batch([pa.array([t], pa.large_string())], ["text"]), weights, -0.4)["score"][0] for _, t in rows]
+    assert together.tolist() == alone and weights.dtype == np.int64 and abs(weights).max() < 64 * qr.SCALE
+
+
 def test_token_counts_equal_the_library(make, words):
     import public_tokenizers
     import sentencepiece
@@ -90,6 +99,62 @@ def test_token_counts_equal_the_library(make, words):
     assert tc.token_counts(make([]), model).count() == 0
 
 
+def test_token_counts_of_long_runs_nulls_and_repeats(make, words, monkeypatch):
+    """Chunk maps of texts without blanks, from every entry state that is met, and with full caches."""
+    import public_tokenizers
+    import sentencepiece
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    r = random.Random(8)
+    long = ["x" * 50_000, "ab" * 40_000, "漢字仮名" * 9_000, "".join(r.choice("etaoinshr▁\n.é漢") for _ in range(90_000)), " " * 70_000, words(9000, 2).replace(" ", "")]
+    machine = tc.Transducer(model)
+    for t in long:
+        n = len(sp.encode(t))
+        for chunk in (97, 4096, tc.CHUNK):
+            assert machine.count(t, {}, chunk) == n
+    monkeypatch.setattr(tc, "STEPS", 500)
+    assert tc.Transducer(model).count(long[3][:5000], {}, 64) == len(sp.encode(long[3][:5000]))
+    rows = [(None, long[2]), (1, long[0]), (1, long[0]), (2, None), (3, ""), (4, "a b "), (5, " a  b")]
+    got = Counter((x.doc_id, x.n_tokens) for x in tc.token_counts(make(rows), model).collect())
+    assert got == Counter((d, len(sp.encode(t or ""))) for d, t in rows)
+
+
+def test_decontamination_equals_brute_force(spark, make):
+    r = random.Random(12)
+    item = lambda n, v: " ".join(f"w{r.randrange(v)}" for _ in range(n))
+    items = [item(r.choice([4, 5, 7, 12, 15, 16, 22, 31, 40, 70]), v) for v in (3, 8, 200) for _ in range(12)]
+    docs = [item(r.randrange(1, 120), r.choice([3, 8, 200])) for _ in range(60)] + ["w1 " * 400, "W1 " * 3]
+    for t in items:  # an item with words substituted, dropped from an end, or repeated
+        w = t.split()
+        docs += [" ".join([item(4, 9), *["zz" if r.random() < p else x for x in w[r.randrange(3) :]], item(3, 9)]) for p in (0.05, 0.2, 0.3, 0.4)]
+        docs.append(f"{t} {t} {item(3, 5)} {t}")
+
+    def verdict(doc, it):
+        d, w = doc.lower().split(), it.split()
+        if len(w) < dn.LEAST:
+            return False
+        for shift in range(-len(w) + 1, len(d)):
+            lo, hi = max(0, -shift), min(len(w), len(d) - shift)
+            same = [d[shift + k] == w[k] for k in range(lo, hi)]
+            if sum(same) >= dn.SHARE * len(w) or any(sum(same[k : k + dn.WINDOW]) >= dn.AGREE for k in range(len(same) - dn.WINDOW + 1)):
+                return True
+        return False
+
+    want = {(k, i) for k, d in enumerate(docs) for i, t in enumerate(items) if verdict(d, t)}
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in dn.find(make(list(enumerate(docs))), bench).collect()} == want
+
+
+def test_a_phrase_repeated_in_both_texts_costs_its_alignments():
+    phrase = "one two three four five six seven "
+    index = dn.Index([1], [phrase * 3000])
+    words = dn.Words(pa.array([phrase * 3000 + "and then the end " + phrase * 50], pa.large_string()), lower=True)
+    held = sum(len(x[0]) for x in index.hits(words))
+    assert held < 40 * 7 * 3000  # not 21 000 places times 3 000
+    assert index.judge(pa.array([phrase * 3000], pa.large_string()))[0][2:] == (21_000, 21_000, 0)
+
+
 def test_decontamination(spark, make, words):
     items = [words(n, 100 + n, 9000) for n in (5, 6, 8, 13, 20, 40)] + ["too short", None, words(300, 5012)]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
@@ -303,3 +368,87 @@ def test_personal_data_bootstrap_finds_unseen_identifiers(make):
     by = {d: (n, s) for d, n, s in out if d is not None}
     assert by[50] == (0, "email:16:31") and by[51] == (0, "") and by[52] == (0, "")
     assert all(by[k][0] == 1 for k in range(12)) and sum(d is None for d, _, _ in out) == 2
+
+
+def brute_bootstrap(rows, rounds=3, support=5, confidence=0.9, accept=0.95):
+    """Trusted patterns and known instances of (kind or None, instance, patterns) rows, by definition."""
+    edges = {(p, i) for _, i, ps in rows for p in ps}
+    known = {}
+    for k, i, ps in rows:
+        if k is not None and ps:
+            known[i] = min(k, known.get(i, k))
+    by = {}
+    for p, i in edges:
+        by.setdefault(p, set()).add(i)
+    for turn in range(rounds):
+        patterns = {}
+        for p, ins in by.items():
+            n = Counter(known[i] for i in ins if i in known)
+            if n:
+                kind, top = min(n.items(), key=lambda x: (-x[1], x[0]))
+                if top >= support and top / len(ins) >= confidence:
+                    patterns[p] = kind, top / len(ins)
+        if turn + 1 == rounds or not patterns:
+            break
+        doubt = {}
+        for p, i in edges:
+            if p in patterns and i not in known:
+                kind, score = patterns[p]
+                doubt[i, kind] = doubt.get((i, kind), 1.0) * max(1 - score, 1e-9)
+        for (i, kind), x in doubt.items():
+            if 1 - x >= accept:
+                known[i] = min(kind, known.get(i, kind))
+    return {(p, k) for p, (k, _) in patterns.items()}, known
+
+
+def templated(r, n):
+    """Texts with identifiers in typical surroundings and in random ones, and other numbers."""
+    word = lambda: f"w{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}"
+    card = lambda: next(c for c in iter(lambda: str(r.randrange(10**15, 10**16)), "") if pd_.luhn(c))
+    make_one = [("mail me at {} or", lambda: f"u{r.randrange(10**6)}@m{r.randrange(9)}.example.com"), ("server ip {} port", lambda: ".".join(str(r.randrange(256)) for _ in range(4))), ("card number {} exp", card)]
+    out = []
+    for _ in range(n):
+        k = r.randrange(3)
+        form, value = make_one[k]
+        kind = r.random()
+        if kind < 0.6:
+            out.append(f"{word()} {word()} {form.format(value())} {word()}")
+        elif kind < 0.8:
+            out.append(f"{word()} {value()} {word()} {word()}")
+        else:
+            out.append(f"{word()} {r.randrange(9999)} {word()} version {r.randrange(9)}.{r.randrange(9)} {word()}")
+    return out
+
+
+def test_bootstrap_equals_brute_force_and_finds_hidden_seeds(spark):
+    r = random.Random(21)
+    rows, hidden = [], {}
+    for t in templated(r, 900):
+        spans = pd_.base_spans(t)
+        for a, b, k in [(a, b, k) for a, k, b in spans] + [(a, b, None) for a, b in pd_.others(t, spans)]:
+            ps = pd_.context(t, a, b)
+            if k is not None and t.find("mail me") + t.find("server ip") + t.find("card number") > -3 and r.random() < 1 / 12:
+                hidden[t[a:b]] = k
+                k = None
+            rows.append((k, t[a:b], ps))
+    code = {x: n for n, x in enumerate(sorted({x for _, i, ps in rows for x in [i, *ps]}))}
+    places = spark.createDataFrame([(k, code[i], [code[p] for p in ps]) for k, i, ps in rows], "kind int, instance long, patterns array<long>")
+    patterns, known = pd_.bootstrap(places)
+    want_p, want_k = brute_bootstrap(rows)
+    assert {(x.pattern, x.kind) for x in patterns.collect()} == {(code[p], k) for p, k in want_p}
+    got = {}
+    for x in known.collect():
+        got[x.instance] = min(x.kind, got.get(x.instance, x.kind))
+    assert got == {code[i]: k for i, k in want_k.items()}
+    seeds = {i for k, i, _ in rows if k is not None}
+    found = {i: k for i, k in want_k.items() if i not in seeds}
+    right = sum(hidden.get(i) == k for i, k in found.items())
+    assert len(hidden) > 20 and right >= 0.9 * len(hidden) and right >= 0.9 * len(found)
+
+
+def test_contexts_hold_whole_words_and_no_text_is_written(make):
+    long = "q" * 150
+    assert pd_.beside(f"a {long} x@y.zz {long}b c d", 153, 159) == (["a", long], [long + "b", "c"])
+    assert pd_.beside("x@y.zz", 0, 6) == ([], [])
+    kept = pd_.hashed(pd_.scan(make([(1, f"mail {long} a1@b2.cc now")])))
+    assert "string" not in kept.schema["places"].dataType.simpleString()
