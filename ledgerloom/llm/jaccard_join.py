@@ -24,16 +24,17 @@ How it works:
   candidates: its Hamming distance is a lower bound of ``|A ^ B|``.
 * Candidates are verified on the whole sets. In a bucket each class is first
   compared with one pivot only, so that a large group of near copies costs a
-  star, not all pairs. After such a round the classes of a bucket that are still
-  in different components meet. In a small bucket all pairs do. A crowded one is
-  re-keyed by the pigeonhole once more: of the ``PARTS`` parts of a sketch of
-  fixed length at most ``d`` differ between sets that link, so the first
-  ``d + 1`` hold an equal one; a passage in common makes a crowded bucket, but
-  hardly an equal part. Where parts are shared, only members outside the largest
-  component meet the others, and the sketch's bound is part of the join. Sets
-  too large for the parts (from 192 shingles on at 75 %) meet in blocks, by that
-  bound alone.
-* Rows of a crowded bucket carry its size and are dealt in salted portions.
+  star, not all pairs; then, for ``STARS`` rounds, with a few pivots of other
+  components. In the last round the classes of a bucket that are still in
+  different components meet: in a small bucket all of them, in a crowded one
+  those outside its largest component meet all others, and the bound of a sketch
+  of fixed length is part of the join. So a large group of copies with some
+  outsiders costs its size times the outsiders, and only pairs that may link
+  become rows. A crowded bucket is dealt in salted portions of ``PORTION`` rows,
+  of pivots and outsiders each gets a copy.
+
+A bucket of k classes that don't link still takes k * k / 2 comparisons of two
+fixed sketches, spread over k / ``PORTION`` tasks.
 
 Defined results: text null, empty or without words: ``n_shingles`` 0 and
 ``component_id`` its own ``doc_id``; fewer words than ``width``: the whole
@@ -59,11 +60,11 @@ PERCENT = 75
 WIDTH = 5
 #: Frequent shingles kept to order segments: 8 bytes each, so the broadcast stays under 0.2 MB.
 FREQUENT = 20_000
-#: Buckets of at most so many classes give all their pairs in the last round, so pairs stay in proportion to rows; larger ones are re-keyed. It decides the cost, never the result.
+#: Rounds in which a class meets a pivot in each of its buckets; buckets choose among PIVOTS of them.
+STARS, PIVOTS = 2, 4
+#: Buckets of at most so many classes give all their pairs in the last round, so pairs stay in proportion to rows; larger ones only those that pass the fixed sketch. It decides the cost, never the result.
 SMALL = 16
 FIXED_BITS = 1024
-#: Parts of the fixed sketch, 16 bits each.
-PARTS = FIXED_BITS // 16
 #: Rows of a crowded bucket in one portion.
 PORTION = 512
 #: Tokens (or pairs) held by a task before it counts (or merges) them.
@@ -347,41 +348,22 @@ def _bound(percent: int):
     return far * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
 
 
-def _gap(n, percent: int):
-    """The most tokens by which a set of ``n`` can differ from one that it links to and that is not smaller."""
-    return F.floor((n + F.floor(n * 100 / percent)) * (100 - percent) / (100 + percent)).cast("int")
-
-
-def _outsiders(rows: DataFrame, key: str, percent: int) -> DataFrame:
-    """Pairs (x, y) of rows with one ``key`` and different components, one of which is not the key's largest component."""
-    by = rows.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("k"))
-    main = by.groupBy(key).agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select(key, "main")
-    known = rows.join(main, key)
-    once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
-    apart = (F.col("x.comp") != F.col("x.main")) & (F.col("x.comp") != F.col("y.comp")) & once
-    return known.alias("x").join(known.alias("y"), (F.col(f"x.{key}") == F.col(f"y.{key}")) & apart & _sizes_fit(percent) & _bound(percent))
-
-
 def _every_pair(mixed: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components that share a bucket and may link."""
     apart = (F.col("x.cls") < F.col("y.cls")) & (F.col("x.comp") != F.col("y.comp"))
     few = mixed.filter(F.col("size") <= SMALL)
     small = few.alias("x").join(few.alias("y"), "bucket").filter(apart & _sizes_fit(percent))
-    many = mixed.filter(F.col("size") > SMALL).join(info.select("cls", "bits"), "cls").withColumn("gap", _gap(F.col("n"), percent))
-
-    part = lambda k: F.shiftright(F.get("bits", F.lit(k // 4)), k % 4 * 16).bitwiseAND(F.lit(0xFFFF))
-    parts_of = F.transform(F.sequence(F.lit(0), F.col("gap")), lambda k: F.xxhash64("bucket", k, F.get("part", k)))
-    cut = many.filter(F.col("gap") < PARTS).withColumn("part", F.array(*[part(k) for k in range(PARTS)]))
-    narrow = _outsiders(cut.select("cls", "n", "comp", "bits", F.explode(parts_of).alias("place")), "place", percent)
 
-    # sets of more differences than parts: each meets all portions of its bucket
-    wide = many.filter(F.col("gap") >= PARTS).withColumn("salt", F.explode(F.sequence(F.lit(0), _portions(F.col("size")) - 1)))
-    near = many.filter(_gap(F.ceil(F.col("n") * 100 / percent), percent) >= PARTS)
-    once = (F.col("y.gap") < PARTS) | (F.col("x.cls") < F.col("y.cls"))
+    many = mixed.filter(F.col("size") > SMALL)
+    by = many.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"), F.first("size").alias("size"))
+    main = by.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.first("size").alias("size"))
+    many = many.join(_for_each_portion(main), ["bucket", "salt"]).join(info.select("cls", "bits"), "cls")
+    outside = _for_each_portion(many.filter("comp != main").drop("salt"))
+    once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.cls") < F.col("y.cls"))
     on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.comp") != F.col("y.comp")) & once & _sizes_fit(percent) & _bound(percent)
-    large = wide.alias("x").join(near.alias("y"), on)
+    large = outside.alias("x").join(many.alias("y"), on)
     cols = [F.struct("x.cls", "x.n").alias("x"), F.struct("y.cls", "y.n").alias("y")]
-    return small.select(*cols).unionByName(narrow.select(*cols)).unionByName(large.select(*cols))
+    return small.select(*cols).unionByName(large.select(*cols))
 
 
 def _tokens(docs: DataFrame, pairs: DataFrame, info: DataFrame, have: DataFrame | None, width: int) -> DataFrame:
@@ -427,13 +409,14 @@ def _labelled(docs: DataFrame, percent: int, width: int) -> DataFrame:
 
     mixed = _mixed(live, label)
     done.append(mixed)
-    for last in (False, True):
+    for turn in range(STARS + 1):
+        last = turn == STARS
         if mixed.isEmpty():
             break
         if last:
             near = _every_pair(mixed, info, percent)
-        else:  # each class with one pivot of its bucket, of another component
-            pivot = F.min_by(F.struct("cls", "comp", "n"), F.struct("comp", F.xxhash64("cls", F.lit(1))))
+        else:  # each class with a pivot of its bucket, of another component
+            pivot = F.min_by(F.struct("cls", "comp", "n"), F.struct("comp", F.xxhash64("cls", F.lit(turn), F.pmod("bucket", F.lit(PIVOTS)))))
             pivots = _for_each_portion(mixed.groupBy("bucket").agg(pivot.alias("p"), F.first("size").alias("size"))).select("bucket", "salt", "p.*")
             near = mixed.alias("x").join(pivots.alias("y"), ["bucket", "salt"]).filter("x.comp != y.comp")
         near = near.filter(_sizes_fit(percent)).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()

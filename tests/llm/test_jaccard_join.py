@@ -148,19 +148,3 @@ def test_crowded_buckets(make, words, monkeypatch):
         rows.append((len(rows), f"{long} {words(90 + 2 * k, 300 + k)}"))
     got = [tuple(x) for x in jj.jaccard_components(make(rows)).collect()]
     assert sorted(got, key=repr) == brute(rows)
-
-
-@pytest.mark.parametrize("n", [5, 40, 150, 191])
-def test_linked_sets_share_a_part_of_the_fixed_sketch(n):
-    rng = np.random.default_rng(n)
-    gap = lambda n: (n + n * 100 // 75) * 25 // 175
-    for _ in range(50):
-        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
-        drop = rng.integers(0, n // 4 + 1)
-        b = np.unique(np.concatenate((a[drop:], rng.integers(0, 2**63, rng.integers(0, n // 3 + 1), dtype=np.uint64))))
-        both = len(np.intersect1d(a, b))
-        if 100 * both >= 75 * (len(a) + len(b) - both):
-            most = min(gap(len(a)), gap(len(b)))
-            assert most < jj.PARTS
-            x, y = (jj.fixed_parity(s).view(np.uint16)[: most + 1] for s in (a, b))
-            assert (x == y).any()
