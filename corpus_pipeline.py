@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontamination, hilbert_shards, jaccard_join, quality_rules, source_mixing
-from ledgerloom.llm.shared import materialize, read_table
+from ledgerloom.llm.shared import discard, materialize, read_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +54,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)  # nothing but for tables of this pipeline
     out = STAGES[-1][1](spark, docs, sf_dir)
     return out.select([F.col(f"`{c}`") for c in out.columns])
