@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.money import VENUES, cyclic_hour, one_hot
+from ..functions.money import VENUES, cyclic_hour, one_hot, venue_name
 from ..sources.bindings import DAY, HOUR
 from .timeops import asof_backward, asof_forward
 
@@ -20,12 +20,12 @@ def trade_profit(trades: DataFrame, closed: DataFrame, history: DataFrame, token
     buys = trades.filter((F.col("side") == "buy") & (F.col("quote_kind") == "wsol") & (F.col("us") >= now - window)).select("event_id", "us", "wallet", "token", "quote", "venue")
     labelled = asof_forward(buys, closed, ["wallet", "token"], "us", "closed_us", ["closed_us", "pnl"], horizon=horizon, tie=["episode"], prefix="real_").filter("real_closed_us is not null")
     seen = asof_backward(labelled, history, ["wallet"], "us", "ts", ["wallet_trades", "wallet_win_rate"])
-    aged = seen.join(F.broadcast(tokens.select("token", "first_seen")), "token", "left")
+    aged = seen.join(tokens.select("token", "first_seen"), "token", "left")
     minute = F.floor(F.pmod(F.col("us"), F.lit(DAY)) / (HOUR // 60))
     s, c = cyclic_hour(F.floor(minute / 60), minute % 60)
     return aged.select(
         "event_id", "us", (F.coalesce("real_pnl", F.lit(0.0)) > 0).cast("int").alias("label"), F.col("quote").alias("size"), ((F.col("us") - F.col("first_seen")) / 1e6).alias("age_s"),
-        "wallet_trades", "wallet_win_rate", s.alias("hour_sin"), c.alias("hour_cos"), *one_hot(F.col("venue"), VENUES),
+        "wallet_trades", "wallet_win_rate", s.alias("hour_sin"), c.alias("hour_cos"), *one_hot(venue_name(F.col("venue")), VENUES),
     )
 
 
@@ -79,14 +79,15 @@ def walk_forward(data: DataFrame, features: list[str], least: int = 500, seed: i
 
 
 def promote(registry: DataFrame) -> DataFrame:
-    """Registry rows (version, auc) in order: a version becomes active if none is, or its AUC is strictly better than the active one's; a missing metric never replaces one."""
+    """Registry rows (version, auc) in order: a version becomes active if none is, or its AUC is strictly better than the active one's, or the active one has none; a missing metric never replaces one."""
     w = Window.orderBy("version").rowsBetween(Window.unboundedPreceding, -1)  # a row a trained model
     best = F.max("auc").over(w)
     first = F.row_number().over(Window.orderBy("version")) == 1
-    took = first | (F.coalesce(best.isNotNull() & (F.col("auc") > best), F.lit(False))) | (best.isNull() & F.col("auc").isNotNull() & ~first & F.lit(False))
+    # the active one's metric is the best so far: a better one was always promoted, one without a metric never
+    took = first | (F.col("auc").isNotNull() & (best.isNull() | (F.col("auc") > best)))
     marked = registry.withColumn("promoted", took)
     last = marked.agg(F.max(F.when(F.col("promoted"), F.col("version"))).alias("active"))
-    return marked.crossJoin(F.broadcast(last)).withColumn("is_active", F.col("version") == F.col("active")).drop("active")
+    return marked.crossJoin(last).withColumn("is_active", F.col("version") == F.col("active")).drop("active")
 
 
 def score(rows: DataFrame, trained: dict) -> DataFrame:

@@ -186,3 +186,92 @@ def test_raw_documents(spark, tmp_path):
         (tmp_path / f"{i}.json").write_text(json.dumps(d))
     got = {(r.signature, r.mint[0], r.side, round(r.token_amount, 6), r.quote_mint[:4], round(r.quote_amount, 6)) for r in rx.infer_swaps(rx.read_documents(spark, str(tmp_path))).collect()}
     assert got == {("wsol", "M", "buy", 3000, "So11", 1.5), ("native", "M", "sell", 5000, "So11", 0.2), ("stable", "M", "buy", 7, "EPjF", 9), ("swap", "M", "sell", 4, "NNNN", 6), ("swap", "N", "buy", 6, "MMMM", 4)}
+
+
+def test_promotion_of_a_metric_over_none(spark):
+    from ledgerloom.operators import datasets as ds
+
+    rows = [(1, None), (2, 0.6), (3, None), (4, 0.55), (5, 0.6), (6, 0.61)]
+    got = {r.version: (r.promoted, r.is_active) for r in ds.promote(spark.createDataFrame(rows, "version long, auc double")).collect()}
+    assert got == {1: (True, False), 2: (True, False), 3: (False, False), 4: (False, False), 5: (False, False), 6: (True, True)}
+
+
+def test_rails_block_and_fail_closed(spark):
+    ledger = spark.createDataFrame([(k, 0, 0.0) for k in range(6)] + [(6, 10, 2.0)], "wallet long, open_n long, exposure double")
+    streaks = spark.createDataFrame([(0, 0), (1, 5), (2, None)], "wallet long, streak long")
+    daily = spark.createDataFrame([(0, 0.0), (3, -1.0), (4, None)], "wallet long, daily_pnl double")
+    cooling = spark.createDataFrame([(5,)], "wallet long")
+    got = {r.wallet: r.reasons for r in dc.rails(ledger, streaks, daily, cooling).collect()}
+    assert got == {0: [], 1: ["failures"], 2: ["unreadable"], 3: ["daily_loss"], 4: ["unreadable"], 5: ["cooldown"], 6: ["max_open", "max_exposure"]}
+    assert all(r.reasons[0] == "emergency_stop" for r in dc.rails(ledger, streaks, daily, stopped=True).collect())
+
+
+def test_labels_equal_the_fold(spark):
+    import random
+
+    r = random.Random(4)
+    pct = [None] + [r.choice([None, 4.0, 3.5, 2.5, 2.1, 2.0, 1.0, 0.0, -2.0, -2.5, -3.0, -3.5, 3.0]) for _ in range(400)]
+    want, label = [], "sideways"
+    for p in pct:
+        label = "sideways" if p is None else "bull" if p > 3 or (label == "bull" and p > 2) else "bear" if p < -3 or (label == "bear" and p < -2) else "sideways"
+        want.append(label)
+    got = rg.label_timeline(spark.createDataFrame(list(enumerate(pct)), "window_index long, pct double")).orderBy("window_index").collect()
+    assert [x.label for x in got] == want
+
+
+def test_timeline_join_equals_brute_force(spark):
+    import random
+
+    r = random.Random(5)
+    line = sorted(r.sample(range(1000), 30)) + [50_000]
+    left = [r.randrange(-50, 60_000) for _ in range(200)] + line
+    want = [max((t for t in line if t <= x), default=-1) for x in left]
+    spans = spark.createDataFrame([(t, t) for t in line], "at long, label long")
+    got = tm.asof_timeline(spark.createDataFrame(list(enumerate(left)), "id long, t long"), spans, "t", "at", ["label"], {"label": -1}).orderBy("id").collect()
+    assert [x.label for x in got] == want
+    assert tm.asof_timeline(spark.range(3).withColumn("t", F.col("id")), spans.limit(0), "t", "at", ["label"]).count() == 3
+
+
+def test_pairs_that_share_tokens_equal_brute_force(spark):
+    import random
+
+    r = random.Random(6)
+    held = {w: {0} | set(r.sample(range(25), r.randrange(1, 12))) for w in range(40)}  # everybody holds token 0
+    rows = spark.createDataFrame([(w, t) for w, ts in held.items() for t in ts], "wallet long, token long")
+    for least in (1, 2, 4):
+        want = {(a, b, len(held[a] & held[b])) for a in held for b in held if a != b and len(held[a] & held[b]) >= least}
+        assert {tuple(x) for x in vt.sharing(rows, rows, least).collect()} == want
+
+
+def test_a_stream_in_any_order_folds_by_event_time(spark, tmp_path):
+    """The sell's file comes before the buy's; a row far behind the newest is reported."""
+    from ledgerloom.streaming import jobs as st
+
+    schema = "ts timestamp, us long, event_id long, wallet long, token long, side string, amount double, sol double"
+    files = [[(2 * 60, 2, "sell", 10.0, 30.0)], [(60, 1, "buy", 10.0, 10.0)], [(7200, 4, "buy", 5.0, 5.0)], [(300, 3, "buy", 1.0, 1.0)]]
+    folder = str(tmp_path / "in")
+    for k, rows in enumerate(files):
+        made = spark.createDataFrame([(t * S, i, 1, 1, side, a, q) for t, i, side, a, q in rows], "us long, event_id long, wallet long, token long, side string, amount double, sol double")
+        made.withColumn("ts", F.timestamp_micros("us")).select(*[c.split()[0] for c in schema.split(", ")]).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    got, late = st.in_order(stream, lambda rows: ps.fold_positions(rows, ["event_id"]))
+    p = got.orderBy("episode").collect()
+    assert [(x.status, x.pnl) for x in p] == [("closed", 20.0), ("open", 0.0)]
+    assert {x.event_id for x in late.collect()} <= {1, 2, 3} and p[1].trades == 2
+
+
+def test_failed_rows_are_tried_again(spark):
+    from ledgerloom.streaming import jobs as st
+
+    rows = spark.range(8)
+    done, again, dead = st.bounded_attempts(rows.withColumn("attempt", F.lit(3)), lambda r: r.withColumn("ok", F.col("id") < 3))
+    assert (done.count(), again.count(), dead.count()) == (3, 5, 0)
+    out = {x.id: (x.attempt, x.done) for x in st.retried(rows, lambda r: r.withColumn("ok", F.col("attempt") >= F.col("id"))).collect()}
+    assert out == {**{k: (k + 1, True) for k in range(5)}, 5: (5, False), 6: (5, False), 7: (5, False)}
+
+
+def test_names_are_numbered_over_slices(spark, monkeypatch):
+    monkeypatch.setattr(money, "SLICE", 3)
+    rows = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(20)], "k long, name string")
+    got = [x.name for x in money.dedupe_names(rows, "name", "k").orderBy("k").collect()]
+    assert got == [f"{'ab'[k % 2]}" + (f"-{k // 2 + 1}" if k > 1 else "") for k in range(20)]
