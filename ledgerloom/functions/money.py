@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Numbers in a slice of ``dedupe_names``.
+SLICE = 100_000
+
 # Upper bounds in seconds, in order; the last bucket is open.
 ENTRY_DELAY = [("<1m", 60), ("1-10m", 600), ("10-60m", 3600), ("1-6h", 21600), ("6-24h", 86400), (">24h", None)]
 HOLD_TIME = [("<5m", 300), ("5-30m", 1800), ("30m-4h", 14400), ("4-24h", 86400), (">24h", None)]
-VENUES = ["raydium", "pumpfun", "pumpswap", "orca", "meteora", "jupiter", "lifinity", "phoenix"]
+# The venues, in order.
+VENUES = ["pumpfun", "pumpswap", "raydium_amm", "raydium_clmm", "raydium_cpmm", "orca_whirlpool", "jupiter", "unknown"]
 
 
 def price_quote(token: Column, quote: Column) -> Column:
@@ -73,6 +77,11 @@ def one_hot(value: Column, choices: list[str]) -> list[Column]:
     return [(value == c).cast("double").alias(f"is_{c}") for c in choices]
 
 
+def venue_name(short: Column) -> Column:
+    """The venue that a short name stands for; itself if it is one, else ``unknown``."""
+    return F.when(short == "raydium", "raydium_amm").when(short == "orca", "orca_whirlpool").when(short.isin(*VENUES), short).otherwise("unknown")
+
+
 def log_feature(x: Column) -> Column:
     return F.when(x >= 0, F.log1p(x))
 
@@ -82,9 +91,18 @@ def base_style(name: Column) -> Column:
 
 
 def dedupe_names(df: DataFrame, name: str, order: str) -> DataFrame:
-    """Second and later rows of a name get ``-2``, ``-3`` and so on."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    return df.withColumn(name, F.when(n > 1, F.concat_ws("-", name, n.cast("string"))).otherwise(F.col(name)))
+    """Second and later rows of a name get ``-2``, ``-3`` and so on, in the order of the number ``order``.
+
+    Rows are numbered inside slices of ``SLICE`` numbers, and slices by their counts, so a name of any number of rows is dealt over many tasks.
+    """
+    df = df.withColumn("_slice", F.floor(F.col(order) / SLICE))
+    before = Window.partitionBy(name).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    base = df.groupBy(name, "_slice").agg(F.count(F.lit(1)).alias("_n")).select(name, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    df = df.withColumn("_rn", F.row_number().over(Window.partitionBy(name, "_slice").orderBy(order))).join(base, [name, "_slice"])
+    n = F.col("_base") + F.col("_rn")
+    df = df.withColumn("_nr", n).drop("_slice", "_rn", "_base")
+    n = F.col("_nr")
+    return df.withColumn(name, F.when(n > 1, F.concat_ws("-", name, n.cast("string"))).otherwise(F.col(name))).drop("_nr")
 
 
 def valid_address(x: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import copy_size, scale
-from ..sources.bindings import DAY
+from ..sources.bindings import DAY, HOUR
 
 # Thresholds of alerts.
 STALL_MIN, FAILED_RATIO, LOSS_SHARE, AUC_FLOOR, REGIME_MIN = 15.0, 0.5, 0.8, 0.55, 120.0
@@ -35,11 +35,20 @@ def failure_streak(attempts: DataFrame, key: str, order: list[str]) -> DataFrame
 
 def daily_loss(rows: DataFrame, time: str, pnl: str, order: list[str], limit: float) -> DataFrame:
     """PnL of each UTC day, and when its running sum first reached the loss limit."""
-    day = rows.withColumn("day", F.floor(F.col(time) / DAY))
-    running = day.withColumn("running", F.sum(pnl).over(Window.partitionBy("day").orderBy(*order)))
+    day = rows.withColumn("day", F.floor(F.col(time) / DAY)).withColumn("hour", F.floor(F.col(time) / HOUR))
+    # hours first, so that no task orders a whole day
+    before = Window.partitionBy("day").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = day.groupBy("day", "hour").agg(F.sum(pnl).alias("_h")).select("day", "hour", F.coalesce(F.sum("_h").over(before), F.lit(0)).alias("_before"))
+    inside = F.sum(pnl).over(Window.partitionBy("day", "hour").orderBy(*order))
+    running = day.withColumn("_inside", inside).join(hours, ["day", "hour"]).withColumn("running", F.col("_before") + F.col("_inside"))
     return running.groupBy("day").agg(F.sum(pnl).cast("double").alias("pnl"), F.min(F.when(F.col("running") <= -limit, F.col(time))).alias("tripped_us"))
 
 
+def market_moves(returns: DataFrame, least: float = 5.0) -> DataFrame:
+    """Alerts of windows whose price moved by ``least`` percent or more, up or down."""
+    return returns.filter(F.abs("pct") >= least).withColumn("name", F.lit("large_market_move"))
+
+
 def cooldown(buys: DataFrame, key: str, seconds: int, order: list[str]) -> DataFrame:
     """``allowed`` for each buy: none within ``seconds`` of the last allowed one. A suppressed buy doesn't restart the clock, so the state runs along the sorted rows of a key; a task holds one number."""
     wait = seconds * 1_000_000
@@ -60,12 +69,18 @@ def cooldown(buys: DataFrame, key: str, seconds: int, order: list[str]) -> DataF
     return dealt.mapInPandas(run, slim.schema.add("allowed", "boolean"))
 
 
-def rails(ledger: DataFrame, streaks: DataFrame, daily: DataFrame, max_open: int = 10, max_exposure: float = 2.0, max_failures: int = 5, daily_limit: float = 1.0) -> DataFrame:
-    """Blocking reasons of each wallet's ledger: (wallet, reasons)."""
-    j = ledger.join(streaks, "wallet", "left").join(daily, "wallet", "left")
+def rails(ledger: DataFrame, streaks: DataFrame, daily: DataFrame, cooling: DataFrame | None = None, stopped: bool = False, max_open: int = 10, max_exposure: float = 2.0, max_failures: int = 5, daily_limit: float = 1.0) -> DataFrame:
+    """Blocking reasons of each wallet's ledger: (wallet, reasons). ``cooling``: wallets in cooldown; ``stopped``: the emergency stop. State that can't be read (a null streak or daily PnL) blocks."""
+    j = ledger.join(streaks.withColumn("_s", F.lit(True)), "wallet", "left").join(daily.withColumn("_d", F.lit(True)), "wallet", "left")
+    cool = cooling.select("wallet").distinct().withColumn("_cool", F.lit(True)) if cooling is not None else ledger.select("wallet", F.lit(False).alias("_cool"))
+    j = j.join(cool, "wallet", "left")
+    unread = (F.col("_s").isNotNull() & F.col("streak").isNull()) | (F.col("_d").isNotNull() & F.col("daily_pnl").isNull())
     reasons = F.array_compact(F.array(
+        F.when(F.lit(stopped), "emergency_stop"),
+        F.when(F.col("_cool"), "cooldown"),
         F.when(F.col("streak") >= max_failures, "failures"),
         F.when(F.col("daily_pnl") <= -daily_limit, "daily_loss"),
+        F.when(unread, "unreadable"),
         F.when(F.col("open_n") >= max_open, "max_open"),
         F.when(F.col("exposure") >= max_exposure, "max_exposure"),
     ))

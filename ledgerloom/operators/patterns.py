@@ -37,7 +37,7 @@ def hour_of_day(closed: DataFrame, min_evidence: int = 30) -> DataFrame:
 
 
 def entry_delay(closed: DataFrame, tokens: DataFrame, min_evidence: int = 30) -> DataFrame:
-    seen = closed.join(F.broadcast(tokens.select("token", "first_seen")), "token")
+    seen = closed.join(tokens.select("token", "first_seen"), "token")
     delay = F.greatest((F.col("opened_us") - F.col("first_seen")) / 1e6, F.lit(0.0))
     return _findings(seen, bucket_label(delay, ENTRY_DELAY), "entry_delay", min_evidence, "entry delay")
 
@@ -74,7 +74,7 @@ def net_flow(trades: DataFrame, keys: list[str]) -> DataFrame:
 def whale_flow(closed: DataFrame, trades: DataFrame, now: int, hours: int = 24, top: int = 10, min_evidence: int = 30) -> DataFrame:
     """Net flow of whales into each token; the cut to the largest comes before the evidence filter."""
     recent = trades.filter((F.col("quote_kind") == "wsol") & (F.col("us") >= now - hours * HOUR))
-    flow = net_flow(recent.join(F.broadcast(whales(closed).select("wallet")), "wallet", "left_semi"), ["token"])
+    flow = net_flow(recent.join(whales(closed).select("wallet"), "wallet", "left_semi"), ["token"])
     return flow.orderBy(F.desc(F.abs("net_flow")), "token").limit(top).filter(F.col("n") >= min_evidence)
 
 

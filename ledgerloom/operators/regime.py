@@ -35,12 +35,20 @@ def trend_label(pct: Column, previous: Column) -> Column:
 
 
 def label_timeline(changes: DataFrame, time: str = "window_index", pct: str = "pct") -> DataFrame:
-    """Labels along a whole timeline, each with hysteresis against the one before: a fold over the ordered windows (a row a window)."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(pct).alias("p"))))
-    start = F.expr("cast(array() as array<struct<t:bigint,p:double,label:string>>)")
-    step = lambda acc, x: F.concat(acc, F.array(F.struct(x["t"].cast("long").alias("t"), x["p"].cast("double").alias("p"), trend_label(x["p"], F.element_at(F.concat(F.array(F.struct(F.lit(0).cast("long").alias("t"), F.lit(0.0).alias("p"), F.lit("sideways").alias("label"))), acc), -1)["label"]).alias("label"))))
-    folded = changes.agg(F.aggregate(ordered, start, step).alias("a"))
-    return folded.select(F.explode("a").alias("r")).select(F.col("r.t").alias(time), F.col("r.p").alias(pct), F.col("r.label").alias("label"))
+    """Labels along a timeline (a row a window), each with hysteresis against the one before.
+
+    Only a change between the sticky and the full threshold looks back. Such rows keep the last label set without looking
+    back as long as all since then lie in its zone; one outside it makes the rest sideways. So windows express the fold.
+    """
+    p = F.col(pct)
+    zone = F.when((p <= BULL) & (p > BULL - STICKY), 1).when((p >= BEAR) & (p < BEAR + STICKY), -1).otherwise(0)
+    w = Window.orderBy(time)
+    rows = changes.select(time, pct, zone.alias("_zone")).withColumn("_set", F.when(F.col("_zone") == 0, trend_label(p, F.lit(None).cast("string"))))
+    rows = rows.withColumn("_held", F.last("_set", ignorenulls=True).over(w)).withColumn("_run", F.count("_set").over(w))
+    since = Window.partitionBy("_run").orderBy(time)
+    rows = rows.withColumn("_low", F.min("_zone").over(since)).withColumn("_high", F.max("_zone").over(since))
+    keeps = ((F.col("_held") == "bull") & (F.col("_low") >= 0)) | ((F.col("_held") == "bear") & (F.col("_high") <= 0))
+    return rows.select(time, pct, F.coalesce("_set", F.when(keeps, F.col("_held")), F.lit("sideways")).alias("label"))
 
 
 def _series(market: DataFrame, now: int, width: int, lookback: int) -> DataFrame:
@@ -66,6 +74,11 @@ def _pstdev(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda x, y: x + (y - mean) * (y - mean)) / F.when(n > 0, n))
 
 
+def panic(buys: Column, sells: Column, pct: Column, ratio: float = PANIC_RATIO) -> Column:
+    """Many trades, far more sells than buys, and a falling price."""
+    return (buys + sells >= PANIC_MIN) & (sells > ratio * F.greatest(buys, F.lit(1))) & (pct < 0)
+
+
 def detect(market: DataFrame, liquidity: DataFrame, trades: DataFrame, now: int, previous: str | None = None, width: int = HOUR, lookback: int = 24) -> DataFrame:
     """One row: regime, six flags and the numbers behind them. ``liquidity``: (token, ts, liquidity); ``trades``: WSOL-quoted (wallet, us, side, quote)."""
     start = now - width * lookback
@@ -100,7 +113,7 @@ def detect(market: DataFrame, liquidity: DataFrame, trades: DataFrame, now: int,
         "high_volatility": F.col("return_stdev") > HIGH_VOL,
         "low_liquidity": F.coalesce(F.col("median_liquidity") < THIN, F.lit(False)) | F.coalesce((_median(F.col("volumes")) > 0) & (volume < COLLAPSE * _median(F.col("volumes"))), F.lit(False)),
         "whale_accumulation": (F.col("whale_population") >= WHALE_MIN) & (F.col("whale_net") > WHALE_FLOW),
-        "panic_selling": (F.col("buys") + F.col("sells") >= PANIC_MIN) & (F.col("sells") > PANIC_RATIO * F.greatest(F.col("buys"), F.lit(1))) & (F.col("last_pct") < 0),
+        "panic_selling": panic(F.col("buys"), F.col("sells"), F.col("last_pct")),
         "launch_wave": (launch >= WAVE_MIN) & (launch >= WAVE_MULT * F.greatest(_median(F.col("launches")), F.lit(1e-9))),
         "trend_exhaustion": (F.abs("tail_price") >= EXHAUST_MIN) & (F.abs("momentum") >= EXHAUST_MIN) & ((F.col("tail_price") > 0) != (F.col("momentum") > 0)),
     }

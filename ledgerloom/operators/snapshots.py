@@ -25,7 +25,7 @@ def token_snapshot(trades: DataFrame, tokens: DataFrame, now: int, sol_price: fl
     )
     if active:
         s = s.orderBy(F.desc("trades_24h"), "token").limit(active)
-    out = s.join(F.broadcast(tokens.select("token", "supply")), "token", "left")
+    out = s.join(tokens.select("token", "supply"), "token", "left")
     return out.withColumn("market_cap_usd", F.col("price") * sol_price * F.col("supply")).drop("supply")
 
 
@@ -73,7 +73,7 @@ def holder_concentration(accounts: DataFrame, vaults: DataFrame, supply: DataFra
     held = accounts.join(vaults.select("owner"), "owner", "left_anti").filter("amount > 0")
     n = held.groupBy("mint").agg(F.count(F.lit(1)).alias("holders"))
     best = latest_per_key(held, ["mint"], [F.desc("amount"), F.col("owner")], top).groupBy("mint").agg(F.sum("amount").alias("top_amount"))
-    return n.join(best, "mint").join(F.broadcast(supply), "mint", "left").select("mint", "holders", F.try_divide("top_amount", "supply").alias("top_share"))
+    return n.join(best, "mint").join(supply, "mint", "left").select("mint", "holders", F.try_divide("top_amount", "supply").alias("top_share"))
 
 
 def lp_burned(accounts: DataFrame, burn_owners: list) -> DataFrame:

@@ -39,11 +39,17 @@ def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], left_time:
 
 
 def asof_timeline(left: DataFrame, timeline: DataFrame, left_time: str, time: str, payload: list[str], default: dict[str, object] | None = None) -> DataFrame:
-    """As-of join without a key to a small timeline: its rows become intervals, and the range join carries them to ``left``."""
-    w = Window.orderBy(time)  # the timeline is small: a row a regime or a price
+    """As-of join without a key to a timeline: its rows become intervals, which stand under every step of time that they touch, about two each; a row of ``left`` meets those of its own step."""
+    w = Window.orderBy(time)  # a row a regime or a price
     spans = timeline.select(F.col(time).alias("_from"), F.lead(time).over(w).alias("_to"), *payload)
-    cond = (F.col(left_time) >= F.col("_from")) & (F.col("_to").isNull() | (F.col(left_time) < F.col("_to")))
-    out = left.join(F.broadcast(spans), cond, "left").drop("_from", "_to")
+    ends = timeline.agg(F.min(time).alias("lo"), F.max(time).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    lo, n = ends.lo or 0, max(ends.n, 1)
+    width = max(1, -(-((ends.hi or 0) - lo + 1) // n))
+    step = lambda t: F.least(F.greatest(F.floor((t - lo) / width), F.lit(0)), F.lit(n)).cast("long")
+    last = F.when(F.col("_to").isNull(), F.lit(n).cast("long")).otherwise(step(F.col("_to") - 1))
+    spans = spans.withColumn("_step", F.explode(F.sequence(step(F.col("_from")), F.greatest(last, step(F.col("_from"))))))
+    cond = (F.col("_mine") == F.col("_step")) & (F.col(left_time) >= F.col("_from")) & (F.col("_to").isNull() | (F.col(left_time) < F.col("_to")))
+    out = left.withColumn("_mine", step(F.col(left_time))).join(spans, cond, "left").drop("_from", "_to", "_mine", "_step")
     for c, v in (default or {}).items():
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
     return out

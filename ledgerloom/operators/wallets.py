@@ -33,7 +33,7 @@ def position_stats(positions: DataFrame, tokens: DataFrame, now: int) -> DataFra
     have = F.count_if(closed) > 0
     since = lambda days: F.when(have, F.sum(F.when(closed & (F.col("closed_us") >= now - days * DAY), pnl).otherwise(0.0)))
     rois = F.when(closed, F.col("roi"))
-    return positions.join(F.broadcast(tokens.select("token", "first_seen")), "token", "left").groupBy("wallet").agg(
+    return positions.join(tokens.select("token", "first_seen"), "token", "left").groupBy("wallet").agg(
         F.count(F.lit(1)).alias("position_count"),
         F.count_if(closed).alias("closed_position_count"),
         F.count_if(closed & (pnl > 0)).alias("win_count"),
@@ -55,13 +55,13 @@ def position_stats(positions: DataFrame, tokens: DataFrame, now: int) -> DataFra
 
 def sells_by_episode(positions: DataFrame, trades: DataFrame) -> DataFrame:
     """Sells of each closed episode; a sell on a shared border counts to the earliest episode that holds it."""
-    from pyspark.sql import Window
+    from .timeops import asof_forward
 
     closed = positions.filter("status = 'closed'").select("wallet", "token", "episode", "opened_us", "closed_us")
-    sells = trades.filter("side = 'sell'").select("wallet", "token", "us", "event_id")
-    held = sells.join(closed, ["wallet", "token"]).filter("us between opened_us and closed_us")
-    first = held.withColumn("_n", F.row_number().over(Window.partitionBy("event_id").orderBy("opened_us", "episode"))).filter("_n = 1")
-    return first.groupBy("wallet", "token", "episode").agg(F.count(F.lit(1)).alias("n_sells"))
+    sells = trades.filter("side = 'sell'").select("wallet", "token", "us", "event_id", (F.col("us") - 1).alias("probe"))
+    # episodes of a pair follow one another, so the first that closes at or after the sell is the only one that may hold it
+    first = asof_forward(sells, closed, ["wallet", "token"], "probe", "closed_us", ["episode", "opened_us", "closed_us"], tie=["episode"])
+    return first.filter("opened_us <= us").groupBy("wallet", "token", "episode").agg(F.count(F.lit(1)).alias("n_sells"))
 
 
 def partial_exits(positions: DataFrame, trades: DataFrame) -> DataFrame:
