@@ -129,14 +129,14 @@ def b03_venue_dimension(spark, sf_dir):
     return t.join(F.broadcast(dim.filter("enabled")), "program").select("event_id", "venue")
 
 
-@C.add("SELECT event_id, CASE event_id % 5 WHEN 0 THEN value WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 0 ELSE value * 2 END AS x, round_even(value / 7, 3) AS q, CASE WHEN event_id % 4 <> 0 THEN value ELSE value + 1 END AS price FROM events WHERE event_id % 4 < 3")
+@C.add("SELECT event_id, CASE event_id % 5 WHEN 0 THEN value WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 0 ELSE value * 2 END AS x, round_even(value / 7, 3) AS q, CASE event_id % 4 WHEN 0 THEN value + 1 WHEN 3 THEN NULL ELSE value END AS price FROM events")
 def b04_b05_b06_coercion(spark, sf_dir):
-    e = events(spark, sf_dir).filter("event_id % 4 < 3")
+    e = events(spark, sf_dir)
     v = F.col("value").cast("string")
     text = F.when(F.col("event_id") % 5 == 0, v).when(F.col("event_id") % 5 == 1, "n/a").when(F.col("event_id") % 5 == 2, "NaN").when(F.col("event_id") % 5 == 3, "-Infinity").otherwise((F.col("value") * 2).cast("string"))
     entry = lambda p: F.struct(p.cast("string").alias("price"))
     payload = F.to_json(F.struct(F.when(F.col("event_id") % 4 != 0, F.map_from_arrays(F.array(F.lit("other"), F.lit("SOL")), F.array(entry(F.lit(9.0)), entry(F.col("value"))))).otherwise(F.map_from_arrays(F.array(F.lit("other")), F.array(entry(F.col("value") + 1)))).alias("data")))
-    return e.select("event_id", money.finite(text, F.lit(0.0)).alias("x"), F.bround(F.col("value") / 7, 3).alias("q"), money.parse_price(payload, "SOL").alias("price"))
+    return e.select("event_id", money.finite(text, F.lit(0.0)).alias("x"), F.bround(F.col("value") / 7, 3).alias("q"), money.parse_price(F.when(F.col("event_id") % 4 == 3, "{broken").otherwise(payload), "SOL").alias("price"))
 
 
 @C.add(POSITIONS + " SELECT wallet, token, episode, CASE WHEN hold_s < 300 THEN '<5m' WHEN hold_s < 1800 THEN '5-30m' WHEN hold_s < 14400 THEN '30m-4h' WHEN hold_s < 86400 THEN '4-24h' ELSE '>24h' END AS bucket, round(least(greatest((bought_sol - 10) / 90.0, 0), 1), 6) AS scaled FROM positions WHERE status = 'closed'")
@@ -145,25 +145,26 @@ def b07_b08_buckets_and_scales(spark, sf_dir):
     return p.select("wallet", "token", "episode", money.bucket_label(F.col("hold_s"), money.HOLD_TIME).alias("bucket"), F.round(money.scale(F.col("bought_sol"), 10.0, 100.0), 6).alias("scaled"))
 
 
-@C.add("SELECT event_id, round(sin((hour(ts) + minute(ts) / 60.0) / 24 * 2 * pi()), 6) AS hour_sin, round(cos((hour(ts) + minute(ts) / 60.0) / 24 * 2 * pi()), 6) AS hour_cos, CAST(event_id % 3 = 0 AS DOUBLE) AS is_raydium, CAST(event_id % 3 = 2 AS DOUBLE) AS is_orca, round(ln(1 + value), 6) AS log_value FROM events WHERE event_type <> 'error'")
+@C.add("SELECT event_id, round(sin((hour(ts) + minute(ts) / 60.0) / 24 * 2 * pi()), 6) AS hour_sin, round(cos((hour(ts) + minute(ts) / 60.0) / 24 * 2 * pi()), 6) AS hour_cos, CAST(event_id % 3 = 0 AS DOUBLE) AS is_raydium_amm, CAST(event_id % 3 = 1 AS DOUBLE) AS is_pumpfun, CAST(event_id % 3 = 2 AS DOUBLE) AS is_orca_whirlpool, CAST(0 AS DOUBLE) AS is_unknown, round(ln(1 + value), 6) AS log_value FROM events WHERE event_type <> 'error'")
 def b09_b10_b11_features(spark, sf_dir):
     t = trades(spark, sf_dir)
     minute = F.floor(F.pmod(F.col("us"), F.lit(DAY)) / (HOUR // 60))
     s, c = money.cyclic_hour(F.floor(minute / 60), minute % 60)
-    hot = {x: col for x, col in zip(money.VENUES, money.one_hot(F.col("venue"), money.VENUES))}
-    return t.select("event_id", F.round(s, 6).alias("hour_sin"), F.round(c, 6).alias("hour_cos"), hot["raydium"], hot["orca"], F.round(money.log_feature(F.col("quote")), 6).alias("log_value"))
+    hot = {x: col for x, col in zip(money.VENUES, money.one_hot(money.venue_name(F.col("venue")), money.VENUES))}
+    return t.select("event_id", F.round(s, 6).alias("hour_sin"), F.round(c, 6).alias("hour_cos"), hot["raydium_amm"], hot["pumpfun"], hot["orca_whirlpool"], hot["unknown"], F.round(money.log_feature(F.col("quote")), 6).alias("log_value"))
 
 
-@C.add("WITH n AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'swing' ELSE 'holder' END AS name FROM events WHERE event_id < 900), d AS (SELECT event_id, name, row_number() OVER (PARTITION BY name ORDER BY event_id) AS k FROM n) SELECT event_id, CASE WHEN k > 1 THEN name || '-' || k ELSE name END AS unique_name, name AS base FROM d")
+@C.add("WITH n AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'swing' ELSE 'holder' END AS name FROM events), d AS (SELECT event_id, name, row_number() OVER (PARTITION BY name ORDER BY event_id) AS k FROM n) SELECT event_id, CASE WHEN k > 1 THEN name || '-' || k ELSE name END AS unique_name, name AS base FROM d")
 def b12_b13_style_names(spark, sf_dir):
-    n = events(spark, sf_dir).filter("event_id < 900").select("event_id", F.when(F.col("event_id") % 3 == 0, "swing").otherwise("holder").alias("unique_name"))
+    n = events(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 3 == 0, "swing").otherwise("holder").alias("unique_name"))
     return money.dedupe_names(n, "unique_name", "event_id").withColumn("base", money.base_style(F.col("unique_name")))
 
 
-@C.add("SELECT c_custkey, length(c_name) BETWEEN 32 AND 44 AND c_custkey % 2 = 0 AS raw_ok, CASE WHEN c_custkey % 3 = 0 THEN 'absent' WHEN c_custkey % 100 > 50 THEN 'stale' ELSE 'ok' END AS freshness FROM customer")
+@C.add("SELECT c_custkey, c_custkey % 2 = 0 AND c_custkey % 15 + 31 BETWEEN 32 AND 44 AS raw_ok, CASE WHEN c_custkey % 3 = 0 THEN 'absent' WHEN c_custkey % 100 > 50 THEN 'stale' ELSE 'ok' END AS freshness FROM customer")
 def b14_b15_validity(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
-    name = F.when((F.col("c_custkey") % 2 == 0) & F.length("c_name").between(32, 44), F.rpad(F.lit("So1"), 40, "A")).otherwise(F.lit("0OIl"))
+    size = (F.col("c_custkey") % 15 + 31).cast("int")  # 31 to 45 characters; odd keys hold a letter that the alphabet lacks
+    name = F.concat(F.when(F.col("c_custkey") % 2 == 0, "S").otherwise("l"), F.substr(F.repeat(F.lit("o1zA9"), F.lit(9)), F.lit(1), size - 1))
     age = F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey") % 100)
     return c.select("c_custkey", money.valid_address(name).alias("raw_ok"), money.freshness(age, 50).alias("freshness"))
 
@@ -258,11 +259,12 @@ def d09_interval_attribution(spark, sf_dir):
     return sells_by_episode(book(spark, sf_dir), trades(spark, sf_dir))
 
 
-@C.add(PRELUDE + ", h AS (SELECT DISTINCT wallet, token100 FROM trades WHERE token100 < 30 AND side = 'buy') SELECT a.wallet AS w1, b.wallet AS w2, count(*) AS shared FROM h a JOIN h b ON a.token100 = b.token100 AND a.wallet < b.wallet GROUP BY 1, 2 HAVING count(*) >= 4")
+@C.add(PRELUDE + ", h AS (SELECT DISTINCT wallet, token100 FROM trades WHERE side = 'buy') SELECT a.wallet AS w1, b.wallet AS w2, count(*) AS shared FROM h a JOIN h b ON a.token100 = b.token100 AND a.wallet < b.wallet GROUP BY 1, 2 HAVING count(*) >= 4")
 def d10_cooccurrence(spark, sf_dir):
-    h = trades(spark, sf_dir).filter("token100 < 30 and side = 'buy'").select("wallet", F.col("token100").alias("token")).distinct()
-    pairs = h.alias("a").join(h.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.wallet") < F.col("b.wallet")))
-    return pairs.groupBy(F.col("a.wallet").alias("w1"), F.col("b.wallet").alias("w2")).agg(F.count(F.lit(1)).alias("shared")).filter("shared >= 4")
+    from ..operators.vetting import sharing
+
+    h = trades(spark, sf_dir).filter("side = 'buy'").select("wallet", F.col("token100").alias("token")).distinct()
+    return sharing(h, h, 4).filter("wallet < other").select(F.col("wallet").alias("w1"), F.col("other").alias("w2"), "shared")
 
 
 @C.add(PRELUDE + ", s AS (SELECT wallet, count(*) AS n FROM trades GROUP BY wallet) SELECT w.wallet FROM wallets w LEFT JOIN s USING (wallet) WHERE w.tracked OR s.n >= 60")
@@ -275,7 +277,7 @@ def d11_or_predicate(spark, sf_dir):
 @C.add(PRELUDE + " SELECT t.event_id, (t.us - k.first_seen) // 1000000 AS age_s, round(k.supply, 6) AS supply FROM trades t LEFT JOIN tokens k USING (token)")
 def d12_lookup_join(spark, sf_dir):
     t = trades(spark, sf_dir)
-    return t.join(F.broadcast(tokens(t)), "token", "left").select("event_id", F.floor((F.col("us") - F.col("first_seen")) / 1_000_000).alias("age_s"), F.round("supply", 6).alias("supply"))
+    return t.join(tokens(t), "token", "left").select("event_id", F.floor((F.col("us") - F.col("first_seen")) / 1_000_000).alias("age_s"), F.round("supply", 6).alias("supply"))
 
 
 # --- aggregates ------------------------------------------------------------
@@ -394,6 +396,16 @@ def f15_f16_change_alerts(spark, sf_dir):
     return d.filter(F.abs("delta") >= 15).select("event_id", "wallet", F.round("delta", 6).alias("delta"))
 
 
+@C.add(PRELUDE + ", " + _HOURS + ", r AS (SELECT window_index, (price - lag(price) OVER (ORDER BY window_index)) / nullif(abs(lag(price) OVER (ORDER BY window_index)), 0) * 100 AS pct FROM hours) SELECT window_index, 'large_market_move' AS name, round(pct, 6) AS pct FROM r WHERE abs(pct) >= 5")
+def f16_market_moves(spark, sf_dir):
+    from ..operators.decisions import market_moves
+    from ..operators.regime import window_returns
+
+    t = trades(spark, sf_dir).select("us", "event_id", (F.col("quote") / F.col("amount")).alias("price"))
+    moves = market_moves(window_returns(tm.last_per_window(t, NOW - 30 * DAY, HOUR, "us")))
+    return moves.select("window_index", "name", F.round("pct", 6).alias("pct"))
+
+
 @C.add(PRELUDE + f", v AS (SELECT us // {DAY} AS day, us, event_id, sum(CAST(CASE WHEN side = 'sell' THEN quote ELSE -quote END AS DECIMAL(18,2))) OVER (PARTITION BY us // {DAY} ORDER BY us, event_id) AS running FROM trades) SELECT day, CAST(arg_max(running, (us, event_id)) AS DOUBLE) AS pnl, min(CASE WHEN running <= -200 THEN us END) AS tripped_us FROM v GROUP BY day")
 def f17_daily_loss(spark, sf_dir):
     from ..operators.decisions import daily_loss

@@ -11,7 +11,7 @@ from ..operators import snapshots as sn
 from ..operators import strategy as st
 from ..operators import timeops as tm
 from ..operators import wallets as wl
-from ..sources.bindings import DAY, HOUR, NOW, POSITIONS, SOL_PRICE, failed_transactions, read, tokens, trades, wallets
+from ..sources.bindings import DAY, HOUR, NOW, POSITIONS, PRELUDE, SOL_PRICE, failed_transactions, read, tokens, trades, wallets
 from .base import book
 from .catalog import Catalog, r6
 
@@ -226,19 +226,20 @@ def f13_latest_two_delta(spark, sf_dir):
 
 @C.add(POSITIONS + f""", h AS (SELECT us // {HOUR} AS ts_h, avg(quote) AS price, coalesce(sum(quote) FILTER (quote_kind = 'wsol'), 0) AS volume, count(*) AS n FROM trades GROUP BY 1),
 w AS (SELECT (ts_h + 1) * {HOUR} AS ts, price, volume, n, ((ts_h + 1) * {HOUR} - {NOW - 24 * HOUR}) // {HOUR} AS i FROM h WHERE (ts_h + 1) * {HOUR} BETWEEN {NOW - 24 * HOUR} AND {NOW}),
-s AS (SELECT *, lag(price) OVER (ORDER BY i) AS before, row_number() OVER (ORDER BY i DESC) AS back FROM w),
-one AS (SELECT count(*) AS points, (arg_max(price, i) - arg_min(price, i)) / abs(arg_min(price, i)) * 100 AS pct, stddev_pop((price - before) / abs(before) * 100) AS sd, median(volume) AS mv, arg_max(volume, i) AS lv,
+s AS (SELECT *, lag(price) OVER (ORDER BY i) AS before, row_number() OVER (ORDER BY i DESC) AS back, (SELECT count(*) FROM tokens WHERE (first_seen // {HOUR} + 1) * {HOUR} = w.ts) AS launched FROM w),
+one AS (SELECT count(*) AS points, CASE WHEN count(*) FILTER (ts >= {NOW - HOUR}) >= 2 THEN (arg_max(price, i) / arg_min(price, i) FILTER (ts >= {NOW - HOUR}) - 1) * 100 WHEN count(*) FILTER (ts >= {NOW - HOUR}) = 1 THEN (arg_max(price, i) / arg_max(before, i) - 1) * 100 END AS last_pct, median(launched) AS usual, arg_max(launched, i) AS launches, (arg_max(price, i) - arg_min(price, i)) / abs(arg_min(price, i)) * 100 AS pct, stddev_pop((price - before) / abs(before) * 100) AS sd, median(volume) AS mv, arg_max(volume, i) AS lv,
   (arg_max(price, i) FILTER (back <= 3) - arg_min(price, i) FILTER (back <= 3)) / abs(arg_min(price, i) FILTER (back <= 3)) * 100 AS tp, (arg_max(volume, i) FILTER (back <= 3) - arg_min(volume, i) FILTER (back <= 3)) / abs(arg_min(volume, i) FILTER (back <= 3)) * 100 AS tm FROM s),
 lq AS (SELECT median(l) AS ml FROM (SELECT token, arg_max(v, ts) AS l FROM (SELECT token, (us // {HOUR} + 1) * {HOUR} AS ts, coalesce(sum(quote) FILTER (quote_kind = 'wsol'), 0) AS v FROM trades GROUP BY 1, 2) WHERE ts >= {NOW - 24 * HOUR} AND ts <= {NOW} GROUP BY token)),
 lw AS (SELECT * FROM trades WHERE quote_kind = 'wsol' AND us >= {NOW - HOUR} AND us <= {NOW})
 SELECT CASE WHEN pct > 3 THEN 'bull' WHEN pct < -3 THEN 'bear' ELSE 'sideways' END AS regime, sd > 5 AS high_volatility, ml < 25 OR lv < 0.5 * mv AS low_liquidity,
-  abs(tp) >= 1 AND abs(tm) >= 1 AND (tp > 0) <> (tm > 0) AS trend_exhaustion, CAST(points AS INT) AS price_points, round(pct, 6) AS pct_change, round(sd, 6) AS return_stdev, round(ml, 6) AS median_liquidity,
+  abs(tp) >= 1 AND abs(tm) >= 1 AND (tp > 0) <> (tm > 0) AS trend_exhaustion, launches >= {rg.WAVE_MIN} AND launches >= {rg.WAVE_MULT} * greatest(usual, 1e-9) AS launch_wave,
+  coalesce((SELECT count(*) >= {rg.PANIC_MIN} AND count(*) FILTER (side = 'sell') > {rg.PANIC_RATIO} * greatest(count(*) FILTER (side = 'buy'), 1) FROM lw) AND last_pct < 0, FALSE) AS panic_selling, round(last_pct, 6) AS last_pct, CAST(points AS INT) AS price_points, round(pct, 6) AS pct_change, round(sd, 6) AS return_stdev, round(ml, 6) AS median_liquidity,
   (SELECT count(*) FROM lw WHERE side = 'buy') AS buys, (SELECT count(*) FROM lw WHERE side = 'sell') AS sells FROM one, lq""")
 def i17_market_regime(spark, sf_dir):
     t = trades(spark, sf_dir)
     market = sn.market_grid(t, tokens(t), failed_transactions(spark, sf_dir))
     got = rg.detect(market, sn.hourly_grid(t).select("token", "ts", "liquidity"), t.filter("quote_kind = 'wsol'"), NOW)
-    return got.select("regime", "high_volatility", "low_liquidity", "trend_exhaustion", "price_points", *r6("pct_change", "return_stdev", "median_liquidity"), "buys", "sells")
+    return got.select("regime", "high_volatility", "low_liquidity", "trend_exhaustion", "launch_wave", "panic_selling", "price_points", *r6("pct_change", "return_stdev", "last_pct", "median_liquidity"), "buys", "sells")
 
 
 @C.add(POSITIONS + f", b AS (SELECT * FROM trades WHERE quote_kind = 'wsol' AND us >= {NOW - 24 * HOUR}), p AS (SELECT wallet, sum(quote) AS v, sum(CASE WHEN side = 'buy' THEN quote ELSE -quote END) AS net FROM b GROUP BY wallet) SELECT (SELECT count(*) FROM p) AS whale_population, round((SELECT sum(net) FROM p WHERE v >= (SELECT quantile_cont(v, 0.9) FROM p)), 6) AS whale_net, (SELECT count(*) FROM b WHERE side = 'buy') AS buys, (SELECT count(*) FROM b WHERE side = 'sell') AS sells, (SELECT count(*) FROM b) >= 10 AND (SELECT count(*) FROM b WHERE side = 'sell') > 1.5 * greatest((SELECT count(*) FROM b WHERE side = 'buy'), 1) AS sell_dominated")
@@ -250,6 +251,21 @@ def i17c_i17d_flow_flags(spark, sf_dir):
     return both.select("whale_population", F.round("whale_net", 6).alias("whale_net"), "buys", "sells", dominated.alias("sell_dominated"))
 
 
+@C.add(PRELUDE + f""", w AS (SELECT us // {DAY} AS day, wallet, side, quote FROM trades WHERE quote_kind = 'wsol'),
+p AS (SELECT us // {DAY} AS day, avg(quote) AS price FROM trades GROUP BY 1),
+m AS (SELECT day, (price - lag(price) OVER (ORDER BY day)) / abs(lag(price) OVER (ORDER BY day)) * 100 AS pct FROM p)
+SELECT day, count(*) FILTER (side = 'buy') AS buys, count(*) FILTER (side = 'sell') AS sells, round(any_value(pct), 6) AS pct,
+  coalesce(count(*) >= {rg.PANIC_MIN} AND count(*) FILTER (side = 'sell') > {rg.PANIC_RATIO / 1.5} * greatest(count(*) FILTER (side = 'buy'), 1) AND any_value(pct) < 0, FALSE) AS panic_selling FROM w JOIN m USING (day) GROUP BY day""")
+def i17d_panic_days(spark, sf_dir):
+    """Panic selling by day: sells outweigh buys, at two thirds of the usual ratio, while the price falls."""
+    t = trades(spark, sf_dir).withColumn("window_index", F.floor(F.col("us") / DAY))
+    pct = rg.window_returns(t.groupBy("window_index").agg(F.avg("quote").alias("price"))).select("window_index", "pct")
+    n = t.filter("quote_kind = 'wsol'").groupBy("window_index").agg(F.count_if(F.col("side") == "buy").alias("buys"), F.count_if(F.col("side") == "sell").alias("sells"))
+    j = n.join(pct, "window_index")
+    flag = F.coalesce(rg.panic(F.col("buys"), F.col("sells"), F.col("pct"), rg.PANIC_RATIO / 1.5), F.lit(False))
+    return j.select(F.col("window_index").alias("day"), "buys", "sells", F.round("pct", 6).alias("pct"), flag.alias("panic_selling"))
+
+
 _LABELS = f"""d AS (SELECT us // {DAY} AS window_index, avg(quote) AS price FROM trades GROUP BY 1),
 c AS (SELECT window_index, (price - lag(price) OVER (ORDER BY window_index)) / abs(lag(price) OVER (ORDER BY window_index)) * 100 AS pct, row_number() OVER (ORDER BY window_index) AS rn FROM d),
 l AS (SELECT rn, window_index, pct, 'sideways' AS label FROM c WHERE rn = 1 UNION ALL

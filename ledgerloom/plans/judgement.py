@@ -33,16 +33,18 @@ mine AS (SELECT wallet, token FROM (SELECT *, row_number() OVER (PARTITION BY wa
 met AS (SELECT m.wallet, l.wallet AS other, m.token FROM mine m JOIN lt l ON l.token = m.token AND l.wallet <> m.wallet),
 rec AS (SELECT wallet, other FROM met GROUP BY 1, 2 HAVING count(*) >= 12),
 rep AS (SELECT wallet, count(*) AS repeat_tokens FROM (SELECT wallet, token FROM met JOIN rec USING (wallet, other) GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1),
-ring AS (SELECT wallet, n AS tokens, coalesce(repeat_tokens, 0) AS repeat_tokens, coalesce(repeat_tokens, 0) / n AS cast_ratio, n >= 12 AND coalesce(repeat_tokens, 0) / n >= 0.6 AS ring FROM (SELECT wallet, count(*) AS n FROM mine GROUP BY 1) LEFT JOIN rep USING (wallet))"""
+crowd AS (SELECT wallet, avg(n) AS avg_co_traders FROM (SELECT m.wallet, count(l.wallet) AS n FROM mine m LEFT JOIN lt l ON l.token = m.token AND l.wallet <> m.wallet GROUP BY m.wallet, m.token) GROUP BY 1),
+nrec AS (SELECT wallet, count(*) AS recurring FROM rec GROUP BY 1),
+ring AS (SELECT wallet, avg_co_traders, coalesce(recurring, 0) AS recurring, n AS tokens, coalesce(repeat_tokens, 0) AS repeat_tokens, coalesce(repeat_tokens, 0) / n AS cast_ratio, n >= 12 AND coalesce(repeat_tokens, 0) / n >= 0.6 AS ring FROM (SELECT wallet, count(*) AS n FROM mine GROUP BY 1) LEFT JOIN rep USING (wallet) LEFT JOIN crowd USING (wallet) LEFT JOIN nrec USING (wallet))"""
 
 
-@C.add(POSITIONS + _RING + " SELECT wallet, tokens, repeat_tokens, round(cast_ratio, 6) AS cast_ratio, ring FROM ring")
+@C.add(POSITIONS + _RING + " SELECT wallet, tokens, round(avg_co_traders, 6) AS avg_co_traders, recurring, repeat_tokens, round(cast_ratio, 6) AS cast_ratio, ring FROM ring")
 def i05_counterparty_signal(spark, sf_dir):
     got = vt.counterparty_signal(wide(spark, sf_dir), least=12)
-    return got.select("wallet", "tokens", "repeat_tokens", F.round("cast_ratio", 6).alias("cast_ratio"), "ring")
+    return got.select("wallet", "tokens", F.round("avg_co_traders", 6).alias("avg_co_traders"), "recurring", "repeat_tokens", F.round("cast_ratio", 6).alias("cast_ratio"), "ring")
 
 
-_VETTINGS = ", vettings AS (SELECT wallet, event_id AS id, us AS ts, CASE WHEN event_id % 3 = 0 THEN NULL ELSE wallet % 40 END AS funder, CASE WHEN wallet % 40 < 5 THEN 'cex' ELSE 'wallet' END AS funder_kind FROM trades), lv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY ts DESC, id DESC) AS n FROM vettings) WHERE n = 1), fk AS (SELECT lv.wallet, funder FROM lv JOIN wallets w ON w.wallet = lv.wallet WHERE funder IS NOT NULL AND funder_kind <> 'cex' AND w.wallet % 2 = 0), peers AS (SELECT wallet, count(*) OVER (PARTITION BY funder) - 1 AS peers FROM fk)"
+_VETTINGS = ", vettings AS (SELECT wallet, event_id AS id, us AS ts, CASE WHEN event_id % 3 = 0 THEN NULL ELSE wallet % 40 END AS funder, CASE WHEN wallet % 40 < 5 THEN 'cex' ELSE 'wallet' END AS funder_kind FROM trades), lv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY ts DESC, id DESC) AS n FROM vettings) WHERE n = 1), fk AS (SELECT lv.wallet, funder FROM lv JOIN wallets w ON w.wallet = lv.wallet WHERE funder IS NOT NULL AND funder_kind <> 'cex' AND w.wallet % 2 = 0), peers AS (SELECT wallet, funder, count(*) OVER (PARTITION BY funder) - 1 AS peers FROM fk)"
 
 
 def vettings(spark, sf_dir):
@@ -50,9 +52,9 @@ def vettings(spark, sf_dir):
     return t.select("wallet", F.col("event_id").alias("id"), F.col("us").alias("ts"), F.when(F.col("event_id") % 3 != 0, F.col("wallet") % 40).alias("funder"), F.when(F.col("wallet") % 40 < 5, "cex").otherwise("wallet").alias("funder_kind"))
 
 
-@C.add(POSITIONS + _VETTINGS + " SELECT wallet, peers FROM peers")
+@C.add(POSITIONS + _VETTINGS + ", named AS (SELECT funder, array_to_string(list(wallet ORDER BY wallet)[:5], ',') AS names FROM peers GROUP BY funder) SELECT wallet, peers, names AS funded FROM peers JOIN named USING (funder)")
 def i05b_shared_funder(spark, sf_dir):
-    return vt.shared_funder(vettings(spark, sf_dir), wallets(trades(spark, sf_dir)).filter("wallet % 2 = 0"))
+    return vt.shared_funder(vettings(spark, sf_dir), wallets(trades(spark, sf_dir)).filter("wallet % 2 = 0")).select("wallet", "peers", F.array_join(F.transform("funded", lambda w: w.cast("string")), ",").alias("funded"))
 
 
 _INSIDER = ", own AS (SELECT p.wallet, k.creator = p.wallet OR k.creator = p.wallet % 40 AS mine FROM positions p JOIN tokens k USING (token) WHERE status = 'closed' AND pnl > 0), ins AS (SELECT wallet, count(*) AS won, count(*) FILTER (mine) AS inside, count(*) FILTER (mine) / count(*) AS insider_share, count(*) FILTER (mine) >= 1 AND count(*) FILTER (mine) / count(*) >= 0.1 AS insider FROM own GROUP BY wallet)"
@@ -148,7 +150,7 @@ def i07e_fresh_assessments(spark, sf_dir):
     return rk.fresh_assessments(done, NOW, 1, 12 * HOUR).select("token", "event_id", "ts")
 
 
-_OUT = f""", {_GRID.format(w=6 * HOUR)}, ass AS (SELECT event_id, token, us AS ts, event_id % 101 AS authority, event_id % 97 AS holders, event_id % 89 AS lp, event_id % 83 AS deployer, event_id % 79 AS volume, event_id % 73 AS liquidity_age FROM trades WHERE event_id % 20 = 3 AND us <= {NOW - 12 * HOUR}),
+_OUT = f""", {_GRID.format(w=6 * HOUR)}, ass AS (SELECT event_id, token, us AS ts, event_id % 101 AS authority, event_id % 97 AS holders, event_id % 89 AS lp, event_id % 83 AS deployer, event_id % 79 AS volume, event_id % 73 AS liquidity_age FROM trades WHERE us <= {NOW - 12 * HOUR}),
 lst AS (SELECT token, arg_max(price, ts) AS lp_, arg_max(liquidity, ts) AS ll, max(ts) AS lts FROM grid GROUP BY token),
 rs AS (SELECT a.*, g.price AS bp, g.liquidity AS bl, lp_, ll, lts FROM ass a ASOF LEFT JOIN grid g ON a.token = g.token AND a.ts >= g.ts LEFT JOIN lst ON lst.token = a.token),
 outc AS (SELECT *, CASE WHEN lts > ts AND (coalesce(bl > 0 AND ll <= 0.1 * bl, FALSE) OR coalesce(bp > 0 AND lp_ <= 0.1 * bp, FALSE)) THEN 'rug' WHEN lts > ts AND bp > 0 AND lp_ / bp - 1 > 0 THEN 'profit' WHEN lts > ts AND bp > 0 THEN 'loss' WHEN ts <= {NOW - 72 * HOUR} THEN 'unknown' ELSE 'retry' END AS outcome, CASE WHEN lts > ts AND bp > 0 THEN lp_ / bp - 1 END AS roi FROM rs)"""
@@ -157,7 +159,7 @@ outc AS (SELECT *, CASE WHEN lts > ts AND (coalesce(bl > 0 AND ll <= 0.1 * bl, F
 def outcomes(spark, sf_dir):
     t = trades(spark, sf_dir)
     mods = dict(zip(rk.COMPONENTS, (101, 97, 89, 83, 79, 73)))
-    assessed = t.filter("event_id % 20 = 3").select("event_id", "token", F.col("us").alias("ts"), *[(F.col("event_id") % m).alias(c) for c, m in mods.items()])
+    assessed = t.select("event_id", "token", F.col("us").alias("ts"), *[(F.col("event_id") % m).alias(c) for c, m in mods.items()])
     return rk.resolve(assessed, sn.hourly_grid(t, 6 * HOUR).select("token", "ts", "price", "liquidity"), NOW)
 
 
@@ -169,9 +171,9 @@ def i08_risk_outcomes(spark, sf_dir):
 _BASE_W = "(VALUES " + ", ".join(f"('{k}', {v})" for k, v in rk.WEIGHTS.items()) + ") AS b(name, base)"
 
 
-@C.add(POSITIONS + _OUT + ", lg AS (" + " UNION ALL ".join(f"SELECT '{c}' AS name, outcome = 'rug' AS rug, {c} AS v FROM outc" for c in rk.COMPONENTS) + f"), mn AS (SELECT name, avg(v) FILTER (rug) AS hot, avg(v) FILTER (NOT rug) AS cool, count(*) AS n, count(*) FILTER (rug) AS rugs FROM lg GROUP BY name), w AS (SELECT b.name, base, n, rugs, base * least(greatest(1 + (coalesce(hot, 0) - coalesce(cool, 0)) / 100, 0.5), 2) AS w FROM {_BASE_W} LEFT JOIN mn USING (name)), nw AS (SELECT *, w / sum(w) OVER () AS new FROM w), g AS (SELECT min(n) >= 50 AND min(rugs) >= 5 AND max(abs(new - base)) >= 0.001 AS ok FROM nw) SELECT name, round(CASE WHEN ok THEN new ELSE base END, 6) AS weight, ok AS changed FROM nw, g")
+@C.add(POSITIONS + _OUT + ", lg AS (" + " UNION ALL ".join(f"SELECT '{c}' AS name, outcome = 'rug' AS rug, {c} AS v FROM outc" for c in rk.COMPONENTS) + f"), mn AS (SELECT name, avg(v) FILTER (rug) AS hot, avg(v) FILTER (NOT rug) AS cool, count(*) AS n, count(*) FILTER (rug) AS rugs FROM lg GROUP BY name), w AS (SELECT b.name, base, n, rugs, base * least(greatest(1 + (coalesce(hot, 0) - coalesce(cool, 0)) / 100, 0.5), 2) AS w FROM {_BASE_W} LEFT JOIN mn USING (name)), nw AS (SELECT *, w / sum(w) OVER () AS new FROM w), g AS (SELECT min(n) >= 50 AND min(rugs) >= 10 AND max(abs(new - base)) >= 0.01 AS ok FROM nw) SELECT name, round(CASE WHEN ok THEN new ELSE base END, 6) AS weight, ok AS changed FROM nw, g")
 def i09_e17_weight_tuning(spark, sf_dir):
-    return rk.tune(outcomes(spark, sf_dir), least_rugs=5, churn=0.001).select("name", F.round("weight", 6).alias("weight"), "changed")
+    return rk.tune(outcomes(spark, sf_dir)).select("name", F.round("weight", 6).alias("weight"), "changed")
 
 
 @C.add(PRELUDE + ", " + f"lw AS (SELECT name, base, least(greatest((SELECT count(*) FROM trades WHERE token = length(name) % 10) / 4000.0, 0.5 * base), 2 * base) AS w FROM {_BASE_W}) SELECT name, round(w / sum(w) OVER (), 6) AS weight FROM lw")
@@ -191,9 +193,9 @@ def profit_data(spark, sf_dir):
     return ds.trade_profit(t, book(spark, sf_dir).filter("status = 'closed'"), ds.stats_history(t), tokens(t), NOW)
 
 
-@C.add(POSITIONS + _HIST + f", fc AS (SELECT t.event_id, arg_min(p.pnl, (p.closed_us, p.episode)) AS pnl FROM trades t JOIN positions p ON p.wallet = t.wallet AND p.token = t.token AND p.status = 'closed' AND p.closed_us > t.us AND p.closed_us <= t.us + {DAY} WHERE t.side = 'buy' AND t.quote_kind = 'wsol' GROUP BY 1), jn AS (SELECT t.*, fc.pnl FROM trades t JOIN fc USING (event_id)) SELECT j.event_id, CAST(coalesce(j.pnl, 0) > 0 AS INT) AS label, j.quote AS size, round((j.us - k.first_seen) / 1e6, 6) AS age_s, CAST(h.wallet_trades AS BIGINT) AS wallet_trades, round(h.wallet_win_rate, 6) AS wallet_win_rate, CAST(j.venue = 'orca' AS DOUBLE) AS is_orca FROM jn j ASOF LEFT JOIN hist h ON j.wallet = h.wallet AND j.us >= h.ts LEFT JOIN tokens k ON k.token = j.token")
+@C.add(POSITIONS + _HIST + f", fc AS (SELECT t.event_id, arg_min(p.pnl, (p.closed_us, p.episode)) AS pnl FROM trades t JOIN positions p ON p.wallet = t.wallet AND p.token = t.token AND p.status = 'closed' AND p.closed_us > t.us AND p.closed_us <= t.us + {DAY} WHERE t.side = 'buy' AND t.quote_kind = 'wsol' GROUP BY 1), jn AS (SELECT t.*, fc.pnl FROM trades t JOIN fc USING (event_id)) SELECT j.event_id, CAST(coalesce(j.pnl, 0) > 0 AS INT) AS label, j.quote AS size, round((j.us - k.first_seen) / 1e6, 6) AS age_s, CAST(h.wallet_trades AS BIGINT) AS wallet_trades, round(h.wallet_win_rate, 6) AS wallet_win_rate, CAST(j.venue = 'orca' AS DOUBLE) AS is_orca_whirlpool FROM jn j ASOF LEFT JOIN hist h ON j.wallet = h.wallet AND j.us >= h.ts LEFT JOIN tokens k ON k.token = j.token")
 def i10_trade_profit_data(spark, sf_dir):
-    return profit_data(spark, sf_dir).select("event_id", "label", "size", *r6("age_s", "wallet_win_rate"), "wallet_trades", "is_orca")
+    return profit_data(spark, sf_dir).select("event_id", "label", "size", *r6("age_s", "wallet_win_rate"), "wallet_trades", "is_orca_whirlpool")
 
 
 @C.add(POSITIONS + _HIST + f", pr AS (SELECT a.wallet, a.ts, min(b.ts) AS later FROM hist a JOIN hist b ON a.wallet = b.wallet AND b.ts >= a.ts + {25 * DAY} GROUP BY 1, 2) SELECT pr.wallet, pr.ts, pr.later AS later_ts, CAST(h.pnl > 0 AS INT) AS label FROM pr JOIN hist h ON h.wallet = pr.wallet AND h.ts = pr.later")
@@ -210,7 +212,7 @@ def i12_i14_walk_forward(spark, sf_dir):
     return ds.score(data, trained).select("event_id", F.round("p_profit", 6).alias("p_profit"), F.lit(trained["auc"]).alias("auc"))
 
 
-@C.add(PRELUDE + f", m AS (SELECT us // {DAY} AS version, CASE WHEN us // {DAY} % 6 = 1 THEN NULL ELSE round(avg(quote), 3) END AS auc FROM trades GROUP BY 1), p AS (SELECT version, auc, row_number() OVER (ORDER BY version) = 1 OR coalesce(auc > max(auc) OVER (ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS promoted FROM m) SELECT version, promoted, version = (SELECT max(version) FROM p WHERE promoted) AS is_active FROM p")
+@C.add(PRELUDE + f", m AS (SELECT us // {DAY} AS version, CASE WHEN us // {DAY} % 6 = 1 THEN NULL ELSE round(avg(quote), 3) END AS auc FROM trades GROUP BY 1), p AS (SELECT version, auc, row_number() OVER (ORDER BY version) = 1 OR (auc IS NOT NULL AND (max(auc) OVER before IS NULL OR auc > max(auc) OVER before)) AS promoted FROM m WINDOW before AS (ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT version, promoted, version = (SELECT max(version) FROM p WHERE promoted) AS is_active FROM p")
 def i13_champion_promotion(spark, sf_dir):
     m = trades(spark, sf_dir).groupBy(F.floor(F.col("us") / DAY).alias("version")).agg(F.round(F.avg("quote"), 3).alias("auc"))
     return ds.promote(m.withColumn("auc", F.when(F.col("version") % 6 != 1, F.col("auc")))).select("version", "promoted", "is_active")
@@ -253,12 +255,13 @@ dd2 AS (SELECT *, (0.45 + (0.25 - ml)) * wc + ml * 100 * coalesce(p_profit, 0) +
 de AS (SELECT *, [tracked OR wc >= 65, rug_score <= 60 AND NOT hard_blocked, tracked OR verdict <> 'suspicious', confidence >= 30, risk <= 70, coalesce(liquidity >= 25, FALSE), greatest(least(0.05, 2.0 - exposure), 0) >= 0.001, NOT has_open] AS gates FROM dd2)"""
 
 
-def decided(spark, sf_dir):
+def decision_inputs(spark, sf_dir):
+    """Buys with the state of their wallet, token and market that the gates need."""
     t = trades(spark, sf_dir)
     s = wl.confidence(stats(spark, sf_dir)).select("wallet", "confidence_score", "roi_std", "avg_roi")
     e = F.col("event_id")
     b = t.filter("side = 'buy'").select("event_id", "wallet", "token", "us", F.col("quote").alias("leader_size"))
-    b = b.join(wallets(t).select("wallet", "tracked"), "wallet", "left").join(s, "wallet", "left").join(F.broadcast(tokens(t).select("token", "first_seen")), "token", "left")
+    b = b.join(wallets(t).select("wallet", "tracked"), "wallet", "left").join(s, "wallet", "left").join(tokens(t).select("token", "first_seen"), "token", "left")
     g = sn.hourly_grid(t).select("token", "ts", "price", (F.col("price") * 1.1).alias("vwap"), (F.col("liquidity") * 3).alias("liquidity"), "volume_1h", F.col("trades_1h").cast("double").alias("holder_growth"))
     b = tm.asof_backward(b, g, ["token"], "us", "ts", ["price", "vwap", "liquidity", "volume_1h", "holder_growth"])
     b = b.select(
@@ -266,7 +269,11 @@ def decided(spark, sf_dir):
         (F.col("token") * 9).cast("double").alias("rug_score"), (F.col("token") == 4).alias("hard_blocked"), ((e % 23) / 10.0).alias("exposure"), (e % 29 == 0).alias("has_open"),
         F.lit(None).cast("double").alias("market_cap"), F.lit(None).cast("double").alias("factor"), F.expr("cast(array() as array<string>)").alias("rail_reasons"),
     )
-    return dc.decide(b, min_confidence=30)
+    return b
+
+
+def decided(spark, sf_dir):
+    return dc.decide(decision_inputs(spark, sf_dir), min_confidence=30)
 
 
 @C.add(METRICS + _DECIDE + " SELECT event_id, round(confidence, 4) AS confidence, round(risk, 4) AS risk, CASE WHEN list_bool_and(gates) THEN 'copy' ELSE 'skip' END AS decision, CAST(len(list_filter(gates, lambda x: NOT x)) AS INT) AS failed FROM de")

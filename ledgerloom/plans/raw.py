@@ -118,6 +118,32 @@ def c08_pool_attribution(spark, sf_dir):
     return rx.attribute_pool(d, places, d.select("signature", rx.fee_payer().alias("wallet")))
 
 
+@C.add(_D + " SELECT signature, 'pool' || (signature % 50) AS pool FROM net WHERE signature % 4 < 2 AND signature % 50 % 3 = 0")
+def c08_owned_pools(spark, sf_dir):
+    """Only accounts that own a token account of the transaction are pools; here every third one's balance is listed."""
+    d = documents(spark, sf_dir)
+    pool = F.concat(F.lit("pool"), F.col("signature") % 50)
+    held = F.struct(pool.alias("owner"), F.lit("m0").alias("mint"), F.lit(1.0).alias("amount"))
+    d = d.withColumn("post_tokens", F.when(F.col("signature") % 50 % 3 == 0, F.concat("post_tokens", F.array(held))).otherwise(F.col("post_tokens")))
+    places = spark.createDataFrame([("ray", 1), ("pump", 1)], "program string, place int")
+    return rx.attribute_pool(d, places, d.select("signature", rx.fee_payer().alias("wallet")), rx.token_owners(d))
+
+
+@C.add(_D + " SELECT signature, CASE signature % 4 WHEN 0 THEN 'raydium' WHEN 1 THEN 'pumpfun' ELSE 'jupiter' END AS venue, CAST(0 AS INT) AS run FROM net WHERE signature % 4 < 3 UNION ALL SELECT signature, 'jupiter', 1 FROM net WHERE signature % 4 = 0")
+def c06_matching_adapters(spark, sf_dir):
+    """Every adapter whose program a transaction calls runs, in the order of priority."""
+    venues = spark.createDataFrame([("pump", "pumpfun", 0, False), ("ray", "raydium", 1, False), ("orca", "orca", 2, False), ("jup", "jupiter", 3, True)], "program string, venue string, priority int, aggregator boolean")
+    return rx.matching_venues(documents(spark, sf_dir), venues)
+
+
+@C.add(_SWAPS + ", o AS (SELECT DISTINCT signature, mint FROM swaps WHERE signature % 7 = 0) SELECT mint, arg_min(wallet, signature) AS creator FROM (SELECT o.mint, o.signature, n.owner AS wallet FROM o JOIN net n USING (signature)) GROUP BY mint")
+def a08_creators_of_mints(spark, sf_dir):
+    """The payer of a token's first create transaction; every seventh document is one."""
+    d = documents(spark, sf_dir)
+    made = d.withColumn("logs", F.when(F.col("signature") % 7 == 0, F.concat("logs", F.array(F.lit(rx.CREATE_LINE)))).otherwise(F.col("logs")))
+    return rx.first_creators(made, swaps(spark, sf_dir).select("signature", "mint").distinct())
+
+
 @C.add(_SWAPS + " SELECT signature, wallet, mint, side, CASE WHEN signature % 10 = 0 THEN 'sell' ELSE 'buy' END AS logged FROM swaps WHERE signature % 5 = 0 AND side <> CASE WHEN signature % 10 = 0 THEN 'sell' ELSE 'buy' END")
 def c10_side_audit(spark, sf_dir):
     d = documents(spark, sf_dir)

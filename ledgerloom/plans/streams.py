@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import regime as rg
-from ..operators.decisions import alerts  # noqa: F401  the batch rules serve streams through foreachBatch
+from ..operators.decisions import decide
 from ..sources.bindings import DAY, HOUR, POSITIONS, PRELUDE, trades, wallets
 from ..streaming import jobs as st
 from .base import _POSITION, _POSITION_R, _POSITION_SQL, book
 from .catalog import Catalog, r6
+from .jobs import METRICS
+from .judgement import _DECIDE, decision_inputs
 
 C = Catalog()
 
@@ -28,15 +30,12 @@ def j02_priority_lane(spark, sf_dir):
     return st.finish(s.select("event_id", "is_priority"))
 
 
-@C.add(PRELUDE + " SELECT event_id, event_id % 9 <> 0 AS done FROM trades")
+@C.add(PRELUDE + " SELECT event_id, event_id % 9 < 5 AS done, CAST(least(event_id % 9 + 1, 5) AS INT) AS attempt FROM trades")
 def j03_bounded_attempts(spark, sf_dir):
+    """A trade succeeds at its (event_id % 9 + 1)-th attempt; five are made."""
     s = st.event_stream(spark, sf_dir).filter("side <> 'failed'")
-
-    def batch(df, n):
-        done, dead = st.bounded_attempts(df.withColumn("attempt", F.lit(4)), lambda r: r.withColumn("ok", F.col("event_id") % 9 != 0))
-        return done.select("event_id", F.lit(True).alias("done")).unionByName(dead.select("event_id", F.lit(False).alias("done")))
-
-    return st.finish(s, batch=batch)
+    work = lambda r: r.withColumn("ok", F.col("attempt") >= F.col("event_id") % 9)
+    return st.finish(s, batch=lambda df, n: st.retried(df.select("event_id"), work).select("event_id", "done", "attempt"))
 
 
 @C.add(POSITIONS + _POSITION_SQL)
@@ -45,16 +44,26 @@ def j04_stateful_positions(spark, sf_dir):
     return p.select(*_POSITION, *r6(*_POSITION_R))
 
 
-@C.add(PRELUDE + ", w AS (SELECT token, (us // 60000000 - i) * 60000000 AS start_us, quote FROM trades, range(5) AS r(i)) SELECT token, start_us, count(*) AS n, CAST(sum(CAST(quote AS DECIMAL(18,2))) AS DOUBLE) AS volume FROM w GROUP BY 1, 2")
+_SLIDES = [("5 minutes", "1 minute", 60_000_000, 5), ("1 hour", "10 minutes", 600_000_000, 6), ("24 hours", "6 hours", 21_600_000_000, 4)]
+
+
+@C.add(PRELUDE + " " + " UNION ALL ".join(f"SELECT '{w}' AS width, token, (us // {k} - i) * {k} AS start_us, count(*) AS n, CAST(sum(CAST(quote AS DECIMAL(18,2))) AS DOUBLE) AS volume FROM trades, range({n}) AS r(i) GROUP BY ALL" for w, _, k, n in _SLIDES))
 def j05_sliding_token_windows(spark, sf_dir):
-    got = st.finish(st.sliding(st.event_stream(spark, sf_dir), "5 minutes", "1 minute", ["token"]), "complete")
-    return got.select("token", F.unix_micros("w.start").alias("start_us"), "n", "volume")
+    out = None
+    for width, step, _, _ in _SLIDES:
+        got = st.finish(st.sliding(st.event_stream(spark, sf_dir), width, step, ["token"]), "complete")
+        got = got.select(F.lit(width).alias("width"), "token", F.unix_micros("w.start").alias("start_us"), "n", "volume")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
-@C.add(PRELUDE + f", w AS (SELECT (us // 600000000 - i) * 600000000 AS start_us, quote FROM trades, range(6) AS r(i)) SELECT start_us, count(*) AS n, CAST(sum(CAST(quote AS DECIMAL(18,2))) AS DOUBLE) AS volume FROM w GROUP BY 1")
+@C.add(PRELUDE + ", w AS (SELECT (us // 60000000 - i) * 60000000 AS start_us, quote, wallet FROM trades, range(60) AS r(i)) SELECT start_us, count(*) AS n, CAST(sum(CAST(quote AS DECIMAL(18,2))) AS DOUBLE) AS volume, count(DISTINCT wallet) AS wallets FROM w GROUP BY 1")
 def j06_market_series(spark, sf_dir):
-    got = st.finish(st.sliding(st.event_stream(spark, sf_dir), "1 hour", "10 minutes", []), "complete")
-    return got.select(F.unix_micros("w.start").alias("start_us"), "n", "volume")
+    """The last hour's totals at every minute. A wallet counts once a window: streams group by window and wallet first."""
+    s = st.event_stream(spark, sf_dir).filter("side <> 'failed'").withWatermark("ts", st.LATE)
+    per = s.groupBy(F.window("ts", "1 hour", "1 minute").alias("w"), "wallet").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("quote").cast("decimal(18,2)")).alias("volume"))
+    got = st.finish(per, "complete").groupBy("w").agg(F.sum("n").alias("n"), F.sum("volume").cast("double").alias("volume"), F.count(F.lit(1)).alias("wallets"))
+    return got.select(F.unix_micros("w.start").alias("start_us"), "n", "volume", "wallets")
 
 
 @C.add(PRELUDE + f""", d AS (SELECT us // {6 * HOUR} AS window_index, avg(quote) AS price FROM trades GROUP BY 1),
@@ -74,12 +83,14 @@ def j08_cooldown_state(spark, sf_dir):
     return st.finish(st.cooldown(st.event_stream(spark, sf_dir), 3600), "update")
 
 
-@C.add(PRELUDE + f" SELECT us // {DAY} AS day, CAST(sum(CAST(CASE WHEN side = 'sell' THEN quote ELSE -quote END AS DECIMAL(18,2))) AS DOUBLE) AS pnl, sum(CAST(CASE WHEN side = 'sell' THEN quote ELSE -quote END AS DECIMAL(18,2))) <= -500 AS tripped FROM trades GROUP BY 1")
+@C.add(PRELUDE + f", v AS (SELECT us // {DAY} AS day, us, event_id, sum(CAST(CASE WHEN side = 'sell' THEN quote ELSE -quote END AS DECIMAL(18,2))) OVER (PARTITION BY us // {DAY} ORDER BY us, event_id) AS running FROM trades) SELECT day, CAST(arg_max(running, (us, event_id)) AS DOUBLE) AS pnl, min(CASE WHEN running <= -500 THEN us END) AS tripped_us FROM v GROUP BY day")
 def j09_daily_loss_counter(spark, sf_dir):
-    s = st.event_stream(spark, sf_dir).filter("side <> 'failed'").withWatermark("ts", st.LATE)
-    pnl = F.sum(F.when(F.col("side") == "sell", F.col("quote")).otherwise(-F.col("quote")).cast("decimal(18,2)"))
-    got = st.finish(s.groupBy(F.window("ts", "1 day").alias("w")).agg(pnl.alias("pnl")), "complete")
-    return got.select(F.floor(F.unix_micros("w.start") / DAY).alias("day"), F.col("pnl").cast("double").alias("pnl"), (F.col("pnl") <= -500).alias("tripped"))
+    from ..operators.decisions import daily_loss
+
+    signed = F.when(F.col("side") == "sell", F.col("quote")).otherwise(-F.col("quote")).cast("decimal(18,2)")
+    s = st.event_stream(spark, sf_dir).filter("side <> 'failed'").select("ts", "us", "event_id", signed.alias("pnl"))
+    got, _ = st.in_order(s, lambda rows: daily_loss(rows, "us", "pnl", ["us", "event_id"], 500))
+    return got
 
 
 @C.add(PRELUDE + ", e AS (SELECT wallet, row_number() OVER (PARTITION BY wallet ORDER BY us, event_id) AS i, count(*) OVER (PARTITION BY wallet) AS n, quote / 100 - 0.5 AS roi FROM trades WHERE side = 'sell') SELECT wallet, max(n) AS n, round(sum(0.25 * power(0.75, n - i) * roi), 6) AS ew FROM e GROUP BY wallet")
@@ -88,14 +99,14 @@ def j10_leader_ranking(spark, sf_dir):
     return st.finish(st.leader_ranking(s), "update").select("wallet", "n", F.round("ew", 6).alias("ew"))
 
 
-@C.add(PRELUDE + ", s AS (SELECT wallet, count(*) AS n FROM trades GROUP BY wallet) SELECT t.event_id, CASE WHEN w.tracked OR s.n >= 55 THEN 'copy' ELSE 'skip' END AS decision FROM trades t JOIN wallets w USING (wallet) JOIN s USING (wallet) WHERE t.side = 'buy'")
+@C.add(METRICS + _DECIDE + " SELECT event_id, CASE WHEN list_bool_and(gates) THEN 'copy' ELSE 'skip' END AS decision, CAST(len(list_filter(gates, lambda x: NOT x)) AS INT) AS failed FROM de")
 def j11_stream_decisions(spark, sf_dir):
-    t = trades(spark, sf_dir)
-    state = wallets(t).join(t.groupBy("wallet").agg(F.count(F.lit(1)).alias("n")), "wallet").select("wallet", "tracked", "n")
+    """Each batch of buys is judged by the batch function, with all of its gates."""
+    known = decision_inputs(spark, sf_dir)
 
     def batch(df, n):
-        j = df.join(state, "wallet")
-        return j.select("event_id", F.when(F.col("tracked") | (F.col("n") >= 55), "copy").otherwise("skip").alias("decision"))
+        d = decide(known.join(df.select("event_id"), "event_id", "left_semi"), min_confidence=30)
+        return d.select("event_id", "decision", F.size(F.filter("gates", lambda g: ~g["passed"])).alias("failed"))
 
     return st.finish(st.event_stream(spark, sf_dir).filter("side = 'buy'"), batch=batch)
 
@@ -113,3 +124,13 @@ def j04_batch_equals_stream(spark, sf_dir):
     cols = [*_POSITION, *_POSITION_R]
     apart = a.select(cols).exceptAll(b.select(cols)).agg((F.count(F.lit(1)) == 0).alias("same"))
     return b.agg(F.count(F.lit(1)).alias("episodes"), F.count_if(F.col("status") == "closed").alias("closed")).crossJoin(apart)
+
+
+@C.add(POSITIONS + _POSITION_SQL)
+def j04_positions_of_shuffled_files(spark, sf_dir):
+    """The events of a stream whose files come in an order of their own, folded by event time."""
+    from ..operators.positions import fold_positions
+
+    s = st.event_stream(spark, sf_dir).filter("side <> 'failed'")
+    p, _ = st.in_order(s.repartition(7, "event_id"), lambda rows: fold_positions(rows, ["event_id"]))
+    return p.select(*_POSITION, *r6(*_POSITION_R))

@@ -114,6 +114,19 @@ def attribute_venue(docs: DataFrame, venues: DataFrame) -> DataFrame:
     return best
 
 
+def matching_venues(docs: DataFrame, venues: DataFrame) -> DataFrame:
+    """(signature, venue, run): all venues whose program a transaction calls, numbered from 0 in the order of priority, aggregators last."""
+    called = docs.select("signature", F.explode(F.array_distinct(program_ids())).alias("program")).join(F.broadcast(venues), "program").select("signature", "venue", "aggregator", "priority").distinct()
+    n = F.row_number().over(Window.partitionBy("signature").orderBy("aggregator", "priority"))
+    return called.select("signature", "venue", (n - 1).alias("run"))
+
+
+def token_owners(docs: DataFrame) -> DataFrame:
+    """(signature, pool): accounts that own a token account in a transaction, before or after."""
+    every = F.array_distinct(F.transform(F.concat("pre_tokens", "post_tokens"), lambda b: b["owner"]))
+    return docs.select("signature", F.explode(every).alias("pool")).filter("pool is not null")
+
+
 def aggregator_tag(programs: list[str]) -> Column:
     return F.arrays_overlap(program_ids(), F.array(*[F.lit(p) for p in programs]))
 

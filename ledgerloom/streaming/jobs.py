@@ -3,8 +3,9 @@
 Each takes a streaming DataFrame of trades (``ts`` timestamp, ``us``,
 ``event_id``, ``wallet``, ``token``, ``side``, ``amount``, ``sol``, ``quote``)
 and returns another one, or starts from ``foreachBatch`` where the batch
-function is reused. Events up to ``LATE`` behind the newest are in order;
-later ones go to ``late_rows`` and are settled by folding their pairs again.
+function is reused. The keyed position state (``fold_positions``) takes batches
+that follow one another in time; where files come in any order, ``in_order``
+folds their rows by event time and reports those behind ``LATE``.
 """
 
 from __future__ import annotations
@@ -73,10 +74,21 @@ def priority_lane(stream: DataFrame, followed: DataFrame) -> DataFrame:
     return stream.join(followed.select("wallet", F.lit(True).alias("is_priority")), "wallet", "left").withColumn("is_priority", F.coalesce("is_priority", F.lit(False)))
 
 
-def bounded_attempts(rows: DataFrame, work: Callable[[DataFrame], DataFrame], attempts: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Rows (with ``attempt``) split into done ones and, beyond the bound, dead letters. ``work`` adds ``ok``."""
+def bounded_attempts(rows: DataFrame, work: Callable[[DataFrame], DataFrame], attempts: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (with ``attempt``) split into done ones, those to try again, and, beyond the bound, dead letters. ``work`` adds ``ok``."""
     tried = work(rows).withColumn("attempt", F.col("attempt") + 1)
-    return tried.filter("ok"), tried.filter(~F.col("ok") & (F.col("attempt") >= attempts))
+    over = F.col("attempt") >= attempts
+    return tried.filter("ok"), tried.filter(~F.col("ok") & ~over), tried.filter(~F.col("ok") & over)
+
+
+def retried(rows: DataFrame, work: Callable[[DataFrame], DataFrame], attempts: int = 5) -> DataFrame:
+    """``rows`` through ``work`` until done or dead, at most ``attempts`` times: with ``attempt`` and ``done``."""
+    left, out = rows.withColumn("attempt", F.lit(0)), None
+    for _ in range(attempts):
+        done, left, dead = bounded_attempts(left, work, attempts)
+        got = done.withColumn("done", F.lit(True)).unionByName(dead.withColumn("done", F.lit(False)))
+        out = got if out is None else out.unionByName(got)
+    return out.drop("ok")
 
 
 def fold_positions(stream: DataFrame) -> DataFrame:
@@ -106,21 +118,22 @@ def fold_positions(stream: DataFrame) -> DataFrame:
     return trades.groupBy("wallet", "token").applyInPandasWithState(fold, SCHEMA, state_schema, "update", GroupStateTimeout.NoTimeout)
 
 
-def late_rows(rows: DataFrame, newest_us: int, late_us: int = 600_000_000) -> DataFrame:
-    """Rows behind the watermark, for the side table whose pairs are folded again."""
-    return rows.filter(F.col("us") < newest_us - late_us)
-
-
 def sliding(stream: DataFrame, width: str, step: str, keys: list[str]) -> DataFrame:
     w = stream.filter("side <> 'failed'").withWatermark("ts", LATE).groupBy(F.window("ts", width, step).alias("w"), *keys)
     return w.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("quote").cast("decimal(18,2)")).cast("double").alias("volume"), F.approx_count_distinct("wallet").alias("wallets"))
 
 
 def cooldown(stream: DataFrame, seconds: int) -> DataFrame:
-    """Buys of a token within ``seconds`` of the last allowed one are suppressed; state: the last allowed time."""
+    """Buys of a token within ``seconds`` of the last allowed one are suppressed; state: the last allowed time.
+
+    A token's state goes when the watermark has passed its cooldown: a later buy is allowed with or without it.
+    """
     wait = seconds * 1_000_000
 
     def judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
         allowed = []
@@ -129,10 +142,46 @@ def cooldown(stream: DataFrame, seconds: int) -> DataFrame:
             last = us if ok else last
             allowed.append(ok)
         state.update((last,))
+        state.setTimeoutTimestamp(max((last + wait) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"event_id": rows["event_id"].tolist(), "allowed": allowed})
 
-    buys = stream.filter("side = 'buy'")
-    return buys.groupBy("token").applyInPandasWithState(judge, "event_id long, allowed boolean", "last long", "update", GroupStateTimeout.NoTimeout)
+    buys = stream.filter("side = 'buy'").withWatermark("ts", LATE)
+    return buys.groupBy("token").applyInPandasWithState(judge, "event_id long, allowed boolean", "last long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def in_order(stream: DataFrame, fold: Callable[[DataFrame], DataFrame], late: str = LATE) -> tuple[DataFrame, DataFrame]:
+    """A fold that needs its rows in order of event time, over a stream whose files come in any order: (result, late rows).
+
+    Each batch's rows go to a table under its number, so a repeated batch replaces itself. ``fold``, the batch function, reads
+    that table, which gives the batch result whatever order the rows came in. Rows that came more than ``late`` behind the
+    newest one of the batches before them are reported too: whatever was read from the table up to then lacked them.
+    """
+    spark = stream.sparkSession
+    base = f"{scratch(spark)}/ordered-{uuid.uuid4().hex}"
+    wait = spark.sql(f"select cast(interval {late} as interval day to second) as i").select((F.unix_micros(F.timestamp_micros(F.lit(0)) + F.col("i"))).alias("w")).first().w
+    at = {"newest": None, "released": None}
+
+    def put(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite").parquet(f"{base}/rows/batch={n}")
+        got = spark.read.schema(df.schema).parquet(f"{base}/rows/batch={n}")
+        newest = got.agg(F.max("us")).first()[0]
+        if newest is None:
+            return
+        if at["released"] is not None:
+            got.filter(F.col("us") <= at["released"]).write.mode("overwrite").parquet(f"{base}/late/batch={n}")
+        at["newest"] = max(newest, at["newest"] or newest)
+        at["released"] = at["newest"] - wait
+
+    stream.writeStream.option("checkpointLocation", f"{base}/check").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    schema = stream.schema
+    read = lambda part: spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{base}/{part}") if _there(spark, f"{base}/{part}") else spark.createDataFrame([], schema)
+    names = [f.name for f in schema.fields]
+    return fold(read("rows").select(*names)), read("late").select(*names)
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
 
 
 def leader_ranking(stream: DataFrame, alpha: float = 0.25) -> DataFrame:
