@@ -9,8 +9,11 @@ from ..sources.bindings import HOUR
 from .timeops import latest_per_key
 
 
-def token_snapshot(trades: DataFrame, tokens: DataFrame, now: int, sol_price: float, active: int | None = None) -> DataFrame:
-    """Price, VWAP, volumes, trades, buyers and market cap of tokens with trades in the last day; counts take all quotes, volumes only WSOL."""
+def token_snapshot(trades: DataFrame, tokens: DataFrame, now: int, sol_price: float, active: int | None = None, pools: DataFrame | None = None, holders: DataFrame | None = None) -> DataFrame:
+    """Prices, VWAP, volumes, trades, buyers, market cap, liquidity and holders of tokens with trades in the last day; counts take all quotes, volumes only WSOL.
+
+    Liquidity is the deepest of ``pools`` (token, pool, sol) and the count comes from ``holders`` (token, holders); null where neither knows the token.
+    """
     m5, h1, h24 = (F.col("us") >= now - w for w in (HOUR // 12, HOUR, 24 * HOUR))
     wsol = F.col("quote_kind") == "wsol"
     vol = lambda inside: F.coalesce(F.sum(F.when(inside & wsol, F.col("quote"))), F.lit(0.0))
@@ -25,8 +28,10 @@ def token_snapshot(trades: DataFrame, tokens: DataFrame, now: int, sol_price: fl
     )
     if active:
         s = s.orderBy(F.desc("trades_24h"), "token").limit(active)
-    out = s.join(tokens.select("token", "supply"), "token", "left")
-    return out.withColumn("market_cap_usd", F.col("price") * sol_price * F.col("supply")).drop("supply")
+    out = s.join(tokens.select("token", "supply"), "token", "left").withColumn("price_usd", F.col("price") * sol_price)
+    out = out.withColumn("market_cap_usd", F.col("price_usd") * F.col("supply")).drop("supply")
+    out = out.join(deepest_pool(pools).select("token", "liquidity"), "token", "left") if pools is not None else out.withColumn("liquidity", F.lit(None).cast("double"))
+    return out.join(holders.select("token", "holders"), "token", "left") if holders is not None else out.withColumn("holders", F.lit(None).cast("long"))
 
 
 def hourly_grid(trades: DataFrame, width: int = HOUR) -> DataFrame:

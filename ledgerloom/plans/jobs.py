@@ -182,11 +182,13 @@ def i04d_style_stats(spark, sf_dir):
 # --- snapshots -------------------------------------------------------------
 
 
-@C.add(POSITIONS + f", s AS (SELECT token, arg_max(quote / amount, (us, event_id)) FILTER (quote_kind = 'wsol') AS price, sum(quote) FILTER (quote_kind = 'wsol' AND us >= {NOW - HOUR // 12}) / nullif(sum(amount) FILTER (quote_kind = 'wsol' AND us >= {NOW - HOUR // 12}), 0) AS vwap_5m, coalesce(sum(quote) FILTER (quote_kind = 'wsol' AND us >= {NOW - HOUR}), 0) AS volume_1h, coalesce(sum(quote) FILTER (quote_kind = 'wsol'), 0) AS volume_24h, count(*) FILTER (us >= {NOW - HOUR}) AS trades_1h, count(DISTINCT wallet) FILTER (side = 'buy' AND us >= {NOW - HOUR // 12}) AS buyers_5m FROM trades WHERE us >= {NOW - DAY} GROUP BY token) SELECT token, round(price, 6) AS price, round(vwap_5m, 6) AS vwap_5m, round(volume_1h, 6) AS volume_1h, round(volume_24h, 6) AS volume_24h, trades_1h, buyers_5m, round(price * 150 * supply, 2) AS market_cap_usd FROM s LEFT JOIN tokens USING (token)")
+@C.add(POSITIONS + f", s AS (SELECT token, arg_max(quote / amount, (us, event_id)) FILTER (quote_kind = 'wsol') AS price, sum(quote) FILTER (quote_kind = 'wsol' AND us >= {NOW - HOUR // 12}) / nullif(sum(amount) FILTER (quote_kind = 'wsol' AND us >= {NOW - HOUR // 12}), 0) AS vwap_5m, coalesce(sum(quote) FILTER (quote_kind = 'wsol' AND us >= {NOW - HOUR}), 0) AS volume_1h, coalesce(sum(quote) FILTER (quote_kind = 'wsol'), 0) AS volume_24h, count(*) FILTER (us >= {NOW - HOUR}) AS trades_1h, count(DISTINCT wallet) FILTER (side = 'buy' AND us >= {NOW - HOUR // 12}) AS buyers_5m FROM trades WHERE us >= {NOW - DAY} GROUP BY token), pl AS (SELECT s_nationkey AS token, max(abs(s_acctbal)) AS liquidity FROM supplier GROUP BY 1), ho AS (SELECT c_nationkey AS token, count(*) AS holders FROM customer WHERE c_acctbal > 0 GROUP BY 1) SELECT token, round(price, 6) AS price, round(price * 150, 6) AS price_usd, round(vwap_5m, 6) AS vwap_5m, round(volume_1h, 6) AS volume_1h, round(volume_24h, 6) AS volume_24h, trades_1h, buyers_5m, round(price * 150 * supply, 2) AS market_cap_usd, liquidity, holders FROM s LEFT JOIN tokens USING (token) LEFT JOIN pl USING (token) LEFT JOIN ho USING (token)")
 def i19_token_snapshot(spark, sf_dir):
     t = trades(spark, sf_dir)
-    s = sn.token_snapshot(t, tokens(t), NOW, SOL_PRICE)
-    return s.select("token", *r6("price", "vwap_5m", "volume_1h", "volume_24h"), "trades_1h", "buyers_5m", F.round("market_cap_usd", 2).alias("market_cap_usd"))
+    pools = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("token"), F.col("s_suppkey").alias("pool"), F.abs("s_acctbal").alias("sol"))
+    held = read(spark, sf_dir, "customer").filter("c_acctbal > 0").groupBy(F.col("c_nationkey").alias("token")).agg(F.count(F.lit(1)).alias("holders"))
+    s = sn.token_snapshot(t, tokens(t), NOW, SOL_PRICE, pools=pools, holders=held)
+    return s.select("token", *r6("price", "price_usd", "vwap_5m", "volume_1h", "volume_24h"), "trades_1h", "buyers_5m", F.round("market_cap_usd", 2).alias("market_cap_usd"), "liquidity", "holders")
 
 
 @C.add(POSITIONS + f" SELECT (SELECT count(*) FROM trades WHERE us >= {NOW - 3 * HOUR} AND us <= {NOW - 2 * HOUR}) AS trades_1h, (SELECT round(coalesce(sum(quote), 0), 6) FROM trades WHERE quote_kind = 'wsol' AND us >= {NOW - 3 * HOUR} AND us <= {NOW - 2 * HOUR}) AS volume_1h, (SELECT count(DISTINCT wallet) FROM trades WHERE us >= {NOW - 3 * HOUR} AND us <= {NOW - 2 * HOUR}) AS wallets_1h, (SELECT count(*) FROM tokens WHERE first_seen BETWEEN {NOW - 3 * HOUR} AND {NOW - 2 * HOUR}) AS launched_1h, (SELECT count(*) FROM failed WHERE us BETWEEN {NOW - 3 * HOUR} AND {NOW - 2 * HOUR}) AS failed_1h")

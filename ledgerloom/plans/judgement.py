@@ -287,21 +287,26 @@ def i22c_blocked_only_by(spark, sf_dir):
     return dc.blocked_only_by(decided(spark, sf_dir), "followed_leader").select("event_id")
 
 
-_BACK = PRELUDE + """, o AS (SELECT token, us, event_id, wallet, side, event_id % 4 = 1 AS decided, quote / amount AS price, row_number() OVER (PARTITION BY token ORDER BY us, event_id) AS rn FROM trades),
-b AS (SELECT token, rn, CASE WHEN side = 'buy' AND decided THEN event_id END AS buy_event, CASE WHEN side = 'buy' AND decided THEN wallet END AS leader, CASE WHEN side = 'buy' AND decided THEN price END AS entry, CAST(NULL AS BIGINT) AS done_buy, CAST(NULL AS BIGINT) AS sell_event, CAST(NULL AS DOUBLE) AS roi FROM o WHERE rn = 1
+_BACK = METRICS + _DECIDE + """, cp AS (SELECT event_id, TRUE AS decided FROM de WHERE list_bool_and(gates)), sp AS (SELECT t.event_id, g.price AS seen FROM trades t ASOF JOIN grid g ON t.token = g.token AND t.us >= g.ts),
+so AS (SELECT token, us, event_id, wallet, side, coalesce(decided, FALSE) AS decided, coalesce(seen, quote / amount) AS price, row_number() OVER (PARTITION BY token ORDER BY us, event_id) AS rn FROM trades LEFT JOIN cp USING (event_id) LEFT JOIN sp USING (event_id)),
+bt AS (SELECT token, rn, CASE WHEN side = 'buy' AND decided THEN event_id END AS buy_event, CASE WHEN side = 'buy' AND decided THEN wallet END AS leader, CASE WHEN side = 'buy' AND decided THEN price END AS entry, CAST(NULL AS BIGINT) AS done_buy, CAST(NULL AS BIGINT) AS sell_event, CAST(NULL AS DOUBLE) AS roi FROM so WHERE rn = 1
   UNION ALL SELECT o.token, o.rn,
     CASE WHEN b.buy_event IS NULL THEN CASE WHEN o.side = 'buy' AND o.decided THEN o.event_id END WHEN o.side = 'sell' AND o.wallet = b.leader THEN NULL ELSE b.buy_event END,
     CASE WHEN b.buy_event IS NULL THEN CASE WHEN o.side = 'buy' AND o.decided THEN o.wallet END WHEN o.side = 'sell' AND o.wallet = b.leader THEN NULL ELSE b.leader END,
     CASE WHEN b.buy_event IS NULL THEN CASE WHEN o.side = 'buy' AND o.decided THEN o.price END WHEN o.side = 'sell' AND o.wallet = b.leader THEN NULL ELSE b.entry END,
     CASE WHEN b.buy_event IS NOT NULL AND o.side = 'sell' AND o.wallet = b.leader THEN b.buy_event END, CASE WHEN b.buy_event IS NOT NULL AND o.side = 'sell' AND o.wallet = b.leader THEN o.event_id END,
     CASE WHEN b.buy_event IS NOT NULL AND o.side = 'sell' AND o.wallet = b.leader THEN o.price / b.entry - 1 END
-  FROM b JOIN o ON o.token = b.token AND o.rn = b.rn + 1)"""
+  FROM bt b JOIN so o ON o.token = b.token AND o.rn = b.rn + 1)"""
 
 
-@C.add(_BACK + " SELECT token, done_buy AS buy_event, sell_event, round(roi, 6) AS roi FROM b WHERE done_buy IS NOT NULL")
+@C.add(_BACK + " SELECT token, done_buy AS buy_event, sell_event, round(roi, 6) AS roi FROM bt WHERE done_buy IS NOT NULL")
 def i22_copy_backtest(spark, sf_dir):
-    t = trades(spark, sf_dir).select("token", "us", "event_id", "wallet", "side", (F.col("event_id") % 4 == 1).alias("decided"), (F.col("quote") / F.col("amount")).alias("price"))
-    return dc.backtest(t).select("token", "buy_event", "sell_event", F.round("roi", 6).alias("roi"))
+    t = trades(spark, sf_dir)
+    copied = decided(spark, sf_dir).filter("decision = 'copy'").select("event_id", F.lit(True).alias("decided"))
+    grid = sn.hourly_grid(t).select("token", "ts", F.col("price").alias("seen"))
+    priced = tm.asof_backward(t, grid, ["token"], "us", "ts", ["seen"])  # without a snapshot so far, the trade's own price
+    rows = priced.join(copied, "event_id", "left").select("token", "us", "event_id", "wallet", "side", F.coalesce("decided", F.lit(False)).alias("decided"), F.coalesce("seen", F.col("quote") / F.col("amount")).alias("price"))
+    return dc.backtest(rows).select("token", "buy_event", "sell_event", F.round("roi", 6).alias("roi"))
 
 
 @C.add(POSITIONS + ", led AS (SELECT wallet, count(*) FILTER (status = 'open') AS open_n, greatest(coalesce(sum(bought_sol - sold_sol) FILTER (status = 'open'), 0), 0) AS exposure FROM positions GROUP BY wallet) SELECT wallet, CAST(CAST(open_n >= 8 AS INT) + CAST(exposure >= 100 AS INT) + CAST(coalesce(streak, 0) >= 2 AS INT) AS INT) AS n_reasons FROM led LEFT JOIN (SELECT wallet, count(*) FILTER (failed AND island = last_island) AS streak FROM (SELECT *, max(island) OVER (PARTITION BY wallet) AS last_island FROM (SELECT user_id AS wallet, event_type = 'error' AS failed, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events)) GROUP BY wallet) USING (wallet)")
