@@ -51,7 +51,7 @@ def time_slices(data: DataFrame, order: str = "us", shares: tuple[float, float]
 
 
 def walk_forward(data: DataFrame, features: list[str], least: int = 500, seed: int = 42, rounds: int = 20) -> dict:
-    """Train on the oldest slice, calibrate on the middle one, measure on the newest. Returns model, calibrator and metrics; ``refused`` with a reason if it can't."""
+    """Train on the oldest slice, calibrate on the middle one, measure on the newest. Returns model, calibrator, metrics and the time that training and calibration reach to; ``refused`` with a reason if it can't."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import Imputer, VectorAssembler
@@ -61,7 +61,7 @@ def walk_forward(data: DataFrame, features: list[str], least: int = 500, seed: i
     from .evaluation import auc
 
     parts = time_slices(data).cache()
-    classes = parts.groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("k")).collect()
+    classes = parts.groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("k"), F.max("us").alias("until")).collect()
     total = sum(r.n for r in classes)
     if total < least or len(classes) < 3 or any(r.k < 2 for r in classes):
         parts.unpersist()
@@ -75,7 +75,7 @@ def walk_forward(data: DataFrame, features: list[str], least: int = 500, seed: i
     m = tested.agg(F.avg(F.pow(F.col("prob") - F.col("label"), 2)).alias("brier"), F.avg("label").alias("base_rate"), F.count(F.lit(1)).alias("n")).first()
     score = auc(tested).first().auc
     parts.unpersist()
-    return {"model": model, "calibrator": iso, "features": used, "auc": score, "brier": m.brier, "base_rate": m.base_rate, "n": m.n}
+    return {"model": model, "calibrator": iso, "features": used, "auc": score, "brier": m.brier, "base_rate": m.base_rate, "n": m.n, "until": max(r.until for r in classes if r.slice < 2)}
 
 
 def promote(registry: DataFrame) -> DataFrame:

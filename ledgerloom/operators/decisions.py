@@ -140,7 +140,7 @@ def blocked_only_by(decisions: DataFrame, gate: str) -> DataFrame:
 
 
 def backtest(trades: DataFrame) -> DataFrame:
-    """Copies of decided buys: one open position a token; the same leader's next sell closes it. Columns: token, us, event_id, wallet, side, decided, price."""
+    """Copies of decided buys: one open position a token; the same leader's next sell closes it. Columns: token, us, event_id, wallet, side, decided, price; rows without a price above 0 neither open nor close."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         token, held = None, None
@@ -150,14 +150,14 @@ def backtest(trades: DataFrame) -> DataFrame:
                 if t != token:
                     token, held = t, None
                 if held is None:
-                    if side == "buy" and decided and price:
+                    if side == "buy" and decided and price > 0:
                         held = (event, us, wallet, price)
-                elif side == "sell" and wallet == held[2] and price:
+                elif side == "sell" and wallet == held[2] and price > 0:
                     out.append((t, held[0], event, wallet, held[1], us, held[3], price, price / held[3] - 1))
                     held = None
             yield pd.DataFrame(out, columns=["token", "buy_event", "sell_event", "wallet", "opened_us", "closed_us", "entry", "leave", "roi"])
 
-    slim = trades.select("token", "us", "event_id", "wallet", "side", "decided", "price")
+    slim = trades.select("token", "us", "event_id", "wallet", "side", "decided", F.coalesce("price", F.lit(0.0)).alias("price"))
     dealt = slim.repartition("token").sortWithinPartitions("token", "us", "event_id")
     return dealt.mapInPandas(run, "token long, buy_event long, sell_event long, wallet long, opened_us long, closed_us long, entry double, leave double, roi double")
 

@@ -205,11 +205,14 @@ def i11_wallet_persistence_data(spark, sf_dir):
 
 @C.add()
 def i12_i14_walk_forward(spark, sf_dir):
+    """Rows of the newest slice, which the model hasn't seen, with its metrics on them; one row with the reason if training is refused. The guard is 60 rows, as sf0.01 has 110 in all."""
     data = profit_data(spark, sf_dir)
     trained = ds.walk_forward(data, ds.TRADE_FEATURES, least=60)
     if "refused" in trained:
-        return data.limit(0).select("event_id", F.lit(None).cast("double").alias("p_profit"), F.lit(None).cast("double").alias("auc"))
-    return ds.score(data, trained).select("event_id", F.round("p_profit", 6).alias("p_profit"), F.lit(trained["auc"]).alias("auc"))
+        return spark.range(1).select(F.expr("cast(null as bigint)").alias("event_id"), F.expr("cast(null as int)").alias("label"), *[F.lit(None).cast("double").alias(c) for c in ("p_profit", "auc", "brier", "base_rate")], F.lit(trained["refused"]).alias("refused"))
+    rows = ds.score(data.filter(F.col("us") > trained["until"]), trained)
+    metrics = [F.lit(trained[c]).cast("double").alias(c) for c in ("auc", "brier", "base_rate")]
+    return rows.select("event_id", "label", F.round("p_profit", 6).alias("p_profit"), *metrics, F.lit(None).cast("string").alias("refused"))
 
 
 @C.add(PRELUDE + f", m AS (SELECT us // {DAY} AS version, CASE WHEN us // {DAY} % 6 = 1 THEN NULL ELSE round(avg(quote), 3) END AS auc FROM trades GROUP BY 1), p AS (SELECT version, auc, row_number() OVER (ORDER BY version) = 1 OR (auc IS NOT NULL AND (max(auc) OVER before IS NULL OR auc > max(auc) OVER before)) AS promoted FROM m WINDOW before AS (ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT version, promoted, version = (SELECT max(version) FROM p WHERE promoted) AS is_active FROM p")
@@ -305,7 +308,7 @@ def i22_copy_backtest(spark, sf_dir):
     copied = decided(spark, sf_dir).filter("decision = 'copy'").select("event_id", F.lit(True).alias("decided"))
     grid = sn.hourly_grid(t).select("token", "ts", F.col("price").alias("seen"))
     priced = tm.asof_backward(t, grid, ["token"], "us", "ts", ["seen"])  # without a snapshot so far, the trade's own price
-    rows = priced.join(copied, "event_id", "left").select("token", "us", "event_id", "wallet", "side", F.coalesce("decided", F.lit(False)).alias("decided"), F.coalesce("seen", F.col("quote") / F.col("amount")).alias("price"))
+    rows = priced.join(copied, "event_id", "left").select("token", "us", "event_id", "wallet", "side", F.coalesce("decided", F.lit(False)).alias("decided"), F.coalesce("seen", F.try_divide("quote", "amount")).alias("price"))
     return dc.backtest(rows).select("token", "buy_event", "sell_event", F.round("roi", 6).alias("roi"))
 
 
