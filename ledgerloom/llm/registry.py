@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, hilbert_shards, jaccard_join, language_id, packed_tokens, personal_data, quality_rules, secret_scan, source_mixing, token_counts
+from . import decontamination, hilbert_shards, jaccard_join, language_id, packed_tokens, personal_data, quality_rules, ranked_search, secret_scan, source_mixing, spelling_variants, token_counts, vector_forest
 
-MODULES = (quality_rules, token_counts, secret_scan, decontamination, language_id, packed_tokens, personal_data, source_mixing, hilbert_shards, jaccard_join)
+MODULES = (quality_rules, token_counts, secret_scan, decontamination, language_id, packed_tokens, personal_data, source_mixing, hilbert_shards, jaccard_join, spelling_variants, vector_forest, ranked_search)
 
 
 def queries() -> dict:

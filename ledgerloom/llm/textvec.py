@@ -1,12 +1,15 @@
 """Vectorised words of a batch of texts: spans and 64-bit hashes straight from Arrow's buffers.
 
-A word is a maximal run of bytes outside {0x20, 0x09..0x0D}; as those are
-ASCII, splitting UTF-8 bytes gives the same words as splitting code points.
+A word is a maximal run of bytes outside {0x20, 0x09..0x0D}, or of those that
+a function marks; as long as it marks all bytes of a code point or none,
+splitting UTF-8 bytes gives the same words as splitting code points.
 Every function takes whole texts; a null text has no words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 
@@ -66,13 +69,13 @@ def parts(batch: pa.RecordBatch, column: str = "text", max_bytes: int = 1 << 19)
 class Words:
     """Words of the texts of one slice: ``start``/``end`` (bytes), ``hash`` and ``first`` (words before each text; one more at the end)."""
 
-    def __init__(self, text: pa.Array, lower: bool = False):
+    def __init__(self, text: pa.Array, lower: bool = False, inside: Callable[[np.ndarray], np.ndarray] | None = None):
         n = len(text)
         off = np.frombuffer(text.buffers()[1], np.int64, n + 1, text.offset * 8)
         data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
         off = off - off[0]
         self.data, self.offsets = data, off
-        word = ~_SPACE[data]
+        word = inside(data) if inside else ~_SPACE[data]
         cut = np.zeros(len(data) + 1, bool)
         cut[off] = True
         begins, ends = word.copy(), word.copy()
