@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .shared import materialize, ordered_positions, read_table
 
@@ -103,9 +104,10 @@ def place(docs: DataFrame, shards: int = SHARDS, keep_rows: bool = True) -> Data
         steps = rank_steps(docs, c)
         rows = rows.join(steps, rows[c].eqNullSafe(steps[f"_{c}"]), "left").drop(f"_{c}")
     rows = rows.withColumn("curve", hilbert_index([F.col("_source_step"), F.col("_lang_step"), size_step(F.col("size"))]))
-    rows = rows.select("_row", "doc_id", "size", "text_crc32", "curve")
+    whole = F.xxhash64(*[F.col(f"_row.`{c}`") for c in names if not isinstance(docs.schema[c].dataType, MapType)])  # rows equal but for other columns keep their order
+    rows = rows.select("_row", "doc_id", "size", "text_crc32", "curve", whole.alias("_whole"))
     n = docs.count()
-    placed = ordered_positions(rows, [F.col("curve"), F.col("text_crc32"), F.col("size"), F.col("doc_id")])
+    placed = ordered_positions(rows, [F.col("curve"), F.col("text_crc32"), F.col("size"), F.col("doc_id"), F.col("_whole")])
     q, r = divmod(n, shards)
     pos, head = F.col("position"), r * (q + 1)
     low, high = F.floor(pos / F.lit(q + 1)), r + F.floor((pos - head) / F.lit(max(q, 1)))

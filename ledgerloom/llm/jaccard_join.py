@@ -52,8 +52,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from .shared import discard, materialize, read_table
+from .shared import WORD, discard, materialize, read_table
 from .textvec import Words, combine, mix, parts
 
 PERCENT = 75
@@ -366,12 +367,13 @@ def _every_pair(mixed: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     return small.select(*cols).unionByName(large.select(*cols))
 
 
-def _tokens(docs: DataFrame, pairs: DataFrame, info: DataFrame, have: DataFrame | None, width: int) -> DataFrame:
-    """Whole sets of all classes in ``pairs``, added to those at hand."""
+def _tokens(docs: DataFrame, pairs: DataFrame, info: DataFrame, have: DataFrame | None, width: int, held: list[DataFrame]) -> DataFrame:
+    """Whole sets of all classes in ``pairs``, added to those at hand; the written table is noted in ``held``."""
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     if have is not None:
         wanted = wanted.join(have.select("cls"), "cls", "left_anti")
     new = materialize(class_sets(docs, info.join(wanted, "cls").select("cls", "member.doc_id", "member.key"), width), "tokens")
+    held.append(new)
     return new if have is None else have.unionByName(new)
 
 
@@ -403,7 +405,8 @@ def _labelled(docs: DataFrame, percent: int, width: int) -> DataFrame:
     star = met.filter("pair").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     live = met.filter("not pair").select(F.col("x").alias("bucket"), F.col("y").alias("cls"), "n", "size")
     pairs = kept(prune(star, info, percent), "pairs")
-    sets = _tokens(docs, pairs, info, None, width)
+    held: list[DataFrame] = []
+    sets = _tokens(docs, pairs, info, None, width, held)
     links = kept(verify(pairs, sets, percent), "links")
     label = None if links.isEmpty() else kept(components(links), "components")
 
@@ -423,7 +426,7 @@ def _labelled(docs: DataFrame, percent: int, width: int) -> DataFrame:
         more = kept(prune(near.join(pairs, ["a", "b"], "left_anti"), info, percent), "pairs")
         if more.isEmpty():
             continue
-        sets = _tokens(docs, more, info, sets, width)
+        sets = _tokens(docs, more, info, sets, width, held)
         new = kept(verify(more, sets, percent), "links")
         pairs, links = pairs.unionByName(more), links.unionByName(new)
         if not new.isEmpty():
@@ -439,29 +442,35 @@ def _labelled(docs: DataFrame, percent: int, width: int) -> DataFrame:
         low = by.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
         named = by.join(low, "comp").select("cls", "comp", "component_id")
     named = materialize(named, "named")
-    discard(*done)
+    discard(*done, *held)
     return rows.join(named, "cls", "left").select("doc_id", "key", "n", "comp", "component_id")
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """``docs`` without those that link, directly or through others, to a document with a smaller id.
+    """``docs`` with one row of each group of linked documents: that of the smallest id, then of the smallest hash of its text.
 
-    Rows with the same id are one document only if they are equal; a repeated
-    row stays once, and rows without an id always stay. Different texts under
-    one id are judged each on its own; of those in one component one stays.
+    Rows without an id come after all others, so one of them stays only where
+    a group has no id at all. Of rows with the same id and text, whatever their
+    other columns, one stays. Texts without words link with nothing: they stay, but
+    a row with an id is kept once if it is repeated as a whole.
     """
     names = docs.columns
-    repeated = materialize(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")), "repeated")
-    if not repeated.isEmpty():  # only the rows concerned are compared
-        again = F.col("doc_id") == F.col("_again")
-        docs = docs.join(repeated, again, "left_anti").unionByName(docs.join(repeated, again, "left_semi").dropDuplicates())
-    found = _labelled(docs, percent, width).filter("n > 0 and doc_id is not null")
-    top = found.filter("doc_id = component_id").select("comp", "doc_id", "key").distinct()  # more than one a component only under a repeated id
-    more = top.join(top.groupBy("comp").agg(F.min("key").alias("stays")), "comp").filter("key != stays")
-    dropped = found.filter("doc_id != component_id").select("doc_id", "key").union(more.select("doc_id", "key")).distinct()
-    dropped = dropped.select(F.col("doc_id").alias("_dropped"), F.col("key").alias("_key"))
-    kept = docs.join(dropped, (F.col("doc_id") == F.col("_dropped")) & (text_key() == F.col("_key")), "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in names])
+    found = _labelled(docs, percent, width).filter("n > 0")
+    first = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("top"))
+    stays = materialize(first.select(F.col("top.doc_id").alias("_id"), F.col("top.key").alias("_key")).distinct(), "stays")
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    empty = docs.filter(wordless)
+    empty = empty.filter("doc_id is not null").dropDuplicates().unionByName(empty.filter("doc_id is null"))
+    kept = docs.filter(~wordless).alias("d").join(stays, F.col("d.doc_id").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key")), "left_semi")
+    # all but a few stand alone, so only groups of one id and text are aggregated; copies meet in their own tasks first
+    again = materialize(found.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).count().filter("count > 1").drop("count"), "repeated")
+    if not again.isEmpty():
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
+        whole = F.struct(*[F.col(f"`{c}`") for c in names])
+        rest = kept.join(again, same, "left_semi").select("doc_id", text_key().alias("_key"), whole.alias("_row"), F.xxhash64(*[F.col(f"`{c}`") for c in names if not isinstance(docs.schema[c].dataType, MapType)]).alias("_h"))
+        one = rest.groupBy("doc_id", "_key").agg(F.min_by("_row", "_h").alias("_row")).select("_row.*")
+        kept = kept.join(again, same, "left_anti").select(*[F.col(f"`{c}`") for c in names]).unionByName(one)
+    return kept.select(*[F.col(f"`{c}`") for c in names]).unionByName(empty)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ tells them apart by
 Labelled findings come as a table (doc_id, start, is_secret), reviewed by
 people. Training takes at most ``TRAIN_ROWS`` of each class, those with the
 smallest hash; every candidate of every document is scored. Where there are no
-reviewed ones, ``label_findings`` labels by one view only, the words next to the
+reviewed ones, ``is_secret`` labels by one view only, the words next to the
 candidate: assigned to a key-like name, or nothing like that near it. The forest
 then gets the other view (``BLIND``: value, path and farther words), so that it
 can't learn the rule back, and a value that looks like the labelled ones is
@@ -30,6 +30,9 @@ a text, so no row carries more than its neighbourhood: up to five words before
 (as far as they lie within the last five pieces) and what stands up to three
 words behind, within two.
 
+Tables in the shared folder hold features and hashes, never a value or the
+words next to it; findings are returned by place and SHA-256.
+
 Defined results: null and empty texts have no candidates; repeated rows give
 their findings each; a null ``doc_id`` is kept; a missing ``source`` counts as
 null; without labels of both classes every candidate stays (probability null,
@@ -51,7 +54,7 @@ CANDIDATE = r"(?<=[\"'])[^\"'\x20\x09-\x0D]{8,}(?=[\"'])|[A-Za-z0-9+/_-]{16,}"
 KEY_WORD = r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|auth|bearer|credential|private)"
 DICTIONARY = 5_000
 TRAIN_ROWS = 20_000
-TREES, DEPTH, SEED = 30, 6, 42
+TREES, DEPTH, SEED, FOLDS = 30, 6, 42, 3
 BLIND = ["length", "digits", "lowers", "uppers", "others", "turns", "distinct", "hex", "known", "path_like", "address_like", "source_bucket", "left3_bucket", "right_bucket"]
 FEATURES = [*BLIND, "assigned", "quoted", "key_before", "left_bucket"]
 _BLOCK = 128
@@ -110,14 +113,16 @@ def with_features(found: DataFrame, known_words: DataFrame) -> DataFrame:
     bucket = lambda w: F.pmod(F.crc32(F.lower(w).cast("binary")), F.lit(32)).cast("double")
     around = F.concat_ws(" ", "left2", "left1", "before")
     # every piece of 3 to 6 letters may be a word; covered letters are counted once, by place. Keyed by finding, so that a value
-    # of many copies is dealt like others
-    letters = found.select("finding", F.lower(c).alias("c")).select("finding", "c", F.explode(F.sequence(F.lit(1), F.length("c"))).alias("p"))
-    spots = letters.select("finding", "p", F.explode(F.transform(F.lit([3, 4, 5, 6]), lambda k: F.struct(k.alias("k"), F.call_function("substr", F.col("c"), F.col("p"), k).alias("entry")))).alias("s"))
-    spots = spots.select("finding", "p", "s.*").filter(F.length("entry") == F.col("k"))
-    hits = spots.join(F.broadcast(known_words), "entry").select("finding", F.explode(F.sequence(F.col("p"), F.col("p") + F.col("k") - 1)).alias("at"))
-    covered = hits.groupBy("finding").agg(F.count_distinct("at").alias("letters"))
-    return found.join(covered, "finding", "left").select(
-        found["*"],
+    # of many copies is dealt like others; the pieces of one meet in their own task before they are dealt
+    row = F.struct(*[F.col(x) for x in found.columns]).alias("row")
+    letters = found.select("finding", row, F.lower(c).alias("c")).select("finding", "row", "c", F.explode(F.sequence(F.lit(1), F.length("c"))).alias("p"))
+    spots = letters.select("finding", "row", "p", F.explode(F.transform(F.lit([3, 4, 5, 6]), lambda k: F.struct(k.alias("k"), F.call_function("substr", F.col("c"), F.col("p"), k).alias("entry")))).alias("s"))
+    spots = spots.select("finding", "row", "p", "s.*").join(F.broadcast(known_words.withColumn("hit", F.lit(True))), "entry", "left")
+    at = F.when(F.col("hit"), F.struct("p", "k"))
+    covered = spots.groupBy("finding").agg(F.first("row").alias("row"), F.collect_set(at).alias("hits"))
+    places = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["p"], h["p"] + h["k"] - 1))))
+    return covered.select("row.*", F.size(places).alias("letters")).select(
+        *found.columns,
         n.cast("double").alias("length"),
         share("[0-9]").alias("digits"),
         share("[a-z]").alias("lowers"),
@@ -139,19 +144,18 @@ def with_features(found: DataFrame, known_words: DataFrame) -> DataFrame:
     )
 
 
-def label_findings(found: DataFrame) -> DataFrame:
-    """Findings that the words next to them tell: (finding, is_secret). Assigned to a key-like name, or neither assigned nor after such a name."""
+def is_secret() -> Column:
+    """What the words next to a finding tell: assigned to a key-like name (true), neither assigned nor after such a name (false), or nothing (null)."""
     around = F.concat_ws(" ", "left2", "left1", "before")
     yes = around.rlike(KEY_WORD.replace("(?i)", "(?i)\\b") + r"\s*[=:]\s*[\"']?$")
     no = ~around.rlike(r"[=:]\s*[\"']?$") & ~around.rlike(KEY_WORD)
-    return found.select("finding", F.when(yes, True).when(no, False).alias("is_secret")).filter("is_secret is not null")
+    return F.when(yes, True).when(no, False)
 
 
 def train(labelled: DataFrame, names: list[str], rows: int = TRAIN_ROWS):
     """A forest from at most ``rows`` findings (with ``is_secret``) of each class; None without both classes."""
     given = labelled.withColumn("label", F.col("is_secret").cast("double"))
-    order = [F.xxhash64("candidate", "doc_id", "start"), F.col("doc_id"), F.col("start")]
-    keep = [given.filter(F.col("label") == y).orderBy(*order).limit(rows).select("label", *names) for y in (1.0, 0.0)]
+    keep = [given.filter(F.col("label") == y).orderBy("draw", "doc_id", "start").limit(rows).select("label", *names) for y in (1.0, 0.0)]
     sample = materialize(keep[0].unionByName(keep[1]), "training")
     if sample.select("label").distinct().count() < 2:
         discard(sample)
@@ -170,40 +174,46 @@ def _scored(featured: DataFrame, assembler: VectorAssembler, model) -> DataFrame
 
 
 def _featured(docs: DataFrame) -> DataFrame:
+    """Places, hashes, features and own labels of all findings, written. Neither values nor their surroundings are, in clear text."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *["source" for c in docs.columns if c.lower() == "source"])
-    found = materialize(candidates(slim).withColumn("finding", F.monotonically_increasing_id()), "candidates")
     words = materialize(dictionary(slim), "dictionary")
-    featured = materialize(with_features(found, words), "features")
-    discard(found, words)
+    found = with_features(candidates(slim).withColumn("finding", F.monotonically_increasing_id()), words)
+    told = is_secret().alias("told")
+    own = [F.sha2("candidate", 256).alias("candidate_sha256"), F.xxhash64("candidate", "doc_id", "start").alias("draw"), F.pmod(F.xxhash64("candidate"), F.lit(FOLDS)).alias("fold")]
+    featured = materialize(found.select("doc_id", "start", (F.col("start") + F.length("candidate")).alias("finish"), told, *own, *FEATURES), "features")
+    discard(words)
     return featured
 
 
+def _labelled(featured: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, list[str]]:
+    if labels is None:
+        return featured.withColumn("is_secret", F.col("told")).filter("is_secret is not null"), BLIND
+    return featured.join(labels.select("doc_id", "start", "is_secret").dropDuplicates(["doc_id", "start"]), ["doc_id", "start"]), FEATURES
+
+
 def scan(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """All candidates with ``probability`` and ``kept`` (false: removed as a false positive)."""
     featured = _featured(docs)
-    if labels is None:
-        labelled, names = featured.join(label_findings(featured), "finding"), BLIND
-    else:
-        labelled, names = featured.join(labels.select("doc_id", "start", "is_secret").dropDuplicates(["doc_id", "start"]), ["doc_id", "start"]), FEATURES
+    labelled, names = _labelled(featured, labels)
     assembler, model = train(labelled, names)
     if model is None:
         scored = featured.withColumn("probability", F.lit(None).cast("double")).withColumn("kept", F.lit(True))
     else:
         scored = _scored(featured, assembler, model).withColumn("kept", F.col("probability") >= threshold)
-    return scored.select("doc_id", "start", (F.col("start") + F.length("candidate")).alias("finish"), F.sha2("candidate", 256).alias("candidate_sha256"), "probability", "kept")
+    scored = materialize(scored.select("doc_id", "start", "finish", "candidate_sha256", "probability", "kept"), "findings")
+    discard(featured)
+    return scored
 
 
-def held_out(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.5, folds: int = 3) -> dict[str, float]:
-    """Precision and recall on the labelled findings of one fold of values, by a forest that learned from the others."""
+def held_out(docs: DataFrame, labels: DataFrame | None = None, threshold: float = 0.5) -> dict[str, float]:
+    """Precision and recall on the labelled findings of one fold of values (of ``FOLDS``), by a forest that learned from the others."""
     featured = _featured(docs)
-    if labels is None:
-        labelled, names = featured.join(label_findings(featured), "finding"), BLIND
-    else:
-        labelled, names = featured.join(labels.dropDuplicates(["doc_id", "start"]), ["doc_id", "start"]), FEATURES
-    aside = F.pmod(F.xxhash64("candidate"), F.lit(folds)) == 0  # equal values are on one side
+    labelled, names = _labelled(featured, labels)
+    aside = F.col("fold") == 0  # equal values are on one side
     assembler, model = train(labelled.filter(~aside), names)
     said = (F.col("probability") >= threshold).cast("long")
     got = _scored(labelled.filter(aside), assembler, model).agg(F.sum(said).alias("said"), F.sum(said * F.col("is_secret").cast("long")).alias("right"), F.sum(F.col("is_secret").cast("long")).alias("true"), F.count(F.lit(1)).alias("n")).first()
+    discard(featured)
     return {"n": got.n, "secrets": got.true, "precision": got.right / got.said if got.said else 0.0, "recall": got.right / got.true if got.true else 0.0}
 
 

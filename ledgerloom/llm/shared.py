@@ -64,14 +64,15 @@ def ordered_positions(df: DataFrame, order: list, group: list[str] | None = None
     """Adds ``position`` (from 0, gapless) in the total order ``order``, counted per ``group`` if given.
 
     A range exchange on the whole order key deals rows evenly even when one
-    group holds a third of them; each task numbers its own slice, and the
-    slices' offsets come from one small (slice, group) count table. No window
-    ever spans a whole group. The sliced table is written once, so that both
-    readers see the same slices.
+    group holds a third of them, or when a third are equal in the whole key: a
+    salt is its last column, so which of them comes first is left open. Each
+    task numbers its own slice, and the slices' offsets come from one small
+    (slice, group) count table. No window ever spans a whole group. The sliced
+    table is written once, so that both readers see the same slices.
     """
     group = group or []
-    keyed = df.select("*", *[c.alias(f"_o{i}") for i, c in enumerate(order)])
-    names = [f"_o{i}" for i in range(len(order))]
+    keyed = df.select("*", *[c.alias(f"_o{i}") for i, c in enumerate([*order, F.xxhash64(F.monotonically_increasing_id())])])
+    names = [f"_o{i}" for i in range(len(order) + 1)]
     sliced = keyed.repartitionByRange(*names).withColumn("_slice", F.spark_partition_id())
     sliced = materialize(sliced, "slices")
     counts = sliced.groupBy("_slice", *group).agg(F.count(F.lit(1)).alias("_n"))

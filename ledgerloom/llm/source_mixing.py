@@ -28,8 +28,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from .shared import materialize, n_words, ordered_positions, read_table
+from .shared import discard, materialize, n_words, ordered_positions, read_table
 
 MAX_EPOCHS = 3
 SEED = 17
@@ -64,23 +65,21 @@ def _same(a: str, b: str):
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` as ``_row``, with ``_nr``: 0, or for rows of one id and text their numbers from 0.
+    """``docs`` as ``_row``, with ``_nr``: 0, or for rows of one id and text their numbers from 0, by source and the other columns.
 
-    Only repeated rows are moved. They are numbered inside slices, and slices are numbered by one small
-    table of counts, so a group of any size is dealt over many tasks.
+    Only repeated rows are moved, and a group of any size is dealt over many tasks. Which of wholly equal rows has which
+    number is open, and makes no difference.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not isinstance(docs.schema[c].dataType, MapType)])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "source", "doc_id", F.coalesce("text", F.lit("")).alias("text"), whole.alias("_whole"))
     rows = rows.withColumn("_key", F.xxhash64("doc_id", F.isnull("doc_id"), "text"))
     again = materialize(rows.groupBy("_key").count().filter("count > 1").select("_key"), "repeated")
     if again.isEmpty():
+        discard(again)
         return rows.withColumn("_nr", F.lit(0).cast("long"))
     once = rows.join(again, "_key", "left_anti").withColumn("_nr", F.lit(0).cast("long"))
-    more = materialize(rows.join(again, "_key", "left_semi").withColumn("_slice", F.spark_partition_id()), "slices")
-    counts = more.groupBy("_key", "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("_key", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = F.row_number().over(Window.partitionBy("_key", "_slice").orderBy(F.lit(0)))
-    more = more.withColumn("_rn", inside).join(base, ["_key", "_slice"]).withColumn("_nr", F.col("_base") + F.col("_rn") - 1)
+    more = rows.join(again, "_key", "left_semi")
+    more = ordered_positions(more, [F.col("_key"), F.isnull("source"), F.col("source"), F.col("_whole")], ["_key"]).withColumnRenamed("position", "_nr")
     return once.unionByName(more.select(*once.columns))
 
 
@@ -105,9 +104,10 @@ def repetitions(docs: DataFrame, weights: DataFrame | None = None, max_epochs: i
     gap = F.abs(F.col("words") - F.col("part") * F.col("source_size"))
     tried = arcs.alias("a").join(plan.alias("s"), _same("a", "s")).select(F.col("a.source").alias("source"), F.struct(gap.alias("gap"), "start", "step").alias("arc"))
     best = tried.groupBy("source").agg(F.min("arc").alias("arc"))
-    plan = materialize(plan.alias("s").join(best.alias("b"), _same("s", "b")).select("s.*", F.col("arc.start").alias("start"), F.col("arc.step").alias("last")), "plan")
+    drawn = materialize(plan.alias("s").join(best.alias("b"), _same("s", "b")).select("s.*", F.col("arc.start").alias("start"), F.col("arc.step").alias("last")), "plan")
+    discard(words, sources, weights, plan)
 
-    out = rows.alias("d").join(plan.alias("s"), _same("d", "s"), "left")
+    out = rows.alias("d").join(drawn.alias("s"), _same("d", "s"), "left")
     copies = F.coalesce(F.col("whole") + (step <= F.col("last")).cast("long"), F.lit(0)).cast("long")
     return out.select("_row", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), copies.alias("copies"))
 
@@ -128,7 +128,7 @@ SQL = {
     "op8_source_mixing": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || (row_number() OVER (PARTITION BY doc_id, coalesce(text, '')) - 1) || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) % 1024 AS place FROM documents),
+    CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || (row_number() OVER (PARTITION BY doc_id, coalesce(text, '') ORDER BY source IS NULL, source) - 1) || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) % 1024 AS place FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s AS (SELECT source, source_size, CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS DOUBLE) AS weight FROM s0),
 fill AS (

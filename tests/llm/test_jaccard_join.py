@@ -74,12 +74,15 @@ def test_edges(make):
     assert jj.jaccard_components(make([])).count() == 0
 
 
-def test_one_of_each_keeps_columns_and_rows_without_id(make, words):
-    a = words(40, 1)
-    rows = [(2, a), (1, a + " tail"), (1, a + " tail"), (None, a), (4, words(40, 2)), (5, None)]
+def test_one_of_each_keeps_columns_and_one_row_of_each_group(make, words):
+    """A row without an id that links to another is a duplicate like any other; without any id one of the group stays."""
+    a, b = words(40, 1), words(40, 7)
+    rows = [(2, a), (1, a + " tail"), (1, a + " tail"), (None, a), (None, a), (4, words(40, 2)), (5, None), (None, b), (None, b), (None, b + " tail"), (None, ""), (6, words(40, 8), "s1"), (6, words(40, 8), "s2")]
     out = jj.one_of_each(make(rows))
     assert out.columns == make(rows).columns
-    assert sorted((x.doc_id for x in out.collect()), key=repr) == sorted([1, None, 4, 5], key=repr)
+    got = [(x.doc_id, x.text) for x in out.collect()]
+    assert sorted((d for d, _ in got), key=repr) == sorted([1, 4, 5, 6, None, None], key=repr)
+    assert sum(t in (b, b + " tail") for d, t in got if d is None) == 1 and (None, "") in got
 
 
 def test_near_copies_with_null_and_repeated_ids(make, words):

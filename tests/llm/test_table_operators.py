@@ -133,6 +133,21 @@ def test_secret_scan_learns_from_labels(spark, make):
     assert ss.scan(make([])).count() == 0
 
 
+def test_secret_scan_leaves_no_value_in_the_shared_folder(make, tmp_path, monkeypatch):
+    from ledgerloom.llm import shared
+
+    value = "q7" * 20
+    rows = [(k, f'set the token = "{value}{k}" in the file and donaudampfschifffahrt here') for k in range(30)]
+    written, put = [], shared.materialize
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    monkeypatch.setattr(ss, "materialize", lambda df, name: (written.append(df.collect()), put(df, name))[1])
+    out = ss.scan(make(rows)).collect()
+    assert len(out) == 60 and written
+    assert not any(value in repr(x) or "donaudampf" in repr(x) for t in written for x in t)
+    left = [p.name for p in tmp_path.iterdir()]
+    assert len(left) == 1 and left[0].startswith("findings-")  # what it returns
+
+
 def test_candidates_equal_brute_force(make):
     import re
 
@@ -179,6 +194,40 @@ def test_forest_finds_held_out_secrets_without_the_name(spark):
     assert got["secrets"] >= 3 and got["precision"] >= 0.9 and got["recall"] >= 0.9
 
 
+# --- order of rows ----------------------------------------------------------
+
+
+def test_mix_of_repeated_ids_depends_on_no_order(spark, words):
+    r = random.Random(11)
+    rows = [(r.randrange(40), words(r.randrange(1, 6), r.randrange(4)), f"s{r.randrange(3)}", r.randrange(3)) for _ in range(600)]
+    schema = "doc_id long, text string, source string, lang long"
+    mixes = []
+    for k in range(2):
+        got = sm.mix(spark.createDataFrame(rows, schema).repartition(3 + 4 * k)).collect()
+        mixes.append(Counter(map(tuple, got)))
+        r.shuffle(rows)
+    assert mixes[0] == mixes[1]
+
+
+def test_equal_rows_are_dealt_over_all_slices(spark, monkeypatch):
+    from ledgerloom.llm import shared
+
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same text").alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"))
+    written, put = {}, shared.materialize
+
+    def noted(df, name):
+        written[name] = put(df, name)
+        return written[name]
+
+    monkeypatch.setattr(shared, "materialize", noted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few bytes go to one slice
+    got = hs.place(docs).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("last")).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    slices = [x["count"] for x in written["slices"].groupBy("_slice").count().collect()]
+    assert sorted(x.n for x in got) == [833] * 16 + [834] * 8 and all(x.last == x.n - 1 for x in got)
+    assert len(slices) == 8 and max(slices) < 2 * 20_000 / len(slices)
+
+
 # --- registered queries ------------------------------------------------------
 
 
@@ -187,7 +236,8 @@ def test_query_equals_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    c.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for t in ("documents", "benchmark"):
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     cur = c.execute(oracle_sql()[name])
     cols = [d[0] for d in cur.description]
     df = queries()[name](spark, SF)
