@@ -19,6 +19,8 @@ How it works:
   so many that of the sample's own neighbours, known by brute force for some of
   its rows, a share of ``RECALL`` is found. Vectors without any structure need
   a good part of all leaves, those with some need few.
+* A query brings along what the sixth best of the sample's rows in its opened
+  leaves scores (for five neighbours): rows below that can't be among the best.
 * Classes and queries meet by (tree, leaf). A leaf of more than ``PORTION``
   classes is dealt in portions; each task compares one portion's vectors with
   its queries in a matrix product and hands on the best. Scores of what may be
@@ -59,6 +61,10 @@ MEASURED = 200
 SAMPLE_FLOATS, SAMPLE_ROWS = 2_000_000, 30_000
 PORTION = 2048
 SEED = 29
+#: More than the rounding of a product of unit vectors.
+ROUNDING = 1e-9
+#: Queries compared with the sample at once.
+ASKED = 256
 
 
 class Forest:
@@ -66,6 +72,7 @@ class Forest:
 
     def __init__(self, sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, seed: int = SEED):
         rng = np.random.default_rng(seed)
+        self.sample = sample
         n, dim = sample.shape
         wanted = max(0, int(np.ceil(np.log2(max(1, rows / leaf)))))
         self.depth = min(wanted, max(0, n.bit_length() - 1), dim)
@@ -82,6 +89,7 @@ class Forest:
                     self.medians[tree, 2**level - 1 + k] = cut
                     below += [rows_of[value < cut], rows_of[value >= cut]]
                 groups = below
+        self.home = self.leaves(sample)
 
     def leaves(self, vectors: np.ndarray) -> np.ndarray:
         """The leaf of each vector in each tree: (tree, row)."""
@@ -110,9 +118,22 @@ class Forest:
                 node = near
             yield tree, node - first
 
-    def opened(self, sample: np.ndarray, top: int, recall: float = RECALL, measured: int = MEASURED) -> int:
+    def bars(self, vectors: np.ndarray, opened: list[list[tuple[int, int]]], keep: int) -> np.ndarray:
+        """What the ``keep``-th best of the sample's rows in each vector's opened leaves scores at least; -2 if there are not so many."""
+        close = vectors @ self.sample.T
+        out = np.full(len(vectors), -2.0)
+        trees = np.arange(len(self.home))[:, None]
+        for i, leaves in enumerate(opened):
+            flag = np.zeros((len(self.home), 2**self.depth), bool)
+            flag[tuple(np.array(leaves).T)] = True
+            inside = close[i][flag[trees, self.home].any(axis=0)]
+            if len(inside) >= keep:
+                out[i] = np.partition(inside, -keep)[-keep] - ROUNDING
+        return out
+
+    def opened(self, top: int, recall: float = RECALL, measured: int = MEASURED) -> int:
         """How many leaves hold the share ``recall`` of the ``top`` nearest rows of the sample's first ones."""
-        home = self.leaves(sample)
+        sample, home = self.sample, self.home
         needed = []
         for i in range(min(measured, len(sample))):
             close = sample @ sample[i]
@@ -171,7 +192,7 @@ def fit(found: DataFrame, top: int, recall: float, trees: int, leaf: int, seed:
     sample = found.select("cls", "vec").orderBy(F.xxhash64("cls", F.lit(seed)), "cls").limit(most).collect()
     vectors = _unit(np.array([r.vec for r in sample]))
     forest = Forest(vectors, rows, trees, leaf, seed)
-    return forest, forest.opened(vectors, top, recall)
+    return forest, forest.opened(top, recall)
 
 
 def _filed(found: DataFrame, forest: Forest) -> DataFrame:
@@ -187,19 +208,22 @@ def _filed(found: DataFrame, forest: Forest) -> DataFrame:
     return found.select("cls", F.col("members")[0].alias("low"), "vec").mapInArrow(run, "tree int, leaf int, cls string, low long, vec array<double>")
 
 
-def _asked(queries: DataFrame, forest: Forest, most: int) -> DataFrame:
-    """The leaves that each distinct query vector opens: (tree, leaf, qcls, qvec)."""
+def _asked(queries: DataFrame, forest: Forest, most: int, keep: int) -> DataFrame:
+    """The leaves that each distinct query vector opens: (tree, leaf, qcls, qvec, bar)."""
     shared = queries.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                opened = [list(islice(shared.value.nearest_leaves(v), most)) for v in _unit(_matrix(batch.column("vec")))]
+            for k in range(0, batch.num_rows, ASKED):
+                part = batch.slice(k, ASKED)
+                unit = _unit(_matrix(part.column("vec")))
+                opened = [list(islice(shared.value.nearest_leaves(v), most)) for v in unit]
+                bar = pa.array(shared.value.bars(unit, opened, keep))
                 at = pa.array(np.repeat(np.arange(len(opened)), [len(o) for o in opened]))
                 tree, leaf = np.array([x for o in opened for x in o], np.int32).T
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(tree)), pa.array(np.ascontiguousarray(leaf)), batch.column("cls").take(at), batch.column("vec").take(at)], ["tree", "leaf", "qcls", "qvec"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(tree)), pa.array(np.ascontiguousarray(leaf)), *[c.take(at) for c in (part.column("cls"), part.column("vec"), bar)]], ["tree", "leaf", "qcls", "qvec", "bar"])
 
-    return queries.mapInArrow(run, "tree int, leaf int, qcls string, qvec array<double>")
+    return queries.mapInArrow(run, "tree int, leaf int, qcls string, qvec array<double>, bar double")
 
 
 def _portions(size: Column) -> Column:
@@ -225,7 +249,7 @@ def _compare(asked: DataFrame, filed: DataFrame, keep: int) -> DataFrame:
         low = theirs.column("low").to_numpy()
         close = _unit(x) @ _unit(y).T
         last = max(0, close.shape[1] - keep)
-        bar = np.partition(close, last, axis=1)[:, last] - 1e-9  # rounding of a product is far below
+        bar = np.maximum(np.partition(close, last, axis=1)[:, last] - ROUNDING, mine.column("bar").to_numpy())
         i, j = np.nonzero(close >= bar[:, None])
         score = cosine(x[i], y[j])
         order = np.lexsort((low[j], -score, i))
@@ -235,7 +259,7 @@ def _compare(asked: DataFrame, filed: DataFrame, keep: int) -> DataFrame:
         return pa.Table.from_arrays([mine.column("qcls").combine_chunks().take(pa.array(i)), theirs.column("cls").combine_chunks().take(pa.array(j)), pa.array(low[j]), pa.array(score)], names)
 
     keys = [*leaf, "part", "turn"]
-    met = mine.select(*keys, "qcls", "qvec").groupBy(*keys).cogroup(theirs.select(*keys, "cls", "low", "vec").groupBy(*keys))
+    met = mine.select(*keys, "qcls", "qvec", "bar").groupBy(*keys).cogroup(theirs.select(*keys, "cls", "low", "vec").groupBy(*keys))
     return met.applyInArrow(meet, "qcls string, cls string, low long, score double")
 
 
@@ -252,7 +276,7 @@ def neighbours(table: DataFrame, queries: Column, top: int = TOP, column: str =
     asking = rows.filter(queries).select(F.col("vec_id").alias("query_id"), F.col("cls").alias("qcls"))
     vectors = found.join(asking.select(F.col("qcls").alias("cls")).distinct(), "cls", "left_semi").select("cls", "vec")
     forest, most = fitted
-    asked = materialize(_asked(vectors, forest, most), "asked")
+    asked = materialize(_asked(vectors, forest, most, top + 1), "asked")
     filed = materialize(_filed(found, forest), "filed")
     met = _compare(asked, filed, top + 1).distinct()
     order = Window.partitionBy("qcls").orderBy(F.desc("score"), "low", "cls")

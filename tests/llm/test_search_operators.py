@@ -169,7 +169,7 @@ def test_recall_on_clusters(spark):
     rows = [(i, centre[i % 40] + 0.5 * r.standard_normal(24)) for i in range(4000)]
     got = found(vector_forest.neighbours(vectors(spark, rows), F.col("vec_id") % 50 == 0))
     want = exact(rows, lambda i: i % 50 == 0)
-    assert set(got) == set(want)
+    assert set(got) == set(want) and all(len(x) == 5 for x in got.values())
     same = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want)
     assert same >= 0.9 * 5 * len(want)
     scores = {(q, i): s for q, x in exact(rows, lambda i: i % 50 == 0, 4000).items() for s, i in x}
