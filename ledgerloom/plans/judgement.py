@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from ..operators import datasets as ds
 from ..operators import decisions as dc
 from ..operators import evaluation as ev
+from ..operators import positions as ps
 from ..operators import reports as rp
 from ..operators import risk as rk
 from ..operators import snapshots as sn
 from ..operators import timeops as tm
 from ..operators import vetting as vt
 from ..operators import wallets as wl
-from ..sources.bindings import DAY, HOUR, NOW, POSITIONS, PRELUDE, tokens, trades, wallets
+from ..sources.bindings import DAY, HOUR, NOW, POSITIONS, PRELUDE, TRADE_ROWS, tokens, trades, wallets
 from .base import book
 from .catalog import Catalog, r6
 from .jobs import METRICS, _GRID, daily_labels, stats
@@ -248,49 +249,77 @@ def i16_e14_e15_model_performance(spark, sf_dir):
 
 # --- decisions -------------------------------------------------------------
 
-_DECIDE = f""", {_GRID.format(w=HOUR)}, g2 AS (SELECT *, volume_1h AS vwap FROM grid),
-jb AS (SELECT t.event_id, t.wallet, t.token, t.us, t.quote AS leader_size, w.tracked, s.confidence_score, s.roi_std, s.avg_roi, k.first_seen, CASE WHEN t.event_id % 4 <> 0 THEN (t.event_id * 37 % 100) / 100.0 END AS p_profit, CASE WHEN t.wallet % 13 = 0 THEN 'suspicious' ELSE 'clear' END AS verdict, CAST(t.token * 9 AS DOUBLE) AS rug_score, t.token = 4 AS hard_blocked, (t.event_id % 23) / 10.0 AS exposure, t.event_id % 29 = 0 AS has_open
-  FROM trades t LEFT JOIN wallets w USING (wallet) LEFT JOIN scored s USING (wallet) LEFT JOIN tokens k ON k.token = t.token WHERE t.side = 'buy'),
-ja AS (SELECT j.*, g.price, g.price * 1.1 AS vwap, g.liquidity * 3 AS liquidity, g.volume_1h, CAST(g.trades_1h AS DOUBLE) AS holder_growth FROM jb j ASOF LEFT JOIN grid g ON j.token = g.token AND j.us >= g.ts),
+#: Who and what is not copied, and the bounds of the rails, so that every gate but the switch opens and shuts somewhere.
+POLICY = {"min_confidence": 30, "wallet_blacklist": (7, 21), "token_blacklist": (8,)}
+MAX_OPEN, MAX_EXPOSURE = 8, 400
+
+_DECIDE = f""", {_GRID.format(w=HOUR)}, led AS (SELECT wallet, count(*) FILTER (status = 'open') AS open_n, greatest(coalesce(sum(bought_sol - sold_sol) FILTER (status = 'open'), 0), 0) AS exposed FROM positions GROUP BY wallet),
+jb AS (SELECT t.event_id, t.wallet, t.token, t.us, t.quote AS leader_size, w.tracked, s.confidence_score, s.roi_std, s.avg_roi, k.first_seen, k.supply, open_n, exposed, CASE WHEN t.event_id % 4 <> 0 THEN (t.event_id * 37 % 100) / 100.0 END AS p_profit, CASE WHEN t.wallet % 13 = 0 THEN 'suspicious' ELSE 'clear' END AS verdict, CAST(t.token * 9 AS DOUBLE) AS rug_score, t.token = 4 AS hard_blocked, (t.event_id % 23) / 10.0 AS exposure, t.event_id % 29 = 0 AS has_open
+  FROM trades t LEFT JOIN wallets w ON w.wallet = t.wallet LEFT JOIN scored s ON s.wallet = t.wallet LEFT JOIN tokens k ON k.token = t.token LEFT JOIN led ON led.wallet = t.wallet WHERE t.side = 'buy'),
+ja AS (SELECT j.*, g.price, g.price * 1.1 AS vwap, g.liquidity * 3 AS liquidity, g.volume_1h, CAST(g.trades_1h AS DOUBLE) AS holder_growth, g.price * supply / 10 AS market_cap FROM jb j ASOF LEFT JOIN grid g ON j.token = g.token AND j.us >= g.ts),
 cr AS (SELECT *, least(coalesce(confidence_score, 30), 100) AS wc, CASE WHEN p_profit IS NULL THEN 0 ELSE 0.25 END AS ml, 0.4 * least(greatest(coalesce(liquidity, 0) / 500, 0), 1) + 0.3 * least(greatest(coalesce(volume_1h, 0) / 1000, 0), 1) + 0.3 * least(greatest(coalesce(holder_growth, 0) / 50, 0), 1) AS q,
-  40 * (1 - least(greatest(coalesce(liquidity, 0) / 200, 0), 1)) + 25 * (1 - least(greatest((us - first_seen) / 1e6 / 86400, 0), 1)) + 20 * least(greatest(coalesce(abs(price - vwap) / nullif(vwap, 0), 0.15) / 0.5, 0), 1) + 15 * least(greatest(coalesce(roi_std, 1) / 3, 0), 1) AS risk FROM ja),
+  40 * (1 - least(greatest(coalesce(liquidity, 0) / 200, 0), 1)) + 25 * (1 - least(greatest(coalesce((us - first_seen) / 1e6 / 86400, 0), 0), 1)) + 20 * least(greatest(coalesce(abs(price - vwap) / nullif(vwap, 0), 0.15) / 0.5, 0), 1) + 15 * least(greatest(coalesce(roi_std, 1) / 3, 0), 1) AS risk FROM ja),
 dd2 AS (SELECT *, (0.45 + (0.25 - ml)) * wc + ml * 100 * coalesce(p_profit, 0) + 20 * q + 5 AS confidence FROM cr),
-de AS (SELECT *, [tracked OR wc >= 65, rug_score <= 60 AND NOT hard_blocked, tracked OR verdict <> 'suspicious', confidence >= 30, risk <= 70, coalesce(liquidity >= 25, FALSE), greatest(least(0.05, 2.0 - exposure), 0) >= 0.001, NOT has_open] AS gates FROM dd2)"""
+de AS (SELECT *, [TRUE, coalesce(tracked, FALSE) OR wc >= 65, wallet NOT IN (7, 21), token NOT IN (8), rug_score <= 60 AND NOT hard_blocked, coalesce(tracked, FALSE) OR verdict <> 'suspicious', confidence >= 30, risk <= 70, coalesce(liquidity >= 25, FALSE), coalesce(market_cap BETWEEN 1e4 AND 5e7, TRUE),
+  greatest(least(0.05, 2.0 - exposure), 0) >= 0.001, NOT (coalesce(open_n >= {MAX_OPEN}, FALSE) OR coalesce(exposed >= {MAX_EXPOSURE}, FALSE)), NOT has_open] AS gates, confidence_score IS NULL AND first_seen IS NULL AS unknown FROM dd2)"""
+DECISION = "CASE WHEN list_bool_and(gates) AND NOT unknown THEN 'copy' ELSE 'skip' END AS decision, CAST(len(list_filter(gates, lambda x: NOT x)) AS INT) AS failed"
+
+
+def decision_sql(low: int, high: int | None) -> str:
+    """The decision tables over the buys from ``low`` on and before ``high``, judged by what events before ``low`` tell."""
+    known = METRICS.replace("FROM events", f"FROM (SELECT * FROM events WHERE epoch_us(ts) < {low})")
+    mine = TRADE_ROWS.replace("FROM events", f"FROM (SELECT * FROM events WHERE epoch_us(ts) >= {low}" + (f" AND epoch_us(ts) < {high})" if high else ")"))
+    return f"{known}, own AS ({mine})" + _DECIDE.replace("FROM trades t LEFT JOIN wallets", "FROM own t LEFT JOIN wallets")
 
 
-def decision_inputs(spark, sf_dir):
+def decision_state(t) -> dict:
+    """What trades tell about wallets, tokens and the market, for the gates."""
+    positions = ps.fold_positions(t, ["event_id"])
+    is_open = F.col("status") == "open"
+    ledger = positions.groupBy("wallet").agg(F.count_if(is_open).alias("open_n"), F.greatest(F.coalesce(F.sum(F.when(is_open, F.col("bought_sol") - F.col("sold_sol"))), F.lit(0.0)), F.lit(0.0)).alias("exposure"))
+    none = ledger.limit(0)
+    reasons = dc.rails(ledger, none.select("wallet", F.lit(0).alias("streak")), none.select("wallet", F.lit(0.0).alias("daily_pnl")), max_open=MAX_OPEN, max_exposure=MAX_EXPOSURE)
+    grid = sn.hourly_grid(t).select("token", "ts", "price", (F.col("price") * 1.1).alias("vwap"), (F.col("liquidity") * 3).alias("liquidity"), "volume_1h", F.col("trades_1h").cast("double").alias("holder_growth"))
+    return {
+        "wallets": wallets(t).select("wallet", "tracked"),
+        "scores": wl.confidence(wl.wallet_metrics(t, positions, tokens(t), NOW)).select("wallet", "confidence_score", "roi_std", "avg_roi"),
+        "tokens": tokens(t).select("token", "first_seen", "supply"),
+        "rails": reasons.withColumnRenamed("reasons", "rail_reasons"),
+        "grid": grid,
+    }
+
+
+def with_state(buys, state: dict):
     """Buys with the state of their wallet, token and market that the gates need."""
-    t = trades(spark, sf_dir)
-    s = wl.confidence(stats(spark, sf_dir)).select("wallet", "confidence_score", "roi_std", "avg_roi")
     e = F.col("event_id")
-    b = t.filter("side = 'buy'").select("event_id", "wallet", "token", "us", F.col("quote").alias("leader_size"))
-    b = b.join(wallets(t).select("wallet", "tracked"), "wallet", "left").join(s, "wallet", "left").join(tokens(t).select("token", "first_seen"), "token", "left")
-    g = sn.hourly_grid(t).select("token", "ts", "price", (F.col("price") * 1.1).alias("vwap"), (F.col("liquidity") * 3).alias("liquidity"), "volume_1h", F.col("trades_1h").cast("double").alias("holder_growth"))
-    b = tm.asof_backward(b, g, ["token"], "us", "ts", ["price", "vwap", "liquidity", "volume_1h", "holder_growth"])
-    b = b.select(
+    b = buys.select("event_id", "wallet", "token", "us", F.col("quote").alias("leader_size"))
+    for name, key in (("wallets", "wallet"), ("scores", "wallet"), ("tokens", "token"), ("rails", "wallet")):
+        b = b.join(state[name], key, "left")
+    b = tm.asof_backward(b, state["grid"], ["token"], "us", "ts", ["price", "vwap", "liquidity", "volume_1h", "holder_growth"])
+    return b.select(
         "*", ((F.col("us") - F.col("first_seen")) / 1e6).alias("age_s"), F.when(e % 4 != 0, (e * 37 % 100) / 100.0).alias("p_profit"), F.when(F.col("wallet") % 13 == 0, "suspicious").otherwise("clear").alias("verdict"),
         (F.col("token") * 9).cast("double").alias("rug_score"), (F.col("token") == 4).alias("hard_blocked"), ((e % 23) / 10.0).alias("exposure"), (e % 29 == 0).alias("has_open"),
-        F.lit(None).cast("double").alias("market_cap"), F.lit(None).cast("double").alias("factor"), F.expr("cast(array() as array<string>)").alias("rail_reasons"),
+        (F.col("price") * F.col("supply") / 10).alias("market_cap"), F.lit(None).cast("double").alias("factor"),
     )
-    return b
 
 
 def decided(spark, sf_dir):
-    return dc.decide(decision_inputs(spark, sf_dir), min_confidence=30)
+    t = trades(spark, sf_dir)
+    return dc.decide(with_state(t.filter("side = 'buy'"), decision_state(t)), **POLICY)
 
 
-@C.add(METRICS + _DECIDE + " SELECT event_id, round(confidence, 4) AS confidence, round(risk, 4) AS risk, CASE WHEN list_bool_and(gates) THEN 'copy' ELSE 'skip' END AS decision, CAST(len(list_filter(gates, lambda x: NOT x)) AS INT) AS failed FROM de")
+@C.add(METRICS + _DECIDE + f" SELECT event_id, round(confidence, 4) AS confidence, round(risk, 4) AS risk, {DECISION}, list_transform(gates, lambda x: CAST(x AS INT)) AS gates FROM de")
 def i21_copy_decisions(spark, sf_dir):
     d = decided(spark, sf_dir)
-    return d.select("event_id", F.round("confidence", 4).alias("confidence"), F.round("risk", 4).alias("risk"), "decision", F.size(F.filter("gates", lambda g: ~g["passed"])).alias("failed"))
+    return d.select("event_id", F.round("confidence", 4).alias("confidence"), F.round("risk", 4).alias("risk"), "decision", F.size(F.filter("gates", lambda g: ~g["passed"])).alias("failed"), F.transform("gates", lambda g: g["passed"].cast("int")).alias("gates"))
 
 
-@C.add(METRICS + _DECIDE + " SELECT event_id FROM de WHERE len(list_filter(gates, lambda x: NOT x)) = 1 AND NOT gates[1]")
+@C.add(METRICS + _DECIDE + " SELECT event_id FROM de WHERE len(list_filter(gates, lambda x: NOT x)) = 1 AND NOT gates[2]")
 def i22c_blocked_only_by(spark, sf_dir):
     return dc.blocked_only_by(decided(spark, sf_dir), "followed_leader").select("event_id")
 
 
-_BACK = METRICS + _DECIDE + """, cp AS (SELECT event_id, TRUE AS decided FROM de WHERE list_bool_and(gates)), sp AS (SELECT t.event_id, g.price AS seen FROM trades t ASOF JOIN grid g ON t.token = g.token AND t.us >= g.ts),
+_BACK = METRICS + _DECIDE + """, cp AS (SELECT event_id, TRUE AS decided FROM de WHERE list_bool_and(gates) AND NOT unknown), sp AS (SELECT t.event_id, g.price AS seen FROM trades t ASOF JOIN grid g ON t.token = g.token AND t.us >= g.ts),
 so AS (SELECT token, us, event_id, wallet, side, coalesce(decided, FALSE) AS decided, coalesce(seen, quote / amount) AS price, row_number() OVER (PARTITION BY token ORDER BY us, event_id) AS rn FROM trades LEFT JOIN cp USING (event_id) LEFT JOIN sp USING (event_id)),
 bt AS (SELECT token, rn, CASE WHEN side = 'buy' AND decided THEN event_id END AS buy_event, CASE WHEN side = 'buy' AND decided THEN wallet END AS leader, CASE WHEN side = 'buy' AND decided THEN price END AS entry, CAST(NULL AS BIGINT) AS done_buy, CAST(NULL AS BIGINT) AS sell_event, CAST(NULL AS DOUBLE) AS roi FROM so WHERE rn = 1
   UNION ALL SELECT o.token, o.rn,

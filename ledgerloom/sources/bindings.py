@@ -107,14 +107,16 @@ _FOLD = """
     CAST(trades AS BIGINT) AS trades, CAST(sells AS BIGINT) AS sells
   FROM (SELECT *, row_number() OVER (PARTITION BY wallet, token, episode ORDER BY rn DESC) AS newest FROM {name}_fold) WHERE newest = 1)"""
 
-TRADES_CTE = """
-trades AS (
+TRADE_ROWS = """
   SELECT event_id, us, wallet, k % 10 AS token, k AS token100, CASE WHEN event_type IN ('purchase', 'signup') THEN 'buy' ELSE 'sell' END AS side,
     CAST(1 + event_id % 7 AS DOUBLE) AS amount, value AS quote, CASE WHEN event_id % 10 = 0 THEN 'stable' ELSE 'wsol' END AS quote_kind,
     CASE event_id % 3 WHEN 0 THEN 'raydium' WHEN 1 THEN 'pumpfun' ELSE 'orca' END AS venue,
     CASE WHEN event_id % 10 = 0 THEN value / 150.0 ELSE value END AS sol
   FROM (SELECT event_id, epoch_us(ts) AS us, user_id AS wallet, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k, event_type, value FROM events)
-  WHERE event_type <> 'error'),
+  WHERE event_type <> 'error'"""
+
+TRADES_CTE = f"""
+trades AS ({TRADE_ROWS}),
 failed AS (SELECT event_id, epoch_us(ts) AS us, user_id AS wallet FROM events WHERE event_type = 'error'),
 tokens AS (SELECT token, min(us) AS first_seen, token * 13 % 150 AS creator, (token + 1) * 1e6 AS supply FROM trades GROUP BY token),
 wallets AS (SELECT wallet, min(us) AS first_seen, max(us) AS last_seen, wallet % 17 = 0 AS tracked FROM trades GROUP BY wallet)"""

@@ -12,16 +12,24 @@ _own: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that the driver and executors share."""
+    """A folder that the driver and executors share; a local one only on a single machine, where none is configured."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-tables-")
     return _own[app]
 
 
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it knows it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
 def parse_messages(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """JSON trade messages of a ``value`` column: accepted rows, and rejects with their reason."""
     m = df.select("value", F.from_json("value", MESSAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("m")).select("value", "m.*")

@@ -1,11 +1,10 @@
-"""Structured Streaming forms of the trade operators.
+"""Structured Streaming forms of the trade operators: sources, runs, and the stateless and windowed ones.
 
 Each takes a streaming DataFrame of trades (``ts`` timestamp, ``us``,
 ``event_id``, ``wallet``, ``token``, ``side``, ``amount``, ``sol``, ``quote``)
-and returns another one, or starts from ``foreachBatch`` where the batch
-function is reused. The keyed position state (``fold_positions``) takes batches
-that follow one another in time; where files come in any order, ``in_order``
-folds their rows by event time and reports those behind ``LATE``.
+and returns another one. Folds that need their rows in order of event time are
+in ``ordered`` and ``folds``; tables that a stream keeps batch by batch are in
+``ledger``.
 """
 
 from __future__ import annotations
@@ -14,113 +13,112 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.positions import COLUMNS, SCHEMA, Episode
-from ..sources.tables import scratch
+from ..sources.tables import file_system, scratch
 
 LATE = "10 minutes"
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
+def event_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None, glob: str = "events.parquet") -> DataFrame:
     """The ``events`` table of a folder as a stream of trades."""
-    from ..sources.bindings import SOL_PRICE, micros
-
-    source = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet")
+    source = spark.readStream.schema(EVENTS).option("pathGlobFilter", glob)
     if files_per_batch:
         source = source.option("maxFilesPerTrigger", files_per_batch)
-    e = source.parquet(folder)
+    return as_trades(source.parquet(folder))
+
+
+def as_trades(e: DataFrame) -> DataFrame:
+    from ..sources.bindings import SOL_PRICE, micros
+
     k = F.from_json("props", "k long")["k"]
     stable = F.col("event_id") % 10 == 0
     return e.select(
         F.col("ts").cast("timestamp").alias("ts"), micros(F.col("ts")).alias("us"), "event_id", F.col("user_id").alias("wallet"), (k % 10).alias("token"),
         F.when(F.col("event_type") == "error", "failed").when(F.col("event_type").isin("purchase", "signup"), "buy").otherwise("sell").alias("side"),
-        (1 + F.col("event_id") % 7).cast("double").alias("amount"), F.col("value").alias("quote"), F.when(stable, F.col("value") / SOL_PRICE).otherwise(F.col("value")).alias("sol"),
+        (1 + F.col("event_id") % 7).cast("double").alias("amount"), F.col("value").alias("quote"), F.when(stable, "stable").otherwise("wsol").alias("quote_kind"), F.when(stable, F.col("value") / SOL_PRICE).otherwise(F.col("value")).alias("sol"),
     )
 
 
-def finish(stream: DataFrame, mode: str = "append", batch: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
-    """Run a stream to the end of what is there now and return what it wrote.
+def dealt_files(spark: SparkSession, sf_dir: str, slices: Column) -> str:
+    """The ``events`` of a folder dealt into files of a new one by a number that ``slices`` computes from ``us`` and ``event_id``; a stream takes the files in order of that number."""
+    from ..sources.bindings import micros
+
+    e = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet").withColumn("us", micros(F.col("ts")))
+    folder = f"{scratch(spark)}/events-{uuid.uuid4().hex}"
+    e.withColumn("slice", slices).drop("us").repartition("slice").write.partitionBy("slice").parquet(folder)
+    fs, p = file_system(spark, folder)
+    for part in [x.getPath() for x in fs.listStatus(p) if x.isDirectory()]:
+        n = int(part.getName().removeprefix("slice="))
+        for f in fs.listStatus(part):  # the source goes by the files' times
+            fs.setTimes(f.getPath(), 1_700_000_000_000 + 1000 * n, -1)
+    return folder
+
+
+class Run:
+    """A stream's checkpoint and what it wrote, under one folder: started again on it, a stream goes on where it stopped.
 
-    ``append`` and ``update`` batches are written under their number, so that
-    a repeated batch replaces itself; ``complete`` ones replace the table.
+    ``append`` and ``update`` batches are written under their number, so
+    that a repeated batch replaces itself; ``complete`` ones replace the table.
     """
-    spark = stream.sparkSession
-    base = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
-    written: dict[str, object] = {}
 
-    def put(df: DataFrame, n: int) -> None:
-        out = batch(df, n) if batch else df
-        written["schema"] = out.schema
-        out.write.mode("overwrite").parquet(f"{base}/out/batch={0 if mode == 'complete' else n}")
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base = spark, f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+        self.schema = None
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/check").trigger(availableNow=True).foreachBatch(put).start()
-    query.awaitTermination()
-    if "schema" not in written:
-        return spark.createDataFrame([], "batch int").drop("batch")
-    return spark.read.schema(written["schema"]).parquet(f"{base}/out").select(*[f.name for f in written["schema"].fields])
+    def ticks(self, stream: DataFrame) -> DataFrame:
+        """``stream`` and the ticks of this run: rows of a time only, which move the clock on though no more events come."""
+        folder = f"{self.base}/ticks"
+        self.spark.createDataFrame([], "ts timestamp").write.mode("append").parquet(folder)
+        return stream.unionByName(self.spark.readStream.schema("ts timestamp").parquet(folder), allowMissingColumns=True)
 
+    def tick(self, us: int) -> None:
+        self.spark.range(1).select(F.timestamp_micros(F.lit(us)).alias("ts")).write.mode("append").parquet(f"{self.base}/ticks")
 
-def dedup(stream: DataFrame, keys: list[str], ttl: str = "1 hour") -> DataFrame:
-    """A key is taken once within the time to live."""
-    return stream.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(keys)
+    def go(self, stream: DataFrame, mode: str = "append", batch: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+        """Run a stream to the end of what is there now and return all that this run wrote so far."""
 
+        def put(df: DataFrame, n: int) -> None:
+            out = batch(df, n) if batch else df
+            self.schema = out.schema
+            out.write.mode("overwrite").parquet(f"{self.base}/out/batch={0 if mode == 'complete' else n}")
+
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{self.base}/check").trigger(availableNow=True).foreachBatch(put).start()
+        query.awaitTermination()
+        if self.schema is None:
+            return self.spark.createDataFrame([], "batch int").drop("batch")
+        return self.spark.read.schema(self.schema).parquet(f"{self.base}/out").select(*[f.name for f in self.schema.fields])
 
-def priority_lane(stream: DataFrame, followed: DataFrame) -> DataFrame:
-    """Marks rows of followed wallets, which are never sampled away."""
-    return stream.join(followed.select("wallet", F.lit(True).alias("is_priority")), "wallet", "left").withColumn("is_priority", F.coalesce("is_priority", F.lit(False)))
 
+def finish(stream: DataFrame, mode: str = "append", batch: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """Run a stream to the end of what is there now and return what it wrote."""
+    return Run(stream.sparkSession).go(stream, mode, batch)
 
-def bounded_attempts(rows: DataFrame, work: Callable[[DataFrame], DataFrame], attempts: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (with ``attempt``) split into done ones, those to try again, and, beyond the bound, dead letters. ``work`` adds ``ok``."""
-    tried = work(rows).withColumn("attempt", F.col("attempt") + 1)
-    over = F.col("attempt") >= attempts
-    return tried.filter("ok"), tried.filter(~F.col("ok") & ~over), tried.filter(~F.col("ok") & over)
 
+def to_the_end(spark: SparkSession, made: Callable[[Run], DataFrame], until_us: int) -> DataFrame:
+    """Run a stream to its end, then start it again on its checkpoint with a tick at ``until_us``, so that all that waits comes out."""
+    run = Run(spark)
+    run.go(made(run))
+    run.tick(until_us)
+    return run.go(made(run))
 
-def retried(rows: DataFrame, work: Callable[[DataFrame], DataFrame], attempts: int = 5) -> DataFrame:
-    """``rows`` through ``work`` until done or dead, at most ``attempts`` times: with ``attempt`` and ``done``."""
-    left, out = rows.withColumn("attempt", F.lit(0)), None
-    for _ in range(attempts):
-        done, left, dead = bounded_attempts(left, work, attempts)
-        got = done.withColumn("done", F.lit(True)).unionByName(dead.withColumn("done", F.lit(False)))
-        out = got if out is None else out.unionByName(got)
-    return out.drop("ok")
 
+def dedup(stream: DataFrame, keys: list[str], ttl: str = "1 hour") -> DataFrame:
+    """A key is taken once within the time to live."""
+    return stream.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(keys)
 
-def fold_positions(stream: DataFrame) -> DataFrame:
-    """The position fold as keyed state: closed episodes as they close, and the open one after each batch. Update mode."""
-    names = ["opened_us", "number", "last_us", "bought", "sold", "cost", "proceeds", "pnl", "trades", "sells"]
 
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        wallet, token = key
-        episode = Episode(*state.get) if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
-        out = []
-        for us, side, amount, sol in zip(rows["us"].tolist(), rows["side"].tolist(), rows["amount"].tolist(), rows["sol"].tolist()):
-            if episode is None:
-                episode = Episode(us)
-            elif episode.closed:
-                episode = Episode(us, episode.number + 1)
-            episode.add(us, side, amount, sol)
-            if episode.closed:
-                out.append(episode.row(wallet, token))
-        if not episode.closed:
-            out.append(episode.row(wallet, token))
-        state.update(tuple(getattr(episode, n) for n in names))
-        yield pd.DataFrame(out, columns=COLUMNS).astype({c: "Int64" for c in ("closed_us", "hold_s")})
-
-    state_schema = "opened_us long, number long, last_us long, bought double, sold double, cost double, proceeds double, pnl double, trades long, sells long"
-    trades = stream.filter("side <> 'failed'")
-    return trades.groupBy("wallet", "token").applyInPandasWithState(fold, SCHEMA, state_schema, "update", GroupStateTimeout.NoTimeout)
+def priority_lane(stream: DataFrame, followed: DataFrame) -> DataFrame:
+    """Marks rows of followed wallets, which are never sampled away."""
+    return stream.join(followed.select("wallet", F.lit(True).alias("is_priority")), "wallet", "left").withColumn("is_priority", F.coalesce("is_priority", F.lit(False)))
 
 
 def sliding(stream: DataFrame, width: str, step: str, keys: list[str]) -> DataFrame:
     w = stream.filter("side <> 'failed'").withWatermark("ts", LATE).groupBy(F.window("ts", width, step).alias("w"), *keys)
-    return w.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("quote").cast("decimal(18,2)")).cast("double").alias("volume"), F.approx_count_distinct("wallet").alias("wallets"))
+    return w.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("quote").cast("decimal(18,2)")).cast("double").alias("volume"))
 
 
 def cooldown(stream: DataFrame, seconds: int) -> DataFrame:
@@ -147,52 +145,3 @@ def cooldown(stream: DataFrame, seconds: int) -> DataFrame:
 
     buys = stream.filter("side = 'buy'").withWatermark("ts", LATE)
     return buys.groupBy("token").applyInPandasWithState(judge, "event_id long, allowed boolean", "last long", "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def in_order(stream: DataFrame, fold: Callable[[DataFrame], DataFrame], late: str = LATE) -> tuple[DataFrame, DataFrame]:
-    """A fold that needs its rows in order of event time, over a stream whose files come in any order: (result, late rows).
-
-    Each batch's rows go to a table under its number, so a repeated batch replaces itself. ``fold``, the batch function, reads
-    that table, which gives the batch result whatever order the rows came in. Rows that came more than ``late`` behind the
-    newest one of the batches before them are reported too: whatever was read from the table up to then lacked them.
-    """
-    spark = stream.sparkSession
-    base = f"{scratch(spark)}/ordered-{uuid.uuid4().hex}"
-    wait = spark.sql(f"select cast(interval {late} as interval day to second) as i").select((F.unix_micros(F.timestamp_micros(F.lit(0)) + F.col("i"))).alias("w")).first().w
-    at = {"newest": None, "released": None}
-
-    def put(df: DataFrame, n: int) -> None:
-        df.write.mode("overwrite").parquet(f"{base}/rows/batch={n}")
-        got = spark.read.schema(df.schema).parquet(f"{base}/rows/batch={n}")
-        newest = got.agg(F.max("us")).first()[0]
-        if newest is None:
-            return
-        if at["released"] is not None:
-            got.filter(F.col("us") <= at["released"]).write.mode("overwrite").parquet(f"{base}/late/batch={n}")
-        at["newest"] = max(newest, at["newest"] or newest)
-        at["released"] = at["newest"] - wait
-
-    stream.writeStream.option("checkpointLocation", f"{base}/check").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    schema = stream.schema
-    read = lambda part: spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{base}/{part}") if _there(spark, f"{base}/{part}") else spark.createDataFrame([], schema)
-    names = [f.name for f in schema.fields]
-    return fold(read("rows").select(*names)), read("late").select(*names)
-
-
-def _there(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
-
-
-def leader_ranking(stream: DataFrame, alpha: float = 0.25) -> DataFrame:
-    """Exponentially weighted outcome of each wallet; ``roi`` is a column of the stream."""
-
-    def rank(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ew, n = state.get if state.exists else (0.0, 0)
-        rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
-        for roi in rows["roi"].tolist():
-            ew, n = (1 - alpha) * ew + alpha * roi, n + 1
-        state.update((ew, n))
-        yield pd.DataFrame({"wallet": [key[0]], "n": [n], "ew": [ew]})
-
-    return stream.groupBy("wallet").applyInPandasWithState(rank, "wallet long, n long, ew double", "ew double, n long", "update", GroupStateTimeout.NoTimeout)

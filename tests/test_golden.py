@@ -243,33 +243,6 @@ def test_pairs_that_share_tokens_equal_brute_force(spark):
         assert {tuple(x) for x in vt.sharing(rows, rows, least).collect()} == want
 
 
-def test_a_stream_in_any_order_folds_by_event_time(spark, tmp_path):
-    """The sell's file comes before the buy's; a row far behind the newest is reported."""
-    from ledgerloom.streaming import jobs as st
-
-    schema = "ts timestamp, us long, event_id long, wallet long, token long, side string, amount double, sol double"
-    files = [[(2 * 60, 2, "sell", 10.0, 30.0)], [(60, 1, "buy", 10.0, 10.0)], [(7200, 4, "buy", 5.0, 5.0)], [(300, 3, "buy", 1.0, 1.0)]]
-    folder = str(tmp_path / "in")
-    for k, rows in enumerate(files):
-        made = spark.createDataFrame([(t * S, i, 1, 1, side, a, q) for t, i, side, a, q in rows], "us long, event_id long, wallet long, token long, side string, amount double, sol double")
-        made.withColumn("ts", F.timestamp_micros("us")).select(*[c.split()[0] for c in schema.split(", ")]).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    got, late = st.in_order(stream, lambda rows: ps.fold_positions(rows, ["event_id"]))
-    p = got.orderBy("episode").collect()
-    assert [(x.status, x.pnl) for x in p] == [("closed", 20.0), ("open", 0.0)]
-    assert {x.event_id for x in late.collect()} <= {1, 2, 3} and p[1].trades == 2
-
-
-def test_failed_rows_are_tried_again(spark):
-    from ledgerloom.streaming import jobs as st
-
-    rows = spark.range(8)
-    done, again, dead = st.bounded_attempts(rows.withColumn("attempt", F.lit(3)), lambda r: r.withColumn("ok", F.col("id") < 3))
-    assert (done.count(), again.count(), dead.count()) == (3, 5, 0)
-    out = {x.id: (x.attempt, x.done) for x in st.retried(rows, lambda r: r.withColumn("ok", F.col("attempt") >= F.col("id"))).collect()}
-    assert out == {**{k: (k + 1, True) for k in range(5)}, 5: (5, False), 6: (5, False), 7: (5, False)}
-
-
 def test_names_are_numbered_over_slices(spark, monkeypatch):
     monkeypatch.setattr(money, "SLICE", 3)
     rows = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(20)], "k long, name string")
