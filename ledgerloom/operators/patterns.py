@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import ENTRY_DELAY, HOLD_TIME, bucket_label
 from ..sources.bindings import HOUR
+from .quantiles import percentiles
 
 FINDING = ["kind", "key", "n", "win_rate", "avg_roi", "overall_win_rate", "description"]
 
@@ -47,7 +48,7 @@ def hold_time(closed: DataFrame, min_evidence: int = 30) -> DataFrame:
 
 
 def size_edges(closed: DataFrame) -> DataFrame:
-    return closed.agg(F.percentile("bought_sol", F.array(*[F.lit(p / 5) for p in range(6)])).alias("edges"))
+    return percentiles(closed, "bought_sol", [p / 5 for p in range(6)]).select(F.col("percentiles").alias("edges"))
 
 
 def position_size(closed: DataFrame, min_evidence: int = 30) -> DataFrame:
@@ -62,7 +63,7 @@ def position_size(closed: DataFrame, min_evidence: int = 30) -> DataFrame:
 def whales(closed: DataFrame, decile: float = 0.9, min_wallets: int = 10) -> DataFrame:
     """Wallets whose mean position reaches the population's upper decile."""
     mean = closed.groupBy("wallet").agg(F.avg(F.coalesce("bought_sol", F.lit(0.0))).alias("avg_size"))
-    bar = mean.agg(F.percentile("avg_size", F.lit(decile)).alias("threshold"), F.count(F.lit(1)).alias("population"))
+    bar = percentiles(mean, "avg_size", [decile]).select(F.get("percentiles", F.lit(0)).alias("threshold"), "population")
     return mean.crossJoin(F.broadcast(bar)).filter((F.col("population") >= min_wallets) & (F.col("avg_size") >= F.col("threshold"))).select("wallet", "avg_size", "threshold")
 
 

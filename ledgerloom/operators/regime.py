@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.bindings import HOUR
+from .quantiles import percentiles
 from .timeops import asof_timeline, last_per_window
 
 # Thresholds of labels and flags.
@@ -127,7 +128,7 @@ def detect(market: DataFrame, liquidity: DataFrame, trades: DataFrame, now: int,
 def whale_accumulation(window: DataFrame) -> DataFrame:
     """(one row) wallets in the window and the net inflow of the upper decile by notional."""
     per = window.groupBy("wallet").agg(F.sum("quote").alias("notional"), F.sum(F.when(F.col("side") == "buy", F.col("quote")).otherwise(-F.col("quote"))).alias("net"))
-    bar = per.agg(F.percentile("notional", F.lit(0.9)).alias("bar"), F.count(F.lit(1)).alias("whale_population"))
+    bar = percentiles(per, "notional", [0.9]).select(F.get("percentiles", F.lit(0)).alias("bar"), F.col("population").alias("whale_population"))
     net = per.crossJoin(F.broadcast(bar)).filter(F.col("notional") >= F.col("bar")).agg(F.sum("net").alias("whale_net"))
     return bar.select("whale_population").crossJoin(net)
 

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sharing import cast
 from .timeops import latest_per_key
 
+#: Wallets of a funder in one list, in the mean.
+PEERS = 1000
+
 
 def recent_tokens(trades: DataFrame, rows: int = 20) -> DataFrame:
     """The wallet's most recently traded tokens: (wallet, token)."""
@@ -14,50 +18,34 @@ def recent_tokens(trades: DataFrame, rows: int = 20) -> DataFrame:
     return latest_per_key(last, ["wallet"], [F.desc("last_us"), F.col("token")], rows).select("wallet", "token")
 
 
-def sharing(mine: DataFrame, theirs: DataFrame, least: int) -> DataFrame:
-    """(wallet, other, shared): pairs with at least ``least`` tokens of ``mine`` and of ``theirs`` in common; both (wallet, token), distinct.
-
-    Prefix filter: with tokens ordered by how many hold them, the rarest one in common is among the first
-    ``n - least + 1`` of either side. So pairs meet on rare tokens only, and a token that everybody holds makes none;
-    they are counted on their whole lists afterwards.
-    """
-    held = theirs.groupBy("token").agg(F.count(F.lit(1)).alias("holders"))
-
-    def prefix(side: DataFrame) -> DataFrame:
-        by = Window.partitionBy("wallet")
-        ranked = side.join(held, "token").select("wallet", "token", F.row_number().over(by.orderBy("holders", "token")).alias("k"), F.count(F.lit(1)).over(by).alias("n"))
-        return ranked.filter(F.col("k") <= F.col("n") - least + 1).select("wallet", "token")
-
-    met = prefix(mine).join(prefix(theirs).withColumnRenamed("wallet", "other"), "token").filter("wallet != other").select("wallet", "other").distinct()
-    both = met.join(mine, "wallet").join(theirs.withColumnRenamed("wallet", "other"), ["other", "token"])
-    return both.groupBy("wallet", "other").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
-
-
 def counterparty_signal(trades: DataFrame, least: int = 4, ratio: float = 0.6, rows: int = 20) -> DataFrame:
     """Tokens on which at least two recurring co-wallets stand, and their share; mean co-traders of a token.
 
-    A recurring co-wallet trades on ``least`` or more of the wallet's recent tokens; they are found by ``sharing``.
+    A recurring co-wallet trades on ``least`` or more of the wallet's recent tokens.
     """
     mine = recent_tokens(trades, rows)
     on = trades.select("wallet", "token").distinct()
-    recurring = sharing(mine, on, least)
-    cast = recurring.join(mine, "wallet").join(on.withColumnRenamed("wallet", "other"), ["other", "token"]).groupBy("wallet", "token").agg(F.count(F.lit(1)).alias("n"))
-    repeat = cast.groupBy("wallet").agg(F.count_if(F.col("n") >= 2).alias("repeat_tokens"))
+    by = cast(mine, on, least).groupBy("wallet").agg(F.count_if(F.col("token").isNotNull() & (F.col("n") >= 2)).alias("repeat_tokens"), F.max(F.when(F.col("token").isNull(), F.col("n"))).alias("recurring"))
     traders = on.groupBy("token").agg((F.count(F.lit(1)) - 1).alias("others"))
     n = mine.join(traders, "token").groupBy("wallet").agg(F.count(F.lit(1)).alias("tokens"), F.avg("others").alias("avg_co_traders"))
-    k = recurring.groupBy("wallet").agg(F.count(F.lit(1)).alias("recurring"))
-    out = n.join(repeat, "wallet", "left").join(k, "wallet", "left").fillna(0, ["repeat_tokens", "recurring"])
+    out = n.join(by, "wallet", "left").fillna(0, ["repeat_tokens", "recurring"])
     out = out.withColumn("cast_ratio", F.col("repeat_tokens") / F.col("tokens"))
     return out.withColumn("ring", (F.col("tokens") >= least) & (F.col("cast_ratio") >= ratio))
 
 
-def shared_funder(vettings: DataFrame, candidates: DataFrame, named: int = 5) -> DataFrame:
-    """Other candidates whose latest vetting names the same funder, if that isn't an exchange: (wallet, peers, funded), with the first ``named`` wallets of the funder."""
+def shared_funder(vettings: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates whose latest vetting names a funder that isn't an exchange: (wallet, funder, peers: how many other candidates share it), and the peers themselves.
+
+    The peers come as (funder, part, wallets): a funder's candidates once, in sorted lists of ``PEERS`` at most, not once a
+    wallet, so what is named grows with the candidates and no list with a funder.
+    """
     latest = latest_per_key(vettings, ["wallet"], [F.desc("ts"), F.desc("id")]).filter("funder is not null and funder_kind <> 'cex'")
     known = latest.join(candidates.select("wallet"), "wallet", "left_semi").select("wallet", "funder")
-    size = known.groupBy("funder").agg(F.count(F.lit(1)).alias("n"))  # counts, not pairs: a funder may have any number of wallets
-    some = latest_per_key(known, ["funder"], [F.col("wallet")], named).groupBy("funder").agg(F.array_sort(F.collect_list("wallet")).alias("funded"))
-    return known.join(size, "funder").join(some, "funder").select("wallet", (F.col("n") - 1).alias("peers"), "funded")
+    size = known.groupBy("funder").agg(F.count(F.lit(1)).alias("n"))
+    sized = known.join(size, "funder")
+    part = F.pmod(F.xxhash64("wallet"), F.ceil(F.col("n") / PEERS)).cast("int").alias("part")
+    named = sized.groupBy("funder", part).agg(F.array_sort(F.collect_list("wallet")).alias("wallets"))
+    return sized.select("wallet", "funder", (F.col("n") - 1).alias("peers")), named
 
 
 def insider_share(positions: DataFrame, tokens: DataFrame, funders: DataFrame, least: int = 2, share: float = 0.5) -> DataFrame:

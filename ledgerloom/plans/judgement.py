@@ -22,26 +22,29 @@ from .jobs import METRICS, _GRID, daily_labels, stats
 C = Catalog()
 
 
-def wide(spark, sf_dir):
-    """Trades over all 100 tokens, where co-occurrence means something."""
-    return trades(spark, sf_dir).drop("token").withColumnRenamed("token100", "token")
+_CIRCLE = "CASE WHEN wallet % 11 = 5 THEN 100000 + 10 * wallet + token100 % 3 WHEN wallet % 3 = 0 OR (wallet % 3 = 1 AND token100 >= 50) THEN 1000 + 100 * wallet + token100 ELSE token100 + 100 * (wallet % 4) END"
+
+
+def circles(spark, sf_dir):
+    """Trades in which a third of the wallets share all tokens with their circle, a third some, a third none, and a few hold three tokens."""
+    return trades(spark, sf_dir).withColumn("token", F.expr(_CIRCLE.lower()))
 
 
 # --- vetting ---------------------------------------------------------------
 
-_RING = """, lt AS (SELECT wallet, token100 AS token, max(us) AS last_us FROM trades GROUP BY 1, 2),
+_RING = f""", lt AS (SELECT wallet, {_CIRCLE} AS token, max(us) AS last_us FROM trades GROUP BY 1, 2),
 mine AS (SELECT wallet, token FROM (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY last_us DESC, token) AS n FROM lt) WHERE n <= 20),
 met AS (SELECT m.wallet, l.wallet AS other, m.token FROM mine m JOIN lt l ON l.token = m.token AND l.wallet <> m.wallet),
-rec AS (SELECT wallet, other FROM met GROUP BY 1, 2 HAVING count(*) >= 12),
+rec AS (SELECT wallet, other FROM met GROUP BY 1, 2 HAVING count(*) >= 4),
 rep AS (SELECT wallet, count(*) AS repeat_tokens FROM (SELECT wallet, token FROM met JOIN rec USING (wallet, other) GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1),
 crowd AS (SELECT wallet, avg(n) AS avg_co_traders FROM (SELECT m.wallet, count(l.wallet) AS n FROM mine m LEFT JOIN lt l ON l.token = m.token AND l.wallet <> m.wallet GROUP BY m.wallet, m.token) GROUP BY 1),
 nrec AS (SELECT wallet, count(*) AS recurring FROM rec GROUP BY 1),
-ring AS (SELECT wallet, avg_co_traders, coalesce(recurring, 0) AS recurring, n AS tokens, coalesce(repeat_tokens, 0) AS repeat_tokens, coalesce(repeat_tokens, 0) / n AS cast_ratio, n >= 12 AND coalesce(repeat_tokens, 0) / n >= 0.6 AS ring FROM (SELECT wallet, count(*) AS n FROM mine GROUP BY 1) LEFT JOIN rep USING (wallet) LEFT JOIN crowd USING (wallet) LEFT JOIN nrec USING (wallet))"""
+ring AS (SELECT wallet, avg_co_traders, coalesce(recurring, 0) AS recurring, n AS tokens, coalesce(repeat_tokens, 0) AS repeat_tokens, coalesce(repeat_tokens, 0) / n AS cast_ratio, n >= 4 AND coalesce(repeat_tokens, 0) / n >= 0.6 AS ring FROM (SELECT wallet, count(*) AS n FROM mine GROUP BY 1) LEFT JOIN rep USING (wallet) LEFT JOIN crowd USING (wallet) LEFT JOIN nrec USING (wallet))"""
 
 
 @C.add(POSITIONS + _RING + " SELECT wallet, tokens, round(avg_co_traders, 6) AS avg_co_traders, recurring, repeat_tokens, round(cast_ratio, 6) AS cast_ratio, ring FROM ring")
 def i05_counterparty_signal(spark, sf_dir):
-    got = vt.counterparty_signal(wide(spark, sf_dir), least=12)
+    got = vt.counterparty_signal(circles(spark, sf_dir))
     return got.select("wallet", "tokens", F.round("avg_co_traders", 6).alias("avg_co_traders"), "recurring", "repeat_tokens", F.round("cast_ratio", 6).alias("cast_ratio"), "ring")
 
 
@@ -53,9 +56,13 @@ def vettings(spark, sf_dir):
     return t.select("wallet", F.col("event_id").alias("id"), F.col("us").alias("ts"), F.when(F.col("event_id") % 3 != 0, F.col("wallet") % 40).alias("funder"), F.when(F.col("wallet") % 40 < 5, "cex").otherwise("wallet").alias("funder_kind"))
 
 
-@C.add(POSITIONS + _VETTINGS + ", named AS (SELECT funder, array_to_string(list(wallet ORDER BY wallet)[:5], ',') AS names FROM peers GROUP BY funder) SELECT wallet, peers, names AS funded FROM peers JOIN named USING (funder)")
+@C.add(POSITIONS + _VETTINGS + " SELECT p.wallet, p.peers, array_to_string(list(q.wallet ORDER BY q.wallet), ',') AS names FROM peers p LEFT JOIN peers q ON q.funder = p.funder AND q.wallet <> p.wallet GROUP BY ALL")
 def i05b_shared_funder(spark, sf_dir):
-    return vt.shared_funder(vettings(spark, sf_dir), wallets(trades(spark, sf_dir)).filter("wallet % 2 = 0")).select("wallet", "peers", F.array_join(F.transform("funded", lambda w: w.cast("string")), ",").alias("funded"))
+    """Every candidate with all of its peers by name."""
+    shared, named = vt.shared_funder(vettings(spark, sf_dir), wallets(trades(spark, sf_dir)).filter("wallet % 2 = 0"))
+    peers = named.select("funder", F.explode("wallets").alias("peer"))
+    listed = shared.join(peers, "funder", "left").filter("peer != wallet").groupBy("wallet").agg(F.array_join(F.transform(F.array_sort(F.collect_list("peer")), lambda w: w.cast("string")), ",").alias("names"))
+    return shared.join(listed, "wallet", "left").select("wallet", "peers", "names")
 
 
 _INSIDER = ", own AS (SELECT p.wallet, k.creator = p.wallet OR k.creator = p.wallet % 40 AS mine FROM positions p JOIN tokens k USING (token) WHERE status = 'closed' AND pnl > 0), ins AS (SELECT wallet, count(*) AS won, count(*) FILTER (mine) AS inside, count(*) FILTER (mine) / count(*) AS insider_share, count(*) FILTER (mine) >= 1 AND count(*) FILTER (mine) / count(*) >= 0.1 AS insider FROM own GROUP BY wallet)"
@@ -74,10 +81,10 @@ def i05c_insider_share(spark, sf_dir):
 
 @C.add(POSITIONS + _RING + _VETTINGS + _INSIDER + " SELECT r.wallet, CASE WHEN ring OR coalesce(peers, 0) > 0 OR coalesce(insider, FALSE) THEN 'suspicious' WHEN f.funder IS NULL AND r.tokens < 4 THEN 'inconclusive' ELSE 'clear' END AS verdict, CAST(CAST(ring AS INT) + CAST(coalesce(peers, 0) > 0 AS INT) + CAST(coalesce(insider, FALSE) AS INT) AS INT) AS n_reasons FROM ring r LEFT JOIN peers USING (wallet) LEFT JOIN ins USING (wallet) LEFT JOIN (SELECT wallet, funder FROM lv) f USING (wallet)")
 def i05d_vetting_verdict(spark, sf_dir):
-    ring = vt.counterparty_signal(wide(spark, sf_dir), least=12)
-    peers = vt.shared_funder(vettings(spark, sf_dir), wallets(trades(spark, sf_dir)).filter("wallet % 2 = 0"))
+    ring = vt.counterparty_signal(circles(spark, sf_dir))
+    peers, _ = vt.shared_funder(vettings(spark, sf_dir), wallets(trades(spark, sf_dir)).filter("wallet % 2 = 0"))
     latest = tm.latest_per_key(vettings(spark, sf_dir), ["wallet"], [F.desc("ts"), F.desc("id")]).select("wallet", "funder")
-    signals = ring.join(peers, "wallet", "left").join(insiders(spark, sf_dir).select("wallet", "insider"), "wallet", "left").join(latest, "wallet", "left")
+    signals = ring.join(peers.drop("funder"), "wallet", "left").join(insiders(spark, sf_dir).select("wallet", "insider"), "wallet", "left").join(latest, "wallet", "left")
     return vt.verdicts(signals).select("wallet", "verdict", F.size("reasons").alias("n_reasons"))
 
 

@@ -10,6 +10,7 @@ from ledgerloom.operators import patterns as pt
 from ledgerloom.operators import positions as ps
 from ledgerloom.operators import regime as rg
 from ledgerloom.operators import risk as rk
+from ledgerloom.operators import sharing as sh
 from ledgerloom.operators import timeops as tm
 from ledgerloom.operators import vetting as vt
 from ledgerloom.operators import wallets as wl
@@ -232,15 +233,46 @@ def test_timeline_join_equals_brute_force(spark):
     assert tm.asof_timeline(spark.range(3).withColumn("t", F.col("id")), spans.limit(0), "t", "at", ["label"]).count() == 3
 
 
-def test_pairs_that_share_tokens_equal_brute_force(spark):
+@pytest.mark.parametrize("heavy,block", [(64, 512), (5, 7), (0, 16)])
+def test_pairs_that_share_tokens_equal_brute_force(spark, monkeypatch, heavy, block):
     import random
+    from collections import Counter
+
+    monkeypatch.setattr(sh, "HEAVY", heavy)
+    monkeypatch.setattr(sh, "BLOCK", block)
 
     r = random.Random(6)
     held = {w: {0} | set(r.sample(range(25), r.randrange(1, 12))) for w in range(40)}  # everybody holds token 0
     rows = spark.createDataFrame([(w, t) for w, ts in held.items() for t in ts], "wallet long, token long")
     for least in (1, 2, 4):
         want = {(a, b, len(held[a] & held[b])) for a in held for b in held if a != b and len(held[a] & held[b]) >= least}
-        assert {tuple(x) for x in vt.sharing(rows, rows, least).collect()} == want
+        assert {tuple(x) for x in sh.sharing(rows, rows, least).collect()} == want
+    few = rows.filter("token % 2 = 0")
+    half = {w: {t for t in ts if t % 2 == 0} for w, ts in held.items()}
+    again = {a: [b for b in held if b != a and len(half[a] & held[b]) >= 3] for a in held}
+    want = {(a, None): len(bs) for a, bs in again.items() if bs}
+    want |= Counter((a, t) for a, bs in again.items() for b in bs for t in half[a] & held[b])
+    assert {(x.wallet, x.token): x.n for x in sh.cast(few, rows, 3).collect()} == want
+    assert sh.sharing(rows.limit(0), rows, 1).count() == sh.sharing(rows, rows.limit(0), 1).count() == 0
+
+
+@pytest.mark.parametrize("few", [10**6, 20, 4])
+def test_percentiles_equal_the_builtin(spark, few):
+    import random
+
+    from ledgerloom.operators.quantiles import percentiles
+
+    r = random.Random(12)
+    rows = [(k % 3, r.choice([None, 0.0, -5.5, 1e300, r.random(), r.expovariate(1) ** 9, float(r.randrange(4))])) for k in range(900)] + [(7, 2.5), (8, None), (9, 1.0), (9, 2.0)]
+    df = spark.createDataFrame(rows, "k long, x double")
+    shares = [0.0, 0.2, 1 / 3, 0.5, 0.9, 1.0]
+    want = df.groupBy("k").agg(F.percentile("x", F.array(*[F.lit(p) for p in shares])).alias("p"), F.count("x").alias("n")).filter("n > 0").collect()
+    got = {x.k: (x.population, x.percentiles) for x in percentiles(df, "x", shares, ["k"], few=few).collect()}
+    assert got == {x.k: (x.n, x.p) for x in want}
+    one = percentiles(df, "x", shares, few=few).first()
+    assert one.percentiles == df.agg(F.percentile("x", F.array(*[F.lit(p) for p in shares])).alias("p")).first().p
+    none = percentiles(df.limit(0), "x", [0.5]).first()
+    assert (none.population, none.percentiles) == (0, [None])
 
 
 def test_names_are_numbered_over_slices(spark, monkeypatch):
