@@ -38,18 +38,29 @@ def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], left_time:
     return got.select("_l.*", *[F.col(f"_r.{c}").alias(prefix + c) for c in payload])
 
 
-def asof_timeline(left: DataFrame, timeline: DataFrame, left_time: str, time: str, payload: list[str], default: dict[str, object] | None = None) -> DataFrame:
-    """As-of join without a key to a timeline: its rows become intervals, which stand under every step of time that they touch, about two each; a row of ``left`` meets those of its own step."""
-    w = Window.orderBy(time)  # a row a regime or a price
-    spans = timeline.select(F.col(time).alias("_from"), F.lead(time).over(w).alias("_to"), *payload)
-    ends = timeline.agg(F.min(time).alias("lo"), F.max(time).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, n = ends.lo or 0, max(ends.n, 1)
-    width = max(1, -(-((ends.hi or 0) - lo + 1) // n))
-    step = lambda t: F.least(F.greatest(F.floor((t - lo) / width), F.lit(0)), F.lit(n)).cast("long")
-    last = F.when(F.col("_to").isNull(), F.lit(n).cast("long")).otherwise(step(F.col("_to") - 1))
-    spans = spans.withColumn("_step", F.explode(F.sequence(step(F.col("_from")), F.greatest(last, step(F.col("_from"))))))
-    cond = (F.col("_mine") == F.col("_step")) & (F.col(left_time) >= F.col("_from")) & (F.col("_to").isNull() | (F.col(left_time) < F.col("_to")))
-    out = left.withColumn("_mine", step(F.col(left_time))).join(spans, cond, "left").drop("_from", "_to", "_mine", "_step")
+def asof_timeline(left: DataFrame, timeline: DataFrame, left_time: str, time: str, payload: list[str], default: dict[str, object] | None = None, slices: int = 256, salts: int = 4) -> DataFrame:
+    """As-of join without a key to a timeline (rows with a null time on either side match nothing).
+
+    Quantiles of the timeline itself cut it into ``slices`` of about equal numbers of rows, however it clusters; the last row
+    before a slice is carried into it, so each slice stands alone. Rows of ``left`` go to their slice, dealt over ``salts``
+    copies of it, and take the last row at or before them.
+    """
+    line = timeline.filter(F.col(time).isNotNull())
+    at = F.array(*[F.lit(k / slices) for k in range(1, slices)])
+    borders = F.broadcast(line.agg(F.array_distinct(F.percentile_approx(time, at, 40 * slices)).alias("_borders")))  # one row
+    slice_of = F.size(F.filter(F.coalesce("_borders", F.array().cast("array<long>")), lambda b: b <= F.col("_t"))).alias("_slice")
+    rows = line.select(F.col(time).cast("long").alias("_t"), F.struct(*payload).alias("_r")).crossJoin(borders).select("_t", "_r", slice_of)
+    ends = rows.groupBy("_slice").agg(F.max_by("_r", "_t").alias("_r"))
+    every = left.sparkSession.range(slices).select(F.col("id").cast("int").alias("_slice")).join(ends, "_slice", "left")
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
+    carried = every.select(F.lit(None).cast("long").alias("_t"), F.last("_r", ignorenulls=True).over(before).alias("_r"), "_slice")
+    theirs = rows.unionByName(carried.filter("_r is not null")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    mine = left.select(F.col(left_time).cast("long").alias("_t"), F.struct(*left.columns).alias("_l")).crossJoin(borders)
+    mine = mine.filter("_t is not null").select("_t", "_l", slice_of, F.pmod(F.xxhash64("_t", F.monotonically_increasing_id()), F.lit(salts)).cast("int").alias("_salt"))
+    both = theirs.unionByName(mine, allowMissingColumns=True)
+    w = Window.partitionBy("_slice", "_salt").orderBy(F.col("_t").asc_nulls_first(), F.col("_l").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    got = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).filter("_l is not null").select("_l.*", *[F.col(f"_r.{c}").alias(c) for c in payload])
+    out = got.unionByName(left.filter(F.col(left_time).isNull()), allowMissingColumns=True)
     for c, v in (default or {}).items():
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
     return out

@@ -102,3 +102,15 @@ def followed(stats: DataFrame, wallets: DataFrame, bar: float = 65.0, most: int
     """All tracked wallets first, then the highest scores at or above the bar, within the budget."""
     joined = wallets.join(stats.select("wallet", "confidence_score"), "wallet", "left").filter(F.col("tracked") | (F.col("confidence_score") >= bar))
     return joined.orderBy(F.desc("tracked"), F.desc_nulls_last("confidence_score"), F.desc("wallet")).limit(most)
+
+
+#: Metrics that wallets are ranked by.
+RANKED_BY = ("confidence_score", "total_pnl_sol", "win_rate", "pnl_30d_sol")
+
+
+def ranked(wallets: DataFrame, metric: str, least_closed: int = 0, top: int = 50) -> DataFrame:
+    """The ``top`` wallets by a metric, those without it left out: ``wallets`` with ``metric`` and ``value``."""
+    if metric not in RANKED_BY:
+        raise ValueError(f"metric must be one of {', '.join(RANKED_BY)}")
+    known = wallets.filter(F.col(metric).isNotNull() & (F.coalesce("closed_position_count", F.lit(0)) >= least_closed))
+    return known.withColumn("metric", F.lit(metric)).withColumn("value", F.round(metric, 6)).orderBy(F.desc("value"), "wallet").limit(top)

@@ -86,12 +86,18 @@ def g07_followed_lane(spark, sf_dir):
     return wl.followed(wl.confidence(stats(spark, sf_dir)), wallets(trades(spark, sf_dir)), 35, 40).select("wallet", "tracked", "confidence_score")
 
 
-@C.add(METRICS + " SELECT wallet, round(total_pnl_sol, 6) AS total_pnl_sol, CASE WHEN wallet % 5 = 0 THEN 'suspicious' ELSE 'clear' END AS verdict FROM stats WHERE total_pnl_sol IS NOT NULL AND closed_position_count >= 10 ORDER BY round(total_pnl_sol, 6) DESC, wallet LIMIT 25")
+_RANKED = " UNION ALL ".join(f"(SELECT '{m}' AS metric, wallet, round({m}, 6) AS value, CASE WHEN wallet % 5 = 0 THEN 'suspicious' ELSE 'clear' END AS verdict FROM scored WHERE {m} IS NOT NULL AND closed_position_count >= 10 ORDER BY round({m}, 6) DESC, wallet LIMIT 25)" for m in wl.RANKED_BY)
+
+
+@C.add(METRICS + f" SELECT * FROM ({_RANKED})")
 def g03_top_wallets(spark, sf_dir):
-    s = stats(spark, sf_dir).filter("total_pnl_sol is not null and closed_position_count >= 10").withColumn("total_pnl_sol", F.round("total_pnl_sol", 6))
+    """The best wallets by each of the four metrics, with their latest verdict."""
+    s = stats(spark, sf_dir)
+    both = s.join(wl.confidence(s).select("wallet", "confidence_score"), "wallet")
     verdicts = trades(spark, sf_dir).select("wallet", "us", "event_id", F.when(F.col("wallet") % 5 == 0, "suspicious").otherwise("clear").alias("verdict"))
     latest = tm.latest_per_key(verdicts, ["wallet"], [F.desc("us"), F.desc("event_id")]).select("wallet", "verdict")
-    return s.orderBy(F.desc("total_pnl_sol"), "wallet").limit(25).join(latest, "wallet", "left").select("wallet", "total_pnl_sol", "verdict")
+    parts = [wl.ranked(both, m, 10, 25).select("metric", "wallet", "value") for m in wl.RANKED_BY]
+    return pt.all_findings(parts).join(latest, "wallet", "left").select("metric", "wallet", "value", "verdict")
 
 
 # --- patterns --------------------------------------------------------------
@@ -123,12 +129,14 @@ def i03_h01_patterns(spark, sf_dir):
     return pt.all_findings(parts).select("kind", "key", "n", *r6("win_rate", "avg_roi", "overall_win_rate"))
 
 
-@C.add(_ALL_PATTERNS.replace("SELECT 'hour_of_day' AS kind", "SELECT kind, CAST(count(*) AS BIGINT) AS findings FROM (SELECT 'hour_of_day' AS kind") + ") GROUP BY kind")
+_SENTENCES = _ALL_PATTERNS.replace("round(avg(CAST(win AS DOUBLE)), 6)", "avg(CAST(win AS DOUBLE))").replace("SELECT 'hour_of_day' AS kind", "SELECT kind, key, printf('%s %s: won %.1f%% over %d positions (overall %.1f%%)', CASE kind WHEN 'hour_of_day' THEN 'hour' WHEN 'entry_delay' THEN 'entry delay' WHEN 'hold_time' THEN 'hold time' ELSE 'size quintile' END, key, round(win_rate * 100, 1), n, round(overall_win_rate * 100, 1)) AS description FROM (SELECT 'hour_of_day' AS kind") + ")"
+
+
+@C.add(_SENTENCES)
 def b16_finding_sentences(spark, sf_dir):
     closed = _closed(spark, sf_dir)
     parts = [pt.hour_of_day(closed, MIN_EVIDENCE), pt.entry_delay(closed, tokens(trades(spark, sf_dir)), MIN_EVIDENCE), pt.hold_time(closed, MIN_EVIDENCE), pt.position_size(closed, MIN_EVIDENCE)]
-    said = pt.all_findings(parts).filter(F.col("description").rlike(r"won \d+\.\d% over \d+ positions"))
-    return said.groupBy("kind").agg(F.count(F.lit(1)).alias("findings"))
+    return pt.all_findings(parts).select("kind", "key", "description")
 
 
 @C.add(_CLOSED + f", m AS (SELECT wallet, avg(coalesce(bought_sol, 0)) AS a FROM closed GROUP BY wallet), wh AS (SELECT wallet FROM m WHERE a >= (SELECT quantile_cont(a, 0.9) FROM m) AND (SELECT count(*) FROM m) >= 10), f AS (SELECT token, CAST(sum(CAST(CASE WHEN side = 'buy' THEN quote ELSE -quote END AS DECIMAL(18,2))) AS DOUBLE) AS net_flow, count(*) AS n FROM trades WHERE quote_kind = 'wsol' AND us >= {NOW - 72 * HOUR} AND wallet IN (SELECT wallet FROM wh) GROUP BY token) SELECT token, net_flow, n FROM (SELECT * FROM f ORDER BY abs(net_flow) DESC, token LIMIT 10) WHERE n >= 5")
@@ -226,22 +234,42 @@ def f13_latest_two_delta(spark, sf_dir):
 # --- regimes ---------------------------------------------------------------
 
 
-@C.add(POSITIONS + f""", h AS (SELECT us // {HOUR} AS ts_h, avg(quote) AS price, coalesce(sum(quote) FILTER (quote_kind = 'wsol'), 0) AS volume, count(*) AS n FROM trades GROUP BY 1),
-w AS (SELECT (ts_h + 1) * {HOUR} AS ts, price, volume, n, ((ts_h + 1) * {HOUR} - {NOW - 24 * HOUR}) // {HOUR} AS i FROM h WHERE (ts_h + 1) * {HOUR} BETWEEN {NOW - 24 * HOUR} AND {NOW}),
+def _regime_sql(now: int) -> str:
+    return POSITIONS + f""", h AS (SELECT us // {HOUR} AS ts_h, avg(quote) AS price, coalesce(sum(quote) FILTER (quote_kind = 'wsol'), 0) AS volume, count(*) AS n FROM trades GROUP BY 1),
+w AS (SELECT (ts_h + 1) * {HOUR} AS ts, price, volume, n, ((ts_h + 1) * {HOUR} - {now - 24 * HOUR}) // {HOUR} AS i FROM h WHERE (ts_h + 1) * {HOUR} BETWEEN {now - 24 * HOUR} AND {now}),
 s AS (SELECT *, lag(price) OVER (ORDER BY i) AS before, row_number() OVER (ORDER BY i DESC) AS back, (SELECT count(*) FROM tokens WHERE (first_seen // {HOUR} + 1) * {HOUR} = w.ts) AS launched FROM w),
-one AS (SELECT count(*) AS points, CASE WHEN count(*) FILTER (ts >= {NOW - HOUR}) >= 2 THEN (arg_max(price, i) / arg_min(price, i) FILTER (ts >= {NOW - HOUR}) - 1) * 100 WHEN count(*) FILTER (ts >= {NOW - HOUR}) = 1 THEN (arg_max(price, i) / arg_max(before, i) - 1) * 100 END AS last_pct, median(launched) AS usual, arg_max(launched, i) AS launches, (arg_max(price, i) - arg_min(price, i)) / abs(arg_min(price, i)) * 100 AS pct, stddev_pop((price - before) / abs(before) * 100) AS sd, median(volume) AS mv, arg_max(volume, i) AS lv,
+one AS (SELECT count(*) AS points, CASE WHEN count(*) FILTER (ts >= {now - HOUR}) >= 2 THEN (arg_max(price, i) / arg_min(price, i) FILTER (ts >= {now - HOUR}) - 1) * 100 WHEN count(*) FILTER (ts >= {now - HOUR}) = 1 THEN (arg_max(price, i) / arg_max(before, i) - 1) * 100 END AS last_pct, median(launched) AS usual, arg_max(launched, i) AS launches, (arg_max(price, i) - arg_min(price, i)) / abs(arg_min(price, i)) * 100 AS pct, stddev_pop((price - before) / abs(before) * 100) AS sd, median(volume) AS mv, arg_max(volume, i) AS lv,
   (arg_max(price, i) FILTER (back <= 3) - arg_min(price, i) FILTER (back <= 3)) / abs(arg_min(price, i) FILTER (back <= 3)) * 100 AS tp, (arg_max(volume, i) FILTER (back <= 3) - arg_min(volume, i) FILTER (back <= 3)) / abs(arg_min(volume, i) FILTER (back <= 3)) * 100 AS tm FROM s),
-lq AS (SELECT median(l) AS ml FROM (SELECT token, arg_max(v, ts) AS l FROM (SELECT token, (us // {HOUR} + 1) * {HOUR} AS ts, coalesce(sum(quote) FILTER (quote_kind = 'wsol'), 0) AS v FROM trades GROUP BY 1, 2) WHERE ts >= {NOW - 24 * HOUR} AND ts <= {NOW} GROUP BY token)),
-lw AS (SELECT * FROM trades WHERE quote_kind = 'wsol' AND us >= {NOW - HOUR} AND us <= {NOW})
+lq AS (SELECT median(l) AS ml FROM (SELECT token, arg_max(v, ts) AS l FROM (SELECT token, (us // {HOUR} + 1) * {HOUR} AS ts, coalesce(sum(quote) FILTER (quote_kind = 'wsol'), 0) AS v FROM trades GROUP BY 1, 2) WHERE ts >= {now - 24 * HOUR} AND ts <= {now} GROUP BY token)),
+lw AS (SELECT * FROM trades WHERE quote_kind = 'wsol' AND us >= {now - HOUR} AND us <= {now}),
+wp AS (SELECT wallet, sum(quote) AS v, sum(CASE WHEN side = 'buy' THEN quote ELSE -quote END) AS net FROM lw GROUP BY wallet)
 SELECT CASE WHEN pct > 3 THEN 'bull' WHEN pct < -3 THEN 'bear' ELSE 'sideways' END AS regime, sd > 5 AS high_volatility, ml < 25 OR lv < 0.5 * mv AS low_liquidity,
   abs(tp) >= 1 AND abs(tm) >= 1 AND (tp > 0) <> (tm > 0) AS trend_exhaustion, launches >= {rg.WAVE_MIN} AND launches >= {rg.WAVE_MULT} * greatest(usual, 1e-9) AS launch_wave,
-  coalesce((SELECT count(*) >= {rg.PANIC_MIN} AND count(*) FILTER (side = 'sell') > {rg.PANIC_RATIO} * greatest(count(*) FILTER (side = 'buy'), 1) FROM lw) AND last_pct < 0, FALSE) AS panic_selling, round(last_pct, 6) AS last_pct, CAST(points AS INT) AS price_points, round(pct, 6) AS pct_change, round(sd, 6) AS return_stdev, round(ml, 6) AS median_liquidity,
-  (SELECT count(*) FROM lw WHERE side = 'buy') AS buys, (SELECT count(*) FROM lw WHERE side = 'sell') AS sells FROM one, lq""")
+  coalesce((SELECT count(*) >= {rg.PANIC_MIN} AND count(*) FILTER (side = 'sell') > {rg.PANIC_RATIO} * greatest(count(*) FILTER (side = 'buy'), 1) FROM lw) AND last_pct < 0, FALSE) AS panic_selling, coalesce((SELECT count(*) FROM wp) >= {rg.WHALE_MIN} AND (SELECT sum(net) FROM wp WHERE v >= (SELECT quantile_cont(v, 0.9) FROM wp)) > {rg.WHALE_FLOW}, FALSE) AS whale_accumulation, round(last_pct, 6) AS last_pct, CAST(points AS INT) AS price_points, round(pct, 6) AS pct_change, round(sd, 6) AS return_stdev, round(ml, 6) AS median_liquidity,
+  (SELECT count(*) FROM lw WHERE side = 'buy') AS buys, (SELECT count(*) FROM lw WHERE side = 'sell') AS sells FROM one, lq"""
+
+
+@C.add(_regime_sql(NOW))
 def i17_market_regime(spark, sf_dir):
     t = trades(spark, sf_dir)
     market = sn.market_grid(t, tokens(t), failed_transactions(spark, sf_dir))
-    got = rg.detect(market, sn.hourly_grid(t).select("token", "ts", "liquidity"), t.filter("quote_kind = 'wsol'"), NOW)
-    return got.select("regime", "high_volatility", "low_liquidity", "trend_exhaustion", "launch_wave", "panic_selling", "price_points", *r6("pct_change", "return_stdev", "last_pct", "median_liquidity"), "buys", "sells")
+    return _regime(t, market, NOW)
+
+
+def _regime(t, market, now: int):
+    got = rg.detect(market, sn.hourly_grid(t).select("token", "ts", "liquidity"), t.filter("quote_kind = 'wsol'"), now)
+    return got.select("regime", "high_volatility", "low_liquidity", "trend_exhaustion", "launch_wave", "panic_selling", "whale_accumulation", "price_points", *r6("pct_change", "return_stdev", "last_pct", "median_liquidity"), "buys", "sells")
+
+
+_DAYS = [NOW - k * DAY for k in (3, 12, 21)] + [NOW - 30 * DAY + 8 * HOUR]
+
+
+@C.add(" UNION ALL ".join(f"SELECT {at} AS ts, * FROM ({_regime_sql(at)})" for at in _DAYS))
+def i17_regime_over_days(spark, sf_dir):
+    """The regime as several days saw it, the first one among them, when tokens were new."""
+    t = trades(spark, sf_dir)
+    market = sn.market_grid(t, tokens(t), failed_transactions(spark, sf_dir))
+    return pt.all_findings([_regime(t, market, at).withColumn("ts", F.lit(at)) for at in _DAYS])
 
 
 @C.add(POSITIONS + f", b AS (SELECT * FROM trades WHERE quote_kind = 'wsol' AND us >= {NOW - 24 * HOUR}), p AS (SELECT wallet, sum(quote) AS v, sum(CASE WHEN side = 'buy' THEN quote ELSE -quote END) AS net FROM b GROUP BY wallet) SELECT (SELECT count(*) FROM p) AS whale_population, round((SELECT sum(net) FROM p WHERE v >= (SELECT quantile_cont(v, 0.9) FROM p)), 6) AS whale_net, (SELECT count(*) FROM b WHERE side = 'buy') AS buys, (SELECT count(*) FROM b WHERE side = 'sell') AS sells, (SELECT count(*) FROM b) >= 10 AND (SELECT count(*) FROM b WHERE side = 'sell') > 1.5 * greatest((SELECT count(*) FROM b WHERE side = 'buy'), 1) AS sell_dominated")

@@ -17,11 +17,16 @@ from ..operators import wallets as wl
 from ..sources.bindings import DAY, HOUR, NOW, POSITIONS, PRELUDE, TRADE_ROWS, tokens, trades, wallets
 from .base import book
 from .catalog import Catalog, r6
-from .jobs import METRICS, _GRID, daily_labels, stats
+from .jobs import METRICS, _GRID, _LABELS, daily_labels, stats
 
 C = Catalog()
 
 
+def wide(spark, sf_dir):
+    """Trades over all 100 tokens, where co-occurrence means something."""
+    return trades(spark, sf_dir).drop("token").withColumnRenamed("token100", "token")
+
+
 _CIRCLE = "CASE WHEN wallet % 11 = 5 THEN 100000 + 10 * wallet + token100 % 3 WHEN wallet % 3 = 0 OR (wallet % 3 = 1 AND token100 >= 50) THEN 1000 + 100 * wallet + token100 ELSE token100 + 100 * (wallet % 4) END"
 
 
@@ -348,15 +353,32 @@ def i22_copy_backtest(spark, sf_dir):
     return dc.backtest(rows).select("token", "buy_event", "sell_event", F.round("roi", 6).alias("roi"))
 
 
-@C.add(POSITIONS + ", led AS (SELECT wallet, count(*) FILTER (status = 'open') AS open_n, greatest(coalesce(sum(bought_sol - sold_sol) FILTER (status = 'open'), 0), 0) AS exposure FROM positions GROUP BY wallet) SELECT wallet, CAST(CAST(open_n >= 8 AS INT) + CAST(exposure >= 100 AS INT) + CAST(coalesce(streak, 0) >= 2 AS INT) AS INT) AS n_reasons FROM led LEFT JOIN (SELECT wallet, count(*) FILTER (failed AND island = last_island) AS streak FROM (SELECT *, max(island) OVER (PARTITION BY wallet) AS last_island FROM (SELECT user_id AS wallet, event_type = 'error' AS failed, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events)) GROUP BY wallet) USING (wallet)")
+_WAIT, _LIMIT = 3 * HOUR, 150
+_RAILS = f""", led AS (SELECT wallet, count(*) FILTER (status = 'open') AS open_n, greatest(coalesce(sum(bought_sol - sold_sol) FILTER (status = 'open'), 0), 0) AS exposure FROM positions GROUP BY wallet),
+tried AS (SELECT *, max(island) OVER (PARTITION BY wallet) AS last_island FROM (SELECT user_id AS wallet, event_type = 'error' AS failed, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events)),
+streaks AS (SELECT wallet, count(*) FILTER (failed AND island = last_island) AS streak FROM tried GROUP BY wallet),
+daily AS (SELECT wallet, sum(CAST(CASE WHEN side = 'sell' THEN quote ELSE -quote END AS DECIMAL(18,2))) AS pnl FROM trades WHERE us >= {NOW - DAY} GROUP BY wallet),
+buys AS (SELECT wallet, us, row_number() OVER (PARTITION BY wallet ORDER BY us, event_id) AS rn FROM trades WHERE side = 'buy'),
+clock AS (SELECT wallet, rn, us AS last_us FROM buys WHERE rn = 1 UNION ALL SELECT b.wallet, b.rn, CASE WHEN b.us - c.last_us >= {_WAIT} THEN b.us ELSE c.last_us END FROM clock c JOIN buys b ON b.wallet = c.wallet AND b.rn = c.rn + 1),
+cool AS (SELECT wallet FROM clock GROUP BY wallet HAVING max(last_us) > {NOW - _WAIT}),
+blocked AS (SELECT led.wallet, array_to_string(list_filter([CASE WHEN cool.wallet IS NOT NULL THEN 'cooldown' END, CASE WHEN streak >= 2 THEN 'failures' END, CASE WHEN pnl <= -{_LIMIT} THEN 'daily_loss' END, CASE WHEN open_n >= 8 THEN 'max_open' END, CASE WHEN exposure >= 100 THEN 'max_exposure' END], lambda x: x IS NOT NULL), ',') AS reasons
+  FROM led LEFT JOIN streaks USING (wallet) LEFT JOIN daily USING (wallet) LEFT JOIN cool ON cool.wallet = led.wallet)"""
+
+
+@C.add(POSITIONS + _RAILS + " SELECT wallet, reasons, FALSE AS stopped FROM blocked UNION ALL SELECT wallet, CASE WHEN reasons = '' THEN 'emergency_stop' ELSE 'emergency_stop,' || reasons END, TRUE FROM blocked")
 def i22b_risk_rails(spark, sf_dir):
+    """The rails fed by open positions, failures in a row, the day's PnL and the running cooldown; with and without the emergency stop."""
     from ..sources.bindings import events
 
+    t = trades(spark, sf_dir)
     is_open = F.col("status") == "open"
     led = book(spark, sf_dir).groupBy("wallet").agg(F.count_if(is_open).alias("open_n"), F.greatest(F.coalesce(F.sum(F.when(is_open, F.col("bought_sol") - F.col("sold_sol"))), F.lit(0.0)), F.lit(0.0)).alias("exposure"))
     streak = dc.failure_streak(events(spark, sf_dir).withColumn("failed", F.col("event_type") == "error"), "wallet", ["us", "event_id"])
-    daily = led.select("wallet", F.lit(0.0).alias("daily_pnl"))
-    return dc.rails(led, streak, daily, max_open=8, max_exposure=100, max_failures=2).select("wallet", F.size("reasons").alias("n_reasons"))
+    signed = F.when(F.col("side") == "sell", F.col("quote")).otherwise(-F.col("quote")).cast("decimal(18,2)")
+    daily = t.filter(F.col("us") >= NOW - DAY).groupBy("wallet").agg(F.sum(signed).alias("daily_pnl"))
+    cooling = dc.cooldown(t.filter("side = 'buy'"), "wallet", _WAIT // 1_000_000, ["event_id"]).filter("allowed").filter(F.col("us") > NOW - _WAIT)
+    got = [dc.rails(led, streak, daily, cooling, stopped, max_open=8, max_exposure=100, max_failures=2, daily_limit=_LIMIT).select("wallet", F.array_join("reasons", ",").alias("reasons"), F.lit(stopped).alias("stopped")) for stopped in (False, True)]
+    return got[0].unionByName(got[1])
 
 
 @C.add(PRELUDE + f", x AS (SELECT ({NOW} - max(us)) / 60e6 AS m, (SELECT count(*) FROM failed WHERE us >= {NOW - DAY}) AS f, (SELECT count(*) FROM trades WHERE us >= {NOW - DAY}) AS t, (SELECT CAST(sum(CASE WHEN side = 'sell' THEN quote ELSE -quote END) AS DOUBLE) FROM trades WHERE us >= {NOW - DAY}) AS pnl FROM trades) SELECT 'ingestion_stalled' AS name, 'critical' AS severity, round(m, 6) AS value FROM x WHERE m > 15 UNION ALL SELECT 'high_failed_tx_ratio', 'warning', round(f / greatest(t, 1), 6) FROM x WHERE f / greatest(t, 1) > 0.5 UNION ALL SELECT 'copy_emergency_stop_active', 'critical', NULL FROM x UNION ALL SELECT 'daily_loss_near_limit', 'warning', round(pnl, 6) FROM x WHERE pnl <= -0.8 UNION ALL SELECT 'model_accuracy_degraded', 'warning', 0.51 FROM x UNION ALL SELECT 'no_recent_regime', 'info', round(m + 200, 6) FROM x WHERE m + 200 > 120")
@@ -396,13 +418,24 @@ _REPORT = [
     _top("highest_risk", "token", "v", "SELECT token, round(score, 6) AS v FROM risk", "v DESC, token"),
     _top("most_consistent", "wallet", "v", "SELECT wallet, round(roi_std, 6) AS v FROM stats WHERE roi_std IS NOT NULL AND closed_position_count >= 5", "v, wallet"),
     _top("mistakes", "id", "v", "SELECT id, brier AS v FROM o", "v DESC, id"),
+    _top("rising_styles", "style", "v", "SELECT style, v FROM trend WHERE v > 0", "v DESC, style"),
+    _top("declining_styles", "style", "v", "SELECT style, v FROM trend WHERE v < 0", "v, style"),
+    _top("accuracy", "model", "v", "SELECT model, auc AS v FROM judged", "v DESC, model"),
+    _top("improvements", "model", "v", "SELECT model, auc - 0.5 AS v FROM judged WHERE auc > 0.5", "v DESC, model"),
+    "SELECT 'market' AS section, 1 AS place, label AS item, round(pct, 6) AS value FROM l ORDER BY window_index DESC LIMIT 1",
 ]
+_SECTION_SQL = (
+    f", byday AS (SELECT venue AS style, us // {DAY} AS ts, avg(quote) AS v FROM trades GROUP BY 1, 2), lastday AS (SELECT *, row_number() OVER (PARTITION BY style ORDER BY ts DESC) AS k FROM byday), trend AS (SELECT style, max(v) FILTER (k = 1) - avg(v) FILTER (k > 1) AS v FROM lastday GROUP BY style HAVING count(*) > 1)"
+    ", places AS (SELECT model, label, rank() OVER (PARTITION BY model ORDER BY prob) + (count(*) OVER (PARTITION BY model, prob) - 1) / 2.0 AS r FROM o)"
+    ", judged AS (SELECT model, (sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / nullif(count(*) FILTER (label = 1) * count(*) FILTER (label = 0), 0) AS auc FROM places GROUP BY model HAVING count(*) >= 20), "
+    + _LABELS
+)
 
 
-@C.add(METRICS + _FACTS + _PRED + " " + " UNION ALL ".join(f"({q})" for q in _REPORT))
+@C.add(METRICS + _FACTS + _PRED + _SECTION_SQL + " " + " UNION ALL ".join(f"({q})" for q in _REPORT))
 def i23_report_items(spark, sf_dir):
-    kept = ["best_wallets", "worst_wallets", "highest_risk", "most_consistent", "mistakes"]
-    return report_items(spark, sf_dir).filter(F.col("section").isin(*kept)).withColumn("value", F.round("value", 6))
+    """The items of all ten sections."""
+    return report_items(spark, sf_dir).withColumn("value", F.round("value", 6))
 
 
 @C.add()
