@@ -26,6 +26,7 @@ and no files; extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -131,6 +132,10 @@ class Encoder:
     Texts are cut at ASCII spaces, which this vocabulary's pre-tokeniser never joins. A slice's words are
     dictionary-encoded by Arrow, so only its distinct words are looked up; their ids lie one after the other in
     ``flat`` and are copied to every occurrence at once. What was learned is forgotten when it exceeds a bound.
+
+    What is assumed of a vocabulary is tried out on ``PROBE`` first: that texts may be cut at white space, that case makes no
+    difference, and that a plain word's letters and closing marks are told apart. Where one fails, texts are encoded whole,
+    words with their case, or each word by the library.
     """
 
     def __init__(self, vocabulary: str, end_id: int = END_ID):
@@ -148,8 +153,15 @@ class Encoder:
         if suffix:
             self.ends = np.zeros(self.size, bool)
             self.ends[[i for w, i in self.library.get_vocab().items() if w.endswith(suffix)]] = True
-        probe = "a b\tc 1"
-        self.by_word = self._whole([probe])[0].tolist() == np.concatenate(self._whole(probe.split())).tolist()
+        self.by_word = all(x.tolist() == np.concatenate([self.end[:0], *self._whole(t.split())]).tolist() for t, x in zip(PROBE, self._whole(PROBE)))
+        letters = [c for c in map(chr, range(65, 256)) if re.match(_PLAIN, c)]
+        self.caseless = all(x.tolist() == y.tolist() for x, y in zip(self._whole([*letters, *PROBE]), self._whole([x.lower() for x in (*letters, *PROBE)])))
+        self._forget()
+        if self.by_word and self.ends is not None:
+            ids, count = self.encode(pa.array(PROBE, pa.large_string()))
+            want = [np.concatenate((x, self.end)) for x in self._whole(PROBE)]
+            if ids.tolist() != np.concatenate(want).tolist() or count.tolist() != list(map(len, want)):
+                self.ends = None
         self._forget()
 
     def _forget(self) -> None:
@@ -184,7 +196,7 @@ class Encoder:
         cut = pc.extract_regex(words, _PLAIN)
         plain = cut.is_valid()
         core, tail = (cut.field(k).filter(plain) for k in (0, 1))
-        runs = pa.concat_arrays([pc.utf8_lower(core), tail]).dictionary_encode()
+        runs = pa.concat_arrays([pc.utf8_lower(core) if self.caseless else core, tail]).dictionary_encode()
         two = self._places(runs.dictionary, self._learn_runs)[runs.indices.to_numpy()].reshape(2, -1)
         places = np.empty(len(words), np.int64)
         plain = plain.to_numpy(zero_copy_only=False)
@@ -228,6 +240,9 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
+#: Texts on which a vocabulary shows how it cuts words.
+PROBE = ["a b\tc 1", "Hello WORLD, (Again)! iPhone McX don't DON'T x.y; e.g. A-B 3.14 100% $5 #tag @me", "Éa ÀÖØ straße Ünder ÿ, naïve... «a» “b” it’s", "the The THE tHe the, The. THE! thethe", "漢字 日本語 mixed漢 1a a1 A1 _x__ --- ... ,,"]
+
 #: Latin letters, which lower-casing keeps letters, and closing marks, which make one pre-token.
 _PLAIN = "^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!#$%&*+,./:;=?@^_~-]*)$"
 

@@ -307,6 +307,30 @@ def test_packed_files_give_the_library_ids_back(spark, make, words, tmp_path):
     assert sorted((x.doc_id for x in odd), key=repr) == [1, 1, None]
 
 
+def test_packed_ids_of_a_vocabulary_that_knows_case(tmp_path):
+    """Without the normaliser that lower-cases, or with another cut of words, ids still equal the library's."""
+    import json
+
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    r = random.Random(8)
+    bits = ["Hello", "HELLO", "hello,", "Éa", "élan!", "McX", "don't", "a-b", "A.B", "3x", "漢字", "ÀÖ", "the", "The", "x_Y", "...", "“q”"]
+    texts = [" ".join(r.choices(bits, k=r.randrange(0, 12))) for _ in range(300)] + ["", " ", "Hello\tHELLO\nhello"]
+    plain = json.load(open(public_tokenizers.path("word_bpe_49k.json")))
+    cased = plain | {"normalizer": None}
+    whole = cased | {"pre_tokenizer": {"type": "WhitespaceSplit"}}
+    for k, form in enumerate((plain, cased, whole)):
+        path = str(tmp_path / f"{k}.json")
+        json.dump(form, open(path, "w"))
+        encoder, library = pk.Encoder(path), Tokenizer.from_file(path)
+        assert encoder.caseless == (k == 0)
+        ids, count = encoder.encode(pa.array(texts, pa.large_string()))
+        want = [[*library.encode(t, add_special_tokens=False).ids, pk.END_ID] for t in texts]
+        assert count.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+
+
 def test_packed_long_texts_small_slices_and_a_full_memory(make, words, tmp_path, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
