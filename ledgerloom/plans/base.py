@@ -414,13 +414,24 @@ def f17_daily_loss(spark, sf_dir):
     return daily_loss(t, "us", "pnl", ["us", "event_id"], 200)
 
 
-@C.add(PRELUDE + ", o AS (SELECT token, us, event_id, row_number() OVER (PARTITION BY token ORDER BY us, event_id) AS rn FROM trades WHERE side = 'buy'), f AS (SELECT token, us, event_id, rn, us AS last_us, TRUE AS allowed FROM o WHERE rn = 1 UNION ALL SELECT o.token, o.us, o.event_id, o.rn, CASE WHEN o.us - f.last_us >= 7200000000 THEN o.us ELSE f.last_us END, o.us - f.last_us >= 7200000000 FROM f JOIN o ON o.token = f.token AND o.rn = f.rn + 1) SELECT event_id, allowed FROM f")
+_COOLDOWN = PRELUDE + ", o AS (SELECT token, us, event_id, row_number() OVER (PARTITION BY token ORDER BY us, event_id) AS rn FROM trades WHERE side = 'buy'), f AS (SELECT token, us, event_id, rn, us AS last_us, TRUE AS allowed FROM o WHERE rn = 1 UNION ALL SELECT o.token, o.us, o.event_id, o.rn, CASE WHEN o.us - f.last_us >= 7200000000 THEN o.us ELSE f.last_us END, o.us - f.last_us >= 7200000000 FROM f JOIN o ON o.token = f.token AND o.rn = f.rn + 1) SELECT event_id, allowed FROM f"
+
+
+@C.add(_COOLDOWN)
 def f18_cooldown(spark, sf_dir):
     from ..operators.decisions import cooldown
 
     return cooldown(trades(spark, sf_dir).filter("side = 'buy'"), "token", 7200, ["event_id"]).select("event_id", "allowed")
 
 
+@C.add(_COOLDOWN)
+def f18_cooldown_of_hot_tokens(spark, sf_dir):
+    """The same by pointers, so that no task runs along a token's rows."""
+    from ..operators.pointers import cooldown
+
+    return cooldown(trades(spark, sf_dir).filter("side = 'buy'"), "token", 7200, ["event_id"]).select("event_id", "allowed")
+
+
 # --- top-k and sets --------------------------------------------------------
 
 

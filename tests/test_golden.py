@@ -280,3 +280,36 @@ def test_names_are_numbered_over_slices(spark, monkeypatch):
     rows = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(20)], "k long, name string")
     got = [x.name for x in money.dedupe_names(rows, "name", "k").orderBy("k").collect()]
     assert got == [f"{'ab'[k % 2]}" + (f"-{k // 2 + 1}" if k > 1 else "") for k in range(20)]
+
+
+@pytest.mark.parametrize("span,wait", [(60, 7), (400, 5), (3000, 10), (30, 40)])
+def test_cooldown_by_pointers_equals_the_fold(spark, span, wait):
+    import random
+
+    from ledgerloom.operators import pointers
+
+    r = random.Random(span)
+    rows = [(r.choice((1, 1, 1, 2, 3)), r.choice((r.randrange(span), wait * r.randrange(span // 7 + 1))) * S, i) for i in range(250)] + [(9, 5 * S, 900)]
+    want, last = {}, {}
+    for k, us, i in sorted(rows):
+        want[i] = k not in last or us - last[k] >= wait * S
+        if want[i]:
+            last[k] = us
+    buys = spark.createDataFrame(rows, "token long, us long, event_id long")
+    for how in (pointers.cooldown, dc.cooldown):
+        assert {x.event_id: x.allowed for x in how(buys, "token", wait, ["event_id"]).collect()} == want
+    assert pointers.cooldown(buys.limit(0), "token", wait, ["event_id"]).count() == 0
+
+
+def test_timeline_slices_carry_the_last_row_on(spark):
+    """A clustered timeline, rows at its borders, before and after it, and without a time."""
+    import random
+
+    r = random.Random(15)
+    line = sorted({r.randrange(10**6, 10**6 + 500) for _ in range(120)} | {5, 10**12})
+    left = [r.choice((*line, r.randrange(0, 2 * 10**6), r.randrange(10**6, 10**6 + 500), 2 * 10**12, 1)) for _ in range(400)] + [None]
+    want = [None if x is None else max((t for t in line if t <= x), default=None) for x in left]
+    spans = spark.createDataFrame([(t, t) for t in line] + [(None, 7)], "at long, label long")
+    for slices in (1, 4, 64):
+        got = tm.asof_timeline(spark.createDataFrame(list(enumerate(left)), "id long, t long"), spans, "t", "at", ["label"], slices=slices).orderBy("id").collect()
+        assert [x.label for x in got] == want
