@@ -381,18 +381,6 @@ def i22b_risk_rails(spark, sf_dir):
     return got[0].unionByName(got[1])
 
 
-@C.add(PRELUDE + f", x AS (SELECT ({NOW} - max(us)) / 60e6 AS m, (SELECT count(*) FROM failed WHERE us >= {NOW - DAY}) AS f, (SELECT count(*) FROM trades WHERE us >= {NOW - DAY}) AS t, (SELECT CAST(sum(CASE WHEN side = 'sell' THEN quote ELSE -quote END) AS DOUBLE) FROM trades WHERE us >= {NOW - DAY}) AS pnl FROM trades) SELECT 'ingestion_stalled' AS name, 'critical' AS severity, round(m, 6) AS value FROM x WHERE m > 15 UNION ALL SELECT 'high_failed_tx_ratio', 'warning', round(f / greatest(t, 1), 6) FROM x WHERE f / greatest(t, 1) > 0.5 UNION ALL SELECT 'copy_emergency_stop_active', 'critical', NULL FROM x UNION ALL SELECT 'daily_loss_near_limit', 'warning', round(pnl, 6) FROM x WHERE pnl <= -0.8 UNION ALL SELECT 'model_accuracy_degraded', 'warning', 0.51 FROM x UNION ALL SELECT 'no_recent_regime', 'info', round(m + 200, 6) FROM x WHERE m + 200 > 120")
-def i24_alerts(spark, sf_dir):
-    from ..sources.bindings import failed_transactions
-
-    t = trades(spark, sf_dir)
-    day = F.col("us") >= NOW - DAY
-    m = t.agg(((NOW - F.max("us")) / 60e6).alias("minutes_since_trade"), F.count_if(day).cast("double").alias("trades_1h"), F.sum(F.when(day, F.when(F.col("side") == "sell", F.col("quote")).otherwise(-F.col("quote")))).alias("daily_pnl"))
-    f = failed_transactions(spark, sf_dir).agg(F.count_if(day).cast("double").alias("failed_1h"))
-    c = m.crossJoin(f).select("*", F.lit(True).alias("emergency_stop"), F.lit(1.0).alias("daily_limit"), F.lit(0.51).alias("latest_auc"), (F.col("minutes_since_trade") + 200).alias("minutes_since_regime"))
-    return dc.alerts(c).select("name", "severity", F.round("value", 6).alias("value"))
-
-
 # --- reports ---------------------------------------------------------------
 
 _SECTIONS = ["best_wallets", "worst_wallets", "highest_risk", "most_consistent", "rising_styles", "declining_styles", "accuracy", "mistakes", "improvements", "market"]
@@ -462,3 +450,27 @@ def i23b_report_due(spark, sf_dir):
     made = events(spark, sf_dir).filter("value > 150").select(F.col("event_type").alias("kind"), F.col("us").alias("ts"))
     at = NOW - DAY // 2
     return rp.due(made, at, "view", "day").select(F.lit("view").alias("kind"), "due").unionByName(rp.due(made, at, "signup", "week").select(F.lit("signup").alias("kind"), "due"))
+
+
+# --- alerts ----------------------------------------------------------------
+
+_ALERTS = f""", x AS (SELECT ({NOW} - max(us)) / 60e6 AS m, (SELECT count(*) FROM failed WHERE us >= {NOW - DAY}) AS f, (SELECT count(*) FROM trades WHERE us >= {NOW - DAY}) AS t, (SELECT CAST(sum(CASE WHEN side = 'sell' THEN quote ELSE -quote END) AS DOUBLE) FROM trades WHERE us >= {NOW - DAY}) AS pnl,
+  (SELECT min(auc) FROM judged) AS auc, ({NOW} - (SELECT max(window_index) FROM l) * {DAY}) / 60e6 AS label_age FROM trades),
+fired AS (SELECT 'ingestion_stalled' AS name, 'critical' AS severity, m AS value FROM x WHERE m > 15 UNION ALL SELECT 'high_failed_tx_ratio', 'warning', f / greatest(t, 1) FROM x WHERE f / greatest(t, 1) > 0.5
+  UNION ALL SELECT 'copy_emergency_stop_active', 'critical', NULL FROM x WHERE f > 0.1 * t UNION ALL SELECT 'daily_loss_near_limit', 'warning', pnl FROM x WHERE pnl <= -0.8 UNION ALL SELECT 'model_accuracy_degraded', 'warning', auc FROM x WHERE auc < 0.55 UNION ALL SELECT 'no_recent_regime', 'info', label_age FROM x WHERE label_age > 120)"""
+
+
+@C.add(POSITIONS + _PRED + _SECTION_SQL + _ALERTS + " SELECT name, severity, round(value, 6) AS value FROM fired")
+def i24_alerts(spark, sf_dir):
+    """All six rules on what the tables tell: trades, failures, PnL, the weakest model, the last label."""
+    from ..sources.bindings import failed_transactions
+
+    t = trades(spark, sf_dir)
+    day = F.col("us") >= NOW - DAY
+    m = t.agg(((NOW - F.max("us")) / 60e6).alias("minutes_since_trade"), F.count_if(day).cast("double").alias("trades_1h"), F.sum(F.when(day, F.when(F.col("side") == "sell", F.col("quote")).otherwise(-F.col("quote")))).alias("daily_pnl"))
+    f = failed_transactions(spark, sf_dir).agg(F.count_if(day).cast("double").alias("failed_1h"))
+    auc = ev.performance(resolved(spark, sf_dir)).agg(F.min("auc").alias("latest_auc"))
+    age = daily_labels(spark, sf_dir).agg(((NOW - F.max("window_index") * DAY) / 60e6).alias("minutes_since_regime"))
+    c = m.crossJoin(f).crossJoin(auc).crossJoin(age)  # a row each
+    c = c.select("*", (F.col("failed_1h") > 0.1 * F.col("trades_1h")).alias("emergency_stop"), F.lit(1.0).alias("daily_limit"))
+    return dc.alerts(c).select("name", "severity", F.round("value", 6).alias("value"))

@@ -100,8 +100,8 @@ def c03_native_delta(spark, sf_dir):
 
 @C.add(_SWAPS + " SELECT * FROM swaps")
 def c05_c07_swap_inference(spark, sf_dir):
-    s = swaps(spark, sf_dir)
-    twice = s.unionByName(s.withColumn("event_index", F.col("event_index") + 10))  # the same events from a second adapter
+    again = F.explode(F.array(F.lit(0), F.lit(10)))  # the same events from a second adapter
+    twice = swaps(spark, sf_dir).select("*", again.alias("by")).withColumn("event_index", F.col("event_index") + F.col("by")).drop("by")
     return rx.dedup_events(twice)
 
 
