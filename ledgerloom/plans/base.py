@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import money
+from ..operators import episodes
 from ..operators import positions as pos
 from ..operators import timeops as tm
 from ..sources import tables as tb
@@ -361,6 +362,18 @@ def f02_position_fold_lines(spark, sf_dir):
     return pos.fold_positions(line_trades(spark, sf_dir), LINE_ORDER).select(*_POSITION, *r6(*_POSITION_R))
 
 
+@C.add(POSITIONS + _POSITION_SQL)
+def f02_position_windows(spark, sf_dir):
+    """The same by windows: the ends of episodes are running minima."""
+    return episodes.windowed(trades(spark, sf_dir), ["event_id"]).select(*_POSITION, *r6(*_POSITION_R))
+
+
+@C.add(LINE_POSITIONS + _POSITION_SQL)
+def f02_positions_of_hot_pairs(spark, sf_dir):
+    """The same with pairs over 20 trades, a bound for these small tables, dealt over slices of their times."""
+    return episodes.sliced(line_trades(spark, sf_dir), LINE_ORDER, 20, 8).select(*_POSITION, *r6(*_POSITION_R))
+
+
 @C.add(PRELUDE + ", e AS (SELECT wallet, us, event_id, row_number() OVER (PARTITION BY wallet ORDER BY us, event_id) AS i, count(*) OVER (PARTITION BY wallet) AS n, quote / 100 - 0.5 AS roi FROM trades WHERE side = 'sell') SELECT wallet, max(n) AS n, round(sum(0.25 * power(0.75, n - i) * roi), 6) AS ew, round(CASE WHEN max(n) < 5 THEN 1 WHEN sum(0.25 * power(0.75, n - i) * roi) < 0 THEN greatest(0.5, 1 + sum(0.25 * power(0.75, n - i) * roi)) ELSE least(1.2, 1 + 0.4 * sum(0.25 * power(0.75, n - i) * roi)) END, 6) AS factor FROM e GROUP BY wallet")
 def f06_ew_outcome(spark, sf_dir):
     from ..operators.decisions import ew_ranking

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import datasets as ds
 from ..operators import decisions as dc
 from ..operators import evaluation as ev
+from ..operators import pointers
 from ..operators import positions as ps
 from ..operators import reports as rp
 from ..operators import risk as rk
@@ -343,14 +344,27 @@ bt AS (SELECT token, rn, CASE WHEN side = 'buy' AND decided THEN event_id END AS
   FROM bt b JOIN so o ON o.token = b.token AND o.rn = b.rn + 1)"""
 
 
-@C.add(_BACK + " SELECT token, done_buy AS buy_event, sell_event, round(roi, 6) AS roi FROM bt WHERE done_buy IS NOT NULL")
-def i22_copy_backtest(spark, sf_dir):
+_COPIES = _BACK + " SELECT token, done_buy AS buy_event, sell_event, round(roi, 6) AS roi FROM bt WHERE done_buy IS NOT NULL"
+
+
+def copied(spark, sf_dir):
+    """Trades with their price at the last snapshot and whether a copy of them is decided."""
     t = trades(spark, sf_dir)
-    copied = decided(spark, sf_dir).filter("decision = 'copy'").select("event_id", F.lit(True).alias("decided"))
+    taken = decided(spark, sf_dir).filter("decision = 'copy'").select("event_id", F.lit(True).alias("decided"))
     grid = sn.hourly_grid(t).select("token", "ts", F.col("price").alias("seen"))
     priced = tm.asof_backward(t, grid, ["token"], "us", "ts", ["seen"])  # without a snapshot so far, the trade's own price
-    rows = priced.join(copied, "event_id", "left").select("token", "us", "event_id", "wallet", "side", F.coalesce("decided", F.lit(False)).alias("decided"), F.coalesce("seen", F.try_divide("quote", "amount")).alias("price"))
-    return dc.backtest(rows).select("token", "buy_event", "sell_event", F.round("roi", 6).alias("roi"))
+    return priced.join(taken, "event_id", "left").select("token", "us", "event_id", "wallet", "side", F.coalesce("decided", F.lit(False)).alias("decided"), F.coalesce("seen", F.try_divide("quote", "amount")).alias("price"))
+
+
+@C.add(_COPIES)
+def i22_copy_backtest(spark, sf_dir):
+    return dc.backtest(copied(spark, sf_dir)).select("token", "buy_event", "sell_event", F.round("roi", 6).alias("roi"))
+
+
+@C.add(_COPIES)
+def i22_copy_backtest_of_hot_tokens(spark, sf_dir):
+    """The same by pointers, so that no task runs along a token's rows."""
+    return pointers.backtest(copied(spark, sf_dir)).select("token", "buy_event", "sell_event", F.round("roi", 6).alias("roi"))
 
 
 _WAIT, _LIMIT = 3 * HOUR, 150

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import money
 from ledgerloom.operators import decisions as dc
+from ledgerloom.operators import episodes, pointers
 from ledgerloom.operators import evaluation as ev
 from ledgerloom.operators import patterns as pt
 from ledgerloom.operators import positions as ps
@@ -286,8 +287,6 @@ def test_names_are_numbered_over_slices(spark, monkeypatch):
 def test_cooldown_by_pointers_equals_the_fold(spark, span, wait):
     import random
 
-    from ledgerloom.operators import pointers
-
     r = random.Random(span)
     rows = [(r.choice((1, 1, 1, 2, 3)), r.choice((r.randrange(span), wait * r.randrange(span // 7 + 1))) * S, i) for i in range(250)] + [(9, 5 * S, 900)]
     want, last = {}, {}
@@ -301,6 +300,48 @@ def test_cooldown_by_pointers_equals_the_fold(spark, span, wait):
     assert pointers.cooldown(buys.limit(0), "token", wait, ["event_id"]).count() == 0
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_backtest_by_pointers_equals_the_fold(spark, seed):
+    """A hot token, rows at one time, rows without a price, wallet or token."""
+    import random
+
+    r = random.Random(seed)
+    rows = [(r.choice((1, 1, 1, 2, 3)), r.randrange(150), i, r.choice((5, 6, 7)), r.choice(("buy", "sell")), r.random() < 0.6, r.choice((1.0, 2.0, 4.0, None, 0.0))) for i in range(400)]
+    schema = "token long, us long, event_id long, wallet long, side string, decided boolean, price double"
+    t = spark.createDataFrame(rows, schema)
+    want = sorted(tuple(x) for x in dc.backtest(t).collect())
+    odd = [(None, 1, 900, 5, "buy", True, 1.0), (1, None, 901, 5, "buy", True, 1.0), (1, 1, 902, None, "buy", True, 1.0), (1, 1, 903, 5, "sell", None, float("nan"))]
+    assert len(want) > 20
+    for slices in (1, 9):
+        assert sorted(tuple(x) for x in pointers.backtest(t.unionByName(spark.createDataFrame(odd, schema)), slices).collect()) == want
+    assert pointers.backtest(t.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_episodes_by_windows_equal_the_fold(spark, seed):
+    """A hot pair, rows at one time, sales down to 0.5 % exactly, amounts of 0, repeated rows, trades without a SOL value."""
+    import random
+
+    r = random.Random(seed)
+    rows = []
+    for i in range(700):
+        wallet, side = r.choice((1, 1, 1, 1, 2, None)), r.choice(("buy", "sell"))
+        rows.append((wallet, r.choice((1, 1, 2)), r.randrange(200) * S, i, side, float(r.choice((0, 1, 2, 10, 199, 200, 398, 400))), r.choice((None, 0.0, 1.5, 3.0))))
+    rows += [(3, 1, k * S, k, side, a, 1.0) for k, (side, a) in enumerate((("buy", 200.0), ("sell", 199.0), ("sell", 0.0), ("buy", 0.0), ("sell", 5.0), ("buy", 7.0)))]
+    rows += [(4, 1, S, 1, "buy", 2.0, 1.0)] * 3 + [(4, 1, 2 * S, 2, "sell", 6.0, 9.0)]
+    t = spark.createDataFrame(rows, TRADE).withColumn("note", F.lit("x"))
+
+    def plain(df):
+        return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in df.collect()), key=repr)
+
+    got = plain(episodes.windowed(t, ["event_id"]))
+    known = lambda found: [x for x in found if x[0] is not None]
+    assert known(got) == plain(ps.fold_positions(t.filter("wallet is not null"), ["event_id"])) and len(known(got)) < len(got)
+    for hot, slices in ((0, 5), (50, 16), (10**6, 4)):
+        assert plain(episodes.sliced(t, ["event_id"], hot, slices)) == got
+    assert episodes.windowed(t.limit(0), ["event_id"]).count() == 0 and episodes.sliced(t.limit(0), ["event_id"]).count() == 0
+
+
 def test_timeline_slices_carry_the_last_row_on(spark):
     """A clustered timeline, rows at its borders, before and after it, and without a time."""
     import random
