@@ -38,8 +38,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import read_table
+from .shared import materialize, read_table
 from .textvec import Words, combine, parts
 
 #: The first four meet every 13 words of which 11 agree; all of them every 16 to 31 words of which the share agrees.
@@ -162,23 +163,29 @@ def _distinct(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return row[fresh], item[fresh], shift[fresh]
 
 
+def n_blocks(bench: DataFrame, block_bytes: int) -> int:
+    """Into how many blocks of about half ``block_bytes`` the benchmark's texts go."""
+    total = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(1, -(-2 * total // block_bytes))
+
+
 def blocks(bench: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
     """The benchmark's index, one bounded block after the other."""
+    n = n_blocks(bench, block_bytes)
     bench = bench.filter("text is not null").select("item_id", "text")
-    total = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-2 * total // block_bytes))
     for k in range(n):
         rows = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
         if rows:
             yield Index([r.item_id for r in rows], [r.text for r in rows])
 
 
-def find(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """A row for each contaminated document and benchmark item: ``doc_id``, ``item_id``, ``n_match``, ``n_item``, ``at_word``."""
-    spark = docs.sparkSession
-    schema = "doc_id long, item_id long, n_match long, n_item long, at_word long"
-    out = None
-    for index in blocks(bench):
+def _hits(texts: DataFrame, bench: DataFrame, block_bytes: int) -> DataFrame:
+    """A row for each contaminated row of ``texts`` (a key and ``text``) and item. With more than one block each block's hits are written and its broadcast is destroyed, so the driver holds one."""
+    spark, key = texts.sparkSession, texts.columns[0]
+    names = [key, "item_id", "n_match", "n_item", "at_word"]
+    schema = StructType([StructField(key, texts.schema[key].dataType), *[StructField(c, LongType()) for c in names[1:]]])
+    out, many = None, n_blocks(bench, block_bytes) > 1
+    for index in blocks(bench, block_bytes):
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -186,16 +193,35 @@ def find(docs: DataFrame, bench: DataFrame) -> DataFrame:
                 for part in parts(batch):
                     if got := shared.value.judge(part.column("text")):
                         row, item, match, size, at = zip(*got)
-                        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array([shared.value.ids[i] for i in item], pa.int64()), *[pa.array(x, pa.int64()) for x in (match, size, at)]], ["doc_id", "item_id", "n_match", "n_item", "at_word"])
+                        yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(row)), pa.array([shared.value.ids[i] for i in item], pa.int64()), *[pa.array(x, pa.int64()) for x in (match, size, at)]], names)
 
-        got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+        got = texts.mapInArrow(run, schema)
+        if many:
+            got = materialize(got, "hits")
+            shared.destroy()
         out = got if out is None else out.unionByName(got)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def remove(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """The documents that no benchmark item contaminates, with all their columns."""
-    for index in blocks(bench):
+def find(docs: DataFrame, bench: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row for each contaminated document and benchmark item: ``doc_id``, ``item_id``, ``n_match``, ``n_item``, ``at_word``."""
+    return _hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), bench, block_bytes)
+
+
+def remove(docs: DataFrame, bench: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that no benchmark item contaminates, with all their columns.
+
+    Against one block documents are filtered as they stream. Beyond it, the SHA-256 of contaminated texts are
+    gathered block by block and an anti-join takes their documents away.
+    """
+    if n_blocks(bench, block_bytes) > 1:
+        sha = "_sha256"
+        while sha in docs.columns:
+            sha += "_"
+        keyed = docs.withColumn(sha, F.sha2("text", 256))
+        hits = materialize(_hits(keyed.filter("text is not null").select(sha, "text"), bench, block_bytes).select(sha).distinct(), "contaminated")
+        return keyed.join(hits, sha, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
+    for index in blocks(bench, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

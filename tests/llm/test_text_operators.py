@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontamination as dn
 from ledgerloom.llm import language_id as li
@@ -179,6 +180,13 @@ def test_decontamination(spark, make, words):
     assert clean.columns == make(rows).columns
     assert Counter(x.doc_id for x in clean.collect()) == Counter(d for d, _ in rows if d not in {p[0] for p in got})
     assert dn.find(make([]), bench).count() == 0 and dn.find(make(rows), bench.limit(0)).count() == 0
+    # many blocks find and take away the same, also beside a column of the name that the anti-join uses
+    assert dn.n_blocks(bench, 1000) > 3
+    assert Counter((x.doc_id, x.item_id) for x in dn.find(make(rows), bench, 1000).collect()) == want
+    named = make(rows).withColumn("_sha256", F.lit(1))
+    left = dn.remove(named, bench, 1000)
+    assert left.columns == named.columns
+    assert Counter(map(repr, left.collect())) == Counter(map(repr, dn.remove(named, bench).collect()))
     many = [(i.item_id, i.text) for i in bench.collect()]
     assert sum(len(b.ids) for b in dn.blocks(bench, 400)) == sum(t is not None for _, t in many)
 
