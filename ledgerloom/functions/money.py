@@ -41,12 +41,12 @@ def quantize_sol(x: Column) -> Column:
     return F.bround(x, 9)
 
 
-def parse_price(payload: Column, mint: str) -> Column:
-    """``data[mint].price``, else the first entry's; must be above 0."""
+def parse_price(payload: Column, mint: str, above: float | None = 0.0) -> Column:
+    """``data[mint].price``, else the first entry's; must be above ``above``, unless that is None."""
     data = F.from_json(payload, "data map<string, struct<price string>>")["data"]
     price = F.coalesce(F.try_element_at(data, F.lit(mint))["price"], F.get(F.map_values(data), F.lit(0))["price"])
     x = finite(price)
-    return F.when(x > 0, x)
+    return x if above is None else F.when(x > above, x)
 
 
 def bucket_label(seconds: Column, table: list[tuple[str, int | None]]) -> Column:

@@ -24,3 +24,7 @@ def agree(spark, tmp_path):
 
 def test_a_quote_of_zero_is_published_with_a_price_of_zero(agree):
     assert agree("a11_publish_messages", (1, 0), (2, 3.5), (10, 0))
+
+
+def test_a_price_of_zero_is_read(agree):
+    assert agree("b04_b05_b06_coercion", (1, 0), (2, 0), (4, 1.5), (5, -2.5), (7, 0))
