@@ -115,7 +115,7 @@ def freshness(age_s: Column, stale_s: float) -> Column:
 
 def copy_size(mode: str, leader: Column, headroom: Column, fixed: float = 0.05, percent: float = 2.0, most: float = 0.5, dust: float = 0.001) -> Column:
     """SOL to put into a copy: fixed or a share of the leader's, within the largest position and the headroom; dust is 0. A struct of size and notes."""
-    wanted = F.lit(fixed) if mode == "fixed" else leader * (percent / 100.0)
+    wanted = F.lit(fixed) if mode == "fixed" else leader * percent / 100.0  # in this order: 2 % of 17.5 is 0.35 then, not one bit more
     capped = F.least(wanted, F.lit(most))
     fitted = F.greatest(F.least(capped, headroom), F.lit(0.0))
     size = F.bround(F.when(fitted < dust, 0.0).otherwise(fitted), 9)

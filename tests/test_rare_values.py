@@ -28,3 +28,8 @@ def test_a_quote_of_zero_is_published_with_a_price_of_zero(agree):
 
 def test_a_price_of_zero_is_read(agree):
     assert agree("b04_b05_b06_coercion", (1, 0), (2, 0), (4, 1.5), (5, -2.5), (7, 0))
+
+
+def test_a_copy_that_just_fits_has_no_note(agree):
+    # 2 % of these is a number of twentieths, the room of an event_id that ends in that number
+    assert agree("b17_copy_size", *[(1000 + 10 * i + k, 2.5 * k) for i in range(3) for k in range(10)], (2001, 0.05))
