@@ -9,12 +9,15 @@ from ..sources.bindings import read
 from .catalog import Catalog
 
 C = Catalog()
+#: Line items a task takes: tasks grow in number with the tables, not in size, whatever the session's settings are.
+ROWS = 250_000
 
 
 def documents(spark, sf_dir):
     """Up to three mints an order; the quote leg is WSOL, native SOL, or USDC by customer; every eleventh order failed."""
     items = read(spark, sf_dir, "lineitem")
-    o = read(spark, sf_dir, "orders")
+    tasks = -(-items.count() // ROWS) or 1  # counted in the files' footers
+    items, o = items.repartition(tasks, "l_orderkey"), read(spark, sf_dir, "orders").repartition(tasks, "o_orderkey")
     owner, k = F.concat(F.lit("w"), F.col("o_custkey") % 200), F.col("o_orderkey")
     leg = F.struct(F.concat(F.lit("w"), F.col("o_custkey") % 200).alias("owner"), F.concat(F.lit("m"), F.col("l_partkey") % 3).alias("mint"), F.col("l_quantity").alias("amount"))
     sold = F.col("l_returnflag") == "R"
@@ -94,8 +97,7 @@ def c02_token_deltas(spark, sf_dir):
 
 @C.add(_D + " SELECT signature, CASE WHEN kind = 1 THEN CAST(-net * 1000000000 AS BIGINT) ELSE 0 END AS lamports FROM net")
 def c03_native_delta(spark, sf_dir):
-    d = documents(spark, sf_dir)
-    return rx.native_deltas(d).join(d.select("signature", rx.fee_payer().alias("owner")), ["signature", "owner"]).select("signature", "lamports")
+    return rx.payer_deltas(documents(spark, sf_dir)).select("signature", "lamports")
 
 
 @C.add(_SWAPS + " SELECT * FROM swaps")

@@ -64,20 +64,37 @@ def program_ids() -> Column:
     return F.array_distinct(F.transform("calls", lambda c: c["program"]))
 
 
+def _token_changes() -> Column:
+    """All balances of a document as changes: those after added, those before taken away."""
+    part = lambda c, sign: F.transform(c, lambda b: F.struct(b["owner"].alias("owner"), b["mint"].alias("mint"), (sign * b["amount"]).alias("x")))
+    return F.concat(part("post_tokens", 1), part("pre_tokens", -1))
+
+
 def token_deltas(docs: DataFrame) -> DataFrame:
     """(signature, owner, mint, delta): sum after less sum before, zero rows dropped."""
-    part = lambda c, sign: docs.select("signature", F.explode(c).alias("b")).select("signature", "b.owner", "b.mint", (sign * F.col("b.amount")).alias("x"))
-    both = part("post_tokens", 1).unionByName(part("pre_tokens", -1))
-    return both.groupBy("signature", "owner", "mint").agg(F.sum("x").alias("delta")).filter(F.abs("delta") > 1e-12)
+    every = docs.select("signature", F.explode(_token_changes()).alias("b")).select("signature", "b.*")
+    return every.groupBy("signature", "owner", "mint").agg(F.sum("x").alias("delta")).filter(F.abs("delta") > 1e-12)
+
+
+def _native_changes() -> Column:
+    """All accounts of a document as (owner, lamports); the fee payer gets the fee and transfers to tip accounts back."""
+    zipped = F.arrays_zip(account_keys().alias("key"), F.col("pre"), F.col("post"))
+    raw = F.transform(zipped, lambda z: F.struct(z["key"].alias("owner"), (z["post"] - z["pre"]).alias("d")))
+    known = F.filter(raw, lambda r: r["d"].isNotNull() & r["owner"].isNotNull())
+    tips = F.aggregate(F.filter(known, lambda r: r["owner"].isin(*TIP_ACCOUNTS) & (r["d"] > 0)), F.lit(0).cast("long"), lambda x, r: x + r["d"])
+    back = lambda r: F.when(r["owner"] == fee_payer(), F.col("fee") + tips).otherwise(0)
+    return F.transform(known, lambda r: F.struct(r["owner"].alias("owner"), (r["d"] + back(r)).alias("lamports")))
 
 
 def native_deltas(docs: DataFrame) -> DataFrame:
     """(signature, owner, lamports) of every account; the fee payer gets the fee and transfers to tip accounts back."""
-    keyed = docs.select("signature", fee_payer().alias("payer"), "fee", F.explode(F.arrays_zip(account_keys().alias("key"), F.col("pre"), F.col("post"))).alias("z"))
-    rows = keyed.select("signature", "payer", "fee", F.col("z.key").alias("owner"), (F.col("z.post") - F.col("z.pre")).alias("d")).filter("d is not null and owner is not null")
-    tips = rows.filter(F.col("owner").isin(*TIP_ACCOUNTS) & (F.col("d") > 0)).groupBy("signature").agg(F.sum("d").alias("tips"))
-    back = F.when(F.col("owner") == F.col("payer"), F.col("fee") + F.coalesce("tips", F.lit(0))).otherwise(0)
-    return rows.join(tips, "signature", "left").select("signature", "owner", (F.col("d") + back).alias("lamports"))
+    return docs.select("signature", F.explode(_native_changes()).alias("z")).select("signature", "z.*")
+
+
+def payer_deltas(docs: DataFrame) -> DataFrame:
+    """The rows of ``native_deltas`` that are the fee payer's own."""
+    every = docs.select("signature", fee_payer().alias("payer"), F.explode(_native_changes()).alias("z"))
+    return every.filter("z.owner = payer").select("signature", "z.*")
 
 
 def infer_swaps(docs: DataFrame) -> DataFrame:
@@ -86,15 +103,19 @@ def infer_swaps(docs: DataFrame) -> DataFrame:
     One mint besides quotes: the larger opposite SOL leg (wrapped, or native
     from 0.0005 on), else the first opposite stable leg (USDC before USDT).
     Two such mints of opposite signs: two events, by mint. Else none.
+    Each document is read once and brings its native flow along; only the payer's changes leave it.
     """
-    ok = docs.filter("err is null").select("signature", fee_payer().alias("owner"))
-    legs = token_deltas(docs).join(ok, ["signature", "owner"])
+    ok = docs.filter("err is null").select("signature", fee_payer().alias("owner"), _native_changes().alias("natives"), _token_changes().alias("tokens"))
+    mine = lambda c: F.filter(c, lambda b: b["owner"] == F.col("owner"))
+    ok = ok.select("signature", "owner", mine("natives").alias("natives"), mine("tokens").alias("tokens"))
+    flow = F.when(F.size("natives") > 0, F.aggregate("natives", F.lit(0).cast("long"), lambda x, r: x + r["lamports"]) / 1e9)
+    rows = ok.select("signature", "owner", flow.alias("native"), F.explode("tokens").alias("b"))
+    legs = rows.groupBy("signature", "owner", F.col("b.mint").alias("mint")).agg(F.sum("b.x").alias("delta"), F.max("native").alias("native")).filter(F.abs("delta") > 1e-12)
     quote = F.col("mint").isin(*QUOTES)
-    native = native_deltas(docs).join(ok, ["signature", "owner"]).groupBy("signature").agg((F.sum("lamports") / 1e9).alias("native"))
     of = lambda m: F.max(F.when(F.col("mint") == m, F.col("delta")))
     s = legs.groupBy("signature", "owner").agg(
-        F.array_sort(F.collect_list(F.when(~quote, F.struct("mint", "delta")))).alias("own"), of(WSOL).alias("wsol"), of(USDC).alias("usdc"), of(USDT).alias("usdt")
-    ).join(native, "signature", "left")
+        F.array_sort(F.collect_list(F.when(~quote, F.struct("mint", "delta")))).alias("own"), of(WSOL).alias("wsol"), of(USDC).alias("usdc"), of(USDT).alias("usdt"), F.max("native").alias("native")
+    )
     one, two = F.get("own", F.lit(0)), F.get("own", F.lit(1))
     against = lambda c, x: F.when((F.signum(c) == -F.signum(x)) & (c != 0), c)
     d = one["delta"]
