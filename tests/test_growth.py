@@ -22,3 +22,17 @@ def test_documents_are_dealt_over_tasks_of_so_many_items(spark, name, monkeypatc
     assert raw.documents(spark, SF).rdd.getNumPartitions() == -(-items // 100)
     if not name.startswith(("a08", "c10")):
         assert exchanges(queries()[name](spark, SF).select("*"))[1] <= (2 if name.startswith("c06") else 1)  # orders and items, and the venues
+
+
+def test_pairs_that_share_over_several_blocks(spark, monkeypatch):
+    """A block goes to each other one as one row, and both forms give the pairs that a join gives."""
+    from ledgerloom.operators import sharing as sh
+
+    for name, n in (("BLOCK", 16), ("HEAVY", 6)):
+        monkeypatch.setattr(sh, name, n)
+    h = spark.range(600).select((F.col("id") % 60 * 7).alias("wallet"), F.pmod(F.xxhash64("id"), F.when(F.col("id") % 3 == 0, 5).otherwise(200)).alias("token")).distinct()
+    a, b = h.alias("a"), h.alias("b")
+    want = a.join(b, F.expr("a.token = b.token and a.wallet < b.wallet")).groupBy("a.wallet", F.col("b.wallet").alias("other")).count().filter("count >= 2")
+    want = sorted(map(tuple, want.collect()))
+    assert len(want) > 100 and sorted(map(tuple, sh.pairs_sharing(h, 2).collect())) == want
+    assert sorted(map(tuple, sh.sharing(h, h, 2).filter("wallet < other").collect())) == want
