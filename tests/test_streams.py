@@ -209,3 +209,21 @@ def test_a_batch_sees_the_snapshot_before_it_and_nothing_of_its_own(spark, tmp_p
             saw.append(None if before is None else {r.k: r["count"] for r in before["counts"].collect()})
             shots.take(spark.createDataFrame([(n,), (0,)], "k long"), n)
     assert saw == [None, {0: 2}, {0: 2}, {0: 3, 1: 1}]
+
+
+@pytest.mark.parametrize("lanes", [1, 3])
+def test_keys_that_share_a_lane_keep_apart(spark, feed, lanes):
+    """Many pairs on few lanes fold as the batch does, over three releases; their late rows are told apart."""
+    r = random.Random(3)
+    rows = [(k * HOUR + r.randrange(0, 3000) * S, 100 * k + i, r.randrange(30), r.randrange(2), r.choice(("buy", "sell")), float(r.randrange(1, 5)), 2.0) for k in range(4) for i in range(100)]
+    late = [(60 * S, 900 + i, i, 1, "buy", 1.0, 1.0) for i in range(5)]
+    feed.put(*[rows[100 * k : 100 * k + 100] for k in range(4)], late)
+    run = st.Run(spark)
+    made = lambda: od.in_order(run.ticks(feed.stream()), ["wallet", "token"], ["event_id", "side", "amount", "sol"], fd.POSITIONS, 600_000, lanes=lanes)
+    run.go(made())
+    run.tick(T0 + 60 * HOUR)
+    got = run.go(made())
+    want = ps.fold_positions(spark.createDataFrame([(T0 + x[0], *x[1:]) for x in rows], TRADE), ["event_id"])
+    columns = ["wallet", "token", "episode", "status", "opened_us", "closed_us", "trades", "sells", "pnl"]
+    assert sorted(fd.latest_positions(od.on_time(got)).select(columns).collect(), key=repr) == sorted(want.select(columns).collect(), key=repr)
+    assert {x.event_id for x in od.late_rows(got, ["wallet", "token"]).collect()} == {x[1] for x in late}
