@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import log_feature
+from ..sources.tables import written
+from .quantiles import percentiles
 
 FEATURES = ["f_hold", "f_delay", "f_size", "f_per_day", "f_partial", "f_roi"]
 
@@ -25,7 +27,10 @@ def raw_features(stats: DataFrame, min_closed: int = 3) -> DataFrame:
 
 def impute(features: DataFrame) -> DataFrame:
     """Nulls become the column's median (0 if all are null); ``heavy`` where both holding time and delay were unknown."""
-    medians = features.agg(*[F.coalesce(F.median(f), F.lit(0.0)).alias(f"m_{f}") for f in FEATURES])
+    features = written(features, "features")  # both uses read it; what it comes from is worked out once
+    values = features.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in FEATURES])).alias("f")).select("f.*")
+    half = percentiles(values, "value", [0.5], ["feature"]).select("feature", F.get("percentiles", F.lit(0)).alias("m"))
+    medians = half.agg(*[F.coalesce(F.max(F.when(F.col("feature") == f, F.col("m"))), F.lit(0.0)).alias(f"m_{f}") for f in FEATURES])
     joined = features.crossJoin(F.broadcast(medians))
     heavy = F.col("f_hold").isNull() & F.col("f_delay").isNull()
     return joined.select("wallet", *[F.coalesce(f, f"m_{f}").alias(f) for f in FEATURES], heavy.alias("heavy"))
@@ -56,6 +61,7 @@ def cluster_styles(features: DataFrame, k: int = 5, seed: int = 42) -> DataFrame
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    features = written(features, "styles")  # each of the fits below passes over it several times
     n = features.count()
     k = min(max(2, min(k, n // 10)), n)
     model = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="v"), StandardScaler(inputCol="v", outputCol="z", withMean=True, withStd=True), KMeans(k=k, seed=seed, featuresCol="z", predictionCol="cluster")]).fit(features)

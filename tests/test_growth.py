@@ -36,3 +36,25 @@ def test_pairs_that_share_over_several_blocks(spark, monkeypatch):
     want = sorted(map(tuple, want.collect()))
     assert len(want) > 100 and sorted(map(tuple, sh.pairs_sharing(h, 2).collect())) == want
     assert sorted(map(tuple, sh.sharing(h, h, 2).filter("wallet < other").collect())) == want
+
+
+def test_style_features_are_worked_out_once(spark):
+    """Neither the medians nor the fits go back to what the features come from."""
+    from ledgerloom.operators import strategy as sg
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def noted(x):
+        seen.add(1)
+        return float(x % 7)
+
+    f = spark.range(60).select(F.col("id").alias("wallet"), *[noted("id").alias(c) if c == "f_hold" else (F.col("id") % (k + 3)).cast("double").alias(c) for k, c in enumerate(sg.FEATURES)])
+    f = f.withColumn("f_roi", F.when(F.col("wallet") % 3 > 0, F.col("f_roi"))).withColumn("f_delay", F.lit(None).cast("double"))
+    got = sg.impute(f)
+    assert got.filter("f_delay = 0").count() == 60
+    want = f.agg(F.median("f_roi")).first()[0]
+    assert {r.f_roi for r in got.filter("wallet % 3 = 0").collect()} == {want}
+    seen.value = 0
+    assert sg.cluster_styles(sg.impute(f)).count() == 60
+    assert seen.value == 60
