@@ -97,7 +97,9 @@ def sliced(trades: DataFrame, order: list[str], hot_rows: int = 1_000_000, slice
     before = inside.rowsBetween(FIRST, -1)
     earlier = Window.partitionBy(*PAIR).orderBy("_slice").rowsBetween(FIRST, -1)  # a row a slice
     local = rows.withColumn("_in", F.sum("_step").over(inside.rowsBetween(FIRST, 0))).withColumn("_least", F.min("_in").over(before))
-    local = written(local, "levels")
+    local = local.withColumn("_row", F.row_number().over(inside)).drop(*order)  # a place in the slice does for all that order rows
+    local, order = written(local, "levels"), ["_row"]
+    before = Window.partitionBy(*place).orderBy("_row").rowsBetween(FIRST, -1)
     parts = local.filter("_hot").groupBy(*place).agg(F.sum("_step").alias("_sum"), F.min("_in").alias("_min"))
     parts = parts.withColumn("_from", F.sum("_sum").over(earlier)).withColumn("_floor", F.min(F.coalesce("_from", F.lit(0)) + F.col("_min")).over(earlier))
     start = F.coalesce("_from", F.lit(0))

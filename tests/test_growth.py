@@ -58,3 +58,14 @@ def test_style_features_are_worked_out_once(spark):
     seen.value = 0
     assert sg.cluster_styles(sg.impute(f)).count() == 60
     assert seen.value == 60
+
+
+def test_slices_carry_a_place_in_place_of_what_orders_rows(spark, monkeypatch):
+    """Only the first of the tables that slices write holds the columns of the order."""
+    from ledgerloom.operators import episodes
+    from ledgerloom.sources.bindings import LINE_ORDER, line_trades
+
+    wide, write = [], episodes.written
+    monkeypatch.setattr(episodes, "written", lambda df, name: wide.append((name, set(LINE_ORDER) & set(df.columns))) or write(df, name))
+    episodes.sliced(line_trades(spark, SF), LINE_ORDER, 20, 8)
+    assert [name for name, held in wide if held] == ["trades"]
