@@ -16,6 +16,7 @@ from ..operators import timeops as tm
 from ..operators import vetting as vt
 from ..operators import wallets as wl
 from ..sources.bindings import DAY, HOUR, NOW, POSITIONS, PRELUDE, TRADE_ROWS, tokens, trades, wallets
+from ..sources.tables import written
 from .base import book
 from .catalog import Catalog, r6
 from .jobs import METRICS, _GRID, _LABELS, daily_labels, stats
@@ -287,7 +288,7 @@ def decision_sql(low: int, high: int | None) -> str:
 
 def decision_state(t) -> dict:
     """What trades tell about wallets, tokens and the market, for the gates."""
-    positions = ps.fold_positions(t, ["event_id"])
+    positions = written(ps.fold_positions(t, ["event_id"]), "positions")  # rails and scores read it, several times
     is_open = F.col("status") == "open"
     ledger = positions.groupBy("wallet").agg(F.count_if(is_open).alias("open_n"), F.greatest(F.coalesce(F.sum(F.when(is_open, F.col("bought_sol") - F.col("sold_sol"))), F.lit(0.0)), F.lit(0.0)).alias("exposure"))
     none = ledger.limit(0)

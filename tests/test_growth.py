@@ -69,3 +69,13 @@ def test_slices_carry_a_place_in_place_of_what_orders_rows(spark, monkeypatch):
     monkeypatch.setattr(episodes, "written", lambda df, name: wide.append((name, set(LINE_ORDER) & set(df.columns))) or write(df, name))
     episodes.sliced(line_trades(spark, SF), LINE_ORDER, 20, 8)
     assert [name for name, held in wide if held] == ["trades"]
+
+
+def test_decisions_fold_their_positions_once(spark):
+    """Rails and scores read the positions of a snapshot, and fold none again."""
+    from ledgerloom.plans import judgement
+    from ledgerloom.sources.bindings import trades
+
+    state = judgement.decision_state(trades(spark, SF))
+    for name in ("rails", "scores"):
+        assert "MapInPandas" not in state[name]._jdf.queryExecution().optimizedPlan().toString()
