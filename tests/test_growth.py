@@ -38,6 +38,37 @@ def test_pairs_that_share_over_several_blocks(spark, monkeypatch):
     assert sorted(map(tuple, sh.sharing(h, h, 2).filter("wallet < other").collect())) == want
 
 
+def test_blocks_move_so_many_times_and_leave_in_tiles(spark, monkeypatch):
+    """With twice as many wallets, blocks get larger and not more: what is shuffled at most doubles, and every pair is there."""
+    from ledgerloom.operators import sharing as sh
+
+    for name, n in (("BLOCK", 1), ("HEAVY", 6), ("TASKS", 4), ("GRID", 3)):
+        monkeypatch.setattr(sh, name, n, raising=False)
+
+    def met(wallets):
+        h = spark.range(wallets * 8).select((F.col("id") % wallets * 7).alias("wallet"), F.pmod(F.xxhash64("id"), F.when(F.col("id") % 3 == 0, 5).otherwise(200)).alias("token")).distinct()
+        a, b = h.alias("a"), h.alias("b")
+        want = a.join(b, F.expr("a.token = b.token and a.wallet < b.wallet")).groupBy("a.wallet", F.col("b.wallet").alias("other")).count().filter("count >= 2")
+        want = sorted(map(tuple, want.collect()))
+        held = {(r.wallet, r.token) for r in h.collect()}
+        sums = {}
+        for x, y, _ in want:
+            for w, o in ((x, y), (y, x)):
+                for t in [None, *(t for v, t in held if v == w and (o, t) in held)]:
+                    sums[w, t] = sums.get((w, t), 0) + 1
+        sc = spark.sparkContext
+        sc.setJobGroup(f"met-{wallets}", "")
+        assert len(want) > 50 and sorted(map(tuple, sh.pairs_sharing(h, 2).collect())) == want
+        sc.setJobGroup("", "")
+        status = sc.statusTracker()
+        stages = {k for j in status.getJobIdsForGroup(f"met-{wallets}") for k in status.getJobInfo(j).stageIds}
+        assert sorted(map(tuple, sh.sharing(h, h, 2).filter("wallet < other").collect())) == want
+        assert {(r.wallet, r.token): r.n for r in sh.cast(h, h, 2).collect()} == sums
+        return sum(sc._jsc.sc().statusStore().lastStageAttempt(k).shuffleWriteRecords() for k in stages)
+
+    assert met(64) <= 2.2 * met(32)
+
+
 def test_style_features_are_worked_out_once(spark):
     """Neither the medians nor the fits go back to what the features come from."""
     from ledgerloom.operators import strategy as sg
